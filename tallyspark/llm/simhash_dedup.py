@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,3 +234,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = known.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The document of smallest id of each class, with its columns as they are.
+
+    Rows that share that id stay only as one text: the least by hash.
+    """
+    classes = near_duplicates(docs, id_col, text_col, **options)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id").alias("__key"), F.col("doc_id").alias("__id"))
+    keyed = docs.withColumn("__key", F.xxhash64(id_col)).alias("d")
+    kept = keyed.join(first.alias("f"), (F.col("d.__key") == F.col("f.__key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("f.__id")), "left_semi")
+    # the join's partitioning serves: ids are unique as a rule, and rows of one id meet here
+    order = Window.partitionBy("__key", id_col).orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
