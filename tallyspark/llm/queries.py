@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fuzzy_fingerprint, language_id, line_dedup, mixing, secret_scan, simhash_dedup
+from . import chat_format, decontaminate, fuzzy_fingerprint, language_id, line_dedup, mixing, quality, secret_scan, simhash_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_fingerprint.report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_mixing, op4_chat_format, op5_fingerprint, op7_language_id, op8_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_mixing, op4_chat_format, op5_fingerprint, op6_quality, op7_language_id, op8_line_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
