@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fuzzy_fingerprint, language_id, line_dedup, mixing, quality, secret_scan, simhash_dedup
+from . import chat_format, decontaminate, fuzzy_fingerprint, html_extract, language_id, line_dedup, mixing, quality, secret_scan, simhash_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_mixing, op4_chat_format, op5_fingerprint, op6_quality, op7_language_id, op8_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_mixing, op4_chat_format, op5_fingerprint, op6_quality, op7_language_id, op8_line_dedup, op9_html_extract, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
