@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+
 from . import special as sp
 
 FINISHERS: dict[str, Callable[..., float | None]] = {}
@@ -90,3 +92,174 @@ def coverage(n00: float, n01: float, n10: float, n11: float, n: float, x: float,
     if not n00 + n01 + n10 + n11 or not 0 < p0 < 1:
         return None
     return sp.chi2_sf(_coverage_lr(n, x, p0) + _markov_lr(n00, n01, n10, n11), 2)
+
+
+# --- tests ----------------------------------------------------------------------
+
+
+@finisher
+def chi2(x: float, df: float) -> float | None:
+    return sp.chi2_sf(x, df) if df >= 1 else None
+
+
+@finisher
+def f_tail(f: float, d1: float, d2: float) -> float | None:
+    return sp.f_sf(f, d1, d2) if d1 >= 1 and d2 >= 1 else None
+
+
+@finisher
+def two_sample(ma: float, mb: float, va: float, vb: float, na: float, nb: float, kind: str) -> float | None:
+    if na < 2 or nb < 2:
+        return None
+    ea, eb = va / na, vb / nb
+    if kind == "pooled":
+        spread, df = ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb), na + nb - 2
+    else:
+        spread, df = ea + eb, (ea + eb) ** 2 / (ea * ea / (na - 1) + eb * eb / (nb - 1))
+    t = (ma - mb) / math.sqrt(spread)
+    return 2 * sp.norm_sf(abs(t)) if kind == "z" else sp.t_sf2(t, df)
+
+
+@finisher
+def effect(ma: float, mb: float, va: float, vb: float, na: float, nb: float, kind: str) -> float | None:
+    if na < 2 or nb < 2:
+        return None
+    if kind == "glass_delta":
+        return (ma - mb) / math.sqrt(vb)
+    df = na + nb - 2
+    d = (ma - mb) / math.sqrt(((na - 1) * va + (nb - 1) * vb) / df)
+    return d * math.exp(math.lgamma(df / 2) - math.lgamma((df - 1) / 2)) / math.sqrt(df / 2) if kind == "hedges_g" else d
+
+
+@finisher
+def proportions(pa: float, pb: float, na: float, nb: float) -> float | None:
+    both = (pa * na + pb * nb) / (na + nb)
+    return min(1.0, 2 * sp.norm_sf(abs(pa - pb) / math.sqrt(both * (1 - both) * (1 / na + 1 / nb))))
+
+
+@finisher
+def rank_sum_p(u: float, na: float, nb: float, ties: float) -> float | None:
+    n = na + nb
+    spread = na * nb / 12 * (n + 1 - ties / (n * (n - 1)))
+    return min(1.0, 2 * sp.norm_sf((abs(u - na * nb / 2) - 0.5) / math.sqrt(spread)))
+
+
+@finisher
+def ks_p(d: float, na: float, nb: float) -> float | None:
+    return sp.kolmogorov_sf(d * math.sqrt(na * nb / (na + nb)))
+
+
+@finisher
+def signed_rank_p(up: float, n: float, ties: float) -> float | None:
+    spread = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return min(1.0, 2 * sp.norm_sf(abs(up - n * (n + 1) / 4) / math.sqrt(spread)))
+
+
+@finisher
+def fisher(a: float, b: float, c: float, d: float) -> float | None:
+    a, b, c, d = int(a), int(b), int(c), int(d)
+    row, col, n = a + b, a + c, a + b + c + d
+    if not n or min(row, n - row, col, n - col) == 0:
+        return None
+    chance = lambda x: math.lgamma(row + 1) - math.lgamma(x + 1) - math.lgamma(row - x + 1) + math.lgamma(n - row + 1) - math.lgamma(col - x + 1) - math.lgamma(n - row - col + x + 1)
+    low, high = max(0, col - (n - row)), min(row, col)
+    logs = [chance(x) for x in range(low, high + 1)]
+    top = max(logs)
+    weights = [math.exp(v - top) for v in logs]
+    seen = weights[a - low]
+    return min(1.0, math.fsum(w for w in weights if w <= seen * (1 + 1e-7)) / math.fsum(weights))
+
+
+@finisher
+def bartlett_p(k: float, n: float, pooled: float, logs: float, inverse: float, least: float) -> float | None:
+    if k < 2 or least <= 0:
+        return None
+    bend = 1 + (inverse - 1 / (n - k)) / (3 * (k - 1))
+    return sp.chi2_sf(((n - k) * math.log(pooled / (n - k)) - logs) / bend, k - 1)
+
+
+@finisher
+def half_width(sd: float, n: float, level: float, kind: str) -> float | None:
+    if n < 2 or not 0 < level < 1:
+        return None
+    upper = 0.5 + level / 2
+    return (sp.norm_ppf(upper) if kind == "z" else sp.t_ppf(upper, n - 1)) * sd / math.sqrt(n)
+
+
+@finisher
+def wilson(rate: float, n: float, level: float, sign: float) -> float | None:
+    z = sp.norm_ppf(0.5 + level / 2)
+    return (rate + z * z / (2 * n) + sign * z * math.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+@finisher
+def durbin_levinson(lags, rho) -> float | None:
+    """Last reflection coefficient of the autocorrelations."""
+    r = [v for _, v in sorted(zip(lags, rho, strict=True))]
+    phi: list[float] = []
+    for k, now in enumerate(r):
+        left = 1 - math.fsum(a * b for a, b in zip(phi, r, strict=False))
+        last = (now - math.fsum(a * b for a, b in zip(phi, reversed(r[:k]), strict=True))) / left
+        phi = [a - last * b for a, b in zip(phi, reversed(phi), strict=True)] + [last]
+    return phi[-1] if phi else None
+
+
+@finisher
+def neutral_corr(eras, predictions, targets, first, second) -> float | None:
+    """Mean over eras: predictions as normal scores, made orthogonal to the features, against the target."""
+    rows: dict[str, list[tuple]] = {}
+    for era, *rest in zip(eras, predictions, targets, first, second, strict=True):
+        rows.setdefault(era, []).append(rest)
+    found = []
+    for era in sorted(rows):
+        p, y, f1, f2 = np.array(rows[era], float).T
+        if len(p) < 2:
+            continue
+        score = np.array([sp.norm_ppf(q) for q in np.clip((_mean_ranks(p) - 0.5) / len(p), 1e-12, 1 - 1e-12)])
+        design = np.column_stack([f1, f2, np.ones(len(p))])
+        rest = score - design @ np.linalg.lstsq(design, score, rcond=None)[0]
+        again = np.array([sp.norm_ppf(q) for q in np.clip((_mean_ranks(rest) - 0.5) / len(p), 1e-6, 1 - 1e-6)])
+        power = lambda x: np.sign(x) * np.abs(x) ** 1.5
+        found.append(float(np.corrcoef(power(again), power(y - y.mean()))[0, 1]))
+    return sum(found) / len(found) if found else None
+
+
+def _mean_ranks(x: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
+# --- solvers --------------------------------------------------------------------
+
+
+@finisher
+def solve_irr(flows, times, last: float) -> float | None:
+    """Rate at which dated flows are worth nothing; ``last`` joins the latest flow."""
+    end = max(times)
+    dated = [(cf + (last if k == end else 0), k) for cf, k in zip(flows, times, strict=True)]
+    if not any(cf > 0 for cf, _ in dated) or not any(cf < 0 for cf, _ in dated):
+        return None
+
+    def worth(rate: float) -> float:
+        try:
+            return math.fsum(cf * (1 + rate) ** -k for cf, k in dated)
+        except OverflowError:
+            return math.copysign(math.inf, next(cf for cf, k in dated if k == end))
+
+    high = 1.0
+    while worth(high) * math.copysign(1, worth(-0.9999)) > 0:
+        high *= 2
+        if high > 1e6:
+            return None
+    return sp.bisect(lambda r: math.copysign(1, worth(r)) if worth(r) else 0.0, -0.9999, high)
+
+
+@finisher
+def solve_yield(flows, times, price: float) -> float | None:
+    return sp.bisect(lambda y: math.fsum(cf / (1 + y) ** t for cf, t in zip(flows, times, strict=True)) - price, -0.9999, 10.0) if price > 0 else None
+
+
+@finisher
+def solve_spread(flows, rates, times, price: float) -> float | None:
+    worth = lambda s: math.fsum(cf / (1 + z + s) ** t for cf, z, t in zip(flows, rates, times, strict=True)) - price
+    return sp.bisect(worth, -0.5, 5.0) if price > 0 and min(rates) > -1 else None

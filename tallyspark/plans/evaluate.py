@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogue
 from ..functions.finishers import FINISHERS
 from ..functions.recipes import RECIPES, Recipe
+from ..functions.row_functions import register, used
 
 
 @contextmanager
@@ -54,7 +55,7 @@ def _finished(wide: DataFrame, recipe: Recipe, n: int) -> DataFrame:
     def value(*columns: pd.Series) -> pd.Series:
         def one(*x: object) -> float | None:
             try:
-                return None if any(v is None or v != v for v in x) else finish(*x)
+                return None if any(v is None or (isinstance(v, float) and v != v) for v in x) else finish(*x)
             except (ArithmeticError, ValueError):
                 return None
 
@@ -84,7 +85,9 @@ def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None =
             finish = found[0][0].finish
             cast = (lambda e: e) if finish else (lambda e: f"CAST({e} AS DOUBLE)")
             columns = ", ".join(f"{cast(e)} AS v{k}" for k, e in enumerate(flat))
-            wide = spark.sql(f"SELECT g, {columns} FROM {where} s GROUP BY g", t=t)
+            register(spark, used(columns + where))
+            mine = sorted({c for r, _ in found for c in r.columns})
+            wide = spark.sql(f"SELECT g, {columns} FROM {where} src GROUP BY g", t=t.select("g", *mine, *extra))
             if finish:
                 results.append(_finished(wide, found[0][0], len(flat)))
             else:
@@ -112,13 +115,21 @@ def _finite(c: str):
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def portable(recipe: Recipe) -> bool:
+    """Whether the recipe needs neither a finisher nor a row function."""
+    return not recipe.finish and not used(recipe.source + " ".join(recipe.exprs))
+
+
 def ansi_sql(relation: str, ids: Iterable[str], params: dict[str, dict] | None = None) -> str:
     """The same values as one statement of ANSI SQL (g, recipe, value), over a SELECT."""
     catalogue.load()
-    parts, tails = [f"t AS ({relation})"], []
+    parts, tails = [f"base AS ({relation})"], []
     for k, ((where, _), found) in enumerate(_grouped(ids, params).items()):
         columns = ", ".join(f"CAST({e} AS DOUBLE) AS v{j}" for j, e in enumerate(e for _, exprs in found for e in exprs))
-        parts.append(f"s{k} AS MATERIALIZED (SELECT g, {columns} FROM {where} s GROUP BY g)")
+        mine = sorted({c for r, _ in found for c in r.columns} | ({"pos"} if re.search(r"\bpos\b", relation) else set()))
+        parts.append(f"t{k} AS (SELECT g, {', '.join(mine) or '1 AS one'} FROM base)")
+        where = where.replace("{t}", f"t{k}")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT g, {columns} FROM {where} src GROUP BY g)")
         tails += [f"SELECT g, '{r.id}' AS recipe, v{j} AS value FROM s{k}" for j, (r, _) in enumerate(found)]
     text = f"WITH {', '.join(parts)} " + " UNION ALL ".join(tails)
-    return re.sub(r"\bpercentile\(", "quantile_cont(", text.replace("{t}", "t"))
+    return re.sub(r"\bpercentile\(", "quantile_cont(", text)
