@@ -6,7 +6,7 @@ import importlib
 
 from .recipes import RECIPES, Recipe
 
-FAMILIES = ("quant", "classification", "regression", "analytics", "ranking", "stats", "money")
+FAMILIES = ("quant", "classification", "regression", "analytics", "ranking", "stats", "money", "trusted")
 
 
 def load() -> dict[str, Recipe]:

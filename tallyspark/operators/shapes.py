@@ -143,4 +143,19 @@ SHAPES = {
         "spot strike tm vol rate quantity price",
         {},
     ),
+    "catalog": (
+        "customer",
+        """SELECT c_nationkey AS g, c_custkey AS pos, c_custkey * 7919 % 3 AS y, CASE WHEN c_acctbal > 2000 THEN c_custkey * 7919 % 3 ELSE 1 END AS p, c_acctbal * 0.0123456789e0 AS x, (c_acctbal - 4500) / 2e5 AS r, (c_acctbal - 4000) / 3e5 + c_custkey % 7 / 1e3 AS b,
+        CASE WHEN c_custkey * 7919 % 11 > 8 THEN 2 WHEN c_custkey * 7919 % 11 > 6 THEN 1 ELSE 0 END AS rel FROM customer""",
+        ("catalog",),
+        "y p x r b rel",
+        {},
+    ),
+    "catalog_scores": (
+        "customer",
+        "SELECT c_nationkey AS g, c_custkey AS pos, CASE WHEN c_acctbal > 4000 THEN 1 ELSE 0 END AS y, (c_acctbal + c_custkey * 37 % 5000 + 1000) / 20000 AS s FROM customer",
+        ("catalog",),
+        "y s",
+        {},
+    ),
 }
