@@ -110,11 +110,11 @@ def _signature(prefix: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _prefix_sums(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    base = np.uint64(1)
+    base, step, mask = 1, int(_POWERS[_CHUNK]), (1 << 64) - 1
     for at in range(0, len(data), _CHUNK):
-        part = (data[at : at + _CHUNK].astype(np.uint64) + np.uint64(1)) * _POWERS[: min(_CHUNK, len(data) - at)] * base
+        part = (data[at : at + _CHUNK].astype(np.uint64) + np.uint64(1)) * _POWERS[: min(_CHUNK, len(data) - at)] * np.uint64(base)
         out[at + 1 : at + 1 + len(part)] = np.cumsum(part) + out[at]
-        base = base * _POWERS[_CHUNK]
+        base = base * step & mask
     return out
 
 

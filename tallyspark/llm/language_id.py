@@ -40,7 +40,7 @@ MAX_LANGS = 1_000
 TOP = 30_000
 STEADY = 20
 SMOOTH = 0.5
-KEEP_SCORE = 0.5
+KEEP_SCORE = 0.3  # below that, no language stands out
 FOLDS, HELD_OUT = 4, 2
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -92,6 +92,8 @@ class Model:
             for lang, _, entry, n, total in mine:
                 counts[table[entry], at[lang]] = n
                 totals[at[lang]] = total
+            # a language without entries of this kind knows as little as the fullest table lets it
+            totals = np.where(totals > 0, totals, totals.max(initial=0))
             self.tables[kind] = table
             self.logs[kind] = np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, len(table))))
         self.cache: dict[str, np.ndarray | None] = {}
