@@ -102,8 +102,8 @@ SHAPES = {
     ),
     "flows": (
         "customer",
-        """SELECT c_nationkey AS g, c_custkey AS pos, CASE WHEN c_custkey < 200 THEN -30e0 ELSE (c_acctbal + 1000) / 100 END AS cf, 1 + c_custkey % 12 AS tm, 0.02e0 + c_custkey % 7 / 100e0 AS z,
-        CASE WHEN c_custkey < 300 THEN 500e0 ELSE 20e0 END AS contribution, CASE WHEN c_custkey < 300 THEN 5e0 ELSE 150e0 + c_custkey % 9 END AS distribution, 100 + c_custkey / 50e0 AS idx FROM customer""",
+        """SELECT c_nationkey AS g, c_custkey AS pos, CASE WHEN c_custkey < 60 THEN -90e0 ELSE (c_acctbal + 1000) / 100 END AS cf, 1 + c_custkey % 12 AS tm, 0.02e0 + c_custkey % 7 / 100e0 AS z,
+        CASE WHEN c_custkey < 60 THEN 500e0 ELSE 20e0 END AS contribution, CASE WHEN c_custkey < 60 THEN 5e0 ELSE 150e0 + c_custkey % 9 END AS distribution, 100 + c_custkey / 50e0 AS idx FROM customer""",
         ("finance",),
         "cf tm z contribution distribution idx",
         {"rvpi": {"nav": 1e4}, "tvpi": {"nav": 1e4}, "called_pct": {"committed": 1e6}, "realization_ratio": {"nav": 1e4}, "ks_pme": {"nav": 1e3}},
