@@ -93,12 +93,16 @@ define("analytics", "value=x", """
 winsorized_mean[trim=0.1e0]: avg(least(greatest(x, low), high))
 winsorized_std[trim=0.1e0]: stddev_samp(least(greatest(x, low), high))
 """, source="{sorted_x}", totals="max(CASE WHEN rn = floor({trim} * n) + 1 THEN x END) AS low, max(CASE WHEN rn = n - floor({trim} * n) THEN x END) AS high")
-define("analytics", "value=x", "hodges_lehmann_estimator: median((a + b) / 2)", source="(SELECT i.g, i.x AS a, j.x AS b FROM {sorted_x} i JOIN {sorted_x} j ON i.g = j.g AND i.rn <= j.rn)")
+# means of all pairs of values, by distinct values with their numbers of pairs
+source("tallied", "SELECT g, x, count(*) * 1e0 AS c FROM {t} o0 GROUP BY g, x")
+source("walsh", "SELECT i.g, (i.x + j.x) / 2e0 AS v, sum(CASE WHEN i.x = j.x THEN i.c * (i.c + 1) / 2 ELSE i.c * j.c END) AS w FROM {tallied} i JOIN {tallied} j ON i.g = j.g AND i.x <= j.x GROUP BY i.g, (i.x + j.x) / 2e0")
+source("walsh_upto", "SELECT z.g, z.v, sum(z.w) OVER (PARTITION BY z.g ORDER BY z.v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, m.total FROM {walsh} z JOIN (SELECT g, sum(w) AS total FROM {walsh} k GROUP BY g) m ON z.g = m.g")
+define("analytics", "value=x", "hodges_lehmann_estimator: (min(CASE WHEN upto >= floor((total + 1) / 2) THEN v END) + min(CASE WHEN upto >= floor(total / 2) + 1 THEN v END)) / 2", source="{walsh_upto}")
 
 # text cells
 BLANK = "lower(trim(coalesce(s, ''))) IN ('', 'nan', 'na', 'null', 'none')"
 define("analytics", "value=s'", f"""
-distinct_count: count(DISTINCT CASE WHEN NOT {BLANK} THEN trim(s) END)
+distinct_count[mode=drop_null]: CASE WHEN '{{mode}}' = 'include_null' THEN count(DISTINCT trim(coalesce(s, ''))) ELSE count(DISTINCT CASE WHEN NOT {BLANK} THEN trim(s) END) END
 null_fraction: avg(CASE WHEN {BLANK} THEN 1e0 ELSE 0e0 END)
 duplicate_count: count(*) - count(DISTINCT trim(coalesce(s, '')))
 uniqueness_ratio: count(DISTINCT trim(coalesce(s, ''))) / count(*)
@@ -106,15 +110,15 @@ uniqueness_ratio: count(DISTINCT trim(coalesce(s, ''))) / count(*)
 source("cells", "SELECT g, trim(coalesce(s, '')) AS s, count(*) AS n FROM {t} a0 GROUP BY g, trim(coalesce(s, ''))")
 define("analytics", "value=s'", """
 mode_share: max(n) / sum(n)
-entropy[base=2e0]: (ln(sum(n) * 1e0) - sum(n * ln(n * 1e0)) / sum(n)) / ln({base})
+entropy[mode=bits]: (ln(sum(n) * 1e0) - sum(n * ln(n * 1e0)) / sum(n)) / CASE WHEN '{mode}' = 'nats' THEN 1e0 ELSE ln(2e0) END
 """, source="{cells}")
-define("analytics", "group=s', value=x", "groupby_aggregate: max(m)", source="(SELECT g, trim(s) AS s, sum(x) AS m FROM {t} a0 GROUP BY g, trim(s))")
+define("analytics", "group=s', value=x", "groupby_aggregate[label=none,mode=sum]: max(CASE WHEN s = '{label}' THEN CASE WHEN '{mode}' = 'mean' THEN m ELSE t END END)", source="(SELECT g, trim(s) AS s, sum(x) AS t, avg(x) AS m FROM {t} a0 GROUP BY g, trim(s))")
 define("analytics", "left_key=lk', joined_key=jk'", "join_row_loss: count(lk) - count(jk)")
 define("analytics", "flag=flag", "ratio_share: avg(CASE WHEN flag <> 0 THEN 1e0 ELSE 0e0 END)")
 define("analytics", "value=x, weight=w", "weighted_mean: sum(w * x) / nullif(sum(w), 0)")
 define("analytics", "expected=dp, actual=dq", "psi: CASE WHEN min(dp) > 0 AND min(dq) > 0 THEN sum((dq / sq - dp / sp) * ln(dq / sq / (dp / sp))) END", totals="sum(dp) AS sp, sum(dq) AS sq")
 source("steps", f"SELECT g, pos, x, lag(x) OVER ({W}) AS x1 FROM {{t}} a0")
-define("analytics", "value=x", "growth_rate: max_by(x, pos) / nullif(max_by(x1, pos), 0) - 1", source="{steps}", ordered=True)
+define("analytics", "value=x", "growth_rate[mode=period]: CASE WHEN count(*) > 1 THEN max_by(x, pos) / nullif(CASE WHEN '{mode}' = 'total' THEN min_by(x, pos) ELSE max_by(x1, pos) END, 0) - 1 END", source="{steps}", ordered=True)
 
 # distances
 D = "(x - y)"
@@ -158,7 +162,7 @@ define("engineering", "value=x", "peak_memory: max(x)")
 define("engineering", "hits=hits", "test_coverage: avg(CASE WHEN hits > 0 THEN 1e0 ELSE 0e0 END)")
 SHARE = "avg(CASE WHEN flag <> 0 THEN 1e0 ELSE 0e0 END)"
 define("engineering", "flag=flag", f"""
-error_rate: {SHARE}
+error_rate[mode=flag]: CASE WHEN '{{mode}}' = 'http4xx' THEN avg(CASE WHEN flag >= 400 THEN 1e0 ELSE 0e0 END) WHEN '{{mode}}' = 'http5xx' THEN avg(CASE WHEN flag >= 500 THEN 1e0 ELSE 0e0 END) ELSE {SHARE} END
 uptime_pct: {SHARE}
 cache_hit_rate: {SHARE}
 error_budget_burn[target=0.01e0]: {SHARE} / nullif({{target}}, 0)
@@ -178,5 +182,5 @@ for name, tags, expr in (
     define("engineering", tags, f"{name}: {expr}")
 SIDE = lambda f, s: f"({f}(v) FILTER (WHERE side = '{s}'))"
 define("engineering", "before=v, after=side'", f"""
-speedup_ratio: {SIDE("avg", "a")} / nullif({SIDE("avg", "b")}, 0)
+speedup_ratio[mode=mean]: CASE WHEN '{{mode}}' = 'median' THEN {SIDE("median", "a")} / nullif({SIDE("median", "b")}, 0) ELSE {SIDE("avg", "a")} / nullif({SIDE("avg", "b")}, 0) END
 """)

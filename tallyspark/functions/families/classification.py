@@ -81,7 +81,10 @@ define("classification", "score=s, label=y", f"""
 auc: {AUC}
 gini_norm: 2 * {AUC} - 1
 """, source="{rising}")
-define("classification", "score=s, label=y", "pr_auc: CASE WHEN sum(n1) > 0 THEN sum(p1 * 1e0 * cp / (cp + cn)) / nullif(sum(p1), 0) END", source="{falling}")
+define("classification", "score=s, label=y", """
+pr_auc[mode=average_precision]: CASE WHEN '{mode}' = 'trapezoid' THEN sum(p1 * 0.5e0 * (cp / (cp + cn * 1e0) + coalesce((cp - p1) / nullif(cp - p1 + cn - n1, 0), 1e0))) / nullif(sum(p1), 0)
+  ELSE sum(p1 * 1e0 * cp / (cp + cn)) / nullif(sum(p1), 0) END
+""", source="{falling}")
 define("classification", "score=s, label=y", "ks_statistic: max(abs(cp / nullif(tp, 0) - cn / nullif(tn, 0)))", source="{rising}", totals="sum(p1) AS tp, sum(n1) AS tn")
 define("classification", "score=s, label=y", """
 hinge_loss: avg(greatest(0, 1 - (2 * y - 1) * s))
@@ -93,7 +96,8 @@ exponential_loss: avg(exp(-(2 * y - 1) * s))
 LL = "-avg(CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END)"
 define("classification", "prob=q, label=y", f"""
 brier: avg(power(q - y, 2))
-log_loss: CASE WHEN count_if(y = 1 AND q <= 0) + count_if(y <> 1 AND q >= 1) = 0 THEN {LL} END
+log_loss[mode=exact]: CASE WHEN '{{mode}}' = 'clip' THEN -avg(ln(CASE WHEN y = 1 THEN least(greatest(q, 1e-15), 1 - 1e-15) ELSE 1 - least(greatest(q, 1e-15), 1 - 1e-15) END))
+  WHEN count_if(y = 1 AND q <= 0) + count_if(y <> 1 AND q >= 1) = 0 THEN {LL} END
 d2_log_loss_score: CASE WHEN count_if(q <= 0 OR q >= 1) = 0 AND avg(y) > 0 AND avg(y) < 1 THEN 1 - ({LL}) / -(avg(y) * ln(avg(y)) + (1 - avg(y)) * ln(1 - avg(y))) END
 net_benefit[threshold=0.5e0]: CASE WHEN {{threshold}} > 0 AND {{threshold}} < 1 THEN count_if(q >= {{threshold}} AND y = 1) / count(*) - count_if(q >= {{threshold}} AND y <> 1) / count(*) * {{threshold}} / (1 - {{threshold}}) END
 """)

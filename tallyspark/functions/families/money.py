@@ -15,7 +15,6 @@ def ratios(family: str, text: str) -> None:
 
 SUM = lambda a, b: f"sum({a}) / nullif(sum({b}), 0)"
 ratios("finance", f"""
-churn_rate: flag => avg(CASE WHEN flag <> 0 THEN 1e0 ELSE 0e0 END)
 margin_pct: value, cost => (sum(value) - sum(cost)) / nullif(sum(value), 0)
 reconciliation_total: value_a, value_b => sum(value_a) - sum(value_b)
 return_on_equity: net_income, equity => {SUM("net_income", "equity")}
@@ -33,6 +32,7 @@ cash_conversion_cycle: receivables, inventory, payables, revenue, cogs => ({SUM(
 fixed_charge_coverage: ebit, lease, interest => (sum(ebit) + sum(lease)) / nullif(sum(interest) + sum(lease), 0)
 dpi: contribution, distribution => CASE WHEN sum(contribution) > 0 THEN sum(distribution) / sum(contribution) END
 """)
+define("finance", "flag", "churn_rate[mode=churn]: avg(CASE WHEN (flag <> 0) = ('{mode}' <> 'retention') THEN 1e0 ELSE 0e0 END)")
 define("finance", "contribution", """
 rvpi[nav=0e0]: CASE WHEN sum(contribution) > 0 THEN {nav} / sum(contribution) END
 called_pct[committed=0e0]: CASE WHEN {committed} > 0 THEN sum(contribution) / {committed} END

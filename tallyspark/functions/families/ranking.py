@@ -26,7 +26,7 @@ mrr[k=1000000]: avg(coalesce(CASE WHEN first <= {k} THEN 1e0 / first END, 0))
 define("retrieval", TAGS, "r_precision: avg(hit / nullif(r, 0))", source="(SELECT g, query, max(r) AS r, count_if(rel > 0 AND rn <= r) AS hit FROM (SELECT h.*, m.r FROM {hits} h JOIN (SELECT g, query, count_if(rel > 0) AS r FROM {t} k3 GROUP BY g, query) m ON h.g = m.g AND h.query = m.query) k4 GROUP BY g, query)", ordered=True)
 define("retrieval", TAGS, "rbp[p=0.8e0]: CASE WHEN {p} > 0 AND {p} < 1 THEN avg(v) END", source="(SELECT g, query, (1 - {p}) * sum(CASE WHEN rel > 0 THEN power({p}, rn - 1) ELSE 0e0 END) AS v FROM {hits} k1 GROUP BY g, query)", ordered=True)
 source("ideal", "SELECT g, query, rel, rn, row_number() OVER (PARTITION BY g, query ORDER BY rel DESC) AS best FROM {hits} k1")
-define("retrieval", TAGS, "ndcg_at_k[k=10]: avg(dcg / nullif(idcg, 0)) FILTER (WHERE idcg > 0)", source="(SELECT g, query, sum(CASE WHEN rn <= {k} THEN rel / log2(rn + 1e0) ELSE 0e0 END) AS dcg, sum(CASE WHEN best <= {k} THEN rel / log2(best + 1e0) ELSE 0e0 END) AS idcg FROM {ideal} k2 GROUP BY g, query)", ordered=True)
+define("retrieval", TAGS, "ndcg_at_k[k=10,exponential=0]: avg(dcg / nullif(idcg, 0)) FILTER (WHERE idcg > 0)", source="(SELECT g, query, sum(CASE WHEN rn <= {k} THEN CASE WHEN {exponential} = 1 THEN power(2e0, rel) - 1 ELSE rel * 1e0 END / log2(rn + 1e0) ELSE 0e0 END) AS dcg, sum(CASE WHEN best <= {k} THEN CASE WHEN {exponential} = 1 THEN power(2e0, rel) - 1 ELSE rel * 1e0 END / log2(best + 1e0) ELSE 0e0 END) AS idcg FROM {ideal} k2 GROUP BY g, query)", ordered=True)
 source("graded", "SELECT h.g, h.query, h.rn, (power(2e0, h.rel) - 1) / power(2e0, m.top) AS sat, m.top FROM {hits} h JOIN (SELECT g, max(rel) AS top FROM {t} k3 GROUP BY g) m ON h.g = m.g")
 source("unsated", "SELECT g, query, rn, sat, top, coalesce(exp(sum(ln(1 - sat)) OVER (PARTITION BY g, query ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1e0) AS keep FROM {graded} k5")
 define("retrieval", TAGS, "err_at_k[k=10]: CASE WHEN min(top) > 0 THEN avg(v) END", source="(SELECT g, query, min(top) AS top, sum(CASE WHEN rn <= {k} THEN keep * sat / rn ELSE 0e0 END) AS v FROM {unsated} k6 GROUP BY g, query)", ordered=True)
@@ -52,3 +52,7 @@ jaro_similarity: avg(jaro_score(tp, tr))
 jaro_winkler_similarity: avg(jaro_winkler_score(tp, tr))
 longest_common_subsequence: avg(lcs_length(tp, tr))
 """)
+define("variants", "prediction=tp', reference=tr'", """
+exact_match_normalized: avg(normalized_match(tp, tr))
+cer: sum(char_edits(tp, tr)) / nullif(sum(length(tr)), 0)
+""")

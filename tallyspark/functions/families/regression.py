@@ -8,12 +8,12 @@ define("regression", "prediction=p, target=a", f"""
 rmse: sqrt(avg(power({E}, 2)))
 mae: avg(abs({E}))
 mean_squared_error: avg(power({E}, 2))
-msle: CASE WHEN min(p) > -1 AND min(a) > -1 THEN avg(power(ln(1 + p) - ln(1 + a), 2)) END
+msle[mode=msle]: CASE WHEN min(p) > -1 AND min(a) > -1 THEN power(avg(power(ln(1 + p) - ln(1 + a), 2)), CASE WHEN '{{mode}}' = 'rmsle' THEN 0.5e0 ELSE 1e0 END) END
 rmsle: CASE WHEN min(p) > -1 AND min(a) > -1 THEN sqrt(avg(power(ln(1 + p) - ln(1 + a), 2))) END
 medae: median(abs({E}))
 max_error: max(abs({E}))
 explained_variance: 1 - var_pop(a - p) / nullif(var_pop(a), 0)
-nrmse: sqrt(avg(power({E}, 2))) / nullif(avg(a), 0)
+nrmse[mode=mean]: sqrt(avg(power({E}, 2))) / nullif(CASE WHEN '{{mode}}' = 'range' THEN max(a) - min(a) ELSE avg(a) END, 0)
 concordance_correlation: 2 * covar_pop(p, a) / nullif(var_pop(p) + var_pop(a) + power(avg(p) - avg(a), 2), 0)
 huber_loss[delta=1e0]: CASE WHEN {{delta}} > 0 THEN avg(CASE WHEN abs({E}) <= {{delta}} THEN {E} * {E} / 2 ELSE {{delta}} * (abs({E}) - {{delta}} / 2) END) END
 poisson_deviance: CASE WHEN min(p) > 0 AND min(a) >= 0 THEN 2 * avg(CASE WHEN a > 0 THEN a * ln(a / p) ELSE 0e0 END - (a - p)) END
@@ -74,7 +74,7 @@ regression_t_statistic: CASE WHEN count(*) > 2 THEN {B} / nullif(sqrt({SSR} / (c
 # --- forecasting ----------------------------------------------------------------
 ZERO = "count_if(a = 0) = 0"
 define("forecasting", "prediction=p, target=a", f"""
-mape: CASE WHEN {ZERO} THEN avg(abs({E}) / abs(a)) END
+mape[mode=mape]: CASE WHEN '{{mode}}' = 'smape' THEN CASE WHEN count_if(p = 0 AND a = 0) = 0 THEN avg(2 * abs({E}) / nullif(abs(p) + abs(a), 0)) END WHEN {ZERO} THEN avg(abs({E}) / nullif(abs(a), 0)) END
 pinball_loss[q=0.5e0]: CASE WHEN {{q}} > 0 AND {{q}} < 1 THEN avg(greatest({{q}} * (a - p), ({{q}} - 1) * (a - p))) END
 wape: sum(abs({E})) / nullif(sum(abs(a)), 0)
 forecast_bias: (sum(p) - sum(a)) / nullif(sum(a), 0)

@@ -16,7 +16,7 @@ NA, NB, MA, MB = of("count", "a"), of("count", "b"), of("avg", "a"), of("avg", "
 VA, VB = of("var_samp", "a"), of("var_samp", "b")
 POOLED = f"((({NA} - 1) * {VA} + ({NB} - 1) * {VB}) / nullif({NA} + {NB} - 2, 0))"
 define("stats", TWO, f"""
-lift: ({MB} - {MA}) / nullif({MA}, 0)
+lift[mode=relative]: CASE WHEN '{{mode}}' = 'absolute' THEN {MB} - {MA} ELSE ({MB} - {MA}) / nullif({MA}, 0) END
 glass_delta: ({MA} - {MB}) / nullif(sqrt({VB}), 0)
 cohens_h: CASE WHEN {MA} BETWEEN 0 AND 1 AND {MB} BETWEEN 0 AND 1 THEN 2 * asin(sqrt({MA})) - 2 * asin(sqrt({MB})) END
 p_value[kind=welch] -> two_sample: {MA} ;; {MB} ;; {VA} ;; {VB} ;; {NA} ;; {NB} ;; '{{kind}}'
@@ -93,14 +93,14 @@ pearson_contingency_coefficient: sqrt(greatest({CHIF}, 0) / nullif({CHIF} + min(
 cohens_w: sqrt(greatest({CHIF}, 0) / min(total))
 g_test -> chi2: 2 * sum(n * ln(n * 1e0 * total / (na * 1e0 * nb))) ;; (min(ka) - 1e0) * (min(kb) - 1)
 """, source="{gt_full}")
-source("gt_yates", f"SELECT g, min(ka) AS ka, min(kb) AS kb, {CHIF} AS chi, count(*) AS cells, sum(power(greatest(abs(n - na * 1e0 * nb / total) - 0.5e0, 0), 2) / (na * 1e0 * nb / total)) AS yates FROM {{gt_full}} s1 GROUP BY g")
+source("gt_yates", f"SELECT g, min(ka) AS ka, min(kb) AS kb, {CHIF} AS chi, count(*) AS cells, sum(CASE WHEN n = na * 1e0 * nb / total THEN 0e0 ELSE power(abs(n - na * 1e0 * nb / total) - 0.5e0, 2) END / (na * 1e0 * nb / total)) AS yates FROM {{gt_full}} s1 GROUP BY g")
 define("stats", GO, "chi_square -> chi2: max(CASE WHEN ka = 2 AND kb = 2 AND cells = 4 THEN yates ELSE chi END) ;; max((ka - 1e0) * (kb - 1))", source="{gt_yates}")
 source("gt_two", "SELECT c.g, c.n, CASE WHEN c.a = m.a1 THEN 1 ELSE 2 END AS i, CASE WHEN c.b = m.b1 THEN 1 ELSE 2 END AS j, m.ka, m.kb FROM {gt} c JOIN (SELECT g, min(a) AS a1, min(b) AS b1, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM {gt} s1 GROUP BY g) m ON c.g = m.g")
 CELL = lambda i, j: f"coalesce(sum(n) FILTER (WHERE i = {i} AND j = {j}), 0)"
 CA, CB, CC, CD = CELL(1, 1), CELL(1, 2), CELL(2, 1), CELL(2, 2)
 SQUARE = "max(ka) = 2 AND max(kb) = 2"
 define("stats", GO, f"""
-odds_ratio: CASE WHEN {SQUARE} THEN {CA} * 1e0 * {CD} / nullif({CB} * 1e0 * {CC}, 0) END
+odds_ratio[mode=sample]: CASE WHEN {SQUARE} AND '{{mode}}' = 'haldane' THEN ({CA} + 0.5e0) * ({CD} + 0.5e0) / (({CB} + 0.5e0) * ({CC} + 0.5e0)) WHEN {SQUARE} THEN {CA} * 1e0 * {CD} / nullif({CB} * 1e0 * {CC}, 0) END
 relative_risk: CASE WHEN {SQUARE} THEN ({CA} / nullif({CA} + {CB}, 0)) / nullif({CC} / nullif({CC} + {CD}, 0), 0) END
 fisher_exact -> fisher: {CA} ;; {CB} ;; {CC} ;; {CD}
 """, source="{gt_two}")
@@ -332,3 +332,9 @@ define("stats", "prediction=p, target=target, meta_model=meta, era=era'", "mmc:
 define("stats", "prediction=p, target=target, features=f1, feature_2=f2, era=era'", "feature_neutral_corr -> neutral_corr: collect_list(era) ;; collect_list(p) ;; collect_list(target) ;; collect_list(f1) ;; collect_list(f2)")
 CORR = lambda f: f"abs(covar_pop(p, {f}) / nullif(stddev_pop(p) * stddev_pop({f}), 0))"
 define("stats", "prediction=p, features=f1, feature_2=f2", f"max_feature_exposure: greatest({CORR('f1')}, {CORR('f2')})")
+
+# statistics whose recipes report a tail
+define("variants", GO, "chi_square_statistic[mode=yates]: max(CASE WHEN ka = 2 AND kb = 2 AND cells = 4 AND '{mode}' = 'yates' THEN yates ELSE chi END)", source="{gt_yates}")
+define("variants", GO, "g_test_statistic: 2 * sum(n * ln(n * 1e0 * total / (na * 1e0 * nb)))", source="{gt_full}")
+define("variants", GV, f"anova_statistic: CASE WHEN {K} > 1 THEN {SSB} / ({K} - 1) / nullif({MSW}, 0) END", source="{grouped}")
+define("variants", "value=x", f"jarque_bera_statistic: {n} / 6e0 * ({SK} * {SK} + {KU} * {KU} / 4)", source="{central}")

@@ -108,6 +108,8 @@ ROW_FUNCTIONS: dict[str, tuple[Callable, int]] = {
     "norm_ppf": (sp.norm_ppf, 1),
     "implied_vol": (implied_vol, 6),
     "token_edits": (lambda p, r: float(_edits(r.split(), p.split())), 2),
+    "char_edits": (lambda p, r: float(_edits(list(r), list(p))), 2),
+    "normalized_match": (lambda p, r: float(_normalised(p) == _normalised(r)), 2),
     "token_count": (lambda r: float(len(r.split())), 1),
     "token_f1_score": (token_f1_score, 2),
     "token_jaccard_score": (token_jaccard_score, 2),

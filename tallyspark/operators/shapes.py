@@ -51,7 +51,7 @@ SHAPES = {
         1 + l_partkey % 3 AS repairs, l_partkey % 6 AS defects, l_quantity * 3 AS size, l_quantity * 50 AS opportunities, l_quantity * 9 AS passed, l_quantity * 10 AS total, 1 - l_tax / 1000 AS yield_step FROM lineitem""",
         ("analytics", "engineering"),
         "x y w dp dq flag s lk jk d side v hits original compressed uptime downtime failures operating_time repairs defects size opportunities passed total yield_step",
-        {},
+        {"groupby_aggregate": {"label": "AF", "mode": "mean"}},
     ),
     "pairs": (
         "customer",
@@ -64,7 +64,7 @@ SHAPES = {
     "squares": (
         "lineitem",
         "SELECT l_suppkey % 10 AS g, l_linestatus AS grp, CASE WHEN l_quantity > 30 THEN 'high' ELSE 'low' END AS outcome FROM lineitem",
-        ("stats",),
+        ("stats", "variants"),
         "grp outcome",
         {},
     ),
@@ -75,7 +75,7 @@ SHAPES = {
         l_discount * 100 AS wa, l_tax * 120 AS wb, CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END AS flag, l_quantity + l_discount AS dp, l_quantity * l_quantity + l_tax AS dq, l_returnflag AS cx, concat(l_linestatus, CAST(l_partkey % 2 AS STRING)) AS cy,
         l_partkey % 2 AS arm, l_quantity + l_tax * 50 AS cov, power((l_partkey * 7919 % 1000 + 0.5e0) / 1000, 3) AS pv, CAST(l_orderkey % 8 AS STRING) AS era, l_quantity + l_discount * 10 AS p, l_discount * 4 + l_quantity / 100 AS target,
         l_tax + l_quantity / 90 AS meta, l_tax AS f1, l_discount AS f2 FROM lineitem""",
-        ("stats",),
+        ("stats", "variants"),
         "side v x grp outcome y pa pb wa wb flag dp dq cx cy arm cov pv era p target meta f1 f2",
         {},
     ),
@@ -96,7 +96,7 @@ SHAPES = {
     "strings": (
         "part",
         "SELECT p_size % 10 AS g, p_partkey AS pos, p_name AS tp, concat(p_type, substr(p_name, 3, 8)) AS tr FROM part",
-        ("llm-eval",),
+        ("llm-eval", "variants"),
         "tp tr",
         {},
     ),

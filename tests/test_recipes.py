@@ -114,3 +114,39 @@ def test_text_similarity(spark):
     assert got[1, "wer"][0] == pytest.approx(0.25)
     assert got[1, "token_jaccard"][0] == pytest.approx(0.75)
     assert got[1, "token_f1"][0] == pytest.approx(2 * 2 / 5)
+
+
+@pytest.mark.parametrize(
+    ("recipe", "params", "expected"),
+    [
+        ("growth_rate", {}, 0.5),
+        ("growth_rate", {"mode": "total"}, 2.0),
+        ("column_std", {"ddof": 0}, math.sqrt(2 / 3)),
+        ("percentile", {"q": 0.25}, 1.5),
+        ("trimmed_mean", {"proportion": 0.4}, 2.0),
+    ],
+)
+def test_conventions_change_the_value(spark, recipe, params, expected):
+    got = values(spark, [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0)], "g int, pos int, x double", [recipe], {recipe: params})
+    assert got[1, recipe][0] == pytest.approx(expected)
+
+
+def test_modes(spark):
+    rows = [(1, 0, 1.0, 2.0), (1, 1, 3.0, 1.0)]
+    schema = "g int, pos int, p double, a double"
+    assert values(spark, rows, schema, ["mape"], {"mape": {"mode": "smape"}})[1, "mape"][0] == pytest.approx((2 * 1 / 3 + 2 * 2 / 4) / 2)
+    assert values(spark, rows, schema, ["nrmse"], {"nrmse": {"mode": "range"}})[1, "nrmse"][0] == pytest.approx(math.sqrt(2.5))
+    flags = [(1, 0, 404), (1, 1, 503), (1, 2, 200), (1, 3, 200)]
+    for mode, share in (("flag", 1.0), ("http4xx", 0.5), ("http5xx", 0.25)):
+        assert values(spark, flags, "g int, pos int, flag int", ["error_rate"], {"error_rate": {"mode": mode}})[1, "error_rate"][0] == share
+    assert values(spark, [(1, 0, 1), (1, 1, 0)], "g int, pos int, flag int", ["churn_rate"], {"churn_rate": {"mode": "retention"}})[1, "churn_rate"][0] == 0.5
+    texts = [(1, "The Cat!", "a cat")]
+    assert values(spark, texts, "g int, tp string, tr string", ["exact_match", "exact_match_normalized"])[1, "exact_match_normalized"][0] == 1.0
+
+
+def test_pair_means(spark):
+    xs = [1.0, 2.0, 2.0, 5.0, 9.0]
+    pairs = sorted((a + b) / 2 for k, a in enumerate(xs) for b in xs[k:])
+    middle = (pairs[(len(pairs) - 1) // 2] + pairs[len(pairs) // 2]) / 2
+    got = values(spark, [(1, k, x) for k, x in enumerate(xs)], "g int, pos int, x double", ["hodges_lehmann_estimator"])
+    assert got[1, "hodges_lehmann_estimator"][0] == middle
