@@ -207,3 +207,21 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their columns as they are."""
     return annotate(docs, bench, **options).where(~_contaminated()).drop(NOTES)
+
+
+_SPLIT_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+#: The same report by joining every window of the documents with those of the items.
+ORACLE_SQL = f"""
+WITH i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_SPLIT_SQL} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[s.s:s.s + least(13, len(w)) - 1], ' ') AS pat FROM i, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s(s) WHERE len(w) > 0),
+z AS (SELECT DISTINCT size FROM p),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_SPLIT_SQL} AS w FROM documents),
+v AS (SELECT d.k, s.s AS at, z.size, array_to_string(d.w[s.s:s.s + z.size - 1], ' ') AS pat FROM d, z, unnest(range(1, len(d.w) - z.size + 2)) AS s(s)),
+h AS (SELECT v.k, v.at, v.size, p.item FROM v JOIN p USING (size, pat)),
+c AS (SELECT k, count(DISTINCT u.u) AS n_hit FROM h, unnest(range(h.at, h.at + h.size)) AS u(u) GROUP BY k),
+n AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY k)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
+       coalesce(c.n_hit > 0 AND 20 * c.n_hit >= len(d.w), false) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN n USING (k)
+"""

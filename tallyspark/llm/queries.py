@@ -57,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op4_chat_format": chat_format.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op2_secret_scan": secret_scan.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op4_chat_format": chat_format.ORACLE_SQL}
