@@ -1,7 +1,6 @@
 """Column statistics, inequality, diversity, distances; operations metrics."""
 
 from ..recipes import define, source, with_totals
-from .tables import contingency
 
 W = "PARTITION BY g ORDER BY pos"
 POS = "min(x) > 0"

@@ -1,7 +1,7 @@
 """Classification, calibration, fairness and agreement."""
 
 from ..recipes import define, source, with_totals
-from .tables import HA, HAB, HB, MI, contingency
+from .tables import HA, HB, MI, contingency
 
 TP, FP, FN = "count_if(p = 1 AND y = 1)", "count_if(p = 1 AND y = 0)", "count_if(p = 0 AND y = 1)"
 TN = f"(count(*) - {TP} - {FP} - {FN})"

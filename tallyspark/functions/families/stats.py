@@ -83,7 +83,6 @@ define("stats", "sample_a=wa, sample_b=wb", "wilcoxon_signed_rank -> signed_rank
 # pairs of categories
 contingency("grp", "outcome", "gt", text=True)
 CHI = "sum(power(n - na * 1e0 * nb / total, 2) / (na * 1e0 * nb / total))"
-EMPTY = "(min(ka) * min(kb) - count(*))"  # cells without rows add their expected count
 CHIF = f"({CHI} + min(total) - sum(na * 1e0 * nb / total))"
 GO = "group=grp', outcome=outcome'"
 define("stats", GO, f"""
