@@ -64,3 +64,21 @@ def graph(claims: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     edge = lambda df, a, ka, b, kb, kind: df.select(F.concat(F.lit(f"{ka}:"), F.col(a)).alias("src"), F.concat(F.lit(f"{kb}:"), F.col(b)).alias("dst"), F.lit(kind).alias("kind"))
     edges = edge(claims, "id", "claim", "metric", "metric", "measures").unionByName(edge(claims, "id", "claim", "verdict", "verdict", "has")).unionByName(edge(aliases, "alias", "alias", "metric", "metric", "names"))
     return nodes, edges
+
+
+# What may be used again; known values are kept apart.
+REUSABLE = ("plan", "targets", "conventions")
+
+
+def bank(records: DataFrame, path: str) -> None:
+    """Append reusable experience (key, kind, payload, success, seq); known values are refused."""
+    bad = records.where(~F.col("kind").isin(*REUSABLE)).select("kind").first()
+    if bad:
+        raise ValueError(f"{bad.kind} isn't reusable experience")
+    records.select("key", "kind", "payload", "success", "seq").write.mode("append").parquet(path)
+
+
+def experience(spark: SparkSession, path: str) -> DataFrame:
+    """The payload of each key and kind that did best: successes minus failures, then the latest."""
+    per = spark.read.parquet(path).groupBy("key", "kind", "payload").agg(F.sum(F.when(F.col("success"), 1).otherwise(-1)).alias("balance"), F.max("seq").alias("seq"))
+    return per.groupBy("key", "kind").agg(F.max_by("payload", F.struct("balance", "seq")).alias("payload"))
