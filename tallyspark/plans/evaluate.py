@@ -39,12 +39,18 @@ def lenient(spark: SparkSession) -> Iterator[None]:
 
 
 def _grouped(ids: Iterable[str], params: dict[str, dict] | None) -> dict[tuple, list[tuple[Recipe, tuple[str, ...]]]]:
-    """Recipes by source text; those with a finisher stand alone."""
+    """Recipes by source text; those with a finisher stand alone.
+
+    Over the bare relation, exact percentiles and distinct counts are aggregated
+    apart: they can't be compiled with the others, which then would not be either.
+    """
     out: dict[tuple, list] = {}
     for name in ids:
         recipe = RECIPES[name]
         where, exprs = recipe.text(**(params or {}).get(name, {}))
-        out.setdefault((where, name if recipe.finish else ""), []).append((recipe, exprs))
+        text = " ".join(exprs)
+        kind = name if recipe.finish else "" if where != "{t}" else "exact" if re.search(r"\b(percentile|median)\(", text) else "distinct" if "DISTINCT" in text else ""
+        out.setdefault((where, kind), []).append((recipe, exprs))
     return out
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +41,17 @@ def chained(entries: DataFrame, series: str = "series") -> DataFrame:
 
     One chain is sequential, so it is folded in one pass over its receipts.
     """
-    folded = entries.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("seq", "receipt"))).alias("e"))
-    empty = F.struct(F.lit("").alias("h"), F.array().cast("array<struct<seq:bigint,receipt:string,entry:string>>").alias("out"))
+    kinds = dict(entries.dtypes)
 
-    def step(acc: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(acc["h"], x["receipt"]), 256)
-        return F.struct(h.alias("h"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), x["receipt"].alias("receipt"), h.alias("entry")))).alias("out"))
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["seq", "receipt"])
+        out, h = [], ""
+        for receipt in rows["receipt"]:
+            h = hashlib.sha256((h + receipt).encode()).hexdigest()
+            out.append(h)
+        return rows.assign(entry=out)
 
-    return folded.select(series, F.explode(F.aggregate("e", empty, step)["out"]).alias("x")).select(series, "x.*")
+    return entries.select(series, F.col("seq").cast("long").alias("seq"), "receipt").groupBy(series).applyInPandas(fold, f"{series} {kinds[series]}, seq long, receipt string, entry string")
 
 
 def broken(chain: DataFrame, series: str = "series") -> DataFrame:
