@@ -34,7 +34,7 @@ _TAG = re.compile(
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-PATH, WORDS, STATS = 256, 128, 10
+PATH, WORDS, STATS = 512, 128, 10
 WIDTH = PATH + WORDS + STATS
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .html_blocks import WIDTH, Block, blocks, vectors
 
 HIDDEN = 24
-STEPS = 320
+STEPS = 420
 BATCH = 24
 RATE = 0.01
 SEED = 42
@@ -81,6 +81,10 @@ class _Writer:
 
     def named(self, names: str, tag: str = "div") -> tuple[str, str]:
         name = self.rng.choice(names.split())
+        if self.rng.random() < 0.4:
+            # what surrounds the telling word says nothing
+            extra = self.rng.choice("content area container box wrapper section block inner item body main post site page left right wide".split())
+            name = self.rng.choice([f"{name}-{extra}", f"{extra}-{name}", f"{name}{extra.capitalize()}", f"{name}_{extra}"])
         how = self.rng.choice([f' class="{name}"', f' id="{name}"', f' class="box {name} {self.word()[:5]}"'])
         return f"<{tag}{how}>", f"</{tag}>"
 
@@ -99,7 +103,7 @@ class _Writer:
         return self.inside(wrap, inner + (self.navigation() if self.rng.random() < 0.4 else ""))
 
     def advert(self) -> str:
-        wrap = self.named("ad ads advert advertisement banner sponsor sponsored promo ad-slot adsense")
+        wrap = self.named("ad ads advert advertisement banner sponsor sponsored sponsored promo promoted ad-slot adsense")
         return self.inside(wrap, self.rng.choice([self.prose(3, 25), f"<p>{self.prose(3, 25)}</p>", f"Advertisement {self.words(1, 6)}"]))
 
     def notice(self) -> str:
@@ -108,7 +112,7 @@ class _Writer:
 
     def aside(self) -> str:
         wrap = self.rng.choice([("<aside>", "</aside>"), self.named("sidebar widget side-bar related recommended popular tags share social aside rail author-box")])
-        return self.inside(wrap, f"<h3>{self.words(1, 3)}</h3>" + self.rng.choice([self.links(self.rng.randint(2, 6)), f"<p>{self.prose(5, 30)}</p>"]))
+        return self.inside(wrap, f"<h3>{self.words(1, 3)}</h3>" + self.rng.choice([self.links(self.rng.randint(2, 6)), f"<p>{self.prose(5, 60)}</p>", f"<p>{self.prose(5, 60)}</p><p>{self.prose(2, 40)}</p>"])) if self.rng.random() < 0.7 else self.inside(wrap, f"<p>{self.prose(5, 60)}</p>")
 
     def form(self) -> str:
         wrap = self.rng.choice([("<form action='/s'>", "</form>"), ("<form class='search'>", "</form>")])
@@ -123,7 +127,8 @@ class _Writer:
         r = self.rng
         wrap = r.choice([self.named("comments comment-list disqus responses discussion replies"), self.named("comments user-comments", "section")])
         one = lambda: self.inside(self.named("comment reply comment-body"), r.choice(["", f"<h4>{self.words(1, 2)}</h4>"]) + f"<p>{self.prose(3, 50)}</p>")
-        return self.inside(wrap, f"<h3>{r.choice(['Comments', self.words(1, 3)])}</h3>" + "".join(one() for _ in range(r.randint(1, 5))))
+        level = r.choice(["h2", "h3", "h4", "p", "div"])
+        return self.inside(wrap, f"<{level}>{r.choice(['Comments', self.words(1, 3)])}</{level}>" + "".join(one() for _ in range(r.randint(1, 5))))
 
     # main text
     def main(self, text: str) -> str:
@@ -134,22 +139,24 @@ class _Writer:
         out = [f"<h1>{m(self.words(2, 10))}</h1>"] if r.random() < 0.85 else []
         if r.random() < 0.15:
             out = [f"<header>{out[0]}<p>{m(self.prose(2, 20))}</p></header>"] if out else []
+        tag = "div" if r.random() < 0.12 else "p"
         for _ in range(r.choice([0, 1, 2, 3, 5, 8, 12, 20])):
             kind = r.random()
             if kind < 0.72:
-                out.append(f"<p>{m(self.prose(1, r.choice([4, 30, 90])))}" + ("</p>" if r.random() < 0.9 else ""))
+                text = m(self.prose(1, r.choice([4, 30, 90])))
+                out.append(f"<div>{text}</div>" if tag == "div" else f"<p>{text}" + ("</p>" if r.random() < 0.9 else ""))
             elif kind < 0.79:
                 out.append(f"<h{(k := r.randint(2, 4))}>{m(self.words(1, 6))}</h{k}>")
             elif kind < 0.85:
-                tag = r.choice(["ul", "ol"])
-                out.append(f"<{tag}>" + "".join(f"<li>{m(self.prose(1, 15))}</li>" for _ in range(r.randint(2, 5))) + f"</{tag}>")
+                kind = r.choice(["ul", "ol"])
+                out.append(f"<{kind}>" + "".join(f"<li>{m(self.prose(1, 15))}</li>" for _ in range(r.randint(2, 5))) + f"</{kind}>")
             elif kind < 0.88:
                 out.append(f"<blockquote><p>{m(self.prose(4, 30))}</p></blockquote>")
-            elif kind < 0.91:
+            elif kind < 0.90:
                 out.append("<table>" + "".join(f"<tr><td>{m(self.words(1, 3))}</td><td>{m(self.words(1, 3))}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif kind < 0.93:
+            elif kind < 0.905:
                 out.append(f"<pre>{m(self.words(3, 20))}</pre>")
-            elif kind < 0.95:
+            elif kind < 0.915:
                 out.append(f"<figure><figcaption>{m(self.words(2, 9))}</figcaption></figure>")
             else:
                 out.append(r.choice([self.advert, self.aside, self.form, self.notice])())
