@@ -6,7 +6,9 @@ its words gives floor(r) whole copies of each document with certainty. The rest
 is a Pareto sample: document i has inclusion odds f / (1 - f) * sqrt(size_i /
 mean size), f being the fraction of the source that is still wanted, so longer
 documents are likelier; its rank is its random odds u / (1 - u) divided by those.
-The documents of lowest rank are taken until their words come nearest to the rest.
+The documents of lowest rank are taken as long as their words fit the rest; one that
+is larger than the whole rest can't be among them. If one more document brings the
+words nearer, the one that does so most is added.
 
 The sample's fixed size is in words, so the cut is a cumulative sum in rank
 order. No source is sorted as a whole: ranks fall into ``BUCKETS`` bins, words are
@@ -108,24 +110,39 @@ def _with_sources(base: DataFrame, sources: DataFrame, small: bool) -> DataFrame
 def cuts(base: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     """``sources`` with the bin of the cut and the last (rank, id) below it."""
     ranked = _with_sources(base.select(*map(_p, ("source", "id", "size", "odds"))), sources, small).where((F.col(_p("size")) > 0) & (F.col("odds") > 0))
-    ranked = ranked.withColumn("q", _rank()).withColumn("bin", _bin(F.col("q")))
+    everyone = ranked.withColumn("q", _rank()).withColumn("bin", _bin(F.col("q")))
+    ranked = everyone.where(F.col(_p("size")) <= F.col("rest"))
     bins = ranked.groupBy(_p("source"), "bin").agg(F.sum(_p("size")).alias("words"), F.first("rest").alias("rest"))
     in_order = Window.partitionBy(_p("source")).orderBy("bin")
     upto = bins.withColumn("upto", F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = upto.where(F.col("upto") >= F.col("rest")).groupBy(_p("source")).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("below")), "bin").alias("cut"))
+    last_bin = F.max("bin").over(Window.partitionBy(_p("source")))
+    # where all that fit fall short of the rest, the cut is in their last bin
+    cut = upto.withColumn("final", F.col("bin") == last_bin).where((F.col("upto") >= F.col("rest")) | F.col("final")).groupBy(_p("source")).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("below")), "bin").alias("cut"))
     cut = cut.select(F.col(_p("source")).alias(_p("key")), F.col("cut.bin").alias("cut_bin"), F.col("cut.below").alias("below"))
     on = F.col(_p("source")).eqNullSafe(F.col(_p("key")))
     edge = ranked.join(F.broadcast(cut) if small else cut, on & (F.col("bin") == F.col("cut_bin")))
     # equal (rank, id) share a frame, so they are taken or left together
     by_rank = Window.partitionBy(_p("source")).orderBy("q", _p("id"))
     edge = edge.withColumn("through", F.col("below") + F.sum(_p("size")).over(by_rank))
-    taken = edge.where(2 * F.col("through") - F.col(_p("size")) <= 2 * F.col("rest"))
-    last = taken.groupBy(_p("source")).agg(F.max(F.struct("q", F.col(_p("id")).alias("id"))).alias("last")).withColumnRenamed(_p("source"), _p("lkey"))
-    return (
-        sources.join(cut, on, "left")
-        .join(last, F.col(_p("source")).eqNullSafe(F.col(_p("lkey"))), "left")
-        .drop(_p("key"), _p("lkey"), "below")
-    )
+    taken = edge.where(F.col("through") <= F.col("rest"))
+    place = F.struct("q", F.col(_p("id")).alias("id"))
+    last = taken.groupBy(_p("source")).agg(F.max(place).alias("last"), F.max("through").alias("through")).withColumnRenamed(_p("source"), _p("lkey"))
+    plan = sources.join(cut, on, "left").join(last, F.col(_p("source")).eqNullSafe(F.col(_p("lkey"))), "left").withColumn("gap", F.col("rest") - F.coalesce("through", "below", F.lit(0)))
+    plan = stored(plan.drop(_p("key"), _p("lkey"), "below", "through"), "cuts")
+    # of the documents beyond the cut, the one that fills the gap best
+    fits = (F.col(_p("size")) <= F.col("rest")) & _within(F.col("q"), F.col("bin"), F.col(_p("id")))
+    beyond = _with_sources(everyone.select(*map(_p, ("source", "id", "size")), "q", "bin"), plan, small).where(~fits)
+    off = F.abs(F.col("gap") - F.col(_p("size")))
+    filler = beyond.where(off < F.col("gap")).groupBy(_p("source")).agg(F.min(F.struct(off.alias("off"), "q", F.col(_p("id")).alias("id"))).alias("x"))
+    filler = filler.select(F.col(_p("source")).alias(_p("key")), F.struct("x.q", "x.id").alias("filler"))
+    return plan.join(filler, on, "left").drop(_p("key"), "gap")
+
+
+def _within(q: Column, at: Column, ident: Column, of: str = "") -> Column:
+    """Whether a rank lies below the cut; ``of`` prefixes the plan's columns."""
+    f = lambda name: F.col(of + name)
+    edge = (at == f("cut_bin")) & (F.struct(q.alias("q"), ident.alias("id")) <= f("last"))
+    return F.coalesce((at < f("cut_bin")) | edge, F.lit(False))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, **columns: str) -> DataFrame:
@@ -142,7 +159,8 @@ def _marked(base: DataFrame, drawn: DataFrame, weights: tuple[int, ...], cap: in
     joined = _with_sources(base, plan.select(_p("source"), F.struct(*(c for c in plan.columns if c != _p("source"))).alias(_p("plan"))), small)
     f = lambda name: F.col(f"{_p('plan')}.{name}")
     q = F.col(_p("odds")) / (f("odds") * F.sqrt(F.col(_p("size")) / f("mean")))
-    below = (_bin(q) < f("cut_bin")) | ((_bin(q) == f("cut_bin")) & (F.struct(q.alias("q"), F.col(_p("id")).alias("id")) <= f("last")))
+    added = F.coalesce(F.struct(q.alias("q"), F.col(_p("id")).alias("id")) == f("filler"), F.lit(False))
+    below = ((F.col(_p("size")) <= f("rest")) & _within(q, _bin(q), F.col(_p("id")), f"{_p('plan')}.")) | added
     extra = F.coalesce(F.when((F.col(_p("size")) > 0) & (f("odds") > 0), below), F.lit(False)).cast("long")
     copies = F.when(F.col(_p("size")) > 0, f("whole") + extra).otherwise(F.lit(0)).cast("long")
     out = F.struct(F.col(_p("size")).alias("size"), f("source_size").alias("source_size"), f("target").alias("target"), copies.alias("copies"), (F.col(_p("size")) * copies).alias("taken"))
@@ -175,8 +193,12 @@ g AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0
 j AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.whole, g.rest, g.share,
              CASE WHEN d.size > 0 AND g.share > 0 THEN (d.u / (1 - d.u)) / ((g.share / (1 - g.share)) * sqrt(d.size::DOUBLE / (g.source_size::DOUBLE / g.n_docs))) END AS q
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-c AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id) END AS through FROM j)
+i AS (SELECT *, coalesce(q IS NOT NULL AND size <= rest, false) AS small FROM j),
+c AS (SELECT *, CASE WHEN small THEN sum(size) OVER (PARTITION BY source, small ORDER BY q, doc_id) END AS through FROM i),
+e AS (SELECT *, coalesce(max(through) FILTER (small AND through <= rest) OVER (PARTITION BY source), 0) AS prefix FROM c),
+b AS (SELECT *, rest - prefix AS gap, q IS NOT NULL AND NOT (small AND coalesce(through <= rest, false)) AND abs(rest - prefix - size) < rest - prefix AS fits FROM e),
+a AS (SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY source, fits ORDER BY abs(gap - size), q, doc_id) = 1 ELSE false END AS added FROM b)
 SELECT doc_id, size, source_size, target,
-       size * CASE WHEN size > 0 THEN whole + CASE WHEN q IS NOT NULL AND 2 * through - size <= 2 * rest THEN 1 ELSE 0 END ELSE 0 END AS taken
-FROM c
+       size * CASE WHEN size > 0 THEN whole + CASE WHEN q IS NOT NULL AND (coalesce(small AND through <= rest, false) OR added) THEN 1 ELSE 0 END ELSE 0 END AS taken
+FROM a
 """
