@@ -66,11 +66,21 @@ SELECT c_custkey, (['accuracy','roc_auc','f1','rmse','ndcg',NULL,'mcc','sharpe']
 def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims found in one report per supplier, with their salience."""
     s = _t(spark, sf_dir, "supplier")
-    text = F.format_string("| Accuracy | %.3f |\nF1: %.2f%%\nthe test AUC was %.4f\n", F.abs("s_acctbal") / 10_000, F.abs("s_acctbal") / 100, F.abs("s_acctbal") / 20_000)
+    digits = lambda by, n: F.lpad((F.col("s_suppkey") * by % 10**n).cast("string"), n, "0")
+    text = F.concat(F.lit("| Accuracy | 0."), digits(37, 3), F.lit(" |\nF1: 4"), digits(53, 1), F.lit("."), digits(7, 2), F.lit("%\nthe test AUC was 0."), digits(71, 4), F.lit("\n"))
     claims = discover.from_text(s.select(F.col("s_suppkey").cast("string").alias("location"), text.alias("text")))
     return discover.salience(claims).select("location", "metric", "value", "source", "confidence", "split", "salience")
 
 
+DISCOVERED_SQL = """
+SELECT CAST(s_suppkey AS VARCHAR) AS location, c.metric, c.value, c.source, c.confidence, CAST(NULL AS VARCHAR) AS split, c.salience
+FROM supplier, unnest([
+  {'metric': 'accuracy', 'value': '0.' || lpad((s_suppkey * 37 % 1000)::VARCHAR, 3, '0'), 'source': 'table', 'confidence': 0.9::DOUBLE, 'salience': 0.71::DOUBLE},
+  {'metric': 'f1', 'value': '4' || (s_suppkey * 53 % 10) || '.' || lpad((s_suppkey * 7 % 100)::VARCHAR, 2, '0') || '%', 'source': 'text', 'confidence': 0.9::DOUBLE * 0.85::DOUBLE, 'salience': 0.5595::DOUBLE},
+  {'metric': 'roc_auc', 'value': '0.' || lpad((s_suppkey * 71 % 10000)::VARCHAR, 4, '0'), 'source': 'prose', 'confidence': 0.9::DOUBLE * 0.7::DOUBLE, 'salience': 0.4365::DOUBLE}]) AS u(c)
+"""
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A claim per customer nation and part size class about captured calls: bound, recomputed, judged."""
     o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("c"), F.col("o_orderkey").alias("pos"), (F.col("o_totalprice") > 250_000).cast("int").alias("y"), F.col("o_totalprice"))
@@ -225,6 +235,15 @@ def receipt_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.chained(o)
 
 
+CHAIN_SQL = """
+WITH RECURSIVE o AS (SELECT o_orderstatus || '/' || o_orderpriority AS series, o_orderkey AS seq, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)) AS receipt,
+                            row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS rn FROM orders),
+r AS (SELECT series, seq, receipt, rn, sha256(receipt) AS entry FROM o WHERE rn = 1
+      UNION ALL SELECT o.series, o.seq, o.receipt, o.rn, sha256(r.entry || o.receipt) FROM r JOIN o ON o.series = r.series AND o.rn = r.rn + 1)
+SELECT series, seq, receipt, entry FROM r
+"""
+
+
 def text_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in the JSON properties of events."""
     e = _t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("location"), F.col("props").alias("body"))
@@ -260,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "engine_parse_claims": PARSE_SQL,
         "engine_canonical_names": NAMES_SQL,
+        "engine_discovered": DISCOVERED_SQL,
         "engine_verdicts": VERDICT_SQL,
         "engine_convention_search": "SELECT DISTINCT c_nationkey AS nation, (c_nationkey % 14)::INT AS cell FROM customer",
         "engine_bleu": BLEU_SQL,
@@ -267,6 +287,7 @@ def oracle_sql() -> dict[str, str]:
         "engine_leakage_exact": LEAKAGE_SQL,
         "engine_leakage_near": LEAKAGE_NEAR_SQL,
         "engine_anomalies": ANOMALY_SQL,
+        "engine_receipt_chain": CHAIN_SQL,
         "engine_text_leaves": LEAVES_SQL,
         "engine_streamed": STREAM_SQL,
     }
