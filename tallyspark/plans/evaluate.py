@@ -54,6 +54,22 @@ def _grouped(ids: Iterable[str], params: dict[str, dict] | None) -> dict[tuple,
     return out
 
 
+_PERCENTILE = re.compile(r"\bpercentile\((\w+), ([^()]*)\)(?! FILTER)")
+
+
+def _shared_percentiles(exprs: list[str]) -> list[str]:
+    """Have all percentiles of a column come out of one aggregate, which holds its values once."""
+    wanted: dict[str, list[str]] = {}
+    for e in exprs:
+        for column, q in _PERCENTILE.findall(e):
+            qs = wanted.setdefault(column, [])
+            if q not in qs:
+                qs.append(q)
+    one = {c: f"percentile({c}, array({', '.join(qs)}))" for c, qs in wanted.items() if len(qs) > 1}
+    share = lambda m: f"{one[m[1]]}[{wanted[m[1]].index(m[2])}]" if m[1] in one else m[0]
+    return [_PERCENTILE.sub(share, e) for e in exprs]
+
+
 def _finished(wide: DataFrame, recipe: Recipe, n: int) -> DataFrame:
     finish = FINISHERS[recipe.finish]
 
@@ -87,7 +103,7 @@ def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None =
     results = []
     with lenient(spark):
         for (where, _), found in _grouped(ids, params).items():
-            flat = [e for _, exprs in found for e in exprs]
+            flat = _shared_percentiles([e for _, exprs in found for e in exprs])
             finish = found[0][0].finish
             cast = (lambda e: e) if finish else (lambda e: f"CAST({e} AS DOUBLE)")
             columns = ", ".join(f"{cast(e)} AS v{k}" for k, e in enumerate(flat))
