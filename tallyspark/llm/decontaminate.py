@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import bounded_batches, stored
 
 WINDOW = 13
 BLOCK = 3
@@ -158,6 +158,7 @@ def _scan(patterns, window: int, text_col: str):
 
 def annotate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """``docs`` with a struct NOTES: n_words, hit (places of words), items (ids as strings, sorted)."""
+    bounded_batches(docs.sparkSession)
     spark, (cut, parts) = docs.sparkSession, _parts(bench, item_col, item_text_col, window, part_words)
     notes = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
     schema = T.StructType([*docs.schema.fields, T.StructField(NOTES, notes)])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import bounded_batches, stored
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
@@ -178,6 +178,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     """``docs`` with the struct ``out``: lang, score."""
     verdict = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
     model.cache = {}
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_label(shared, text_col, out), T.StructType([*docs.schema.fields, T.StructField(out, verdict)]))
 
