@@ -3,20 +3,24 @@
 The tree has a fixed depth: a line goes down by its number of tokens, then by its
 ``LEAD`` leading tokens, with every token that holds a digit read as a variable
 field. A leaf's lines that read the same are one template. To generalise other
-variable fields, the tokens after the lead are cut into ``SEGMENTS`` runs: lines
-of a leaf that share one whole run are compared, place by place, with the run's
-representative (the line of least hash), and join its template if at least
-``SIMILARITY`` of the tokens agree. Two variable fields without digits therefore
-leave a run whole.
+variable fields, two lines of a leaf are alike if at least ``SIMILARITY`` of their
+tokens agree, place by place.
 
-A template that occurs in two documents or more is recurring. Its lines are
-dropped from all documents but the one of smallest id, so that nothing is lost
-from the corpus. Lines of fewer than ``MIN_TOKENS`` tokens are left alone, as are
-repeats within the document that keeps a template.
+A line that occurs in two documents or more stays in the one of smallest id only,
+and there only if no line alike occurs in a document before it. So each line that
+goes has its like in an earlier document. Repeats within the document that keeps
+a line stay.
 
-Only hashes of lines are shuffled for the counts, pre-aggregated by template;
-representatives and members meet in equi-joins, never as a collected group. The
-texts are shuffled once, to meet the list of their dropped lines.
+All alike pairs share a key. Where one token may differ, a line's keys are the line
+without each one of its tokens after the lead; where k may differ, the tokens after
+the lead are cut into k + 1 runs, one of which is whole in both lines. The lines of
+a key are ranked by their first document, and a line is compared with those before
+it, best first, in rounds of growing reach (by ``REACH``), until one is alike: in
+a group of like lines the first comparison settles all.
+
+Only hashes of lines are shuffled for the counts, pre-aggregated by template; lines
+meet in equi-joins, never as a collected group. The texts are shuffled once, to
+meet the list of their dropped lines.
 
 Edge cases: null texts have no lines and stay null; blank lines stay; a null
 doc_id orders after all others and never equals another; rows with one doc_id
@@ -26,17 +30,15 @@ through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 MIN_TOKENS = 4
 LEAD = 2
-SEGMENTS = 3
-MIN_SEGMENTED = 6  # tokens; in a shorter line one variable field is over the limit
 SIMILARITY = 0.8
-_LAST = (1 << 63) - 1
+REACH = 8
 #: A token that holds a digit; each place is tried once only.
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -49,7 +51,7 @@ def _keys(id_col: str, text_col: str) -> dict[str, Column]:
     return {
         "__k1": F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)),
         "__k2": F.xxhash64(F.col(text_col), F.col(id_col), F.lit(2)),
-        "__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)),
+        "__doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
     }
 
 
@@ -71,15 +73,25 @@ def _masked_lines(docs: DataFrame, text_col: str, min_tokens: int, *keep: Column
     return out.withColumn("n", F.when(F.col("line") == "", 0).otherwise(blanks + 1)).where(F.col("n") >= min_tokens)
 
 
+def _run_keys(tokens: Column, n: Column) -> Column:
+    """Hashes of which two alike lines of a leaf share one at least; null if only equal lines are alike."""
+    spare = (n - F.ceil(SIMILARITY * n)).cast("int")  # tokens that may differ
+    rest, lead = n - LEAD, F.slice(tokens, 1, LEAD)
+
+    def run(k: Column) -> Column:
+        begin, end = ((x * rest / (spare + 1)).cast("int") for x in (k, k + 1))
+        return F.xxhash64(n, k, lead, F.slice(tokens, begin + LEAD + 1, end - begin))
+
+    def without(k: Column) -> Column:
+        return F.xxhash64(n, k, F.slice(tokens, F.lit(1), k - 1), F.slice(tokens, k + 1, n - k))
+
+    return F.when(spare == 1, F.transform(F.sequence(F.lit(LEAD + 1), n), without)).when(spare > 1, F.transform(F.sequence(F.lit(0), spare), run))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """One row per line of ``min_tokens`` tokens or more: keys, place, hashes."""
     out = _masked_lines(docs, text_col, min_tokens, *(v.alias(k) for k, v in _keys(id_col, text_col).items()))
-    run = F.ceil((F.col("n") - LEAD) / SEGMENTS).cast("int")
-    upto = lambda k: F.call_function("substring_index", F.col("line"), F.lit(" "), k)
-    first, last = upto(LEAD + run), upto(2 * run - F.col("n") + LEAD)
-    between = F.substr(F.col("line"), F.length(first) + 1, F.length("line") - F.length(first) - F.length(last))
-    runs = [F.xxhash64("n", F.lit(k), upto(F.lit(LEAD)), x) for k, x in enumerate((first, between, last))]
-    return out.select("__k1", "__k2", "__doc", "pos", F.xxhash64("line").alias("h"), F.when(F.col("n") >= MIN_SEGMENTED, F.array(*runs)).alias("runs"))
+    return out.select("__k1", "__k2", "__doc", "pos", F.xxhash64("line").alias("h"), _run_keys(F.split("line", " "), F.col("n")).alias("runs"))
 
 
 def _similar(a: str, b: str) -> Column:
@@ -87,34 +99,41 @@ def _similar(a: str, b: str) -> Column:
     return (F.size(a) == F.size(b)) & (same >= SIMILARITY * F.size(a))
 
 
-def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
-    """Rows (h, keeper) for all lines of recurring templates; keeper: the document that keeps them."""
-    by_line = stored(lines.groupBy("h").agg(F.min("__doc").alias("low"), F.max("__doc").alias("high")), "lines-by-hash")
-    in_runs = lines.where("runs IS NOT NULL").select("h", F.explode("runs").alias("run"))
-    lead = in_runs.groupBy("run").agg(F.min("h").alias("rep"), F.max("h").alias("other")).where("rep != other").select("run", "rep")
-    pairs = stored(in_runs.join(lead, "run").where("h != rep").select("h", "rep").distinct(), "line-pairs")
-    need = pairs.select(F.explode(F.array("h", "rep")).alias("h")).distinct()
+def _with_earlier_like(docs: DataFrame, lines: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
+    """Rows (h, early): lines with a line alike in a document before all of their own."""
+    in_runs = lines.where("runs IS NOT NULL").select("h", "__doc", F.explode("runs").alias("run"))
+    shared = in_runs.groupBy("run").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("run")
+    order = Window.partitionBy("run").orderBy("low", "h")
+    blocks = in_runs.join(shared, "run").groupBy("run", "h").agg(F.min("__doc").alias("low")).withColumn("place", F.row_number().over(order))
+    blocks = stored(blocks, "line-blocks")
+    need = blocks.select("h").distinct()
     tokens = _masked_lines(docs, text_col, min_tokens).select(F.xxhash64("line").alias("h"), "line")
     sigs = stored(tokens.join(need, "h", "left_semi").groupBy("h").agg(F.split(F.first("line"), " ").alias("sig")), "line-tokens")
-    near = (
-        pairs.join(sigs, "h")
-        .join(sigs.select(F.col("h").alias("rep"), F.col("sig").alias("rep_sig")), "rep")
-        .where(_similar("sig", "rep_sig"))
-        .select("h", "rep")
-    )
-    # a template: a representative and all that are like it
-    member = near.unionByName(near.select(F.col("rep").alias("h"), "rep").distinct())
-    spans = member.join(by_line, "h")
-    template = spans.groupBy("rep").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    general = member.join(template, "rep").select("h", "low")
-    plain = by_line.where("low < high").select("h", "low")
-    return stored(general.unionByName(plain).groupBy("h").agg(F.min("low").alias("keeper")), "recurring")
+    rep_sigs = sigs.select(F.col("h").alias("rep"), F.col("sig").alias("rep_sig"))
+    early, still, past, upto = need.limit(0), blocks, 0, 1
+    while (still.agg(F.max("place")).first()[0] or 0) > past + 1:
+        reps = blocks.where((F.col("place") > past) & (F.col("place") <= upto)).select("run", F.col("h").alias("rep"), F.col("low").alias("rep_low"))
+        pairs = still.join(reps, "run").where("rep_low < low").select("h", "rep").distinct()
+        found = stored(pairs.join(sigs, "h").join(rep_sigs, "rep").where(_similar("sig", "rep_sig")).select("h").distinct(), "line-found")
+        early = early.unionByName(found)
+        still = stored(still.where(F.col("place") > upto + 1).join(found, "h", "left_anti"), "line-blocks")
+        past, upto = upto, upto * REACH
+    return early.withColumn("early", F.lit(True))
+
+
+def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
+    """Rows (h, keeper) for all lines that go somewhere; keeper: the document that keeps them, or null."""
+    by_line = stored(lines.groupBy("h").agg(F.min("__doc").alias("low"), F.max("__doc").alias("high")), "lines-by-hash")
+    early = _with_earlier_like(docs, lines, text_col, min_tokens)
+    found = by_line.join(early, "h", "left").where("low < high OR early")
+    return stored(found.select("h", F.when(F.col("early").isNull(), F.col("low")).alias("keeper")), "recurring")
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """Rows (__k1, __k2, gone): the places of the lines that each text loses."""
     lines = stored(_lines(docs, id_col, text_col, min_tokens), "lines")
-    gone = lines.select("__k1", "__k2", "__doc", "pos", "h").join(recurring(docs, lines, text_col, min_tokens), "h").where("__doc != keeper")
+    found = lines.select("__k1", "__k2", "__doc", "pos", "h").join(recurring(docs, lines, text_col, min_tokens), "h")
+    gone = found.where("keeper IS NULL OR __doc != keeper")
     return gone.groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("__gone"))
 
 

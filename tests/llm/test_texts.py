@@ -190,6 +190,39 @@ def test_line_edge_rows(docs, rows, no_docs):
     assert all(r.n_chars == len(r.text) for r in clean.collect() if r.doc_id == 9)
 
 
+def alike(a, b):
+    return len(a) == len(b) and a[: ld.LEAD] == b[: ld.LEAD] and sum(x == y for x, y in zip(a, b, strict=True)) >= ld.SIMILARITY * len(a)
+
+
+def test_all_pairs_of_each_leaf(spark, sf_dir):
+    rng = random.Random(4)
+    base = ["we met again " + " ".join(rng.choice("abcdefgh") * 3 for _ in range(k)) for k in (2, 2, 3, 7, 12, 12, 17, 22, 40) for _ in range(2)]
+    lines = []
+    for line in base:
+        for _ in range(14):
+            words = line.split()
+            # every place after the lead may vary, one more at times than may differ
+            for at in rng.sample(range(2, len(words)), min(len(words) - 2, rng.randint(1, len(words) // 5 + 1))):
+                words[at] = rng.choice(["x", "y", "z"])
+            lines.append(" ".join(words))
+    rng.shuffle(lines)
+    made = [(10**6 + k // 3, "\n".join(lines[k : k + 3])) for k in range(0, len(lines), 3)]
+    texts = dict(made) | {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    first, leaves = {}, {}
+    for ident in sorted(texts):
+        for line in texts[ident].split("\n"):
+            w = masked(line)
+            if len(w) >= max(4, ld.MIN_TOKENS) and w not in first:
+                first[w] = ident
+                leaves.setdefault((len(w), w[: ld.LEAD]), []).append(w)
+    # a line stays in its first document if no line alike is in an earlier one
+    keeper = {w: None if any(first[o] < first[w] and alike(o, w) for o in leaf) else first[w] for leaf in leaves.values() for w in leaf}
+    got = {r.doc_id: r.text for r in ld.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for ident, text in texts.items():
+        want = [line for line in text.split("\n") if keeper.get(masked(line), ident) == ident and len(masked(line)) >= 4]
+        assert [line for line in got[ident].split("\n") if len(masked(line)) >= 4] == want
+
+
 # --- pages ----------------------------------------------------------------------
 
 
