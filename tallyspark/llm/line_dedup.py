@@ -4,7 +4,8 @@ The tree has a fixed depth: a line goes down by its number of tokens, then by it
 ``LEAD`` leading tokens, with every token that holds a digit read as a variable
 field. A leaf's lines that read the same are one template. To generalise other
 variable fields, two lines of a leaf are alike if at least ``SIMILARITY`` of their
-tokens agree, place by place.
+tokens agree, place by place. Lines of under ``MASK_TOKENS`` tokens are read as they
+are, digits included: with one field of three tokens they are not alike.
 
 A line that occurs in two documents or more stays in the one of smallest id only,
 and there only if no line alike occurs in a document before it. So each line that
@@ -35,13 +36,17 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MIN_TOKENS = 4
+MIN_TOKENS = 1
+MASK_TOKENS = 4  # in a shorter line a variable field is over the limit
 LEAD = 2
 SIMILARITY = 0.8
 REACH = 8
 #: A token that holds a digit; each place is tried once only.
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _BLANK = r"[\x20\x09-\x0D]+"
+#: A digit, and as many tokens as a line with fields has.
+_DIGIT = "[0-9]"
+_MASKABLE = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{MASK_TOKENS - 1}}}[^\x20\x09-\x0D]"
 #: A line in which blanks aren't single spaces between tokens.
 _UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 
@@ -56,11 +61,11 @@ def _keys(id_col: str, text_col: str) -> dict[str, Column]:
 
 
 def _masked(line: Column) -> Column:
-    """The line's tokens with single blanks between, those with a digit as ``<*>``.
+    """The line's tokens with single blanks between, those with a digit as ``<*>`` in lines that may have fields.
 
-    Most lines need neither pattern; a search for one character is much cheaper.
+    Most lines need no pattern but the first; a search for one character is much cheaper.
     """
-    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
+    fields = F.when(line.rlike(_DIGIT) & line.rlike(_MASKABLE), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
     return F.when(line.rlike(_UNEVEN), F.trim(F.regexp_replace(fields, _BLANK, " "))).otherwise(fields)
 
 

@@ -223,6 +223,12 @@ def test_all_pairs_of_each_leaf(spark, sf_dir):
         assert [line for line in got[ident].split("\n") if len(masked(line)) >= 4] == want
 
 
+def test_short_lines(spark):
+    texts = ["All rights reserved.\nSpan 12\none", "All  rights reserved.\nSpan 13\n\ntwo", "Span 12\nAll rights deserved.\none\none two three 4\n 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in ld.report(docs).collect()} == {0: texts[0], 1: "Span 13\n\ntwo", 2: "All rights deserved.\none two three 4\n 12"}
+
+
 # --- pages ----------------------------------------------------------------------
 
 
