@@ -3,7 +3,7 @@
 A block is the text between two boundaries of block-level elements. It knows the
 open elements above it, by tag name and by the words of class, id and role, and how
 much of it is link text. Scripts, styles and other undisplayed elements are
-skipped, as are comments; character references are decoded; white space becomes
+skipped, as are comments, but the text of formulas is kept; character references are decoded; white space becomes
 one space; ``br`` is white space.
 """
 
@@ -18,7 +18,9 @@ import numpy as np
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template textarea iframe svg math object".split())
+RAW = frozenset("script style title noscript textarea iframe".split())
+#: Elements that are skipped as a whole if they have an end tag; an unclosed one hides nothing.
+SKIPPED = frozenset("template svg object annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -31,6 +33,8 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+\Z""",
     re.DOTALL,
 )
+#: A slash that ends an unquoted value, not the element.
+_VALUE_SLASH = re.compile(r"""=\s*[^\s"']*/\Z""")
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -99,10 +103,13 @@ def blocks(html: str | None) -> list[Block]:
             elif name == "a":
                 in_link = False
             continue
-        if name in RAW:
-            # to its own end tag, or to the end of the page
+        if name in RAW or name in SKIPPED:
+            # to its own end tag, or in raw text to the end of the page
             found = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.IGNORECASE).search(html, at)
-            at = found.end() if found else len(html)
+            rest = m["rest"] or m["rest2"] or ""
+            empty = name == "svg" and rest.endswith("/") and not _VALUE_SLASH.search(rest)
+            if not empty:
+                at = found.end() if found else len(html) if name in RAW else at
             pieces.append(" ")
         elif name in BLOCK:
             flush()

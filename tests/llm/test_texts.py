@@ -241,6 +241,14 @@ def test_blocks():
     assert [b.text for b in html_blocks.blocks("<script>never closed <p>x")] == []
 
 
+def test_elements_without_end_hide_nothing():
+    texts = lambda x: [b.text for b in html_blocks.blocks(x)]
+    assert texts('<p>a <svg width="1"/> b<p>c <svg class=x/><text>no</text></svg> d') == ["a b", "c d"]
+    assert texts("<p>a <svg /> b <svg><text>no</text></svg> c") == ["a b c"]
+    assert texts("<p>a <object data=x> b<p>c") == ["a b", "c"] and texts("<p>a <object data=x>no</object> b") == ["a b"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds<p>e <math/> f") == ["so x=2 holds", "e f"]
+
+
 def test_gradients():
     rng = random.Random(3)
     pages = [html_extract.labelled(html_extract.synthetic_page(rng)) for _ in range(3)]
