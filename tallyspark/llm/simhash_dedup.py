@@ -225,26 +225,32 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot_group: int
     return dealt_out.select("key", "rest", "fp", "deep").mapInArrow(_links(budget), "u long, v long")
 
 
+def _classes(prints: DataFrame, budget: int = BUDGET, hot_group: int = HOT_GROUP) -> DataFrame:
+    """Rows ``(fp, first, root)``: the class of each fingerprint, named by its least one, and the least id that has it."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(stored(fingerprint_links(distinct.select("fp"), budget, hot_group), "links"))
+    return distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, hot_group: int = HOT_GROUP) -> DataFrame:
     """Rows ``(doc_id, fingerprint, component_id)``, one for each row of ``docs``."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(stored(fingerprint_links(distinct.select("fp"), budget, hot_group), "links"))
-    known = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    known = _classes(prints, budget, hot_group)
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = known.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document of smallest id of each class, with its columns as they are.
-
-    Rows that share that id stay only as one text: the least by hash.
-    """
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id").alias("__key"), F.col("doc_id").alias("__id"))
-    keyed = docs.withColumn("__key", F.xxhash64(id_col)).alias("d")
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
+    """The first row of each class, with its columns as they are: by id, nulls last, then by hash."""
+    ident = F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("row"))
+    given = docs.select(ident.alias("__row"), F.col(text_col).alias("__text"))
+    prints = stored(fingerprints(given, "__row", "__text", shingle).select(F.col("doc_id.id").alias("doc_id"), "doc_id.row", "fp"), "fingerprints")
+    classes = _classes(prints, **options).select("fp", "root")
+    first = prints.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.row").alias("__key"))
+    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns)).alias("d")
     kept = keyed.join(first.alias("f"), (F.col("d.__key") == F.col("f.__key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("f.__id")), "left_semi")
-    # the join's partitioning serves: ids are unique as a rule, and rows of one id meet here
-    order = Window.partitionBy("__key", id_col).orderBy(F.xxhash64(*docs.columns))
+    # the join's partitioning serves; only rows that are the same meet here
+    order = Window.partitionBy("__key", id_col).orderBy("__key")
     return kept.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

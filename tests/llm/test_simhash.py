@@ -100,3 +100,10 @@ def test_one_document_of_each_class_stays(docs, no_docs):
 def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(1, "same text of words")] * 5, "doc_id long, text string")
     assert s.keep_representatives(df).count() == 1
+
+
+def test_representatives_are_rows(spark):
+    texts = ["one text of a few words", "quite another text with words", "and a third that is like none"]
+    df = spark.createDataFrame([(i, t) for t in texts for i in (None, None)] + [(7, "some text under seven"), (7, "not the same under seven at all"), (8, "some text under seven")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in s.keep_representatives(df).collect()))
+    assert got == sorted([(0, t) for t in texts] + [(7, "some text under seven"), (7, "not the same under seven at all")])
