@@ -12,7 +12,8 @@ and there only if no line alike occurs in a document before it. So each line tha
 goes has its like in an earlier document. Repeats within the document that keeps
 a line stay.
 
-All alike pairs share a key. Where one token may differ, a line's keys are the line
+Only leaves of two different lines or more are looked into. There all alike pairs
+share a key. Where one token may differ, a line's keys are the line
 without each one of its tokens after the lead; where k may differ, the tokens after
 the lead are cut into k + 1 runs, one of which is whole in both lines. The lines of
 a key are ranked by their first document, and a line is compared with those before
@@ -52,12 +53,19 @@ _UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 
 
 def _keys(id_col: str, text_col: str) -> dict[str, Column]:
-    """Two hashes that tell rows apart, but for rows that are the same."""
-    return {
-        "__k1": F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)),
-        "__k2": F.xxhash64(F.col(text_col), F.col(id_col), F.lit(2)),
-        "__doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
-    }
+    """Two hashes that tell rows apart, but for rows that are the same; the document, and what tells it apart without an id."""
+    k1 = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
+    doc = F.col(id_col).cast("long")
+    return {"__k1": k1, "__k2": F.xxhash64(F.col(text_col), F.col(id_col), F.lit(2)), "__doc": doc, "__own": F.when(doc.isNull(), k1)}
+
+
+#: Of lines grouped by ``_span``: whether they are in several documents.
+_SEVERAL = "low < high OR own < last_own OR (low IS NOT NULL AND own IS NOT NULL)"
+
+
+def _span() -> dict[str, Column]:
+    """First and last document of a group of lines; those without id come last, in order of ``__own``."""
+    return {"low": F.min("__doc"), "own": F.min("__own"), "high": F.max("__doc"), "last_own": F.max("__own")}
 
 
 def _masked(line: Column) -> Column:
@@ -69,19 +77,27 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike(_UNEVEN), F.trim(F.regexp_replace(fields, _BLANK, " "))).otherwise(fields)
 
 
+def _tokens(line: Column) -> Column:
+    """Number of tokens of a masked line."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
 def _masked_lines(docs: DataFrame, text_col: str, min_tokens: int, *keep: Column) -> DataFrame:
     """One row per line of ``min_tokens`` tokens or more: keys, place, masked line, tokens."""
     # masked in the array, so that no later step computes it again
     masked = F.transform(F.split(F.col(text_col), "\n"), _masked)
     out = docs.select(*keep, F.posexplode(masked).alias("pos", "line"))
-    blanks = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    return out.withColumn("n", F.when(F.col("line") == "", 0).otherwise(blanks + 1)).where(F.col("n") >= min_tokens)
+    return out.withColumn("n", _tokens(F.col("line"))).where(F.col("n") >= min_tokens)
+
+
+def _spare(n: Column) -> Column:
+    """Tokens of ``n`` that may differ between alike lines."""
+    return (n - F.ceil(SIMILARITY * n)).cast("int")
 
 
 def _run_keys(tokens: Column, n: Column) -> Column:
-    """Hashes of which two alike lines of a leaf share one at least; null if only equal lines are alike."""
-    spare = (n - F.ceil(SIMILARITY * n)).cast("int")  # tokens that may differ
-    rest, lead = n - LEAD, F.slice(tokens, 1, LEAD)
+    """Hashes of which two alike lines of a leaf share one at least."""
+    spare, rest, lead = _spare(n), n - LEAD, F.slice(tokens, 1, LEAD)
 
     def run(k: Column) -> Column:
         begin, end = ((x * rest / (spare + 1)).cast("int") for x in (k, k + 1))
@@ -90,13 +106,15 @@ def _run_keys(tokens: Column, n: Column) -> Column:
     def without(k: Column) -> Column:
         return F.xxhash64(n, k, F.slice(tokens, F.lit(1), k - 1), F.slice(tokens, k + 1, n - k))
 
-    return F.when(spare == 1, F.transform(F.sequence(F.lit(LEAD + 1), n), without)).when(spare > 1, F.transform(F.sequence(F.lit(0), spare), run))
+    return F.when(spare == 1, F.transform(F.sequence(F.lit(LEAD + 1), n), without)).otherwise(F.transform(F.sequence(F.lit(0), spare), run))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """One row per line of ``min_tokens`` tokens or more: keys, place, hashes."""
     out = _masked_lines(docs, text_col, min_tokens, *(v.alias(k) for k, v in _keys(id_col, text_col).items()))
-    return out.select("__k1", "__k2", "__doc", "pos", F.xxhash64("line").alias("h"), _run_keys(F.split("line", " "), F.col("n")).alias("runs"))
+    leaf = F.xxhash64("n", F.call_function("substring_index", F.col("line"), F.lit(" "), F.lit(LEAD)))
+    # in lines too short to be in a leaf only equal lines are alike
+    return out.select("__k1", "__k2", "__doc", "__own", "pos", F.xxhash64("line").alias("h"), F.when(_spare(F.col("n")) > 0, leaf).alias("leaf"))
 
 
 def _similar(a: str, b: str) -> Column:
@@ -104,21 +122,22 @@ def _similar(a: str, b: str) -> Column:
     return (F.size(a) == F.size(b)) & (same >= SIMILARITY * F.size(a))
 
 
-def _with_earlier_like(docs: DataFrame, lines: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
+def _with_earlier_like(docs: DataFrame, by_line: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
     """Rows (h, early): lines with a line alike in a document before all of their own."""
-    in_runs = lines.where("runs IS NOT NULL").select("h", "__doc", F.explode("runs").alias("run"))
-    shared = in_runs.groupBy("run").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("run")
-    order = Window.partitionBy("run").orderBy("low", "h")
-    blocks = in_runs.join(shared, "run").groupBy("run", "h").agg(F.min("__doc").alias("low")).withColumn("place", F.row_number().over(order))
-    blocks = stored(blocks, "line-blocks")
-    need = blocks.select("h").distinct()
+    leaves = by_line.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("leaf")
+    need = stored(by_line.join(leaves, "leaf", "left_semi").select("h", "low", "own"), "line-leaves")
     tokens = _masked_lines(docs, text_col, min_tokens).select(F.xxhash64("line").alias("h"), "line")
     sigs = stored(tokens.join(need, "h", "left_semi").groupBy("h").agg(F.split(F.first("line"), " ").alias("sig")), "line-tokens")
+    in_runs = sigs.join(need, "h").select("h", "low", "own", F.explode(_run_keys(F.col("sig"), F.size("sig"))).alias("run"))
+    order = Window.partitionBy("run").orderBy(F.col("low").asc_nulls_last(), "own", "h")
+    blocks = in_runs.withColumns({"place": F.row_number().over(order), "then": F.lead("h").over(order)}).where("place > 1 OR then IS NOT NULL").drop("then")
+    blocks = stored(blocks, "line-blocks")
     rep_sigs = sigs.select(F.col("h").alias("rep"), F.col("sig").alias("rep_sig"))
-    early, still, past, upto = need.limit(0), blocks, 0, 1
+    early, still, past, upto = need.select("h").limit(0), blocks, 0, 1
     while (still.agg(F.max("place")).first()[0] or 0) > past + 1:
-        reps = blocks.where((F.col("place") > past) & (F.col("place") <= upto)).select("run", F.col("h").alias("rep"), F.col("low").alias("rep_low"))
-        pairs = still.join(reps, "run").where("rep_low < low").select("h", "rep").distinct()
+        reps = blocks.where((F.col("place") > past) & (F.col("place") <= upto)).select("run", F.col("h").alias("rep"), F.col("low").alias("rep_low"), F.col("own").alias("rep_own"))
+        before = "rep_low < low OR (low IS NULL AND (rep_low IS NOT NULL OR rep_own < own))"
+        pairs = still.join(reps, "run").where(before).select("h", "rep").distinct()
         found = stored(pairs.join(sigs, "h").join(rep_sigs, "rep").where(_similar("sig", "rep_sig")).select("h").distinct(), "line-found")
         early = early.unionByName(found)
         still = stored(still.where(F.col("place") > upto + 1).join(found, "h", "left_anti"), "line-blocks")
@@ -127,28 +146,34 @@ def _with_earlier_like(docs: DataFrame, lines: DataFrame, text_col: str, min_tok
 
 
 def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
-    """Rows (h, keeper) for all lines that go somewhere; keeper: the document that keeps them, or null."""
-    by_line = stored(lines.groupBy("h").agg(F.min("__doc").alias("low"), F.max("__doc").alias("high")), "lines-by-hash")
-    early = _with_earlier_like(docs, lines, text_col, min_tokens)
-    found = by_line.join(early, "h", "left").where("low < high OR early")
-    return stored(found.select("h", F.when(F.col("early").isNull(), F.col("low")).alias("keeper")), "recurring")
+    """Rows (h, keeper, own) for all lines that go somewhere: the document that keeps them, if any, by id or else ``__own``."""
+    by_line = stored(lines.groupBy("h").agg(*(v.alias(k) for k, v in _span().items()), F.min("leaf").alias("leaf")), "lines-by-hash")
+    early = _with_earlier_like(docs, by_line, text_col, min_tokens)
+    found = by_line.join(early, "h", "left").where(f"early OR {_SEVERAL}")
+    keeps = F.col("early").isNull()
+    return stored(found.select("h", F.when(keeps, F.col("low")).alias("keeper"), F.when(keeps & F.col("low").isNull(), F.col("own")).alias("own")), "recurring")
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """Rows (__k1, __k2, gone): the places of the lines that each text loses."""
     lines = stored(_lines(docs, id_col, text_col, min_tokens), "lines")
-    found = lines.select("__k1", "__k2", "__doc", "pos", "h").join(recurring(docs, lines, text_col, min_tokens), "h")
-    gone = found.where("keeper IS NULL OR __doc != keeper")
+    found = lines.drop("leaf").join(recurring(docs, lines, text_col, min_tokens), "h")
+    gone = found.where("NOT (coalesce(__doc = keeper, false) OR coalesce(__own = own, false))")
     return gone.groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, note: str = "__dropped") -> DataFrame:
     """``docs`` with recurring lines removed from the text; ``note`` counts them."""
     gone = dropped_lines(docs, id_col, text_col, min_tokens)
-    keyed = docs.withColumns({k: v for k, v in _keys(id_col, text_col).items() if k != "__doc"})
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    keyed = docs.withColumns({k: v for k, v in _keys(id_col, text_col).items() if k in ("__k1", "__k2")}).join(gone, ["__k1", "__k2"], "left")
+    # rows without id that are the same are still documents each: the first of them stands for its text
+    turn = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
+    lines = F.split(F.col(text_col), "\n")
+    every = F.filter(F.transform(lines, lambda x, i: F.when(_tokens(_masked(x)) >= min_tokens, i)), lambda i: i.isNotNull())
+    keyed = keyed.withColumn("__turn", turn).withColumn("__gone", F.when(F.col(id_col).isNull() & (F.col("__turn") > 1), F.when(F.size(every) > 0, every)).otherwise(F.col("__gone")))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    return keyed.join(gone, ["__k1", "__k2"], "left").select(
+    return keyed.select(
         *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(note)
     )
 

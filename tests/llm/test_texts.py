@@ -229,6 +229,17 @@ def test_short_lines(spark):
     assert {r.doc_id: r.text for r in ld.report(docs).collect()} == {0: texts[0], 1: "Span 13\n\ntwo", 2: "All rights deserved.\none two three 4\n 12"}
 
 
+def test_documents_without_id(spark):
+    a, b = "a line that only they share\nfirst", "a line that only they share\nsecond"
+    docs = spark.createDataFrame([(None, a), (None, b), (None, b), (None, None), (None, None), (None, " \n"), (None, " \n"), (2**63 - 1, "and one of the last\nx"), (None, "and one of the last")], "doc_id long, text string")
+    got = [r.text for r in ld.report(docs).collect()]
+    # each line stays once; the repeated row loses all
+    assert sorted(x for t in got if t and t.strip() for x in t.split("\n")) == sorted(["a line that only they share", "first", "second", "and one of the last", "x"])
+    assert len(got) == 9 and got.count(None) == 2 and got.count(" \n") == 2 and "and one of the last\nx" in got
+    near = spark.createDataFrame([(None, "one of these five"), (None, "one of these five words"), (None, "one of these six words")], "doc_id long, text string")
+    assert sorted(r.n_dropped for r in ld.report(near).collect()) == [0, 0, 1]
+
+
 # --- pages ----------------------------------------------------------------------
 
 
