@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 6
 SIMILARITY = 0.8
 EXACT_LIMIT, NEAR_LIMIT = 0.01, 0.05
-LONGEST = 4_000
+PIECE = 1_000
 
 
 def row_text(*columns: str) -> Column:
@@ -23,10 +23,12 @@ def exact_overlap(train: DataFrame, test: DataFrame, column: str = "row") -> Dat
     return joined.agg(F.count(F.lit(1)).alias("n_test"), F.count("hit").alias("n_overlap")).withColumn("overlap_frac", F.coalesce(F.try_divide("n_overlap", "n_test"), F.lit(0.0)))
 
 
-def kmers(text: Column, k: int = K) -> Column:
-    """Distinct substrings of length k; a shorter text stands for itself."""
-    t = F.substring(F.trim(text), 1, LONGEST)
-    return F.when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(k)))))
+def kmers(texts: DataFrame, k: int = K) -> DataFrame:
+    """Rows (id, m): distinct substrings of length k of whole texts ``r``; a shorter text stands for itself."""
+    starts = lambda c, step: F.explode(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1)), F.lit(step)))
+    # by overlapping pieces, as finding a place takes time in proportion to the text before it
+    pieces = texts.select("id", "r", starts("r", PIECE).alias("i")).select("id", F.substr("r", "i", F.lit(PIECE + k - 1)).alias("piece"))
+    return pieces.select("id", "piece", starts("piece", 1).alias("i")).select("id", F.substr("piece", "i", F.lit(k)).alias("m")).distinct()
 
 
 def near_pairs(train: DataFrame, test: DataFrame, column: str = "row", k: int = K, similarity: float = SIMILARITY) -> DataFrame:
@@ -34,23 +36,24 @@ def near_pairs(train: DataFrame, test: DataFrame, column: str = "row", k: int =
 
     Prefix filter: sets that are similar share one of their first n - ceil(s n) + 1
     k-mers in a common order, rarest first, so that only those are joined; the
-    similarity is then computed on whole sets. No candidate is cut off.
+    similarity is then computed on whole sets. No candidate and no text is cut off.
     """
-    sets = lambda df, side: df.select(F.trim(F.col(column)).alias("r")).distinct().select("r", kmers(F.col("r"), k).alias("ks"), F.lit(side).alias("side"))
-    both = sets(train, 0).unionByName(sets(test, 1))
-    counts = both.select(F.explode("ks").alias("m")).groupBy("m").count()
-    ranked = both.select("side", "r", F.size("ks").alias("n"), F.explode("ks").alias("m")).join(counts, "m")
-    ordered = ranked.groupBy("side", "r", "n").agg(F.sort_array(F.collect_list(F.struct("count", "m"))).alias("o"))
-    keep = F.col("n") - F.ceil(similarity * F.col("n")).cast("int") + 1
-    prefix = ordered.select("side", "r", "n", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["m"])).alias("m"))
-    left = prefix.where("side = 0").select("m", F.col("r").alias("a"), F.col("n").alias("na"))
-    right = prefix.where("side = 1").select("m", F.col("r").alias("b"), F.col("n").alias("nb"))
+    rows = lambda df, side: df.select(F.trim(F.col(column)).alias("r"), F.lit(side).alias("side"))
+    both = rows(train, 0).unionByName(rows(test, 1)).where("r IS NOT NULL").distinct().withColumn("id", F.sha2("r", 256))
+    grams = kmers(both.select("id", "r").distinct(), k)
+    sizes = grams.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("id").orderBy("count", "m")
+    ranked = grams.join(grams.groupBy("m").count(), "m").withColumn("place", F.row_number().over(order)).join(sizes, "id")
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1).join(both.select("id", "side"), "id")
+    left = prefix.where("side = 0").select("m", F.col("id").alias("a"), F.col("n").alias("na"))
+    right = prefix.where("side = 1").select("m", F.col("id").alias("b"), F.col("n").alias("nb"))
     sized = (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))
-    pairs = left.join(right, "m").where(sized).select("a", "b").distinct()
-    ka, kb = kmers(F.col("a"), k), kmers(F.col("b"), k)
-    shared = F.size(F.array_intersect(ka, kb))
-    scored = pairs.withColumn("s", shared / (F.size(ka) + F.size(kb) - shared)).where(F.col("s") >= similarity)
-    return scored.groupBy(F.col("b").alias("r")).agg(F.max("s").alias("best"))
+    pairs = left.join(right, "m").where(sized).select("a", "b", "na", "nb").distinct()
+    common = pairs.join(grams.select(F.col("id").alias("a"), "m"), "a").join(grams.select(F.col("id").alias("b"), "m"), ["b", "m"])
+    shared = common.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    scored = shared.withColumn("s", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("s") >= similarity)
+    best = scored.groupBy(F.col("b").alias("id")).agg(F.max("s").alias("best"))
+    return both.where("side = 1").join(best, "id").select("r", "best")
 
 
 def homology_overlap(train: DataFrame, test: DataFrame, column: str = "row", k: int = K, similarity: float = SIMILARITY) -> DataFrame:

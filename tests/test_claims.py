@@ -174,6 +174,14 @@ def test_split_pairs(spark):
     assert {r.dataset for r in got} == {"iris", "wine"}
 
 
+def test_near_leakage_of_whole_texts(spark):
+    head, *tails = (" ".join(str(k * k * 7919 + 31) for k in range(a, b)) for a, b in ((0, 500), (900, 2400), (3000, 4500)))
+    train = spark.createDataFrame([(f"{head} {tails[0]}",), ("ab",), (None,)], "row string")
+    test = spark.createDataFrame([(f"{head} {tails[1]}",), (f"other {tails[0]} {head}",), ("ab",), ("",)], "row string")
+    assert len(head) > 4000
+    assert {r.r[:5]: r.best for r in leakage.near_pairs(train, test).collect()}.keys() == {"other", "ab"}
+
+
 def test_leakage(spark):
     train = spark.createDataFrame([("ACGTACGTACGTACGTACGTACGA",), (" exact row ",)], "row string")
     test = spark.createDataFrame([("ACGTACGTACGTACGTACGTACGAT",), ("exact row",), ("GGGGCCCCTTTTAAAA",), (None,)], "row string")
