@@ -53,12 +53,40 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Have Arrow send at most so many rows at once: documents may be long, and memory is bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if not 0 < now <= rows:
-        spark.conf.set(key, str(rows))
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` as they are, whatever their names."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+HOT_KEYS = 1_000
+
+
+def spread_join(rows: DataFrame, sizes: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``sizes``, which has each key once and the number ``n`` of its rows.
+
+    A key with more than one in ``HOT_KEYS`` of the rows goes by broadcast: there are
+    fewer than ``HOT_KEYS`` of them, whatever the data. No key that is shuffled has
+    more rows than that. Both sides should be stored tables, as they are read twice.
+    """
+    limit = (sizes.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
+    hot, rest = F.broadcast(sizes.where(F.col(n) > limit)), sizes.where(F.col(n) <= limit)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
 def partitions(spark: SparkSession) -> int:
