@@ -7,16 +7,17 @@ each block that patterns hold how far the position may move, any other block
 moves it by the most; blocks that end a pattern's first m words select a bucket
 of patterns, which are compared directly.
 
-The patterns are dealt into parts of about ``PART_WORDS`` words. The corpus is
-scanned once for each part, with that part alone on the executors, so their
-memory doesn't grow with the benchmark; a benchmark of one part, the usual case,
-needs no shuffle at all. Items of over ``SEGMENT_WORDS`` words are cut into
-overlapping segments first.
+The patterns are dealt into parts of about ``PART_WORDS`` words, each a broadcast
+of its own. A task holds one part at a time: it reads ``SLAB_BYTES`` of texts and
+searches them for one part after the other, so its memory doesn't grow with the
+benchmark, the corpus is read once and nothing is shuffled. Items of over
+``SEGMENT_WORDS`` words are cut into overlapping segments first. Equal patterns are
+one, whatever items and places they come from.
 
 Edge cases: null or wordless texts have no words, aren't contaminated and are
 kept; null or wordless items have no patterns; items that share an id count once;
 a null item_id reads "null"; repeated rows are judged one by one; either table
-may be empty; other columns pass through untouched.
+may be empty; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stored
+from .common import stored, unused
 
 WINDOW = 13
 BLOCK = 3
 HIT_SHARE = 20  # contaminated: a word in so many is hit
 PART_WORDS = 200_000
 SEGMENT_WORDS = 4_096
+SLAB_BYTES = 1 << 25
 #: Patterns of lengths between two of these share a shift table.
 LENGTH_CLASSES = (1, 2, 4, 8, 13)
 NOTES = "__decontamination"
@@ -53,24 +55,22 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WuManber:
     """Occurrences of patterns of ``shortest`` words or more in a list of words."""
 
-    def __init__(self, patterns: list[tuple[int, int, int]], texts: list[list[bytes]], shortest: int):
-        """patterns: (text, start, length) of each, as places in ``texts``."""
-        self.texts, self.m, self.b = texts, shortest, min(BLOCK, shortest)
+    def __init__(self, patterns: list[tuple[bytes, ...]], shortest: int):
+        self.m, self.b = shortest, min(BLOCK, shortest)
         self.most = self.m - self.b + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[int, int, int]]] = {}
-        for p in patterns:
-            t, at, _ = p
-            words = texts[t]
+        #: block -> length -> the patterns of that length, with their numbers
+        self.bucket: dict[tuple[bytes, ...], dict[int, dict[tuple[bytes, ...], int]]] = {}
+        for number, p in enumerate(patterns):
             for end in range(self.b, self.m + 1):
-                block, left = tuple(words[at + end - self.b : at + end]), self.m - end
+                block, left = p[end - self.b : end], self.m - end
                 if left < self.shift.get(block, self.most):
                     self.shift[block] = left
                 if not left:
-                    self.bucket.setdefault(block, []).append(p)
+                    self.bucket.setdefault(block, {}).setdefault(len(p), {})[p] = number
 
     def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(text of the pattern, start, end) of each occurrence."""
+        """(number of the pattern, start, end) of each occurrence."""
         get, bucket, most, b, m, n, at = self.shift.get, self.bucket, self.most, self.b, self.m, len(words), self.m
         while at <= n:
             block = tuple(words[at - b : at])
@@ -78,9 +78,11 @@ class WuManber:
                 at += by
                 continue
             begin = at - m
-            for t, start, length in bucket[block]:
-                if words[begin : begin + length] == self.texts[t][start : start + length]:
-                    yield t, begin, begin + length
+            for length, ending in bucket[block].items():
+                # the lookup compares words with words: only an equal pattern is found
+                number = ending.get(tuple(words[begin : begin + length]))
+                if number is not None:
+                    yield number, begin, begin + length
             at += 1
 
 
@@ -88,25 +90,28 @@ class Matcher:
     """The search for one part of the benchmark."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        owners: dict[tuple[bytes, ...], set[int]] = {}
         self.names = [name for name, _ in items]
-        texts = [words for _, words in items]
-        classes: dict[int, list[tuple[int, int, int]]] = {}
-        for t, words in enumerate(texts):
+        for t, (_, words) in enumerate(items):
             length = min(window, len(words))
-            low = max((x for x in LENGTH_CLASSES if x <= length), default=0)
             for at in range(len(words) - length + 1 if length else 0):
-                classes.setdefault(low, []).append((t, at, length))
-        self.searches = [WuManber(p, texts, min(x[2] for x in p)) for _, p in sorted(classes.items())]
+                owners.setdefault(tuple(words[at : at + length]), set()).add(t)
+        classes: dict[int, list[tuple[bytes, ...]]] = {}
+        for p in owners:
+            classes.setdefault(max(x for x in LENGTH_CLASSES if x <= len(p)), []).append(p)
+        self.searches = [(WuManber(p, min(map(len, p))), [owners[x] for x in p]) for _, p in sorted(classes.items())]
 
     def search(self, words: list[bytes]) -> tuple[list[int], set[str]]:
         """Places of the words that are hit, and the items that hit them."""
         hit, found = None, set()
-        for s in self.searches:
-            for t, begin, end in s.occurrences(words):
+        for s, owners in self.searches:
+            seen = set()
+            for number, begin, end in s.occurrences(words):
                 hit = hit or bytearray(len(words))
                 hit[begin:end] = b"\1" * (end - begin)
-                found.add(self.names[t])
-        return [k for k, x in enumerate(hit) if x] if hit else [], found
+                seen.add(number)
+            found.update(*(owners[k] for k in seen))
+        return [k for k, x in enumerate(hit) if x] if hit else [], {self.names[t] for t in found}
 
 
 def _segments(window: int):
@@ -125,71 +130,74 @@ def _segments(window: int):
 
 def _parts(bench: DataFrame, id_col: str, text_col: str, window: int, part_words: int) -> tuple[DataFrame, int]:
     given = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("binary").alias("body"))
-    cut = stored(given.mapInArrow(_segments(window), "item string, body binary, n long"), "benchmark")
+    # repeated rows and repeated segments of an item are one
+    cut = stored(given.mapInArrow(_segments(window), "item string, body binary, n long").distinct(), "benchmark")
     total = cut.agg(F.sum("n")).first()[0] or 0
     return cut.withColumn("part", F.pmod(F.xxhash64("item", "body"), F.lit(parts := max(1, -(-total // part_words))))), parts
 
 
-_MATCHERS: dict[str, Matcher] = {}
+_MATCHERS: dict[tuple[str, int], Matcher] = {}
 
 
-def _scan(patterns, window: int, text_col: str):
-    """Adds the struct NOTES to rows: n_words, the places hit, the items found."""
+def _slabs(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together until they have ``bound`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= bound:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _scan(parts: list, window: int, text_col: str, notes_col: str):
+    """Adds a struct to rows: n_words, the places hit, the items found."""
     mine = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mine not in _MATCHERS:
+    def matcher(k: int) -> Matcher:
+        if (mine, k) not in _MATCHERS:
             _MATCHERS.clear()
-            _MATCHERS[mine] = Matcher([(name, body.split()) for name, body in patterns.value], window)
-        search = _MATCHERS[mine].search
-        for b in batches:
-            n_words, hits, items = [], [], []
-            for text in b.column(b.schema.get_field_index(text_col)).cast(pa.binary()):
-                words = words_of(text.as_py())
-                hit, found = search(words)
-                n_words.append(len(words))
-                hits.append(hit)
-                items.append(sorted(found))
-            notes = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["n_words", "hit", "items"])
-            yield pa.RecordBatch.from_arrays([*b.columns, notes], names=[*b.schema.names, NOTES])
+            _MATCHERS[mine, k] = Matcher([(name, body.split()) for name, body in parts[k].value], window)
+        return _MATCHERS[mine, k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one part needs no slabs: each batch is done as it comes
+        for held in _slabs(batches, SLAB_BYTES if len(parts) > 1 else 0):
+            texts = [b.column(b.schema.get_field_index(text_col)).cast(pa.binary()) for b in held]
+            n_words, hits, items = ([[None] * b.num_rows for b in held] for _ in range(3))
+            for k in range(len(parts)):
+                search = matcher(k).search
+                for i, column in enumerate(texts):
+                    for j, text in enumerate(column):
+                        words = words_of(text.as_py())
+                        hit, found = search(words)
+                        n_words[i][j] = len(words)
+                        hits[i][j] = sorted({*hits[i][j], *hit}) if hits[i][j] else hit
+                        items[i][j] = items[i][j] | found if items[i][j] else found
+            for b, n, h, f in zip(held, n_words, hits, items, strict=True):
+                notes = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.list_(pa.int32())), pa.array(map(sorted, f), pa.list_(pa.string()))], names=["n_words", "hit", "items"])
+                yield pa.RecordBatch.from_arrays([*b.columns, notes], names=[*b.schema.names, notes_col])
 
     return run
 
 
-def annotate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """``docs`` with a struct NOTES: n_words, hit (places of words), items (ids as strings, sorted)."""
-    bounded_batches(docs.sparkSession)
+def annotate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_words: int = PART_WORDS, notes: str = NOTES) -> DataFrame:
+    """``docs`` with a struct ``notes``: n_words, hit (places of words), items (ids as strings, sorted)."""
     spark, (cut, parts) = docs.sparkSession, _parts(bench, item_col, item_text_col, window, part_words)
-    notes = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    schema = T.StructType([*docs.schema.fields, T.StructField(NOTES, notes)])
 
-    def scanned(part: int) -> DataFrame:
+    def shared(part: int):
         # about part_words words, by the count above
         rows = cut.where(F.col("part") == part).select("item", "body").collect()
-        patterns = spark.sparkContext.broadcast([(r.item, bytes(r.body)) for r in rows])
-        return docs.mapInArrow(_scan(patterns, window, text_col), schema)
-
-    if parts == 1:
-        return scanned(0)
-    key = F.struct(F.xxhash64(text_col).alias("h"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("s"))
-    hits = None
-    for p in range(parts):
-        found = scanned(p).where(F.size(f"{NOTES}.items") > 0).select(key.alias("__text"), F.col(NOTES)).dropDuplicates(["__text"])
-        hits = found if hits is None else hits.unionByName(found)
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    merged = hits.groupBy("__text").agg(flat(f"{NOTES}.hit").alias("__hit"), F.array_sort(flat(f"{NOTES}.items")).alias("__items"))
-    words = F.size(F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), lambda x: x != "")).cast("long")
-    return (
-        docs.withColumn("__text", key)
-        .join(merged, "__text", "left")
-        .withColumn(NOTES, F.struct(words.alias("n_words"), F.coalesce("__hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items")))
-        .select(*(F.col(f"`{c}`") for c in [*docs.columns, NOTES]))
-    )
+        return spark.sparkContext.broadcast([(r.item, bytes(r.body)) for r in rows])
+
+    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    return docs.mapInArrow(_scan([shared(k) for k in range(parts)], window, text_col, notes), T.StructType([*docs.schema.fields, T.StructField(notes, kind)]))
 
 
-def _contaminated() -> Column:
-    n_hit = F.size(f"{NOTES}.hit").cast("long")
-    return (n_hit > 0) & (HIT_SHARE * n_hit >= F.col(f"{NOTES}.n_words"))
+def _contaminated(notes: str = NOTES) -> Column:
+    n_hit = F.size(f"{notes}.hit").cast("long")
+    return (n_hit > 0) & (HIT_SHARE * n_hit >= F.col(f"{notes}.n_words"))
 
 
 def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -207,7 +215,8 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their columns as they are."""
-    return annotate(docs, bench, **options).where(~_contaminated()).drop(NOTES)
+    (notes,) = unused(docs, NOTES)
+    return annotate(docs, bench, notes=notes, **options).where(~_contaminated(notes)).drop(notes)
 
 
 _SPLIT_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
