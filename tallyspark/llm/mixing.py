@@ -6,15 +6,20 @@ its words gives floor(r) whole copies of each document with certainty. The rest
 is a Pareto sample: document i has inclusion odds f / (1 - f) * sqrt(size_i /
 mean size), f being the fraction of the source that is still wanted, so longer
 documents are likelier; its rank is its random odds u / (1 - u) divided by those.
-The documents of lowest rank are taken as long as their words fit the rest; one that
-is larger than the whole rest can't be among them. If one more document brings the
-words nearer, the one that does so most is added.
+The documents of lowest rank are the sample.
 
-The sample's fixed size is in words, so the cut is a cumulative sum in rank
-order. No source is sorted as a whole: ranks fall into ``BUCKETS`` bins, words are
-summed by source and bin, and only the bin with the cut is ordered. A cut is one
-(rank, doc_id) for each source, so rows are marked by a join with the table of
-sources, which is broadcast only if it has at most ``BROADCAST_SOURCES`` rows.
+The sample's fixed size is in words, so the cut is where the cumulative words in
+rank order come nearest to the rest: the words taken from a source miss its target
+by half of the document at the cut at most, over or under. No document is left out
+or brought in for its size. No source is sorted as a whole: ranks fall into
+``BUCKETS`` bins and the bin of the cut into as many again, words are summed by source
+and bin, and only the last bin with the cut, about a millionth of a source, is
+ordered. A cut is one (rank, doc_id) for each source.
+
+Sources are numbered over a range partitioning, and their shares settle in rounds
+of two sums, so no task has them all. Documents meet their source's row by
+broadcast if there are at most ``BROADCAST_SOURCES`` sources; otherwise sources with
+many documents do, and the rest are shuffled.
 
 Random numbers are an MD5 of seed and doc_id: reruns agree.
 
@@ -29,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import own, partitions, spread_join, stored, unused
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -37,11 +42,7 @@ SEED = 42
 BUCKETS = 1024
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
-PREFIX = "__mix_"
-
-
-def _p(name: str) -> str:
-    return PREFIX + name
+OUT = "__mix_out"
 
 
 def uniform(id_col: Column, seed: int = SEED) -> Column:
@@ -50,129 +51,127 @@ def uniform(id_col: Column, seed: int = SEED) -> Column:
     return (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with the columns that the mix needs: id, source, size, random odds."""
-    u = uniform(F.col(id_col))
-    return docs.withColumns(
-        {
-            _p("id"): F.col(id_col),
-            _p("source"): F.col(source_col),
-            _p("size"): F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")),
-            _p("odds"): u / (1 - u),
-        }
-    )
-
-
-def targets(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> list[Column]:
+    """What the mix needs of a document: id, source (and a key of it that isn't null), size, random odds."""
+    u, source = uniform(F.col(id_col)), F.col(source_col)
+    return [
+        F.col(id_col).alias("id"),
+        source.alias("source"),
+        F.coalesce(F.concat(F.lit("+"), source.cast("string")), F.lit("-")).alias("key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
+        (u / (1 - u)).alias("drawn"),
+    ]
+
+
+def _numbered(per: DataFrame) -> DataFrame:
+    """``per`` with the place ``turn`` of each source by code point, null last."""
+    ranged = per.repartitionByRange(partitions(per.sparkSession), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "sources-by-range")
+    # a row for each partition
+    before, offsets = 0, [(0, 0)]
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for p in dict(offsets).items() for x in p]), F.col("part").cast("long"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("turn", offset + within - 1).drop("part")
+
+
+def targets(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per source: its words, its target, whole copies, the rest wanted."""
-    size = F.col(_p("size"))
-    per = base.groupBy(_p("source")).agg(F.sum(size).alias("source_size"), F.count_if(size > 0).alias("n_docs"))
-    # one row per source from here on
-    everything, named = Window.partitionBy(), Window.orderBy(F.col(_p("source")).asc_nulls_last())
-    turn = (F.row_number().over(named) - 1) % len(weights)
-    ranked = per.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), turn + 1)).withColumns(
-        {"limit": F.col("source_size") * cap, "total": F.sum("source_size").over(everything)}
-    )
-    filling = Window.orderBy(F.col("limit") / F.col("weight"), F.col(_p("source")).asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    onward = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # in order of limit / weight, those at their limit come first
-    filled = ranked.withColumns({"left": F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0)), "open": F.sum("weight").over(onward)})
-    full = F.col("limit") / F.col("weight") < F.col("left") / F.col("open")
-    level = filled.withColumn("full", full).withColumns(
-        {"left": F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("limit"))).over(everything), F.lit(0)), "open": F.sum(F.when(~F.col("full"), F.col("weight"))).over(everything)}
-    )
-    target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.col("left").cast("double") * F.col("weight") / F.col("open"))
+    per = drawn.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"), F.count(F.lit(1)).alias("n"))
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    ranked = stored(_numbered(per).withColumn("weight", weight).withColumn("limit", F.col("source_size") * cap), "weights")
+    total, rate, left, open_ = ranked.agg(F.sum("source_size")).first()[0] or 0, F.col("limit") / F.col("weight"), None, None
+    level = -1.0
+    # sources below the level of the last round are at their limit; what they leave raises the level for the rest
+    while True:
+        full = rate < level
+        given, weight_left = ranked.agg(F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("weight")))).first()
+        left, open_ = total - (given or 0), weight_left
+        if not open_ or left / open_ <= level:
+            break
+        level = left / open_
+    target = F.when(rate < level, F.col("limit").cast("double"))
+    target = target.otherwise(F.lit(float(left)) * F.col("weight") / F.lit(float(open_))) if open_ else F.col("limit").cast("double")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    share = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
-        level.withColumn("target", target)
+        ranked.withColumn("target", target)
         .withColumn("whole", whole)
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("share", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .select(_p("source"), "source_size", "target", "whole", "rest", (F.col("share") / (1 - F.col("share"))).alias("odds"), (F.col("source_size") / F.col("n_docs")).alias("mean"))
+        .select("key", "n", "source_size", "target", "whole", "rest", (share / (1 - share)).alias("odds"), (F.col("source_size") / F.col("n_docs")).alias("mean"))
     )
 
 
-def _rank() -> Column:
-    return F.col(_p("odds")) / (F.col("odds") * F.sqrt(F.col(_p("size")) / F.col("mean")))
-
-
-def _bin(rank: Column) -> Column:
-    return F.floor(rank / (1 + rank) * BUCKETS).cast("int")
-
-
-def _with_sources(base: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
-    theirs = sources.withColumnRenamed(_p("source"), _p("key"))
-    on = F.col(_p("source")).eqNullSafe(F.col(_p("key")))
-    return base.join(F.broadcast(theirs) if small else theirs, on).drop(_p("key"))
-
-
-def cuts(base: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
-    """``sources`` with the bin of the cut and the last (rank, id) below it."""
-    ranked = _with_sources(base.select(*map(_p, ("source", "id", "size", "odds"))), sources, small).where((F.col(_p("size")) > 0) & (F.col("odds") > 0))
-    everyone = ranked.withColumn("q", _rank()).withColumn("bin", _bin(F.col("q")))
-    ranked = everyone.where(F.col(_p("size")) <= F.col("rest"))
-    bins = ranked.groupBy(_p("source"), "bin").agg(F.sum(_p("size")).alias("words"), F.first("rest").alias("rest"))
-    in_order = Window.partitionBy(_p("source")).orderBy("bin")
-    upto = bins.withColumn("upto", F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    last_bin = F.max("bin").over(Window.partitionBy(_p("source")))
-    # where all that fit fall short of the rest, the cut is in their last bin
-    cut = upto.withColumn("final", F.col("bin") == last_bin).where((F.col("upto") >= F.col("rest")) | F.col("final")).groupBy(_p("source")).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("below")), "bin").alias("cut"))
-    cut = cut.select(F.col(_p("source")).alias(_p("key")), F.col("cut.bin").alias("cut_bin"), F.col("cut.below").alias("below"))
-    on = F.col(_p("source")).eqNullSafe(F.col(_p("key")))
-    edge = ranked.join(F.broadcast(cut) if small else cut, on & (F.col("bin") == F.col("cut_bin")))
-    # equal (rank, id) share a frame, so they are taken or left together
-    by_rank = Window.partitionBy(_p("source")).orderBy("q", _p("id"))
-    edge = edge.withColumn("through", F.col("below") + F.sum(_p("size")).over(by_rank))
-    taken = edge.where(F.col("through") <= F.col("rest"))
-    place = F.struct("q", F.col(_p("id")).alias("id"))
-    last = taken.groupBy(_p("source")).agg(F.max(place).alias("last"), F.max("through").alias("through")).withColumnRenamed(_p("source"), _p("lkey"))
-    plan = sources.join(cut, on, "left").join(last, F.col(_p("source")).eqNullSafe(F.col(_p("lkey"))), "left").withColumn("gap", F.col("rest") - F.coalesce("through", "below", F.lit(0)))
-    plan = stored(plan.drop(_p("key"), _p("lkey"), "below", "through"), "cuts")
-    # of the documents beyond the cut, the one that fills the gap best
-    fits = (F.col(_p("size")) <= F.col("rest")) & _within(F.col("q"), F.col("bin"), F.col(_p("id")))
-    beyond = _with_sources(everyone.select(*map(_p, ("source", "id", "size")), "q", "bin"), plan, small).where(~fits)
-    off = F.abs(F.col("gap") - F.col(_p("size")))
-    filler = beyond.where(off < F.col("gap")).groupBy(_p("source")).agg(F.min(F.struct(off.alias("off"), "q", F.col(_p("id")).alias("id"))).alias("x"))
-    filler = filler.select(F.col(_p("source")).alias(_p("key")), F.struct("x.q", "x.id").alias("filler"))
-    return plan.join(filler, on, "left").drop(_p("key"), "gap")
-
-
-def _within(q: Column, at: Column, ident: Column, of: str = "") -> Column:
-    """Whether a rank lies below the cut; ``of`` prefixes the plan's columns."""
-    f = lambda name: F.col(of + name)
-    edge = (at == f("cut_bin")) & (F.struct(q.alias("q"), ident.alias("id")) <= f("last"))
-    return F.coalesce((at < f("cut_bin")) | edge, F.lit(False))
+def _rank(size: Column, drawn: Column, odds: Column, mean: Column) -> Column:
+    return drawn / (odds * F.sqrt(size / mean))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, **columns: str) -> DataFrame:
-    """``docs`` with struct ``__mix_out``: size, source_size, target, copies, taken."""
-    base = sized(docs, **columns)
-    drawn = stored(base.select(*map(_p, ("source", "id", "size", "odds"))), "sizes")
-    return _marked(base, drawn, weights, cap)
+def _bin(rank: Column, bins: int) -> Column:
+    # bins is a power of two, so the bins of the bins nest
+    return F.floor(rank / (1 + rank) * bins).cast("long")
 
 
-def _marked(base: DataFrame, drawn: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    sources = stored(targets(drawn, weights, cap), "sources")
+def _with_sources(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    return rows.join(F.broadcast(sources.drop("n")), "key") if small else spread_join(rows, sources, "key").drop("n")
+
+
+def cuts(drawn: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """``sources`` with the small bin of the cut and the last (rank, id) there that is taken."""
+    wanted = sources.select("key", "n", "rest", "odds", "mean").where("odds > 0")
+    rank = _rank(F.col("size"), F.col("drawn"), F.col("odds"), F.col("mean"))
+    ranked = _with_sources(drawn.where("size > 0").select("key", "id", "size", "drawn"), wanted, small).select("key", "id", "size", "rest", rank.alias("q"))
+    ranked = ranked.withColumn("below", F.lit(0).cast("long"))
+    for bins in (BUCKETS, BUCKETS * BUCKETS):
+        ranked = ranked.withColumn("bin", _bin(F.col("q"), bins))
+        in_order = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        sums = ranked.groupBy("key", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("below").alias("below"))
+        upto = sums.withColumn("upto", F.col("below") + F.sum("words").over(in_order))
+        cut = upto.where("upto >= rest").groupBy("key").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("below")), "bin").alias("cut"))
+        cut = stored(cut.select("key", F.col("cut.bin").alias("bin"), F.col("cut.below").alias("cut_below")), "bins")
+        ranked = ranked.join(F.broadcast(cut) if small else cut, ["key", "bin"]).withColumn("below", F.col("cut_below")).drop("cut_below")
+    # equal (rank, id) are taken or left together
+    edge = ranked.groupBy("key", "q", "id").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"), F.first("below").alias("below"))
+    middle = F.col("below") + F.sum("size").over(Window.partitionBy("key").orderBy("q", "id")) - F.col("size") / 2
+    last = edge.withColumn("middle", middle).where("middle < rest").groupBy("key").agg(F.max(F.struct("q", "id")).alias("last"))
+    return sources.join(cut.select("key", F.col("bin").alias("cut_bin")), "key", "left").join(last, "key", "left")
+
+
+def _copies(f, small: Column, drawn: Column, ident: Column) -> Column:
+    """Copies of a document; ``f`` gives the columns of its source's plan."""
+    q = _rank(small, drawn, f("odds"), f("mean"))
+    at = _bin(q, BUCKETS * BUCKETS)
+    edge = (at == f("cut_bin")) & (F.struct(q.alias("q"), ident.alias("id")) <= f("last"))
+    extra = F.when((small > 0) & (f("odds") > 0), (at < f("cut_bin")) | edge)
+    return F.when(small > 0, f("whole") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long")
+
+
+def _marked(rows: DataFrame, facts: str, drawn: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """``rows`` (key, facts and more) with the plan of their source."""
+    sources = stored(targets(drawn, weights, cap), "plan")
     small = sources.count() <= BROADCAST_SOURCES
     plan = stored(cuts(drawn, sources, small), "cuts")
-    joined = _with_sources(base, plan.select(_p("source"), F.struct(*(c for c in plan.columns if c != _p("source"))).alias(_p("plan"))), small)
-    f = lambda name: F.col(f"{_p('plan')}.{name}")
-    q = F.col(_p("odds")) / (f("odds") * F.sqrt(F.col(_p("size")) / f("mean")))
-    added = F.coalesce(F.struct(q.alias("q"), F.col(_p("id")).alias("id")) == f("filler"), F.lit(False))
-    below = ((F.col(_p("size")) <= f("rest")) & _within(q, _bin(q), F.col(_p("id")), f"{_p('plan')}.")) | added
-    extra = F.coalesce(F.when((F.col(_p("size")) > 0) & (f("odds") > 0), below), F.lit(False)).cast("long")
-    copies = F.when(F.col(_p("size")) > 0, f("whole") + extra).otherwise(F.lit(0)).cast("long")
-    out = F.struct(F.col(_p("size")).alias("size"), f("source_size").alias("source_size"), f("target").alias("target"), copies.alias("copies"), (F.col(_p("size")) * copies).alias("taken"))
-    kept = [F.col(f"`{c}`") for c in base.columns if not c.startswith(PREFIX)]
-    return joined.select(*kept, F.col(_p("id")), out.alias(_p("out")))
+    joined = _with_sources(rows, plan.select("key", "n", F.struct(*(c for c in plan.columns if c not in ("key", "n"))).alias("plan")), small)
+    copies = _copies(lambda c: F.col(f"plan.{c}"), F.col(f"{facts}.size"), F.col(f"{facts}.drawn"), F.col(f"{facts}.id"))
+    out = F.struct(F.col(f"{facts}.size").alias("size"), F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), copies.alias("copies"))
+    return joined.withColumn("out", out).withColumn("out", F.col("out").withField("taken", F.col("out.size") * F.col("out.copies")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, out: str = OUT, **columns: str) -> DataFrame:
+    """``docs`` with the struct ``out``: size, source_size, target, copies, taken."""
+    facts = sized(docs, **columns)
+    drawn = stored(docs.select(*facts), "sizes")
+    rows = docs.select(F.struct(*own(docs)).alias("row"), F.struct(*facts).alias("facts")).withColumn("key", F.col("facts.key"))
+    marked = _marked(rows, "facts", drawn, weights, cap)
+    return marked.select("row.*", F.col("out").alias(out))
 
 
 def allotment(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, **columns: str) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    base = sized(docs, **columns).select(*map(_p, ("source", "id", "size", "odds")))
-    drawn = stored(base, "sizes")
-    return _marked(drawn, drawn, weights, cap).select(F.col(_p("id")).alias("doc_id"), *(F.col(f"{_p('out')}.{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+    drawn = stored(docs.select(*sized(docs, **columns)), "sizes")
+    rows = drawn.select("key", F.struct("id", "size", "drawn").alias("facts"))
+    return _marked(rows, "facts", drawn, weights, cap).select(F.col("facts.id").alias("doc_id"), *(F.col(f"out.{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
 #: The same mix, with one ordered sum over each source instead of bins.
@@ -193,12 +192,9 @@ g AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0
 j AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.whole, g.rest, g.share,
              CASE WHEN d.size > 0 AND g.share > 0 THEN (d.u / (1 - d.u)) / ((g.share / (1 - g.share)) * sqrt(d.size::DOUBLE / (g.source_size::DOUBLE / g.n_docs))) END AS q
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-i AS (SELECT *, coalesce(q IS NOT NULL AND size <= rest, false) AS small FROM j),
-c AS (SELECT *, CASE WHEN small THEN sum(size) OVER (PARTITION BY source, small ORDER BY q, doc_id) END AS through FROM i),
-e AS (SELECT *, coalesce(max(through) FILTER (small AND through <= rest) OVER (PARTITION BY source), 0) AS prefix FROM c),
-b AS (SELECT *, rest - prefix AS gap, q IS NOT NULL AND NOT (small AND coalesce(through <= rest, false)) AND abs(rest - prefix - size) < rest - prefix AS fits FROM e),
-a AS (SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY source, fits ORDER BY abs(gap - size), q, doc_id) = 1 ELSE false END AS added FROM b)
+c AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id) END AS through,
+             sum(size) OVER (PARTITION BY source, q, doc_id) AS own FROM j)
 SELECT doc_id, size, source_size, target,
-       size * CASE WHEN size > 0 THEN whole + CASE WHEN q IS NOT NULL AND (coalesce(small AND through <= rest, false) OR added) THEN 1 ELSE 0 END ELSE 0 END AS taken
-FROM a
+       size * CASE WHEN size > 0 THEN whole + CASE WHEN coalesce(through - own / 2.0::DOUBLE < rest, false) THEN 1 ELSE 0 END ELSE 0 END AS taken
+FROM c
 """
