@@ -13,22 +13,25 @@ at once: the rolling hash from shifted copies, a piece's hash as a difference of
 prefix sums.
 
 ``with_next`` brings each document together with the next one in ascending id:
-ids are cut into ranges at approximate quantiles, a range's documents are sorted
-in one task, and the first documents of the next range that has any are sent
-along, so the whole corpus needs one shuffle and no task depends on another.
+rows are cut into ranges by id and, within an id, by the beginning of the text, at
+the quantiles of a sample of at most ``SAMPLE_IDS`` rows, which only decides how even
+the ranges are. A range's documents are sorted in one task, and the first documents
+of the next range that has any are sent along, so the whole corpus needs one shuffle
+and no task depends on another.
 
 Edge cases: a null text is empty; rows of one id follow each other by text; a
-null id comes first; a single document is its own next; an empty table gives an
-empty result; extra columns are ignored.
+null id comes first; ids may be numbers, strings or dates; only rows of one id whose
+texts begin with the same ``BEGINNING`` characters need one task; a single document
+is its own next; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,8 @@ SPAN = 7
 LETTERS = 64
 SMALLEST = 3
 RUN = 3  # a letter is repeated so often at most
+SAMPLE_IDS = 20_000
+BEGINNING = 32
 SHARED = 7  # long signatures without a common run of so many letters are unlike
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _PRIME = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -188,42 +193,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-def _part(cuts: list[int]):
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(np.array(cuts, np.int64), ids[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
+def _part(cuts: list[tuple]):
+    """Number of cuts at or below each row's place: (has an id, id, beginning of the text)."""
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array, beginnings: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(cuts, _place(i, t)) for i, t in zip(ids.to_pylist(), beginnings.to_pylist(), strict=True)], pa.int32())
 
     return part
 
 
+def _place(ident, begin: str) -> tuple:
+    return (ident is not None, ident, begin)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (part, id, text, extra) sorted within tasks; ``extra`` rows only end a part."""
-    spark = docs.sparkSession
+    """Rows (part, extra, id, text) sorted within tasks; ``extra`` rows only end a part."""
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = given.select("id")
-    parts = 4 * partitions(spark)
-    found = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 10_000)).first()[0]
-    cuts = sorted(set(found or []))
-
-    own = F.coalesce(_part(cuts)(F.col("id")), F.lit(0))
+    begin = F.substring("text", 1, BEGINNING)
+    places = given.select("id", begin.alias("begin"))
+    parts = 4 * partitions(docs.sparkSession)
+    # at most SAMPLE_IDS rows
+    drawn = places.orderBy(F.xxhash64("id", "begin"), "id", "begin").limit(SAMPLE_IDS).collect()
+    sample = sorted(_place(*r) for r in drawn)
+    cuts = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+
+    own = _part(cuts)(F.col("id"), begin)
     # at most one row for each part
-    lows = {r["p"]: r for r in ids.groupBy(own.alias("p")).agg(F.min("id").alias("low"), (F.count_if(F.col("id").isNull()) > 0).alias("nulls")).collect()}
+    lows = {r["p"]: r["low"] for r in places.groupBy(_part(cuts)(F.col("id"), F.col("begin")).alias("p")).agg(F.min(F.struct("id", "begin")).alias("low")).collect()}
     order = sorted(lows)
-    # the first id of a part goes to the part before it too, that of the first part to the last
+    # the first rows of a part go to the part before it too, those of the first part to the last
     before = {p: order[k - 1] for k, p in enumerate(order)}
-    of_part = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("own"))
-    every = range(len(cuts) + 1)
-    low = of_part([lows[p]["low"] if p in lows else None for p in every], "long")
-    nulls = of_part([bool(p in lows and lows[p]["nulls"]) for p in every], "boolean")
-    first = F.when(nulls, F.col("id").isNull()).otherwise(F.col("id") == low)
-    to = F.when(first, of_part([before.get(p) for p in every], "int"))
-    placed = given.withColumn("own", own).withColumn("to", to)
-    both = F.array_compact(F.array(F.struct(F.col("own").alias("part"), F.lit(0).alias("extra")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(1).alias("extra")))))
+    firsts = docs.sparkSession.createDataFrame([(p, lows[p]["id"], lows[p]["begin"], before[p]) for p in order], T.StructType([T.StructField("own", T.IntegerType()), T.StructField("low", given.schema["id"].dataType), T.StructField("begin", T.StringType()), T.StructField("to", T.IntegerType())]))
+    placed = given.withColumn("own", own).join(F.broadcast(firsts), "own")
+    to = F.when(F.col("id").eqNullSafe(F.col("low")) & (begin == F.col("begin")), F.col("to"))
+    both = F.array_compact(F.array(F.struct(F.col("own").alias("part"), F.lit(0).alias("extra")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(1).alias("extra")))))
     dealt = placed.select("id", "text", F.explode(both).alias("x")).select(F.col("x.part").alias("part"), F.col("x.extra").alias("extra"), "id", "text")
-    return dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "text")
+    return dealt.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "text")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,14 +254,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             ids, chars, shas, prints, others, near, follow = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(chars, pa.int64()), pa.array(shas), pa.array(prints), pa.array(others), pa.array(near), pa.array(follow)],
+                [pa.array(ids, b.column(2).type), pa.array(chars, pa.int64()), pa.array(shas), pa.array(prints), pa.array(others), pa.array(near), pa.array(follow)],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, id_col, text_col).mapInArrow(_compare, schema)
 
 
