@@ -6,45 +6,45 @@ longest order of which the model knows any, scored by their mean log frequency
 in each language. A text's evidence is the mean over its words; the score is the
 best language's share of exp(evidence * min(words, STEADY)).
 
-The tables are learned from at most about ``SAMPLE_DOCS`` labelled documents,
-an equal number for each of up to ``MAX_LANGS`` languages, drawn by a hash of the
-id; their whole texts are counted on the executors and the ``TOP`` entries of
-each language and order are kept, so what is broadcast has a fixed bound.
+The tables are learned from at most about ``SAMPLE_DOCS`` labelled documents, an
+equal number for each language, drawn by a hash of the id. Their whole texts are
+counted on the executors and all their entries are kept, whatever the number of
+languages; the sample bounds what is collected and broadcast. A table holds only
+the languages that an entry occurs in (rows of a sparse matrix), the others share
+what an unseen entry scores in them.
 
 Edge cases: null texts and texts without a letter are "und" with score 0, as is
 every text if nothing could be learned; a null id is never learned from and
 isn't held out; ties go to the language first by code point; repeated rows are
-all returned; other columns pass through untouched.
+all returned; a language is any non-null value; texts of any length are read whole;
+other columns pass through untouched.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stored
+from .common import stored, unused
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
 SAMPLE_DOCS = 20_000
-MAX_LANGS = 1_000
-TOP = 30_000
+BROADCAST_LANGS = 100_000
 STEADY = 20
 SMOOTH = 0.5
 KEEP_SCORE = 0.3  # below that, no language stands out
 FOLDS, HELD_OUT = 4, 2
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
-_CACHED_LENGTH = 40
+_CACHED = 4_000_000  # numbers kept for unknown words
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -77,82 +77,100 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language; ``tables[order]`` maps an entry to its row."""
+    """Log frequencies by language.
 
-    def __init__(self, rows: list[tuple[str, int, str, int, int]]):
+    ``tables[order]`` maps an entry to its row. Row r has the languages
+    ``lang[ptr[r]:ptr[r + 1]]`` that it occurs in and how far its log frequency there
+    exceeds ``base[kind]``, that of an entry never seen.
+    """
+
+    def __init__(self, rows: Iterable[tuple[str, int, str, int, int]]):
         """rows: (language, order or 0 for words, entry, count, count of all of that kind)."""
+        rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
         self.langs = sorted({r[0] for r in rows})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        self.tables: dict[int, dict[str, int]] = {}
-        self.logs: dict[int, np.ndarray] = {}
-        for kind in (0, *ORDERS):
-            mine = [r for r in rows if r[1] == kind]
-            table = {e: k for k, e in enumerate(sorted({r[2] for r in mine}))}
-            counts, totals = np.zeros((len(table), len(self.langs))), np.zeros(len(self.langs))
-            for lang, _, entry, n, total in mine:
-                counts[table[entry], at[lang]] = n
-                totals[at[lang]] = total
-            # a language without entries of this kind knows as little as the fullest table lets it
-            totals = np.where(totals > 0, totals, totals.max(initial=0))
-            self.tables[kind] = table
-            self.logs[kind] = np.log((counts + SMOOTH) / (totals + SMOOTH * max(1, len(table))))
+        kinds = (0, *ORDERS)
+        self.tables: dict[int, dict[str, int]] = {k: {} for k in kinds}
+        totals = {k: np.zeros(len(self.langs)) for k in kinds}
+        ptr, kind_of = [0], []
+        for lang, kind, entry, _, total in rows:
+            table = self.tables[kind]
+            if entry not in table:
+                table[entry] = len(kind_of)
+                kind_of.append(kind)
+                ptr.append(ptr[-1])
+            ptr[-1] += 1
+            totals[kind][at[lang]] = total
+        self.lang = np.fromiter((at[r[0]] for r in rows), np.int64, len(rows))
+        self.ptr = np.array(ptr)
+        # a language without entries of a kind knows as little as the fullest table lets it
+        totals = {k: np.where(t > 0, t, t.max(initial=0)) + SMOOTH * max(1, len(self.tables[k])) for k, t in totals.items()}
+        self.base = {k: np.log(SMOOTH / t) for k, t in totals.items()}
+        count = np.fromiter((r[3] for r in rows), float, len(rows))
+        self.over = np.log((count + SMOOTH) / SMOOTH)
         self.cache: dict[str, np.ndarray | None] = {}
 
+    def _excess(self, rows: list[int], times: list[int] | None = None) -> np.ndarray:
+        """Sum of the rows, each so many times, by language."""
+        r = np.array(rows)
+        n = self.ptr[r + 1] - self.ptr[r]
+        at = np.repeat(self.ptr[r] - n.cumsum() + n, n) + np.arange(n.sum())
+        over = self.over[at] if times is None else self.over[at] * np.repeat(times, n)
+        return np.bincount(self.lang[at], over, len(self.langs))
+
     def unknown(self, word: str) -> np.ndarray | None:
         """Evidence of a word that isn't in the table of words."""
         for order in ORDERS:
             rows = [r for g in _grams(word, order) if (r := self.tables[order].get(g)) is not None]
             if rows:
-                return self.logs[order][rows].mean(axis=0)
+                return self.base[order] + self._excess(rows) / len(rows)
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        get, rows, total, seen = self.tables[0].get, [], np.zeros(len(self.langs)), 0
-        for w in words:
+        get, cache = self.tables[0].get, self.cache
+        rows, times, total, seen = [], [], np.zeros(len(self.langs)), 0
+        for w, n in Counter(words).items():
             if (r := get(w)) is not None:
                 rows.append(r)
+                times.append(n)
                 continue
-            if w in self.cache:
-                found = self.cache[w]
-            else:
-                found = self.unknown(w)
-                if len(w) <= _CACHED_LENGTH:
-                    if len(self.cache) >= _CACHE:
-                        self.cache.clear()
-                    self.cache[w] = found
-            if found is not None:
-                total += found
-                seen += 1
+            if w not in cache:
+                if len(cache) * len(self.langs) >= _CACHED:
+                    cache.clear()
+                cache[w] = self.unknown(w)
+            if (found := cache[w]) is not None:
+                total += n * found
+                seen += n
         if rows:
-            total += self.logs[0][rows].sum(axis=0)
-            seen += len(rows)
+            total += self._excess(rows, times) + sum(times) * self.base[0]
+            seen += sum(times)
         if not seen:
             return self.langs[0], 1 / len(self.langs)
         power = total / seen * min(len(words), STEADY)
         best = int(power.argmax())
-        return self.langs[best], 1 / math.fsum(np.exp(power - power[best]))
+        return self.langs[best], float(1 / np.exp(power - power[best]).sum())
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, learn_from: Column | None = None) -> Model:
     """Fit the tables on a bounded sample of the labelled documents."""
     given = docs.where(F.lit(True) if learn_from is None else learn_from).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     given = given.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    # a row for each language; the most frequent MAX_LANGS
-    sizes = [(r["lang"], r["count"]) for r in given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not sizes:
+    sizes = stored(given.groupBy("lang").count(), "languages")
+    n_langs = sizes.count()
+    if not n_langs:
         return Model([])
-    share = sample_docs / len(sizes)
-    spark = docs.sparkSession
-    quota = spark.createDataFrame([(lang, min(1.0, share / n)) for lang, n in sizes], "lang string, share double")
+    quota = sizes.select("lang", F.least(F.lit(1.0), F.lit(sample_docs / n_langs) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    sample = given.join(F.broadcast(quota), "lang").where(draw).select("lang", "text")
+    # of more languages than can be broadcast, each has few documents
+    sample = given.join(F.broadcast(quota) if n_langs <= BROADCAST_LANGS else quota, "lang").where(draw).select("lang", "text")
     counts = stored(sample.mapInArrow(_count, "lang string, kind int, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")), "grams")
-    each = Window.partitionBy("lang", "kind")
-    top = counts.withColumns({"total": F.sum("n").over(each), "rank": F.row_number().over(each.orderBy(F.desc("n"), "entry"))}).where(F.col("rank") <= TOP)
-    return Model([tuple(r) for r in top.select("lang", "kind", "entry", "n", "total").collect()])
+    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    # entries of about sample_docs documents
+    found = counts.join(totals, ["lang", "kind"]).select("lang", "kind", "entry", "n", "total").toArrow()
+    return Model(zip(*(c.to_pylist() for c in found.columns), strict=True))
 
 
 _MODELS: dict[str, Model] = {}
@@ -178,7 +196,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     """``docs`` with the struct ``out``: lang, score."""
     verdict = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
     model.cache = {}
-    bounded_batches(docs.sparkSession)
+    # as large as the sampled documents' entries
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_label(shared, text_col, out), T.StructType([*docs.schema.fields, T.StructField(out, verdict)]))
 
@@ -194,6 +212,6 @@ def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_identified(docs: DataFrame, keep_score: float = KEEP_SCORE, **options) -> DataFrame:
     """Drop the documents without letters or without a language of ``keep_score``."""
     options.setdefault("learn_from", fold(F.col(options.get("id_col", "doc_id")), FOLDS) != HELD_OUT)
-    model, out = learn(docs, **options), "__language"
+    model, (out,) = learn(docs, **options), unused(docs, "__language")
     read = identify(docs, model, options.get("text_col", "text"), out)
     return read.where((F.col(f"{out}.lang") != UNKNOWN) & (F.col(f"{out}.score") >= keep_score)).drop(out)
