@@ -15,19 +15,25 @@ a line stay.
 Only leaves of two different lines or more are looked into. There all alike pairs
 share a key. Where one token may differ, a line's keys are the line
 without each one of its tokens after the lead; where k may differ, the tokens after
-the lead are cut into k + 1 runs, one of which is whole in both lines. The lines of
-a key are ranked by their first document, and a line is compared with those before
-it, best first, in rounds of growing reach (by ``REACH``), until one is alike: in
-a group of like lines the first comparison settles all.
+the lead are cut into k + 1 runs, one of which is whole in both lines. A line is
+compared with the first line of each of its keys, which settles all lines of a group
+of like ones. What is left is ranked within its keys by first document and compared
+with those before it, best first, in rounds of growing reach (by ``REACH``), until
+one is alike. No pair of alike lines of a leaf is missed.
 
-Only hashes of lines are shuffled for the counts, pre-aggregated by template; lines
-meet in equi-joins, never as a collected group. The texts are shuffled once, to
-meet the list of their dropped lines.
+Only hashes of lines are shuffled for the counts, pre-aggregated by template; texts
+of lines are fetched once for leaves in question. Lines, leaves, keys and first
+lines with very many rows are joined by broadcast (``spread_join``), never gathered.
+The texts are shuffled once more, to meet the list of their dropped lines.
+
+What goes is lost: a line that differs from an earlier one in its numbers or in a
+fifth of its tokens only is a repeat of a template and is dropped with what it says.
 
 Edge cases: null texts have no lines and stay null; blank lines stay; a null
-doc_id orders after all others and never equals another; rows with one doc_id
-count as one document; an empty table gives an empty result; other columns pass
-through untouched.
+doc_id orders after all others, and rows without one are documents of their own;
+rows with one doc_id count as one document; ids may be of any type with an order; an
+empty table gives an empty result; other columns pass through untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import own, spread_join, stored
 
 MIN_TOKENS = 1
 MASK_TOKENS = 4  # in a shorter line a variable field is over the limit
@@ -55,7 +61,7 @@ _UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
 def _keys(id_col: str, text_col: str) -> dict[str, Column]:
     """Two hashes that tell rows apart, but for rows that are the same; the document, and what tells it apart without an id."""
     k1 = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
-    doc = F.col(id_col).cast("long")
+    doc = F.col(id_col)
     return {"__k1": k1, "__k2": F.xxhash64(F.col(text_col), F.col(id_col), F.lit(2)), "__doc": doc, "__own": F.when(doc.isNull(), k1)}
 
 
@@ -109,36 +115,58 @@ def _run_keys(tokens: Column, n: Column) -> Column:
     return F.when(spare == 1, F.transform(F.sequence(F.lit(LEAD + 1), n), without)).otherwise(F.transform(F.sequence(F.lit(0), spare), run))
 
 
+def _leaf(n: Column) -> Column:
+    """The leaf of a line; in lines too short to be in one only equal lines are alike."""
+    return F.when(_spare(n) > 0, F.xxhash64(n, F.call_function("substring_index", F.col("line"), F.lit(" "), F.lit(LEAD))))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """One row per line of ``min_tokens`` tokens or more: keys, place, hashes."""
     out = _masked_lines(docs, text_col, min_tokens, *(v.alias(k) for k, v in _keys(id_col, text_col).items()))
-    leaf = F.xxhash64("n", F.call_function("substring_index", F.col("line"), F.lit(" "), F.lit(LEAD)))
-    # in lines too short to be in a leaf only equal lines are alike
-    return out.select("__k1", "__k2", "__doc", "__own", "pos", F.xxhash64("line").alias("h"), F.when(_spare(F.col("n")) > 0, leaf).alias("leaf"))
+    return out.select("__k1", "__k2", "__doc", "__own", "pos", F.xxhash64("line").alias("h"), _leaf(F.col("n")).alias("leaf"))
 
 
-def _similar(a: str, b: str) -> Column:
+def _similar(a: Column, b: Column) -> Column:
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     return (F.size(a) == F.size(b)) & (same >= SIMILARITY * F.size(a))
 
 
+#: Whether the line ``rep`` is in a document before all of the other line's.
+_BEFORE = "rep.low < low OR (low IS NULL AND (rep.low IS NOT NULL OR rep.own < own))"
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (h): lines of the pairs (h, rep) that are alike."""
+    pairs = stored(pairs.distinct(), "line-pairs")
+    theirs = texts.select(F.col("h").alias("rep"), F.col("line").alias("rep_line"))
+    reps = stored(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(theirs, "rep"), "line-reps")
+    tokens = lambda c: F.split(c, " ")
+    both = spread_join(pairs.join(texts, "h"), reps, "rep").where(_similar(tokens("line"), tokens("rep_line")))
+    return stored(both.select("h").distinct(), "line-found")
+
+
 def _with_earlier_like(docs: DataFrame, by_line: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
     """Rows (h, early): lines with a line alike in a document before all of their own."""
-    leaves = by_line.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("leaf")
-    need = stored(by_line.join(leaves, "leaf", "left_semi").select("h", "low", "own"), "line-leaves")
-    tokens = _masked_lines(docs, text_col, min_tokens).select(F.xxhash64("line").alias("h"), "line")
-    sigs = stored(tokens.join(need, "h", "left_semi").groupBy("h").agg(F.split(F.first("line"), " ").alias("sig")), "line-tokens")
-    in_runs = sigs.join(need, "h").select("h", "low", "own", F.explode(_run_keys(F.col("sig"), F.size("sig"))).alias("run"))
+    leaves = by_line.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    need = spread_join(by_line.select("leaf", "h", "low", "own"), stored(leaves, "line-leaves"), "leaf").select("h", "low", "own")
+    texts = _masked_lines(docs, text_col, min_tokens).where(_spare(F.col("n")) > 0).select(F.xxhash64("line").alias("h"), "line").groupBy("h").agg(F.first("line").alias("line"))
+    lines = stored(texts.join(need, "h"), "line-texts")
+    tokens = F.split("line", " ")
+    runs = stored(lines.select("h", "low", "own", F.explode(_run_keys(tokens, F.size(tokens))).alias("run")), "line-runs")
+    place = F.struct(F.col("low").isNull().alias("last"), "low", "own", "h")
+    firsts = stored(runs.groupBy("run").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-firsts")
+    shared = stored(spread_join(runs, firsts, "run").select("h", "low", "own", "run", "rep"), "line-shared")
+    texts = stored(lines.select("h", "line").join(shared.select("h").distinct(), "h", "left_semi"), "line-candidates")
+    found = _alike(shared.where(_BEFORE).select("h", "rep.h").toDF("h", "rep"), texts)
+    early = found
+    # the lines that are unlike the first of a key are ranked with all others of it
+    open_runs = stored(shared.where("h != rep.h").join(found, "h", "left_anti").groupBy("run").agg(F.count(F.lit(1)).alias("n")), "line-open")
     order = Window.partitionBy("run").orderBy(F.col("low").asc_nulls_last(), "own", "h")
-    blocks = in_runs.withColumns({"place": F.row_number().over(order), "then": F.lead("h").over(order)}).where("place > 1 OR then IS NOT NULL").drop("then")
-    blocks = stored(blocks, "line-blocks")
-    rep_sigs = sigs.select(F.col("h").alias("rep"), F.col("sig").alias("rep_sig"))
-    early, still, past, upto = need.select("h").limit(0), blocks, 0, 1
+    blocks = stored(shared.drop("rep").join(open_runs.select("run"), "run", "left_semi").withColumn("place", F.row_number().over(order)), "line-blocks")
+    still, past, upto = stored(blocks.where("place > 2").join(found, "h", "left_anti"), "line-blocks"), 1, REACH
     while (still.agg(F.max("place")).first()[0] or 0) > past + 1:
-        reps = blocks.where((F.col("place") > past) & (F.col("place") <= upto)).select("run", F.col("h").alias("rep"), F.col("low").alias("rep_low"), F.col("own").alias("rep_own"))
-        before = "rep_low < low OR (low IS NULL AND (rep_low IS NOT NULL OR rep_own < own))"
-        pairs = still.join(reps, "run").where(before).select("h", "rep").distinct()
-        found = stored(pairs.join(sigs, "h").join(rep_sigs, "rep").where(_similar("sig", "rep_sig")).select("h").distinct(), "line-found")
+        reps = blocks.where((F.col("place") > past) & (F.col("place") <= upto)).select("run", F.struct("low", "own", "h").alias("rep"))
+        found = _alike(still.join(reps, "run").where(_BEFORE).select("h", "rep.h").toDF("h", "rep"), texts)
         early = early.unionByName(found)
         still = stored(still.where(F.col("place") > upto + 1).join(found, "h", "left_anti"), "line-blocks")
         past, upto = upto, upto * REACH
@@ -146,43 +174,41 @@ def _with_earlier_like(docs: DataFrame, by_line: DataFrame, text_col: str, min_t
 
 
 def recurring(docs: DataFrame, lines: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
-    """Rows (h, keeper, own) for all lines that go somewhere: the document that keeps them, if any, by id or else ``__own``."""
-    by_line = stored(lines.groupBy("h").agg(*(v.alias(k) for k, v in _span().items()), F.min("leaf").alias("leaf")), "lines-by-hash")
+    """Rows (h, n, keeper, keeper_own) for all lines that go somewhere: their number, and the document that keeps them, if any, by id or else ``__own``."""
+    by_line = stored(lines.groupBy("h").agg(*(v.alias(k) for k, v in _span().items()), F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("n")), "lines-by-hash")
     early = _with_earlier_like(docs, by_line, text_col, min_tokens)
     found = by_line.join(early, "h", "left").where(f"early OR {_SEVERAL}")
     keeps = F.col("early").isNull()
-    return stored(found.select("h", F.when(keeps, F.col("low")).alias("keeper"), F.when(keeps & F.col("low").isNull(), F.col("own")).alias("own")), "recurring")
+    return stored(found.select("h", "n", F.when(keeps, F.col("low")).alias("keeper"), F.when(keeps & F.col("low").isNull(), F.col("own")).alias("keeper_own")), "recurring")
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """Rows (__k1, __k2, gone): the places of the lines that each text loses."""
+    """Rows (__k1, __k2, __gone): the places of the lines that each text loses."""
     lines = stored(_lines(docs, id_col, text_col, min_tokens), "lines")
-    found = lines.drop("leaf").join(recurring(docs, lines, text_col, min_tokens), "h")
-    gone = found.where("NOT (coalesce(__doc = keeper, false) OR coalesce(__own = own, false))")
+    found = spread_join(lines.drop("leaf"), recurring(docs, lines, text_col, min_tokens), "h")
+    gone = found.where("NOT (coalesce(__doc = keeper, false) OR coalesce(__own = keeper_own, false))")
     return gone.groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("__gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, note: str = "__dropped") -> DataFrame:
-    """``docs`` with recurring lines removed from the text; ``note`` counts them."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """Rows (row, text, dropped): a row of ``docs``, its text without recurring lines, and how many those are."""
     gone = dropped_lines(docs, id_col, text_col, min_tokens)
-    keyed = docs.withColumns({k: v for k, v in _keys(id_col, text_col).items() if k in ("__k1", "__k2")}).join(gone, ["__k1", "__k2"], "left")
+    keys = [v.alias(k) for k, v in _keys(id_col, text_col).items() if k in ("__k1", "__k2")]
+    keyed = docs.select(F.struct(*own(docs)).alias("row"), F.col(id_col).isNull().alias("bare"), F.col(text_col).alias("text"), *keys).join(gone, ["__k1", "__k2"], "left")
     # rows without id that are the same are still documents each: the first of them stands for its text
-    turn = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
-    lines = F.split(F.col(text_col), "\n")
+    turn = F.when(F.col("bare"), F.row_number().over(Window.partitionBy("__k1", "__k2", "bare").orderBy("__k1")))
+    lines = F.split("text", "\n")
     every = F.filter(F.transform(lines, lambda x, i: F.when(_tokens(_masked(x)) >= min_tokens, i)), lambda i: i.isNotNull())
-    keyed = keyed.withColumn("__turn", turn).withColumn("__gone", F.when(F.col(id_col).isNull() & (F.col("__turn") > 1), F.when(F.size(every) > 0, every)).otherwise(F.col("__gone")))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    return keyed.select(
-        *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(note)
-    )
+    keyed = keyed.withColumn("turn", turn).withColumn("__gone", F.when(F.col("turn") > 1, F.when(F.size(every) > 0, every)).otherwise(F.col("__gone")))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    return keyed.select("row", text.alias("text"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("dropped"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, text without recurring lines, lines dropped."""
-    return dedup_lines(docs.select("doc_id", "text"), **options).select(
-        "doc_id", "text", F.col("__dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("text_sha256")
-    )
+    return dedup_lines(docs.select("doc_id", "text"), **options).select("row.doc_id", "text", F.col("dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
@@ -191,6 +217,8 @@ def clean_documents(docs: DataFrame, text_col: str = "text", length_col: str = "
     A document that loses lines and has nothing but blanks left goes.
     """
     out = dedup_lines(docs, text_col=text_col, **options)
-    blank = ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    columns = [F.when(F.col("__dropped") > 0, F.length(text_col).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.where((F.col("__dropped") == 0) | ~blank).select(*columns)
+    given = lambda c: F.col("row").getField(c)
+    anew = {text_col: F.col("text")}
+    if length_col in docs.columns:
+        anew[length_col] = F.when(F.col("dropped") > 0, F.length("text")).otherwise(given(length_col)).cast(docs.schema[length_col].dataType)
+    return out.where((F.col("dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*(anew.get(c, given(c)).alias(c) for c in docs.columns))
