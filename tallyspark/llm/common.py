@@ -74,6 +74,17 @@ def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: inside a lambda it would be for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """Hash of all columns of a row; maps, which have no hash, go by their JSON."""
+    plain = [F.to_json(F.col(quoted(f.name))) if "map<" in f.dataType.simpleString() else F.col(quoted(f.name)) for f in docs.schema.fields]
+    return F.xxhash64(F.lit(seed), *plain)
+
+
 HOT_KEYS = 1_000
 
 
@@ -102,8 +113,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges ``(u, v)``: rows ``(u, root)``.
 
     Alternating large-star and small-star rounds: every round is a grouped
-    minimum and an equi-join, so no component is ever gathered in one task, and
-    the number of rounds grows with the logarithm of the component's size.
+    minimum and an equi-join that deals nodes of very many edges out, so no component
+    is ever gathered in one task, and the number of rounds grows with the logarithm of
+    the component's size.
     ``root`` is the smallest node of the component; roots themselves are not
     listed. Rounds are written to the shared folder, older ones deleted.
     """
@@ -120,17 +132,18 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select("u", F.col("v").alias("root"))
         seen = tuple(mark)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "edges")
+        large = stored(spread_join(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # small star: u's smaller neighbours and u itself all point at the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "edges")
         small = (
-            large.join(least, "u")
+            spread_join(large, least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u != v")
             .distinct()
         )
         then = stored(small, "edges")
-        discard(now)
+        for done in (now, low, large, least):
+            discard(done)
         now = then

@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own, spread_join, stored
+from .common import let, own, spread_join, stored
 
 MIN_TOKENS = 1
 MASK_TOKENS = 4  # in a shorter line a variable field is over the limit
@@ -127,8 +127,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> Data
 
 
 def _similar(a: Column, b: Column) -> Column:
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return (F.size(a) == F.size(b)) & (same >= SIMILARITY * F.size(a))
+    def alike(s: Column) -> Column:
+        same = F.aggregate(F.zip_with(s["a"], s["b"], lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+        return (F.size(s["a"]) == F.size(s["b"])) & (same >= SIMILARITY * F.size(s["a"]))
+
+    return let(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), alike)
 
 
 #: Whether the line ``rep`` is in a document before all of the other line's.
@@ -140,8 +143,7 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = stored(pairs.distinct(), "line-pairs")
     theirs = texts.select(F.col("h").alias("rep"), F.col("line").alias("rep_line"))
     reps = stored(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(theirs, "rep"), "line-reps")
-    tokens = lambda c: F.split(c, " ")
-    both = spread_join(pairs.join(texts, "h"), reps, "rep").where(_similar(tokens("line"), tokens("rep_line")))
+    both = spread_join(pairs.join(texts, "h"), reps, "rep").where(_similar(F.col("line"), F.col("rep_line")))
     return stored(both.select("h").distinct(), "line-found")
 
 
@@ -151,24 +153,24 @@ def _with_earlier_like(docs: DataFrame, by_line: DataFrame, text_col: str, min_t
     need = spread_join(by_line.select("leaf", "h", "low", "own"), stored(leaves, "line-leaves"), "leaf").select("h", "low", "own")
     texts = _masked_lines(docs, text_col, min_tokens).where(_spare(F.col("n")) > 0).select(F.xxhash64("line").alias("h"), "line").groupBy("h").agg(F.first("line").alias("line"))
     lines = stored(texts.join(need, "h"), "line-texts")
-    tokens = F.split("line", " ")
-    runs = stored(lines.select("h", "low", "own", F.explode(_run_keys(tokens, F.size(tokens))).alias("run")), "line-runs")
+    keys = let(F.split("line", " "), lambda t: _run_keys(t, F.size(t)))
+    runs = stored(lines.select("h", "low", "own", F.explode(keys).alias("run")), "line-runs")
     place = F.struct(F.col("low").isNull().alias("last"), "low", "own", "h")
     firsts = stored(runs.groupBy("run").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-firsts")
-    shared = stored(spread_join(runs, firsts, "run").select("h", "low", "own", "run", "rep"), "line-shared")
+    shared = stored(spread_join(runs, firsts.withColumn("size", F.col("n")), "run").select("h", "low", "own", "run", "rep", "size"), "line-shared")
     texts = stored(lines.select("h", "line").join(shared.select("h").distinct(), "h", "left_semi"), "line-candidates")
     found = _alike(shared.where(_BEFORE).select("h", "rep.h").toDF("h", "rep"), texts)
-    early = found
-    # the lines that are unlike the first of a key are ranked with all others of it
-    open_runs = stored(shared.where("h != rep.h").join(found, "h", "left_anti").groupBy("run").agg(F.count(F.lit(1)).alias("n")), "line-open")
+    # the lines that are unlike the first of a key go on to the others of it
+    early, past, upto = found, 1, REACH
+    still = stored(shared.where("h != rep.h AND size > 2").join(found, "h", "left_anti").drop("rep"), "line-open")
     order = Window.partitionBy("run").orderBy(F.col("low").asc_nulls_last(), "own", "h")
-    blocks = stored(shared.drop("rep").join(open_runs.select("run"), "run", "left_semi").withColumn("place", F.row_number().over(order)), "line-blocks")
-    still, past, upto = stored(blocks.where("place > 2").join(found, "h", "left_anti"), "line-blocks"), 1, REACH
-    while (still.agg(F.max("place")).first()[0] or 0) > past + 1:
-        reps = blocks.where((F.col("place") > past) & (F.col("place") <= upto)).select("run", F.struct("low", "own", "h").alias("rep"))
+    while not still.isEmpty():
+        members = shared.where(F.col("size") > past).join(still.select("run").distinct(), "run", "left_semi")
+        ranked = members.select("run", "low", "own", "h").withColumn("place", F.row_number().over(order)).where(F.col("place") <= upto)
+        reps = ranked.where(F.col("place") > past).select("run", F.struct("low", "own", "h").alias("rep"))
         found = _alike(still.join(reps, "run").where(_BEFORE).select("h", "rep.h").toDF("h", "rep"), texts)
         early = early.unionByName(found)
-        still = stored(still.where(F.col("place") > upto + 1).join(found, "h", "left_anti"), "line-blocks")
+        still = stored(still.where(F.col("size") > upto + 1).join(found, "h", "left_anti"), "line-open")
         past, upto = upto, upto * REACH
     return early.withColumn("early", F.lit(True))
 
@@ -197,11 +199,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.struct(*own(docs)).alias("row"), F.col(id_col).isNull().alias("bare"), F.col(text_col).alias("text"), *keys).join(gone, ["__k1", "__k2"], "left")
     # rows without id that are the same are still documents each: the first of them stands for its text
     turn = F.when(F.col("bare"), F.row_number().over(Window.partitionBy("__k1", "__k2", "bare").orderBy("__k1")))
-    lines = F.split("text", "\n")
-    every = F.filter(F.transform(lines, lambda x, i: F.when(_tokens(_masked(x)) >= min_tokens, i)), lambda i: i.isNotNull())
+    every = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(_tokens(_masked(x)) >= min_tokens, i)), lambda i: i.isNotNull())
     keyed = keyed.withColumn("turn", turn).withColumn("__gone", F.when(F.col("turn") > 1, F.when(F.size(every) > 0, every)).otherwise(F.col("__gone")))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])
+    left = lambda x: F.transform(x["places"], lambda i: F.get(x["lines"], i))
+    kept = let(F.struct(F.split("text", "\n").alias("lines"), F.col("__gone").alias("gone")), lambda x: let(F.struct(x["lines"].alias("lines"), places(x).alias("places")), lambda y: F.array_join(left(y), "\n")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     return keyed.select("row", text.alias("text"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("dropped"))
 
