@@ -1,8 +1,10 @@
 """Quality classifier on supervised subword embeddings.
 
-Every word, pair of neighbouring words, run of three or four bytes, and return of
-a word within ``LAGS`` words hashes to a learned vector; a document is the mean of its features' vectors, and a softmax
-over the classes reads that mean. Vectors and output weights are trained together
+Every word, word n-gram and run of three or four bytes hashes to a learned vector; a
+document is the mean of its features' vectors, and a softmax over the classes reads
+that mean. Word pairs are hashed by their words; word n-grams of the ``ALIKE`` lengths
+by which of their words are the same, whatever they are, so that repetition in words
+never seen is a feature like any other. Vectors and output weights are trained together
 by stochastic gradient descent in numpy on at most ``SAMPLE_DOCS`` labelled
 documents (the first by a hash of the id), whose whole texts are turned into
 feature counts on the executors. For scoring, vectors and output weights multiply
@@ -14,11 +16,13 @@ tell good from bad; labels, language, source and id are not inputs.
 Edge cases: null and blank texts have no features and score by the bias, which is
 trained with them; rows without a label aren't learned from; several labels of
 one document count as the least of them; without any label every score is 0.5;
-repeated rows are all scored; extra columns are ignored.
+texts of any length are read whole, ``_PIECE`` bytes at a time; repeated rows are all
+scored; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -30,13 +34,14 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 3_000
 BUCKETS = 1 << 15
 WIDTH = 16
+ALIKE = (2, 4, 8)
 EPOCHS = 12
 RATE = 4.0
-LAGS = 8
 SEED = 42
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 _PIECE = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:
@@ -45,16 +50,39 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     return ((x * np.uint32(0x85EBCA77)) >> np.uint32(17)).astype(np.int64)
 
 
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in pieces that end at a blank."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + _PIECE)
+        end = blank.start() if blank else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def features(text: bytes | None) -> Iterator[np.ndarray]:
     """Buckets of the text's features, in pieces of bounded size."""
-    words = np.array([crc32(w) for w in (text or b"").split()], np.uint32)
-    if not len(words):
+    text, last = text or b"", None
+    if not text.strip():
         return
-    yield _hash(words, 1)
-    yield _hash(words[:-1] * np.uint32(31) + words[1:], 2)
-    # word n-grams that begin and end with the same word share a feature for each length
-    for lag in range(1, min(LAGS, len(words) - 1) + 1):
-        yield _hash(np.full(np.count_nonzero(words[lag:] == words[:-lag]), lag, np.uint32), 5)
+    for piece in _words(text):
+        words = np.array([crc32(w) for w in piece], np.uint32)
+        yield _hash(words, 1)
+        # n-grams over the end of a piece belong to the next one
+        row = words if last is None else np.concatenate([last, words])
+        begun = 0 if last is None else len(last)
+        pairs = row[max(0, begun - 1) :]
+        yield _hash(pairs[:-1] * np.uint32(31) + pairs[1:], 2)
+        # how far back the same word is, 0 if not within the longest n-gram
+        back = np.zeros(len(row), np.int64)
+        for lag in range(min(ALIKE[-1], len(row)) - 1, 0, -1):
+            back[lag:][row[lag:] == row[:-lag]] = lag
+        for n in ALIKE:
+            # one bit for each place whose word stands earlier in the n-gram
+            end = np.arange(max(n - 1, begun), len(row))
+            same = sum(((back[end - j] > 0) & (back[end - j] < n - j)).astype(np.uint32) << np.uint32(j) for j in range(n - 1))
+            yield _hash(same + np.uint32(n << 16), 5)
+        last = row[-ALIKE[-1] + 1 :]
     data = np.frombuffer(text, np.uint8)
     for at in range(0, len(data), _PIECE):
         # the next piece's first bytes belong to the runs that begin in this one
