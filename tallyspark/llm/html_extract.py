@@ -8,8 +8,10 @@ pages that ``synthetic_page`` builds from layouts of the usual kinds with
 invented words and known labels; the seed is fixed, so every run has the same
 weights. They are a few hundred kilobytes, whatever the corpus.
 
-After the labeller, blocks inside elements that are never main text by the HTML
-standard (navigation, footers, forms, asides) are left out.
+The labeller alone decides; what it knows of navigation, footers, forms and the like
+it has from the training pages, some of which are wrapped in one form as a whole.
+Blocks' vectors are projected ``PIECE`` at a time, so a page of any length takes some
+hundred bytes a block.
 
 Edge cases: a null or empty page, or one without main text, gives the empty
 string; unclosed elements end where HTML ends them or with the page; repeated
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ BATCH = 24
 RATE = 0.01
 SEED = 42
 MARK = "\u2063"
-NEVER = frozenset(("nav", "footer", "form", "aside", "menu", "dialog", "button", "select", "option", "search"))
+PIECE = 2048
 PADDED = 1 << 15  # blocks in a batch of pages, with padding
 
 
@@ -189,14 +192,18 @@ def synthetic_page(rng: random.Random) -> str:
     if rng.random() < 0.15:
         top.append(w.aside())
     head = f"<!DOCTYPE html><html><head><title>{w.words(1, 5)}</title><style>p{{}}</style></head><body>"
-    return head + "".join(top) + main + "".join(end) + ("</body></html>" if rng.random() < 0.8 else "")
+    page = "".join(top) + main + "".join(end)
+    if rng.random() < 0.1:
+        # some servers wrap the whole page in a form
+        page = f"<form method='post' action='./' id='{rng.choice(['form1', 'aspnetForm', 'page'])}'>{page}</form>"
+    return head + page + ("</body></html>" if rng.random() < 0.8 else "")
 
 
 def labelled(html: str) -> tuple[list[Block], np.ndarray]:
     """Blocks of a training page without their marks, and which are main text."""
     page = blocks(html)
     y = np.array([MARK in b.text for b in page], np.float32)
-    return [Block(b.text.replace(MARK, ""), b.path, b.link) for b in page], y
+    return [replace(b, text=b.text.replace(MARK, "")) for b in page], y
 
 
 # --- the labeller ---------------------------------------------------------------
@@ -218,11 +225,14 @@ class Labeller:
             self.w[f"c{d}"][h : 2 * h] = 1  # forget gates begin open
         self.w |= {"o": draw(2 * h, 1), "p": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
-        """States (time, page, hidden) of one direction; x: (time, page, width)."""
-        steps, pages, _ = x.shape
+    def project(self, x: np.ndarray, d: str) -> np.ndarray:
+        """What the vectors add to the gates of one direction."""
+        return (x.reshape(-1, x.shape[-1]) @ self.w[f"x{d}"] + self.w[f"c{d}"]).reshape(*x.shape[:-1], -1)
+
+    def _run(self, pre: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
+        """States (time, page, hidden) of one direction; pre: (time, page, gates)."""
+        steps, pages, _ = pre.shape
         h = self.w[f"h{d}"].shape[0]
-        pre = (x.reshape(steps * pages, -1) @ self.w[f"x{d}"] + self.w[f"c{d}"]).reshape(steps, pages, 4 * h)
         state, cell = np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32)
         out, tape = np.zeros((steps, pages, h), np.float32), {}
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -240,12 +250,12 @@ class Labeller:
                 tape[t] = (i, f, o, new, before, squashed, last, m)
         return out, tape
 
-    def power(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d)[0] for d in ("f", "b")], axis=2)
+    def power(self, pre: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
+        both = np.concatenate([self._run(pre[d], mask, d)[0] for d in ("f", "b")], axis=2)
         return (both @ self.w["o"])[:, :, 0] + self.w["p"]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        runs = {d: self._run(x, mask, d, keep=True) for d in ("f", "b")}
+        runs = {d: self._run(self.project(x, d), mask, d, keep=True) for d in ("f", "b")}
         both = np.concatenate([runs[d][0] for d in ("f", "b")], axis=2)
         p = _sigmoid((both @ self.w["o"])[:, :, 0] + self.w["p"])
         n = mask.sum()
@@ -271,27 +281,39 @@ class Labeller:
         return float(loss), g
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """For each page's vectors, which of its blocks are main text."""
+        return self._labelled([{d: self.project(x, d) for d in ("f", "b")} for x in pages])
+
+    def label_blocks(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, which of its blocks are main text."""
+        every = []
+        for page in pages:
+            pieces = [vectors(page, at, at + PIECE) for at in range(0, max(1, len(page)), PIECE)]
+            every.append({d: np.concatenate([self.project(x, d) for x in pieces]) for d in ("f", "b")})
+        return self._labelled(every)
+
+    def _labelled(self, pages: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
+        sizes = [len(p["f"]) for p in pages]
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order, at = sorted(range(len(pages)), key=lambda k: len(pages[k])), 0
+        order, at = sorted(range(len(pages)), key=lambda k: sizes[k]), 0
         while at < len(order):
             # pages of similar length together, few enough for the padded size
             end = at + 1
-            while end < len(order) and len(pages[order[end]]) * (end + 1 - at) <= PADDED:
+            while end < len(order) and sizes[order[end]] * (end + 1 - at) <= PADDED:
                 end += 1
             group = order[at:end]
-            if len(pages[group[-1]]):
-                x, mask = _padded([pages[k] for k in group])
-                power = self.power(x, mask)
+            if sizes[group[-1]]:
+                padded = {d: _padded([pages[k][d] for k in group]) for d in ("f", "b")}
+                power = self.power({d: x for d, (x, _) in padded.items()}, padded["f"][1])
                 for j, k in enumerate(group):
-                    out[k] = power[: len(pages[k]), j] > 0
+                    out[k] = power[: sizes[k], j] > 0
             at = end
         return out
 
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
-    x, mask = np.zeros((steps, len(pages), WIDTH), np.float32), np.zeros((steps, len(pages)), np.float32)
+    x, mask = np.zeros((steps, len(pages), pages[0].shape[1]), np.float32), np.zeros((steps, len(pages)), np.float32)
     for k, p in enumerate(pages):
         x[: len(p), k], mask[: len(p), k] = p, 1
     return x, mask
@@ -333,8 +355,8 @@ def trained() -> Labeller:
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     """Main text of each page."""
     found = [blocks(p) for p in pages]
-    kept = model.label([vectors(p) for p in found])
-    return ["\n".join(b.text for b, ok in zip(p, k, strict=True) if ok and not any(x[0] in NEVER for x in b.path)) for p, k in zip(found, kept, strict=True)]
+    kept = model.label_blocks(found)
+    return ["\n".join(b.text for b, ok in zip(p, k, strict=True) if ok) for p, k in zip(found, kept, strict=True)]
 
 
 _SLAB = 64
