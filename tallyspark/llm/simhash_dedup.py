@@ -18,9 +18,25 @@ Each task reports its links as one row for each fingerprint and group (to the
 smallest fingerprint that it reaches in the group); connected components of
 those rows are the classes.
 
+``keep_representatives`` links texts whose sets of five-word shingles have a Jaccard
+similarity of ``SIMILARITY`` or more. At 0.8 two in thirteen bits differ, far more
+than a join by whole blocks of a 64-bit fingerprint can bridge. So it takes a longer
+sketch: more signs of projections of the same set, in ``bands`` of bits. Texts that
+agree in a band meet in a group; there the trie of 64 further bits is joined with
+itself within ``LOOSE`` bits, and ``CHECKED`` bits in all must be near. Each text is
+then compared exactly with the least and with the nearest of those before it in the
+group, and components of the confirmed links are the classes. The number of bits in
+a band grows with the logarithm of the number of texts, so that groups stay small,
+and the number of bands is what catches ``RECALL`` of the pairs at the threshold
+itself; nearer ones are caught more surely. Groups of over ``CROWD`` texts are dealt
+out at random first; there each text near an earlier one is linked to it and left
+out, so only texts unlike each other go on to the group as a whole.
+
 Edge cases: null, empty and blank texts have fingerprint zero and are linked like
 any other; repeated rows are all returned; a null doc_id never names a class
-unless no other id is there; an empty table gives an empty result.
+unless no other id is there; an empty table gives an empty result. When rows are
+kept, texts with the same shingles are one class and so are texts without words; of
+rows that are the same in all columns one stays; columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -35,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, partitions, stored
+from .common import components, own, partitions, row_hash, spread_join, stored
 
 BUDGET = 2
 SHINGLE = 3
@@ -45,29 +61,38 @@ BLOCK_PAIRS = tuple(combinations(range(4), 2))
 HOT_GROUP = 4096
 HOT_DEPTH = 8
 SLAB_ROWS = 1 << 18
+#: Of texts that are kept or not by similarity.
+WORDS = 5
+SIMILARITY = 0.8
+RECALL = 0.97
+CROWD = 512
+LOOSE, CHECKED = 22, 32  # bits of 64 and of 128 that may differ: of pairs at 0.8 one in a thousand has more
 FRONTIER = 1 << 20
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PIECE = 1 << 16
 
 
-def text_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one UTF-8 text, as an unsigned 64-bit number."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of one UTF-8 text, repeats included, in pieces of bounded size."""
     words = (text or b"").translate(_UPPER).split()
     if not words:
-        return 0
+        return
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, SEED)
     # ends[i]: where word i ends in joined; a shingle is a slice of it
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[: -shingle])]
-    ends = ends[shingle - 1 :]
-    ones = np.zeros(64, np.int64)
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    ends = ends[min(shingle, len(words)) - 1 :]
     for k in range(0, len(ends), _PIECE):
-        part = [digest(joined[s:e], SEED) for s, e in zip(starts[k : k + _PIECE], ends[k : k + _PIECE], strict=True)]
-        rows = np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(ends)).tobytes(), "big")
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + _PIECE], ends[k : k + _PIECE], strict=True)], np.uint64)
+
+
+def text_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one UTF-8 text, as an unsigned 64-bit number."""
+    ones, n = np.zeros(64, np.int64), 0
+    for part in shingle_hashes(text, shingle):
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -160,22 +185,8 @@ def _join_slab(key: np.ndarray, rest: np.ndarray, fp: np.ndarray, deep: np.ndarr
 
 def _links(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            # only whole groups: the last one may go on in the next batch
-            cut = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
-            held[:] = [[x[cut:] for x in cols]]
-            if cut:
-                yield _join_slab(*(x[:cut] for x in cols), budget)
-
-        for b in batches:
-            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-            if sum(len(x[0]) for x in held) >= SLAB_ROWS:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
+        for slab in _groups(batches, 4):
+            yield _join_slab(*slab, budget)
 
     return run
 
@@ -225,32 +236,194 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot_group: int
     return dealt_out.select("key", "rest", "fp", "deep").mapInArrow(_links(budget), "u long, v long")
 
 
-def _classes(prints: DataFrame, budget: int = BUDGET, hot_group: int = HOT_GROUP) -> DataFrame:
-    """Rows ``(fp, first, root)``: the class of each fingerprint, named by its least one, and the least id that has it."""
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(stored(fingerprint_links(distinct.select("fp"), budget, hot_group), "links"))
-    return distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def _classes(prints: DataFrame, links: DataFrame, *more: Column) -> DataFrame:
+    """Rows ``(fp, n, root)`` and ``more`` aggregates: the class of each fingerprint, named by its least one, and the number of its rows."""
+    distinct = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), *more), "distinct")
+    roots = components(links).withColumnRenamed("u", "fp")
+    return stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, hot_group: int = HOT_GROUP) -> DataFrame:
     """Rows ``(doc_id, fingerprint, component_id)``, one for each row of ``docs``."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    known = _classes(prints, budget, hot_group)
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = known.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
-    """The first row of each class, with its columns as they are: by id, nulls last, then by hash."""
-    ident = F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("row"))
-    given = docs.select(ident.alias("__row"), F.col(text_col).alias("__text"))
-    prints = stored(fingerprints(given, "__row", "__text", shingle).select(F.col("doc_id.id").alias("doc_id"), "doc_id.row", "fp"), "fingerprints")
-    classes = _classes(prints, **options).select("fp", "root")
-    first = prints.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.row").alias("__key"))
-    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns)).alias("d")
-    kept = keyed.join(first.alias("f"), (F.col("d.__key") == F.col("f.__key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("f.__id")), "left_semi")
-    # the join's partitioning serves; only rows that are the same meet here
-    order = Window.partitionBy("__key", id_col).orderBy("__key")
-    return kept.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    links = stored(fingerprint_links(stored(prints.select("fp").distinct(), "distinct"), budget, hot_group), "links")
+    known = _classes(prints, links, F.min("doc_id").alias("first"))
+    least = stored(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    classes = spread_join(known.select("fp", "root", F.col("n").alias("rows")), least, "root").select("fp", F.col("rows").alias("n"), "component_id")
+    return spread_join(prints, stored(classes, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similar texts --------------------------------------------------------------
+
+
+def bands(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a band and number of bands for so many texts."""
+    bits = max(16, (max(n, 2) - 1).bit_length() - 8)
+    cosine = 2 * similarity / (1 + similarity)
+    agree = (1 - np.arccos(cosine) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+
+
+def signs(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Signs of ``bits`` projections of each set of hashes, packed: sums of +1 and -1 by parities of a hash's bits."""
+    size = 1 << max(12, bits.bit_length())
+    x = np.zeros((len(sets), size), np.float32)
+    for row, h in zip(x, sets, strict=True):
+        row += np.bincount((h & np.uint64(size - 1)).astype(np.int64), 1 - 2 * (h >> np.uint64(63)).astype(np.float32), size)
+    half = 1
+    while half < size:
+        pairs = x.reshape(len(sets), -1, 2, half)
+        x = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), 2).reshape(len(sets), size)
+        half *= 2
+    return np.packbits(x[:, 1 : bits + 1] > 0, axis=1)
+
+
+def shingle_set(text: bytes | None, shingle: int = WORDS) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def _sketches(shingle: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
+                sets = [shingle_set(x.as_py(), shingle) for x in b.column("body")]
+                fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                drawn = pa.array([r.tobytes() for r in signs(sets, bits)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("id"), pa.array(fps), drawn], names=["k1", "k2", "id", "fp", "sketch"])
+
+    return run
+
+
+def _banded(width: int, count: int):
+    """Rows (key, rest, more, fp) for each band of a sketch; rest and more are the 128 bits after the band."""
+    after = (np.arange(count)[:, None] * width + width + np.arange(128)) % (width * count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                raw = np.array([np.frombuffer(x.as_py(), np.uint8) for x in b.column("sketch")])
+                drawn = np.unpackbits(raw, axis=1)[:, : width * count]
+                key = drawn.reshape(-1, count, width) @ (1 << np.arange(width)[::-1]) + (np.arange(count) << width)
+                rest = np.packbits(drawn[:, after], axis=2).view(">i8").astype(np.int64)
+                fp = np.repeat(b.column("fp").to_numpy(), count)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), rest[:, :, 0].ravel(), rest[:, :, 1].ravel(), fp)], names=["key", "rest", "more", "fp"])
+
+    return run
+
+
+_BANDED = "key long, rest long, more long, fp long"
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups, sorted by the first column, in slabs."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(columns)])
+        if sum(len(x[0]) for x in held) >= SLAB_ROWS:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            # the last group may go on in the next batch
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [[x[cut:] for x in cols]]
+            if cut:
+                yield [x[:cut] for x in cols]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _far(rest: np.ndarray, more: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count(rest[i] ^ rest[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
+
+
+def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row the least and the nearest before it in its group."""
+    for key, rest, more, fp in _groups(batches, 4):
+        rest, more = rest.view(np.uint64), more.view(np.uint64)
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        i, j = trie_links(rest, bounds, np.zeros(len(bounds) - 1, np.int8), LOOSE, 64)
+        far = _far(rest, more, i, j)
+        near = far <= CHECKED
+        u, v, far = np.maximum(fp[i], fp[j])[near], np.minimum(fp[i], fp[j])[near], far[near]
+        out = []
+        for order in (np.lexsort((v, u)), np.lexsort((v, far, u))):
+            first = order[np.flatnonzero(np.diff(u[order], prepend=np.int64(0)) | (np.arange(len(u)) == 0))] if len(u) else order
+            out.append((u[first], v[first]))
+        us, vs = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs)], names=["u", "v"])
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a crowd with ``to``: the earlier text of the group that each is near, null for those that stay."""
+    for key, rest, more, fp in _groups(batches, 4):
+        rest, more = rest.view(np.uint64), more.view(np.uint64)
+        to, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            left = lo + np.argsort(fp[lo:hi], kind="stable")
+            while len(left) > 1:
+                near = _far(rest, more, left[1:], left[0]) <= CHECKED
+                to[left[1:][near]], known[left[1:][near]] = fp[left[0]], True
+                left = left[1:][~near]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rest.view(np.int64), more.view(np.int64), fp)] + [pa.array(to, mask=~known)], names=["key", "rest", "more", "fp", "to"])
+
+
+def similar_pairs(sketches: DataFrame, width: int, count: int, crowd: int = CROWD) -> DataFrame:
+    """Pairs (u, v), u above v, of fingerprints whose sketches are near; they connect what is near in a group."""
+    spark = sketches.sparkSession
+    dealt = sketches.mapInArrow(_banded(width, count), _BANDED)
+    many = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowds")
+    links = None
+    if not many.isEmpty():
+        parts = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / crowd))
+        rows = spread_join(dealt, many, "key").withColumn("salted", F.xxhash64("key", parts)).select("salted", "rest", "more", "fp", "key")
+        salted = rows.repartition(partitions(spark), "salted").sortWithinPartitions("salted")
+        # the salted key stands for the key while thinning
+        thin = stored(salted.select(F.col("salted").alias("key"), "rest", "more", "fp").mapInArrow(_thinned, f"{_BANDED}, to long"), "crowds-thinned")
+        links = thin.where("to IS NOT NULL").select(F.col("fp").alias("u"), F.col("to").alias("v"))
+        gone = thin.where("to IS NOT NULL").select(F.col("key").alias("salted"), "fp")
+        stay = rows.join(gone, ["salted", "fp"], "left_anti").select("key", "rest", "more", "fp")
+        dealt = dealt.join(many.select("key"), "key", "left_anti").unionByName(stay)
+    found = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "rest").mapInArrow(_similar_pairs, "u long, v long")
+    return found if links is None else found.unionByName(links)
+
+
+def _confirmed(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for b in batches:
+            u, v = [], []
+            for mine, theirs, a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if last[0] != theirs:
+                    last = theirs, shingle_set(c.as_py(), shingle)
+                x = shingle_set(a.as_py(), shingle)
+                both = len(np.intersect1d(x, last[1], assume_unique=True))
+                if both >= similarity * (len(x) + len(last[1]) - both):
+                    u.append(mine)
+                    v.append(theirs)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """The first row of each class of similar texts, with its columns as they are: by id, nulls last, then by hash."""
+    width, count = bands(docs.count(), similarity)
+    keyed = docs.select(F.struct(*own(docs)).alias("row"), row_hash(docs, 1).alias("k1"), row_hash(docs, 2).alias("k2"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
+    kind = keyed.schema["id"].dataType.simpleString()
+    prints = stored(keyed.drop("row").mapInArrow(_sketches(shingle, width * count), f"k1 long, k2 long, id {kind}, fp long, sketch binary"), "sketches")
+    sketches = stored(prints.groupBy("fp").agg(F.first("sketch").alias("sketch")), "sketches-by-set")
+    pairs = stored(similar_pairs(sketches, width, count, crowd).distinct(), "pairs")
+    # the texts of what is compared, one for each set of shingles
+    asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    places = prints.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k")).select("fp", "k.k1", "k.k2")
+    texts = stored(keyed.select("k1", "k2", "body").join(places, ["k1", "k2"]).select("fp", "body").dropDuplicates(["fp"]), "texts")
+    theirs = stored(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(texts.select(F.col("fp").alias("v"), F.col("body").alias("theirs")), "v"), "texts")
+    mine = texts.select(F.col("fp").alias("u"), F.col("body").alias("mine"))
+    both = spread_join(pairs.join(mine, "u"), theirs, "v").select("u", "v", "mine", "theirs")
+    links = stored(both.mapInArrow(_confirmed(shingle, similarity), "u long, v long"), "links")
+    classes = _classes(prints, links, F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("first"))
+    kept = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    # only rows that are the same meet here
+    turn = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
+    return keyed.select("row", "k1", "k2").join(kept, ["k1", "k2"], "left_semi").withColumn("turn", turn).where("turn = 1").select("row.*")
