@@ -1,7 +1,10 @@
 import hashlib
 import html
+import math
 import random
 import re
+import time
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -52,6 +55,76 @@ def test_prefix_sums_over_chunks():
     assert f.likeness(f.fingerprint(text), f.fingerprint(far)) > 0.3
 
 
+M64, M32 = (1 << 64) - 1, (1 << 32) - 1
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def trigger(data, i):
+    """Hash of the last seven bytes up to byte i."""
+    h = 0
+    for back in range(7):
+        c = data[i - back] if i >= back else 0
+        h += c * (8 - back + (1 << 5 * back & M32))
+    h &= M32
+    h = (h ^ h >> 15) * 0x85EBCA6B & M32
+    return h ^ h >> 13
+
+
+def letter(piece):
+    total = 0
+    for k, c in enumerate(piece):
+        total += (c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64)
+    total &= M64
+    mixed = (total ^ total >> 32) * 0xFF51AFD7ED558CCD & M64
+    return ALPHABET[mixed >> 58]
+
+
+def signature(data, size, marks):
+    cuts = [0, *(i + 1 for i in range(len(data)) if marks[i] % size == size - 1)]
+    if len(data) > cuts[-1]:
+        cuts.append(len(data))
+    letters = [letter(data[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    kept = [k for k in range(len(letters)) if k < 3 or len(set(letters[k - 3 : k + 1])) > 1]
+    if len(kept) <= 64:
+        return "".join(letters[k] for k in kept)
+    return "".join(letters[k] for k in kept[:63]) + letter(data[cuts[kept[63]] :])
+
+
+def plain_fingerprint(data):
+    marks = [trigger(data, i) for i in range(len(data))]
+    size = 3
+    while sum(m % (2 * size) == 2 * size - 1 for m in marks) >= 32:
+        size *= 2
+    while len(own := signature(data, size, marks)) < 32 and size > 3:
+        size //= 2
+    return f"{size}:{own}:{signature(data, 2 * size, marks)}"
+
+
+def plain_likeness(a, b):
+    def alike(x, y):
+        if x == y:
+            return 1.0
+        if not x or not y:
+            return 0.0
+        if min(len(x), len(y)) >= 14 and not any(x[k : k + 7] in y for k in range(len(x) - 6)):
+            return 0.0
+        return 1 - levenshtein(x, y) / max(len(x), len(y))
+
+    (sa, a1, a2), (sb, b1, b2) = a.split(":"), b.split(":")
+    if a == b:
+        return 1.0
+    pairs = {1: [(a1, b1), (a2, b2)], 2: [(a1, b2)], 0.5: [(a2, b1)]}.get(int(sa) / int(sb), [])
+    return max((alike(x, y) for x, y in pairs), default=0.0)
+
+
+def test_fingerprint_against_a_plain_one():
+    rng = random.Random(9)
+    for n in (0, 1, 5, 100, 1000, 6000):
+        for alphabet in (b"ab", b"aaaaaaaab", bytes(range(256)), b"the quick brown fox "):
+            text = bytes(rng.choices(alphabet, k=n))
+            assert f.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_report_against_brute_force(docs, rows, no_docs):
     own = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = []
@@ -59,12 +132,21 @@ def test_report_against_brute_force(docs, rows, no_docs):
         text, following = r[1] or "", own[(k + 1) % len(own)][1] or ""
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + following[:quarter]
-        mine, changed = f.fingerprint(text.encode()), f.fingerprint(edited.encode())
-        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), mine, changed, f.likeness(mine, changed), f.likeness(mine, f.fingerprint(following.encode()))))
+        mine, changed, theirs = (plain_fingerprint(t.encode()) for t in (text, edited, following))
+        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), mine, changed, plain_likeness(mine, changed), plain_likeness(mine, theirs)))
     assert sorted(map(tuple, f.report(docs).collect()), key=repr) == sorted(want, key=repr)
     assert f.report(no_docs).count() == 0
 
 
+def test_next_document_of_any_ordered_id(spark):
+    for ids, kind in (([None, "b", "a", "a", "é", "aa", None], "string"), ([2**62 + 1, 2**62, None, 5, 5, -1, 7], "long")):
+        rows = [(i, f"text number {k} " * (k + 3)) for k, i in enumerate(ids)]
+        own = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0 if kind == "long" else r[0] or "", r[1]))
+        want = sorted((repr(r[0]), hashlib.sha256((r[1][: len(r[1]) - (q := len(r[1]) // 4)] + own[(k + 1) % len(own)][1][:q]).encode()).hexdigest()) for k, r in enumerate(own))
+        got = f.report(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)).collect()
+        assert sorted((repr(r.doc_id), r.edited_sha256) for r in got) == want
+
+
 # --- languages ------------------------------------------------------------------
 
 
@@ -87,6 +169,68 @@ def test_backoff_goes_from_words_to_shorter_grams():
     assert m.predict(None) == (g.UNKNOWN, 0.0)
 
 
+def grams(word, order):
+    marked = f"<{word}>"
+    return [marked[k : k + order] for k in range(max(1, len(marked) - order + 1))]
+
+
+class PlainLanguages:
+    """Word-first backoff on dictionaries, one language at a time."""
+
+    def __init__(self, docs):
+        self.n = {}
+        for lang, text in docs:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                for kind, entries in ((0, [w]), *((o, grams(w, o)) for o in (4, 3, 2, 1))):
+                    for e in entries:
+                        own = self.n.setdefault(kind, {}).setdefault(lang, {})
+                        own[e] = own.get(e, 0) + 1
+        self.langs = sorted({lang for lang, _ in docs})
+
+    def log(self, kind, lang, entry):
+        every = {e for own in self.n[kind].values() for e in own} if kind not in self.__dict__.setdefault("sizes", {}) else None
+        if every is not None:
+            self.sizes[kind] = (every, max(sum(own.values()) for own in self.n[kind].values()))
+        known, fullest = self.sizes[kind]
+        own = self.n[kind].get(lang, {})
+        total = self.__dict__.setdefault("totals", {}).setdefault((kind, lang), sum(own.values()) or fullest)
+        return math.log((own.get(entry, 0) + 0.5) / (total + 0.5 * len(known))) if entry in known else None
+
+    def predict(self, text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            return "und", 0.0
+        power = []
+        for lang in self.langs:
+            found = []
+            for w in words:
+                for kind in (0, 4, 3, 2, 1):
+                    logs = [x for e in ([w] if kind == 0 else grams(w, kind)) if (x := self.log(kind, lang, e)) is not None]
+                    if logs:
+                        found.append(sum(logs) / len(logs))
+                        break
+            power.append(sum(found) / len(found) * min(len(words), 20) if found else 0.0)
+        best = max(range(len(power)), key=lambda k: (power[k], -k))
+        return self.langs[best], 1 / sum(math.exp(x - power[best]) for x in power)
+
+
+def test_languages_against_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "lang", "text").collect()
+    plain = PlainLanguages([(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and crc32(str(r.doc_id).encode()) % 4 != 2])
+    got = {r.doc_id: r for r in g.predictions(docs).collect()}
+    for r in rows:
+        lang, score = plain.predict(r.text)
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-9)
+        assert got[r.doc_id].held_out == (crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_many_languages(spark):
+    rows = [(k, f"word{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10 % 10] * 3} shared words here", f"l{k:03d}") for k in range(100) for _ in range(2)]
+    got = g.predictions(spark.createDataFrame([(7 * n, *r[1:]) for n, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert len({r.lang_pred for r in got.collect()}) > 60
+
+
 def test_language_edge_rows(spark, docs, rows, no_docs):
     got = g.predictions(docs).collect()
     assert len(got) == len(rows)
@@ -131,12 +275,53 @@ def test_quality_edge_rows(spark, docs, rows, no_docs):
 
 
 def test_feature_pieces_cover_the_text(monkeypatch):
-    text = bytes(random.Random(6).choices(range(32, 127), k=5000))
+    text = bytes(random.Random(6).choices(b"ab cd\n", k=5000))
     whole = np.sort(np.concatenate(list(q.features(text))))
     monkeypatch.setattr(q, "_PIECE", 64)
     assert np.array_equal(np.sort(np.concatenate(list(q.features(text)))), whole)
 
 
+def plain_features(text):
+    """The same features one at a time: words, pairs, which words of an n-gram stand earlier in it, runs of bytes."""
+
+    def bucket(x, salt):
+        x = (x + salt) * 0x9E3779B1 & M32
+        x ^= x >> 15
+        return (x * 0x85EBCA77 & M32) >> 17
+
+    words = [crc32(w) for w in text.split()]
+    if not words:
+        return []
+    out = [bucket(w, 1) for w in words] + [bucket(a * 31 + b & M32, 2) for a, b in zip(words, words[1:], strict=False)]
+    for n in (2, 4, 8):
+        for k in range(len(words) - n + 1):
+            gram = words[k : k + n]
+            out.append(bucket(sum(1 << j for j in range(n - 1) if gram[n - 1 - j] in gram[: n - 1 - j]) + (n << 16), 5))
+    for n, salt in ((3, 3), (4, 4)):
+        out += [bucket(int.from_bytes(text[k : k + n], "little"), salt) for k in range(len(text) - n + 1)]
+    return sorted(out)
+
+
+def test_quality_against_a_plain_score(spark, sf_dir):
+    rng = random.Random(12)
+    for n in (0, 1, 2, 3, 9, 400):
+        text = bytes(rng.choices(b"abc d e", k=n))
+        assert sorted(np.concatenate([np.zeros(0, np.int64), *q.features(text)]).tolist()) == plain_features(text)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    weights = q.learn(docs, labels, learn_from=q.fold(F.col("id")) != 0).astype(np.float32).astype(float)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in q.classify(docs, labels).collect():
+        found = plain_features((texts[r.doc_id] or "").encode())
+        power = [sum(weights[k][c] for k in found) / max(1, len(found)) + weights[-1][c] for c in (0, 1)]
+        assert r.score == pytest.approx(1 / (1 + math.exp(power[0] - power[1])), abs=1e-6)
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = q.classify(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(got) > 60 and (got["predicted"] == got["quality"]).mean() > 0.95
+
+
 # --- lines ----------------------------------------------------------------------
 
 
@@ -194,6 +379,19 @@ def alike(a, b):
     return len(a) == len(b) and a[: ld.LEAD] == b[: ld.LEAD] and sum(x == y for x, y in zip(a, b, strict=True)) >= ld.SIMILARITY * len(a)
 
 
+def kept_lines(texts):
+    """What is left of each text: all pairs of a leaf, equal lines for the shorter ones."""
+    first, leaves, own = {}, {}, lambda line: masked(line) if len(line.split()) >= ld.MASK_TOKENS else tuple(line.split())
+    for ident in sorted(texts):
+        for line in texts[ident].split("\n"):
+            w = own(line)
+            if w and w not in first:
+                first[w] = ident
+                leaves.setdefault((len(w), w[: ld.LEAD]), []).append(w)
+    keeper = {w: None if len(w) > 4 and any(first[o] < first[w] and alike(o, w) for o in leaf) else first[w] for leaf in leaves.values() for w in leaf}
+    return {i: "\n".join(x for x in t.split("\n") if not own(x) or keeper[own(x)] == i) for i, t in texts.items()}
+
+
 def test_all_pairs_of_each_leaf(spark, sf_dir):
     rng = random.Random(4)
     base = ["we met again " + " ".join(rng.choice("abcdefgh") * 3 for _ in range(k)) for k in (2, 2, 3, 7, 12, 12, 17, 22, 40) for _ in range(2)]
@@ -240,6 +438,36 @@ def test_documents_without_id(spark):
     assert sorted(r.n_dropped for r in ld.report(near).collect()) == [0, 0, 1]
 
 
+def test_lines_alike_only_to_each_other(spark):
+    """Pairs that share their first six words with all others and agree in ten tokens of twelve."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    texts = []
+    for k in range(50):
+        tail = [word() for _ in range(6)]
+        for _ in range(2):
+            own = list(tail)
+            for at in rng.sample(range(6), 1):
+                own[at] = word()
+            texts.append("all of these lines begin alike " + " ".join(own))
+    got = ld.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == set(range(1, 100, 2))
+
+
+def test_lines_of_string_ids_and_odd_columns(spark):
+    df = spark.createDataFrame([("b", "one line here\nmine", 1, {"x": 1}), ("a", "one line here\nalso mine", 2, {"y": 2}), (None, "one line here", 3, None)], "doc_id string, text string, `a.b` int, m map<string,int>")
+    assert {r.doc_id: r.text for r in ld.report(df).collect()} == {"a": "one line here\nalso mine", "b": "mine", None: ""}
+    clean = ld.clean_documents(df)
+    assert clean.columns == df.columns and {tuple(r)[:3] for r in clean.collect()} == {("a", "one line here\nalso mine", 2), ("b", "mine", 1)}
+
+
+def test_a_text_of_many_lines(spark):
+    lines = [f"line of words {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]}{'abcdefghi'[k // 600 % 9]}" for k in range(5000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines, "one more"]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in ld.report(df).collect()}
+    assert got[2].text == "one more" and got[2].n_dropped == 5000
+
+
 # --- pages ----------------------------------------------------------------------
 
 
@@ -260,6 +488,33 @@ def test_elements_without_end_hide_nothing():
     assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds<p>e <math/> f") == ["so x=2 holds", "e f"]
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<b ", '<a x=">"', "<b<b", "<div>x", "<svg>", "<header><li>", "</p></div>", "<", "<!--", "<script", "<a '\"", "<nav class='a b'>x"])
+def test_pages_are_read_in_linear_time(unit):
+    """A megabyte of what never ends, against a tenth of it."""
+    took = []
+    for n in (100_000, 1_000_000):
+        page = unit * (n // len(unit))
+        begin = time.process_time()
+        html_blocks.blocks(page)
+        took.append(time.process_time() - begin)
+    assert took[1] < 40 * took[0] + 2
+
+
+def test_a_page_inside_one_form():
+    page = f"<body><form id='aspnetForm'><nav><a href=/>Home</a></nav><article><h1>A title of some words</h1><p>{'Words of an article that go on for a while. ' * 4}</p></article><footer>(c) us</footer></form></body>"
+    got = html_extract.main_texts([page], html_extract.trained())[0]
+    assert got.startswith("A title of some words\nWords of an article") and "Home" not in got and "(c)" not in got
+
+
+def test_long_pages_are_projected_in_pieces(monkeypatch):
+    rng = random.Random(21)
+    page = html_blocks.blocks("".join(html_extract.synthetic_page(rng) for _ in range(30)))
+    model = html_extract.trained()
+    want = model.label([html_blocks.vectors(page)])[0]
+    monkeypatch.setattr(html_extract, "PIECE", 50)
+    assert np.array_equal(model.label_blocks([page])[0], want)
+
+
 def test_gradients():
     rng = random.Random(3)
     pages = [html_extract.labelled(html_extract.synthetic_page(rng)) for _ in range(3)]
