@@ -16,7 +16,7 @@ def ratios(family: str, text: str) -> None:
 SUM = lambda a, b: f"sum({a}) / nullif(sum({b}), 0)"
 ratios("finance", f"""
 margin_pct: value, cost => (sum(value) - sum(cost)) / nullif(sum(value), 0)
-reconciliation_total: value_a, value_b => sum(value_a) - sum(value_b)
+reconciliation_total: value_a, value_b => sum(value_a - value_b)
 return_on_equity: net_income, equity => {SUM("net_income", "equity")}
 return_on_assets: net_income, assets => {SUM("net_income", "assets")}
 return_on_invested_capital: nopat, invested_capital => {SUM("nopat", "invested_capital")}

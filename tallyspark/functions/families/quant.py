@@ -111,6 +111,7 @@ active_return[P=252]: avg(r - b) * {{P}}
 m2_measure: avg(r) / nullif(stddev_samp(r), 0) * stddev_samp(b)
 appraisal_ratio: {ALPHA} / nullif(sqrt({SSR} / (count(*) - 1)), 0)
 batting_average: avg(CASE WHEN r > b THEN 1e0 ELSE 0e0 END)
+idiosyncratic_volatility: CASE WHEN count(*) > 2 THEN sqrt({SSR} / (count(*) - 2)) END
 alpha_tstat: CASE WHEN count(*) > 2 THEN {ALPHA} / nullif(sqrt({SSR} / (count(*) - 2)) * sqrt(1e0 / count(*) + power(avg(b), 2) / nullif((count(*) - 1) * var_samp(b), 0)), 0) END
 beta_tstat: CASE WHEN count(*) > 2 THEN {BETA} / nullif(sqrt({SSR} / (count(*) - 2)) / nullif(sqrt((count(*) - 1) * var_samp(b)), 0), 0) END
 bull_beta: covar_samp(r, b) FILTER (WHERE b > 0) / nullif(var_samp(b) FILTER (WHERE b > 0), 0)

@@ -271,7 +271,7 @@ source("at_risk", "SELECT g, d, dead, sum(c) OVER (PARTITION BY g ORDER BY d DES
 source("km", "SELECT g, d, dead / (n * 1e0) AS h, exp(sum(CASE WHEN dead >= n THEN -1e9 ELSE ln(1 - dead / (n * 1e0)) END) OVER (PARTITION BY g ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS s FROM {at_risk} s2 WHERE dead > 0")
 DE = "duration=d, event=ev"
 define("stats", DE, """
-km_median_survival: min(d) FILTER (WHERE s <= 0.5e0)
+km_median_survival: min(d) FILTER (WHERE s <= 0.5e0 + 1e-12)
 km_survival_at[t_=1e0]: coalesce(min(s) FILTER (WHERE d <= {t_}), 1e0)
 nelson_aalen_cumhaz[t_=1e0]: coalesce(sum(h) FILTER (WHERE d <= {t_}), 0e0)
 """, source="{km}")

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalogue
-from ..plans.evaluate import ansi_sql, evaluate, lenient, portable
+from ..plans.evaluate import evaluate, lenient, portable
+from .expected import EXPECTED, statement
 from .shapes import SHAPES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,5 +90,5 @@ def oracle_sql() -> dict[str, str]:
     for s in _shapes():
         plain, _ = _split(s)
         if plain:
-            out[f"metrics_{s.name}"] = f"SELECT g, recipe, CASE WHEN abs(value) < 1e-12 THEN 0 WHEN isfinite(value) THEN CAST(CASE WHEN recipe IN ({', '.join(map(repr, LOOSE))}) THEN printf('%.3e', value) ELSE printf('%.8e', value) END AS DOUBLE) END AS value FROM ({ansi_sql(s.relation, plain, s.params)})"
+            out[f"metrics_{s.name}"] = f"SELECT g, recipe, CASE WHEN abs(value) < 1e-12 THEN 0 WHEN isfinite(value) THEN CAST(CASE WHEN recipe IN ({', '.join(map(repr, LOOSE))}) THEN printf('%.3e', value) ELSE printf('%.8e', value) END AS DOUBLE) END AS value FROM ({statement(s.relation, EXPECTED[s.name], plain)})"
     return out

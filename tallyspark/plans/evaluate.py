@@ -120,16 +120,17 @@ def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None =
 
 
 def _guarded(t: DataFrame, rows: DataFrame, ids: list[str], needed: list[str]) -> DataFrame:
-    """Null values for keys with a bad cell in a column that the recipe reads."""
+    """A row for every key and recipe; null values for keys with a bad cell in a column that the recipe reads, or for which it has none."""
     strings = {c for i in ids for c in RECIPES[i].strings}
     floats = {c for c, kind in t.dtypes if kind in ("double", "float")}
     bad = [F.when(F.count_if(F.col(c).isNull() | (F.isnan(c) if c in floats else F.lit(False))) > 0, F.lit(c)) for c in needed if c not in strings]
-    if not bad:
-        return rows.withColumn("degenerate", ~_finite("value"))
-    bads = t.groupBy("g").agg(F.array_compact(F.array(*bad)).alias("bad"))
+    keys = t.groupBy("g").agg(F.array_compact(F.array(*bad)).alias("bad") if bad else F.array().cast("array<string>").alias("bad"))
     reads = F.create_map(*[F.lit(x) for i in ids for x in (i,)] and [y for i in ids for y in (F.lit(i), F.array(*[F.lit(c) for c in RECIPES[i].columns]).cast("array<string>"))])
-    joined = rows.join(bads, "g", "left").withColumn("poisoned", F.coalesce(F.arrays_overlap("bad", F.element_at(reads, F.col("recipe"))), F.lit(False)))
-    value = F.when(~F.col("poisoned") & _finite("value"), F.col("value"))
+    every = keys.select("g", "bad", F.explode(F.array(*map(F.lit, ids))).alias("recipe")).alias("k")
+    found = rows.alias("r")
+    joined = every.join(found, F.col("k.g").eqNullSafe(F.col("r.g")) & (F.col("k.recipe") == F.col("r.recipe")), "left").select("k.g", "k.bad", "k.recipe", "r.value")
+    poisoned = F.coalesce(F.arrays_overlap("bad", F.element_at(reads, F.col("recipe"))), F.lit(False))
+    value = F.when(~poisoned & _finite("value"), F.col("value"))
     return joined.select("g", "recipe", value.alias("value"), value.isNull().alias("degenerate"))
 
 
