@@ -25,10 +25,11 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,8 @@ SMOOTH = 0.5
 KEEP_SCORE = 0.3  # below that, no language stands out
 FOLDS, HELD_OUT = 4, 2
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 4_000_000  # numbers kept for unknown words
+_CACHED = 1_000_000  # numbers kept for unknown words
+_SCHEMA = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("entry", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -84,29 +86,30 @@ class Model:
     exceeds ``base[kind]``, that of an entry never seen.
     """
 
-    def __init__(self, rows: Iterable[tuple[str, int, str, int, int]]):
+    def __init__(self, rows: pa.Table | list[tuple[str, int, str, int, int]]):
         """rows: (language, order or 0 for words, entry, count, count of all of that kind)."""
-        rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: k for k, lang in enumerate(self.langs)}
-        kinds = (0, *ORDERS)
-        self.tables: dict[int, dict[str, int]] = {k: {} for k in kinds}
-        totals = {k: np.zeros(len(self.langs)) for k in kinds}
-        ptr, kind_of = [0], []
-        for lang, kind, entry, _, total in rows:
-            table = self.tables[kind]
-            if entry not in table:
-                table[entry] = len(kind_of)
-                kind_of.append(kind)
-                ptr.append(ptr[-1])
-            ptr[-1] += 1
-            totals[kind][at[lang]] = total
-        self.lang = np.fromiter((at[r[0]] for r in rows), np.int64, len(rows))
-        self.ptr = np.array(ptr)
-        # a language without entries of a kind knows as little as the fullest table lets it
-        totals = {k: np.where(t > 0, t, t.max(initial=0)) + SMOOTH * max(1, len(self.tables[k])) for k, t in totals.items()}
-        self.base = {k: np.log(SMOOTH / t) for k, t in totals.items()}
-        count = np.fromiter((r[3] for r in rows), float, len(rows))
+        if not isinstance(rows, pa.Table):
+            rows = pa.table(dict(zip(_SCHEMA.names, map(list, zip(*rows, strict=True)) if rows else ([],) * 5, strict=True)), schema=_SCHEMA)
+        rows = rows.sort_by([("kind", "ascending"), ("entry", "ascending"), ("lang", "ascending")])
+        lang, kind, entry = rows["lang"].combine_chunks().dictionary_encode(), rows["kind"].to_numpy(), rows["entry"].combine_chunks()
+        count, total = rows["n"].to_numpy(), rows["total"].to_numpy()
+        self.langs = sorted(lang.dictionary.to_pylist())
+        place = {x: k for k, x in enumerate(self.langs)}
+        # languages by their places in code point order
+        self.lang = np.array([place[x] for x in lang.dictionary.to_pylist()], np.int32)[lang.indices.to_numpy()]
+        begins = np.ones(len(rows), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | pc.not_equal(entry[1:], entry[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(begins)
+        self.ptr = np.append(starts, len(rows))
+        self.tables, self.base = {}, {}
+        for k in (0, *ORDERS):
+            low, high = np.searchsorted(kind[starts], [k, k + 1])
+            self.tables[k] = dict(zip(entry.take(pa.array(starts[low:high])).to_pylist(), range(low, high), strict=True))
+            # a language without entries of a kind knows as little as the fullest table lets it
+            totals, own = np.zeros(len(self.langs)), kind == k
+            totals[self.lang[own]] = total[own]
+            totals = np.where(totals > 0, totals, totals.max(initial=0))
+            self.base[k] = np.log(SMOOTH / (totals + SMOOTH * max(1, len(self.tables[k]))))
         self.over = np.log((count + SMOOTH) / SMOOTH)
         self.cache: dict[str, np.ndarray | None] = {}
 
@@ -168,9 +171,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = given.join(F.broadcast(quota) if n_langs <= BROADCAST_LANGS else quota, "lang").where(draw).select("lang", "text")
     counts = stored(sample.mapInArrow(_count, "lang string, kind int, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    # entries of about sample_docs documents
-    found = counts.join(totals, ["lang", "kind"]).select("lang", "kind", "entry", "n", "total").toArrow()
-    return Model(zip(*(c.to_pylist() for c in found.columns), strict=True))
+    # entries of about sample_docs documents, and no more languages than documents
+    return Model(counts.join(F.broadcast(totals), ["lang", "kind"]).select(*_SCHEMA.names).toArrow())
 
 
 _MODELS: dict[str, Model] = {}

@@ -226,9 +226,11 @@ def test_languages_against_a_plain_version(spark, sf_dir):
 
 
 def test_many_languages(spark):
-    rows = [(k, f"word{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10 % 10] * 3} shared words here", f"l{k:03d}") for k in range(100) for _ in range(2)]
-    got = g.predictions(spark.createDataFrame([(7 * n, *r[1:]) for n, r in enumerate(rows)], "doc_id long, text string, lang string"))
-    assert len({r.lang_pred for r in got.collect()}) > 60
+    word = lambda k: f"word{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10 % 10] * 3}{'uvw'[k // 100] * 3}"
+    rows = [(n, f"{word(n // 4)} {word(n // 4)}", f"l{n // 4:03d}") for n in range(1200)]
+    got = g.predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    learned = {lang for n, _, lang in rows if crc32(str(n).encode()) % 4 != 2}
+    assert len(learned) > 250 and all(r.lang_pred == f"l{r.doc_id // 4:03d}" for r in got if f"l{r.doc_id // 4:03d}" in learned)
 
 
 def test_language_edge_rows(spark, docs, rows, no_docs):
