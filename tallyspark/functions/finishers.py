@@ -232,26 +232,38 @@ def _mean_ranks(x: np.ndarray) -> np.ndarray:
 # --- solvers --------------------------------------------------------------------
 
 
+#: ln(1 + rate) of rates from -99.99 % to 10^6.
+LEAST_LOG_RATE, MOST_LOG_RATE = math.log(1e-4), math.log1p(1e6)
+
+
 @finisher
 def solve_irr(flows, times, last: float) -> float | None:
-    """Rate at which dated flows are worth nothing; ``last`` joins the latest flow."""
-    end = max(times)
+    """Rate at which dated flows are worth nothing; ``last`` joins the latest flow.
+
+    The unknown is u = ln(1 + rate). Only the sign of the worth matters, so it is
+    scaled by the largest discount factor and never overflows. The root nearest to
+    a rate of nothing is looked for, in ever wider steps on both sides.
+    """
+    begin, end = min(times), max(times)
     dated = [(cf + (last if k == end else 0), k) for cf, k in zip(flows, times, strict=True)]
     if not any(cf > 0 for cf, _ in dated) or not any(cf < 0 for cf, _ in dated):
         return None
 
-    def worth(rate: float) -> float:
-        try:
-            return math.fsum(cf * (1 + rate) ** -k for cf, k in dated)
-        except OverflowError:
-            return math.copysign(math.inf, next(cf for cf, k in dated if k == end))
-
-    high = 1.0
-    while worth(high) * math.copysign(1, worth(-0.9999)) > 0:
-        high *= 2
-        if high > 1e6:
+    def worth(u: float) -> float:
+        return math.fsum(cf * math.exp(-u * (k - (begin if u > 0 else end))) for cf, k in dated)
+
+    low = high = 0.0
+    step, here = 1 / 64, worth(0.0)
+    if here == 0:
+        return 0.0
+    while True:
+        down, up = max(low - step, LEAST_LOG_RATE), min(high + step, MOST_LOG_RATE)
+        for a, b in ((high, up), (down, low)):
+            if a < b and worth(a) * worth(b) <= 0:
+                return math.expm1(sp.bisect(worth, a, b))
+        if (down, up) == (low, high):
             return None
-    return sp.bisect(lambda r: math.copysign(1, worth(r)) if worth(r) else 0.0, -0.9999, high)
+        low, high, step = down, up, 2 * step
 
 
 @finisher
