@@ -7,13 +7,11 @@ is close to what was produced is taken, and only where the default disagrees.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tolerance import close
-from ..plans.evaluate import evaluate
+from ..plans.evaluate import evaluate_cells
 
 # The recognised variants, most usual first.
 GRIDS: dict[str, list[tuple[str, dict[str, float | int]]]] = {
@@ -47,12 +45,11 @@ def violations() -> list[str]:
 
 
 def cells(inputs: DataFrame, metric: str, key: str = "call_id", bind: dict[str, str] | None = None) -> DataFrame:
-    """Rows (g, cell, value): every variant of the metric for each call."""
-    parts = []
-    for n, (recipe, params) in enumerate(GRIDS[metric]):
-        found = evaluate(inputs, [recipe], {recipe: params}, key, bind)
-        parts.append(found.select("g", F.lit(n).alias("cell"), F.lit(str(params)).alias("convention"), "value"))
-    return reduce(DataFrame.unionByName, parts)
+    """Rows (g, cell, convention, value): every variant of the metric for each call, from one pass for each source relation."""
+    grid = GRIDS[metric]
+    found = evaluate_cells(inputs, [(str(n), recipe, params) for n, (recipe, params) in enumerate(grid)], key, bind)
+    names = F.array(*[F.lit(str(params)) for _, params in grid])
+    return found.withColumn("cell", F.col("recipe").cast("int")).select("g", "cell", F.get(names, F.col("cell")).alias("convention"), "value")
 
 
 def search(produced: DataFrame, found: DataFrame) -> DataFrame:

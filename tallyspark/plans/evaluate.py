@@ -38,19 +38,23 @@ def lenient(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def _grouped(ids: Iterable[str], params: dict[str, dict] | None) -> dict[tuple, list[tuple[Recipe, tuple[str, ...]]]]:
-    """Recipes by source text; those with a finisher stand alone.
+#: A value to compute: its name in the result, the recipe, the recipe's parameters.
+Cell = tuple[str, str, dict]
+
+
+def _grouped(cells: Iterable[Cell]) -> dict[tuple, list[tuple[str, Recipe, tuple[str, ...]]]]:
+    """Cells by source text; those with a finisher stand alone.
 
     Over the bare relation, exact percentiles and distinct counts are aggregated
     apart: they can't be compiled with the others, which then would not be either.
     """
     out: dict[tuple, list] = {}
-    for name in ids:
+    for label, name, params in cells:
         recipe = RECIPES[name]
-        where, exprs = recipe.text(**(params or {}).get(name, {}))
+        where, exprs = recipe.text(**params)
         text = " ".join(exprs)
-        kind = name if recipe.finish else "" if where != "{t}" else "exact" if re.search(r"\b(percentile|median)\(", text) else "distinct" if "DISTINCT" in text else ""
-        out.setdefault((where, kind), []).append((recipe, exprs))
+        kind = label if recipe.finish else "" if where != "{t}" else "exact" if re.search(r"\b(percentile|median)\(", text) else "distinct" if "DISTINCT" in text else ""
+        out.setdefault((where, kind), []).append((label, recipe, exprs))
     return out
 
 
@@ -70,7 +74,7 @@ def _shared_percentiles(exprs: list[str]) -> list[str]:
     return [_PERCENTILE.sub(share, e) for e in exprs]
 
 
-def _finished(wide: DataFrame, recipe: Recipe, n: int) -> DataFrame:
+def _finished(wide: DataFrame, label: str, recipe: Recipe, n: int) -> DataFrame:
     finish = FINISHERS[recipe.finish]
 
     @F.pandas_udf("double")
@@ -83,7 +87,7 @@ def _finished(wide: DataFrame, recipe: Recipe, n: int) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(*columns, strict=True)], dtype="float64")
 
-    return wide.select("g", F.lit(recipe.id).alias("recipe"), value(*(F.col(f"v{k}") for k in range(n))).alias("value"))
+    return wide.select("g", F.lit(label).alias("recipe"), value(*(F.col(f"v{k}") for k in range(n))).alias("value"))
 
 
 def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None = None, key: str = "g", bind: dict[str, str] | None = None) -> DataFrame:
@@ -91,9 +95,15 @@ def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None =
 
     bind: recipe column -> column of ``df`` where the names differ.
     """
+    return evaluate_cells(df, [(i, i, (params or {}).get(i, {})) for i in ids], key, bind)
+
+
+def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: dict[str, str] | None = None) -> DataFrame:
+    """As ``evaluate``, for recipes under names and with parameters of their own; those of one source share a pass."""
     catalogue.load()
-    spark, ids = df.sparkSession, list(ids)
+    spark, cells = df.sparkSession, list(cells)
     bind = bind or {}
+    ids = [name for _, name, _ in cells]
     needed = sorted({c for i in ids for c in RECIPES[i].columns})
     ordered = any(RECIPES[i].ordered for i in ids)
     if ordered and bind.get("pos", "pos") not in df.columns:
@@ -102,31 +112,31 @@ def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None =
     t = df.select(F.col(key).alias("g"), *(F.col(bind.get(c, c)).alias(c) for c in [*needed, *extra]))
     results = []
     with lenient(spark):
-        for (where, _), found in _grouped(ids, params).items():
-            flat = _shared_percentiles([e for _, exprs in found for e in exprs])
-            finish = found[0][0].finish
-            cast = (lambda e: e) if finish else (lambda e: f"CAST({e} AS DOUBLE)")
+        for (where, _), found in _grouped(cells).items():
+            flat = _shared_percentiles([e for _, _, exprs in found for e in exprs])
+            label, recipe, _ = found[0]
+            cast = (lambda e: e) if recipe.finish else (lambda e: f"CAST({e} AS DOUBLE)")
             columns = ", ".join(f"{cast(e)} AS v{k}" for k, e in enumerate(flat))
             register(spark, used(columns + where))
-            mine = sorted({c for r, _ in found for c in r.columns})
+            mine = sorted({c for _, r, _ in found for c in r.columns})
             wide = spark.sql(f"SELECT g, {columns} FROM {where} src GROUP BY g", t=t.select("g", *mine, *extra))
-            if finish:
-                results.append(_finished(wide, found[0][0], len(flat)))
+            if recipe.finish:
+                results.append(_finished(wide, label, recipe, len(flat)))
             else:
-                pairs = ", ".join(f"'{r.id}', v{k}" for k, (r, _) in enumerate(found))
+                pairs = ", ".join(f"'{x}', v{k}" for k, (x, _, _) in enumerate(found))
                 results.append(wide.selectExpr("g", f"stack({len(found)}, {pairs}) AS (recipe, value)"))
         rows = reduce(DataFrame.unionByName, results)
-        return _guarded(t, rows, ids, needed)
+        return _guarded(t, rows, {label: RECIPES[name] for label, name, _ in cells}, needed)
 
 
-def _guarded(t: DataFrame, rows: DataFrame, ids: list[str], needed: list[str]) -> DataFrame:
+def _guarded(t: DataFrame, rows: DataFrame, recipes: dict[str, Recipe], needed: list[str]) -> DataFrame:
     """A row for every key and recipe; null values for keys with a bad cell in a column that the recipe reads, or for which it has none."""
-    strings = {c for i in ids for c in RECIPES[i].strings}
+    strings = {c for r in recipes.values() for c in r.strings}
     floats = {c for c, kind in t.dtypes if kind in ("double", "float")}
     bad = [F.when(F.count_if(F.col(c).isNull() | (F.isnan(c) if c in floats else F.lit(False))) > 0, F.lit(c)) for c in needed if c not in strings]
     keys = t.groupBy("g").agg(F.array_compact(F.array(*bad)).alias("bad") if bad else F.array().cast("array<string>").alias("bad"))
-    reads = F.create_map(*[F.lit(x) for i in ids for x in (i,)] and [y for i in ids for y in (F.lit(i), F.array(*[F.lit(c) for c in RECIPES[i].columns]).cast("array<string>"))])
-    every = keys.select("g", "bad", F.explode(F.array(*map(F.lit, ids))).alias("recipe")).alias("k")
+    reads = F.create_map(*[y for i, r in recipes.items() for y in (F.lit(i), F.array(*[F.lit(c) for c in r.columns]).cast("array<string>"))])
+    every = keys.select("g", "bad", F.explode(F.array(*map(F.lit, recipes))).alias("recipe")).alias("k")
     found = rows.alias("r")
     joined = every.join(found, F.col("k.g").eqNullSafe(F.col("r.g")) & (F.col("k.recipe") == F.col("r.recipe")), "left").select("k.g", "k.bad", "k.recipe", "r.value")
     poisoned = F.coalesce(F.arrays_overlap("bad", F.element_at(reads, F.col("recipe"))), F.lit(False))
@@ -147,12 +157,12 @@ def ansi_sql(relation: str, ids: Iterable[str], params: dict[str, dict] | None =
     """The same values as one statement of ANSI SQL (g, recipe, value), over a SELECT."""
     catalogue.load()
     parts, tails = [f"base AS ({relation})"], []
-    for k, ((where, _), found) in enumerate(_grouped(ids, params).items()):
-        columns = ", ".join(f"CAST({e} AS DOUBLE) AS v{j}" for j, e in enumerate(e for _, exprs in found for e in exprs))
-        mine = sorted({c for r, _ in found for c in r.columns} | ({"pos"} if re.search(r"\bpos\b", relation) else set()))
+    for k, ((where, _), found) in enumerate(_grouped((i, i, (params or {}).get(i, {})) for i in ids).items()):
+        columns = ", ".join(f"CAST({e} AS DOUBLE) AS v{j}" for j, e in enumerate(e for _, _, exprs in found for e in exprs))
+        mine = sorted({c for _, r, _ in found for c in r.columns} | ({"pos"} if re.search(r"\bpos\b", relation) else set()))
         parts.append(f"t{k} AS (SELECT g, {', '.join(mine) or '1 AS one'} FROM base)")
         where = where.replace("{t}", f"t{k}")
         parts.append(f"s{k} AS MATERIALIZED (SELECT g, {columns} FROM {where} src GROUP BY g)")
-        tails += [f"SELECT g, '{r.id}' AS recipe, v{j} AS value FROM s{k}" for j, (r, _) in enumerate(found)]
+        tails += [f"SELECT g, '{x}' AS recipe, v{j} AS value FROM s{k}" for j, (x, _, _) in enumerate(found)]
     text = f"WITH {', '.join(parts)} " + " UNION ALL ".join(tails)
     return re.sub(r"\bpercentile\(", "quantile_cont(", text)
