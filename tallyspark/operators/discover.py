@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import map_metric
+from ..plans.numbering import numbering
 
 # Patterns of reported numbers, context columns, ranks of sources.
 _NAME, _NUMBER = r"[A-Za-z][A-Za-z0-9 _\-/@()]{1,40}?", r"[-+]?\d*\.?\d+%?"
@@ -25,7 +26,6 @@ CONTEXT = ("dataset", "data", "model", "method", "task", "name", "config", "spli
 SOURCE_RANK = {"results-json": 1.0, "results-csv": 0.9, "table": 0.8, "text": 0.6, "prose": 0.45, "stdout": 0.4}
 HEADLINE, TRAINING = ("test", "val", "holdout", "eval", "oos", "dev"), ("train", "training")
 RESULT_FILES = ("results.json", "metrics.json", "result.json", "scores.json", "eval.json")
-MAX_CSV_CLAIMS = 400
 #: Weight of a source in the confidence of its claims, in the order in which they win.
 _TEXT_SOURCES = (("table", TABLE_ROW, 1, 2, 1.0), ("text", KEY_VALUE, 1, 2, 0.85), ("prose", METRIC_VALUE, 1, 2, 0.7), ("prose", VALUE_METRIC, 2, 1, 0.7))
 
@@ -58,7 +58,7 @@ def from_text(texts: DataFrame) -> DataFrame:
     return claims.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "order", "pos")
 
 
-def from_csv(table: DataFrame, location: str, limit: int = MAX_CSV_CLAIMS) -> DataFrame:
+def from_csv(table: DataFrame, location: str) -> DataFrame:
     """Claims of a wide results table: columns named like metrics, rows labelled by id columns."""
     spark = table.sparkSession
     known = spark.createDataFrame([(c,) for c in table.columns], "name string").select("name", map_metric(F.col("name"))["metric"].alias("m")).where("m IS NOT NULL").collect()
@@ -66,9 +66,9 @@ def from_csv(table: DataFrame, location: str, limit: int = MAX_CSV_CLAIMS) -> Da
     labels = [c for c in table.columns if c.lower() in CONTEXT]
     if not metrics:
         return table.limit(0).select(*(F.lit(None).cast(t).alias(c) for c, t in (("metric", "string"), ("value", "string"), ("context", "string"), ("location", "string"), ("source", "string"), ("confidence", "double"), ("split", "string"))))
-    context = F.substring(F.concat_ws(" ", *(F.when(F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`").cast("string") != ""), F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string"))) for c in labels)), 1, 90)
+    context = F.concat_ws(" ", *(F.when(F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`").cast("string") != ""), F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string"))) for c in labels))
     cells = table.select(context.alias("ctx"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in metrics])).alias("x")).where("x.v IS NOT NULL AND x.v != ''")
-    numeric = cells.where(F.col("x.v").try_cast("double").isNotNull()).limit(limit)
+    numeric = cells.where(F.col("x.v").try_cast("double").isNotNull())
     placed = numeric.withColumn("location", F.concat(F.lit(f"{location}::"), F.col("x.name"), F.when(F.col("ctx") != "", F.concat(F.lit(" ["), "ctx", F.lit("]"))).otherwise("")))
     return _claim(placed, F.col("x.name"), F.col("x.v"), F.lit("results-csv"), F.lit(1.0), F.col("ctx")).withColumn("confidence", F.lit(0.85)).withColumn("split", F.lit(None).cast("string"))
 
@@ -85,9 +85,8 @@ def discover(parts: list[DataFrame]) -> DataFrame:
     both = reduce(DataFrame.unionByName, parts)
     best = Window.partitionBy("metric", "value", "context").orderBy(F.desc("confidence"), "source", "location")
     kept = both.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
-    # one number for all claims: their order is global by definition
-    order = Window.orderBy(F.desc("confidence"), "metric", "value", "context", "location")
-    numbered = kept.withColumn("id", F.concat(F.lit("d"), F.row_number().over(order) - 1, F.lit("_"), F.col("metric")))
+    order = [F.desc("confidence"), F.asc("metric"), F.asc("value"), F.asc("context"), F.asc("location")]
+    numbered = numbering(kept, order, "place").withColumn("id", F.concat(F.lit("d"), F.col("place"), F.lit("_"), F.col("metric"))).drop("place")
     return numbered.withColumn("confidence", F.when(F.col("split").isin(*TRAINING), F.bround(F.col("confidence") * 0.5, 3)).otherwise(F.col("confidence")))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue, naming
@@ -137,18 +137,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _slots(e: Column) -> Column:
+    """(slot, weight) of a vector's slots that aren't empty, heaviest first."""
+    full = F.filter(F.transform(e, lambda w, k: F.struct((-w).alias("order"), k.alias("slot"), w.alias("weight"))), lambda s: s["weight"] > 0)
+    return F.array_sort(full)
+
+
 def lookup(queries: DataFrame, store: DataFrame) -> DataFrame:
     """The stored formula of each query: by name or alias, else the most similar text.
 
-    queries: name; store: metric, aliases, text, expression. The store is a
-    catalogue of formulas; it is compared with all queries by its embeddings.
+    queries: name; store: metric, aliases, text, expression. A text as similar as
+    ``SIMILAR`` has one of the query's heaviest slots: those whose removal leaves a
+    vector shorter than that. So they meet by slot, and only such pairs are compared.
     """
     q = queries.select(F.lower(F.trim("name")).alias("name")).distinct()
     named = store.select("metric", F.explode(F.array_union(F.array("metric"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"), "expression")
     exact = q.join(named, F.lower("alias") == F.col("name")).groupBy("name").agg(F.min_by(F.struct("metric", "expression"), "metric").alias("x")).select("name", "x.*", F.lit(1.0).alias("score"))
     rest = q.join(exact, "name", "left_anti").withColumn("e", embed(F.col("name")))
-    scored = rest.join(store.select("metric", "expression", embed(F.concat_ws(" ", "metric", F.concat_ws(" ", "aliases"), "text")).alias("f")), F.lit(True)).withColumn("score", cosine(F.col("e"), F.col("f")))
-    best = scored.groupBy("name").agg(F.max_by(F.struct("metric", "expression", "score"), F.struct("score", "metric")).alias("x")).select("name", "x.*").where(F.col("score") >= SIMILAR)
+    formulas = store.select("metric", "expression", embed(F.concat_ws(" ", "metric", F.concat_ws(" ", "aliases"), "text")).alias("f"))
+    slots = rest.select("name", "e", F.posexplode(_slots(F.col("e"))).alias("k", "s"))
+    heavier = F.coalesce(F.sum(F.col("s.weight") * F.col("s.weight")).over(Window.partitionBy("name").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    # what is left without the slots before this one is still as long as SIMILAR
+    wanted = slots.withColumn("before", heavier).where(1 - F.col("before") >= SIMILAR * SIMILAR - 1e-9).select("name", "e", "s.slot")
+    held = formulas.select("metric", "expression", "f", F.explode(_slots(F.col("f"))).alias("s")).select("metric", "expression", "f", "s.slot")
+    pairs = wanted.join(held, "slot").dropDuplicates(["name", "metric", "expression"])
+    scored = pairs.withColumn("score", cosine(F.col("e"), F.col("f"))).where(F.col("score") >= SIMILAR)
+    best = scored.groupBy("name").agg(F.max_by(F.struct("metric", "expression", "score"), F.struct("score", "metric")).alias("x")).select("name", "x.*")
     return exact.unionByName(best)
 
 
@@ -177,16 +191,13 @@ def cap_modified(verdicts: DataFrame, modified: Column) -> DataFrame:
 
 def verify_head(claims: DataFrame, n: int) -> DataFrame:
     """``claims`` with ``deep``: whether a claim is among the n most salient; the rest stays discovered."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("salience"), "metric", "value", "id")
-    return claims.withColumn("deep", F.row_number().over(order) <= n)
+    # n rows
+    head = claims.orderBy(F.desc("salience"), "metric", "value", "id").limit(n).select("id", F.lit(True).alias("deep"))
+    return claims.join(F.broadcast(head), "id", "left").withColumn("deep", F.coalesce("deep", F.lit(False)))
 
 
 def strided(rows: DataFrame, cap: int, key: str = "dataset", order: str = "pos") -> DataFrame:
     """At most ``cap`` rows of each key at an even stride: a bounded estimate, where one is wanted."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key)
     numbered = rows.withColumns({"__n": F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy(order)) - 1})
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / cap))

@@ -78,7 +78,10 @@ def bind(claims: DataFrame, calls: DataFrame) -> DataFrame:
         *(F.when(F.first("status") != "ambiguous", F.first(x)).alias(x) for x in ("call_id", "result", "sink", "n")),
         F.max("left").alias("candidates"),
     )
-    return claims.select("id").crossJoin(F.broadcast(runs)).join(one, ["id", "run_index"], "left").withColumn("status", F.coalesce("status", F.lit("unbound")))
+    # every claim gets a row for each run: the runs are one array, gathered from a distinct count of small numbers
+    numbers = runs.agg(F.sort_array(F.collect_set("run_index")).alias("runs"))
+    every = claims.select("id", F.lit(1).alias("one")).join(numbers.withColumn("one", F.lit(1)), "one").select("id", F.explode("runs").alias("run_index"))
+    return every.join(one, ["id", "run_index"], "left").withColumn("status", F.coalesce("status", F.lit("unbound")))
 
 
 def scope_options(claims: DataFrame, calls: DataFrame) -> DataFrame:
