@@ -42,17 +42,21 @@ source("problems", "SELECT g, problem, count(*) AS n, count_if(correct <> 0) AS
 source("upto_k", " UNION ALL ".join(f"SELECT {i} AS i" for i in range(100)))
 source("misses", "SELECT p.g, p.problem, min(p.n) AS n, min(p.c) AS c, sum(CASE WHEN p.n - p.c - u.i > 0 THEN ln((p.n - p.c - u.i) / (p.n - u.i * 1e0)) END) AS lost FROM {problems} p JOIN {upto_k} u ON u.i < {k} GROUP BY p.g, p.problem")
 define("llm-eval", "problem=problem', correct=correct", "pass_at_k[k=1]: CASE WHEN min(n) >= {k} THEN avg(CASE WHEN n - c < {k} THEN 1e0 ELSE 1 - exp(lost) END) END", source="{misses}")
-define("llm-eval", "prediction=tp', reference=tr'", """
-wer: sum(token_edits(tp, tr)) / nullif(sum(token_count(tr)), 0)
+# words between blanks of any kind; letters and digits of any script, without articles
+WORDS = lambda c: f"filter(split({c}, '(?U)\\\\s+'), w -> w <> '')"
+COUNT = lambda c: f"size({WORDS(c)})"
+PLAIN = lambda c: f"filter(split(lower({c}), '[^\\\\pL\\\\pN]+'), w -> w NOT IN ('', 'a', 'an', 'the'))"
+define("llm-eval", "prediction=tp', reference=tr'", f"""
+wer: sum(token_edits(tp, tr)) / nullif(sum({COUNT("tr")}), 0)
 token_f1: avg(token_f1_score(tp, tr))
-token_jaccard: avg(token_jaccard_score(tp, tr))
-token_dice: avg(token_dice_score(tp, tr))
+token_jaccard: avg(coalesce(size(array_intersect({WORDS("tp")}, {WORDS("tr")})) / nullif(size(array_union({WORDS("tp")}, {WORDS("tr")})), 0), 1e0))
+token_dice: avg(coalesce(2e0 * size(array_intersect({WORDS("tp")}, {WORDS("tr")})) / nullif(size(array_distinct({WORDS("tp")})) + size(array_distinct({WORDS("tr")})), 0), 1e0))
 indel_similarity: avg(indel_score(tp, tr))
 jaro_similarity: avg(jaro_score(tp, tr))
 jaro_winkler_similarity: avg(jaro_winkler_score(tp, tr))
 longest_common_subsequence: avg(lcs_length(tp, tr))
 """)
-define("variants", "prediction=tp', reference=tr'", """
-exact_match_normalized: avg(normalized_match(tp, tr))
-cer: sum(char_edits(tp, tr)) / nullif(sum(length(tr)), 0)
+define("variants", "prediction=tp', reference=tr'", f"""
+exact_match_normalized: avg(CASE WHEN {PLAIN("tp")} = {PLAIN("tr")} THEN 1e0 ELSE 0e0 END)
+cer: sum(levenshtein(tp, tr)) / nullif(sum(length(tr)), 0)
 """)

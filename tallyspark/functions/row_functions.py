@@ -49,16 +49,6 @@ def token_f1_score(p: str, r: str) -> float:
     return 2 * shared / (len(a) + len(b))
 
 
-def token_jaccard_score(p: str, r: str) -> float:
-    a, b = set(p.split()), set(r.split())
-    return len(a & b) / len(a | b) if a or b else 1.0
-
-
-def token_dice_score(p: str, r: str) -> float:
-    a, b = set(p.split()), set(r.split())
-    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
-
-
 def indel_score(p: str, r: str) -> float:
     return 2 * _lcs(p, r) / (len(p) + len(r)) if p or r else 1.0
 
@@ -108,12 +98,7 @@ ROW_FUNCTIONS: dict[str, tuple[Callable, int]] = {
     "norm_ppf": (sp.norm_ppf, 1),
     "implied_vol": (implied_vol, 6),
     "token_edits": (lambda p, r: float(_edits(r.split(), p.split())), 2),
-    "char_edits": (lambda p, r: float(_edits(list(r), list(p))), 2),
-    "normalized_match": (lambda p, r: float(_normalised(p) == _normalised(r)), 2),
-    "token_count": (lambda r: float(len(r.split())), 1),
     "token_f1_score": (token_f1_score, 2),
-    "token_jaccard_score": (token_jaccard_score, 2),
-    "token_dice_score": (token_dice_score, 2),
     "indel_score": (indel_score, 2),
     "jaro_score": (jaro_score, 2),
     "jaro_winkler_score": (jaro_winkler_score, 2),

@@ -926,9 +926,22 @@ EXPECTED["answers"] = Expected(
     """,
     relations=("SELECT g, avg(rate) AS solved FROM (SELECT g, problem, avg(correct) AS rate FROM rows_ GROUP BY g, problem) GROUP BY g",),
 )
+def tokens(c: str, by: str = "\\s+") -> str:
+    return f"list_filter(string_split_regex({c}, '{by}'), lambda w: w <> '')"
+
+
+def plain(c: str) -> str:
+    return f"list_filter({tokens(f'lower({c})', '[^\\pL\\pN]+')}, lambda w: w NOT IN ('a', 'an', 'the'))"
+
+
+_BOTH = f"len(list_intersect({tokens('$tp')}, {tokens('$tr')}))"
 EXPECTED["strings"] = Expected(
     "tp tr",
     f"""
+    token_jaccard: {mean(f"{_BOTH} / len(list_distinct(list_concat({tokens('$tp')}, {tokens('$tr')})))")}
+    token_dice: {mean(f"2 * {_BOTH} / (len(list_distinct({tokens('$tp')})) + len(list_distinct({tokens('$tr')})))")}
+    exact_match_normalized: {share(f"{plain('$tp')} = {plain('$tr')}")}
+    cer: {total("editdist3($tp, $tr)")} / {total("length($tr)")}
     levenshtein_similarity: {mean("1 - editdist3($tp, $tr) / greatest(length($tp), length($tr))")}
     exact_match: {share("trim($tp) = trim($tr)")}
     """,

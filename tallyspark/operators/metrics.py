@@ -50,12 +50,15 @@ def unbound() -> list[str]:
 
 #: Second differences of sums that agree in most digits.
 LOOSE = ("effective_convexity",)
+HAIR = 1 + 1e-12
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Nine significant digits (four for LOOSE), zero below 1e-12: sums of doubles depend on their order."""
     df = df.withColumn("value", F.when(F.abs("value") < 1e-12, 0.0).otherwise(F.col("value")))
-    shown = F.when(F.col("recipe").isin(*LOOSE), F.format_string("%.3e", F.col("value"))).otherwise(F.format_string("%.8e", F.col("value")))
+    # a hair up, so that values that end in a five are rounded alike everywhere
+    value = F.col("value") * HAIR
+    shown = F.when(F.col("recipe").isin(*LOOSE), F.format_string("%.3e", value)).otherwise(F.format_string("%.8e", value))
     return df.withColumn("value", shown.cast("double")).withColumn("value", F.when(F.col("degenerate"), None).otherwise(F.col("value"))).drop("degenerate")
 
 
@@ -90,5 +93,5 @@ def oracle_sql() -> dict[str, str]:
     for s in _shapes():
         plain, _ = _split(s)
         if plain:
-            out[f"metrics_{s.name}"] = f"SELECT g, recipe, CASE WHEN abs(value) < 1e-12 THEN 0 WHEN isfinite(value) THEN CAST(CASE WHEN recipe IN ({', '.join(map(repr, LOOSE))}) THEN printf('%.3e', value) ELSE printf('%.8e', value) END AS DOUBLE) END AS value FROM ({statement(s.relation, EXPECTED[s.name], plain)})"
+            out[f"metrics_{s.name}"] = f"SELECT g, recipe, CASE WHEN abs(value) < 1e-12 THEN 0 WHEN isfinite(value) THEN CAST(CASE WHEN recipe IN ({', '.join(map(repr, LOOSE))}) THEN printf('%.3e', value * {HAIR!r}::DOUBLE) ELSE printf('%.8e', value * {HAIR!r}::DOUBLE) END AS DOUBLE) END AS value FROM ({statement(s.relation, EXPECTED[s.name], plain)})"
     return out

@@ -74,10 +74,11 @@ def bleu(df: DataFrame, max_order: int = 4, tokenize: str = "none", smooth: str
 
 
 def rouge_n(df: DataFrame, n: int, lowercase: bool = True, key: str = "g") -> DataFrame:
-    """Mean ROUGE-n F over pairs: rows (g, value)."""
-    per = clipped(df, n, "none", lowercase, key).where(F.col("n") == n)
-    f = F.when(F.col("shared") > 0, 2 * F.col("shared") / (F.col("cand") + F.col("ref"))).otherwise(0.0)
-    return per.groupBy("g").agg(F.avg(f).alias("value"))
+    """Mean ROUGE-n F over pairs, 0 for those without a shared n-gram: rows (g, value)."""
+    per = clipped(df, n, "none", lowercase, key).where((F.col("n") == n) & (F.col("shared") > 0))
+    f = per.groupBy("g").agg(F.sum(2 * F.col("shared") / (F.col("cand") + F.col("ref"))).alias("f"))
+    pairs = df.select(F.col(key).alias("g"), "pair").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(f, "g", "left").select("g", (F.coalesce("f", F.lit(0.0)) / F.col("n")).alias("value"))
 
 
 @F.pandas_udf(T.DoubleType())
