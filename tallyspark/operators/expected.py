@@ -106,7 +106,73 @@ def statement(relation: str, shape: Expected, ids: tuple[str, ...]) -> str:
     return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT g, '{i}' AS recipe, v{k} AS value FROM wide" for k, i in enumerate(ids))
 
 
+def rank_of(column: str, partition: str = "g") -> str:
+    """Mean rank among equals."""
+    return f"rank() OVER (PARTITION BY {partition} ORDER BY {column}) + (count(*) OVER (PARTITION BY {partition}, {column}) - 1) / 2"
+
+
 PI = "3.141592653589793"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """The body with a value computed once under a name."""
+    return f"list_transform([({value})::DOUBLE], lambda {name}: {body})[1]"
+
+
+def upper_tail(z: str) -> str:
+    """Chance of a standard normal above ``z`` >= 0: a series near zero, a continued fraction beyond."""
+    series = f"list_sum(list_transform(range(60), lambda k: CASE WHEN zz > 0 THEN exp((2 * k + 1) * ln(zz) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln({PI}) / 2) ELSE 0 END))"
+    fraction = "list_reduce(list_prepend(zz, list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda below, k: zz + k / below)"
+    return let("zz", z, f"CASE WHEN zz < 3 THEN 0.5 - exp(-zz * zz / 2) / sqrt(2 * {PI}) * {series} ELSE exp(-zz * zz / 2) / sqrt(2 * {PI}) / {fraction} END")
+
+
+def normal(z: str) -> str:
+    """Distribution function of the standard normal."""
+    return let("z0", z, f"CASE WHEN z0 > 0 THEN 1 - {upper_tail('abs(z0)')} ELSE {upper_tail('abs(z0)')} END")
+
+
+def normal_quantile(p: str) -> str:
+    """Its inverse: a rational start (Abramowitz and Stegun 26.2.23), then Newton steps."""
+    begin = "t0 - (2.515517 + 0.802853 * t0 + 0.010328 * t0 * t0) / (1 + 1.432788 * t0 + 0.189269 * t0 * t0 + 0.001308 * t0 * t0 * t0)"
+    step = lambda x: f"{x} + ({upper_tail(x)} - q0) * sqrt(2 * {PI}) * exp({x} * {x} / 2)"
+    body = let("x1", begin, let("x2", step("x1"), let("x3", step("x2"), f"sign(p0 - 0.5) * ({step('x3')})")))
+    return let("p0", p, let("q0", "least(p0, 1 - p0)", let("t0", "sqrt(-2 * ln(q0))", f"CASE WHEN p0 = 0.5 THEN 0 ELSE {body} END")))
+
+
+def chi_square_tail(x: str, df: str) -> str:
+    """Chance of more than ``x``, for whole degrees of freedom: finite sums."""
+    even = "list_sum(list_transform(range((d0 / 2)::BIGINT), lambda j: CASE WHEN h0 > 0 THEN exp(j * ln(h0) - h0 - lgamma(j + 1)) ELSE (j = 0)::INT END))"
+    odd = f"2 * {upper_tail('sqrt(2 * h0)')} + coalesce(list_sum(list_transform(range(1, ((d0 + 1) / 2)::BIGINT), lambda j: exp((j - 0.5) * ln(h0) - h0 - lgamma(j + 0.5)))), 0)"
+    return let("h0", f"greatest(({x}) / 2, 0)", let("d0", df, f"CASE WHEN d0 % 2 = 0 THEN {even} ELSE {odd} END"))
+
+
+def student_tail(t: str, df: str) -> str:
+    """Chance of more than ``t`` >= 0 on either side: Simpson's rule over the angle atan(t / sqrt(df))."""
+    begin, steps = "atan(u0 / sqrt(d1))", 4000
+    end = f"CASE WHEN d1 < 200 THEN {PI} / 2 ELSE atan((u0 + 40 / (u0 + 4.5)) / sqrt(d1)) END"
+    weight = f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    height = f"(CASE WHEN cos(a0 + k * (a1 - a0) / {steps}) > 0 THEN exp((d1 - 1) * ln(cos(a0 + k * (a1 - a0) / {steps}))) ELSE 0 END)"
+    area = f"list_sum(list_transform(range({steps} + 1), lambda k: {weight} * {height})) * (a1 - a0) / {steps} / 3"
+    return let("u0", t, let("d1", df, let("a0", begin, let("a1", end, f"2 * exp(lgamma((d1 + 1) / 2) - lgamma(d1 / 2)) / sqrt({PI}) * {area}"))))
+
+
+def bisected(term: str, lo: str, hi: str, steps: int = 90) -> str:
+    """Root of a term in ``u`` that changes sign between two places."""
+    at = lambda u: term.replace("@", u)
+    half = "(b0.lo + b0.hi) / 2"
+    move = f"CASE WHEN ({at('b0.lo')}) * ({at(f'({half})')}) <= 0 THEN {{'lo': b0.lo, 'hi': {half}}} ELSE {{'lo': {half}, 'hi': b0.hi}} END"
+    none = "{'lo': 0::DOUBLE, 'hi': 0::DOUBLE}"
+    found = f"list_reduce(list_prepend({{'lo': ({lo})::DOUBLE, 'hi': ({hi})::DOUBLE}}, list_transform(range({steps}), lambda k: {none})), lambda b0, b1: {move})"
+    return f"CASE WHEN ({at(f'({lo})')}) * ({at(f'({hi})')}) <= 0 THEN list_transform([{found}], lambda b2: (b2.lo + b2.hi) / 2)[1] END"
+
+
+def subsequence(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two lists, a row of lengths at a time."""
+    rows = f"list_prepend(list_transform({b}, lambda y: 0), list_transform({a}, lambda x: list_transform({b}, lambda y: (x = y)::INT)))"
+    best = "CASE WHEN hit[k] = 1 THEN coalesce(old[k - 1], 0) + 1 ELSE old[k] END"
+    return f"coalesce(list_reduce({rows}, lambda old, hit: list_transform(range(1, len(old) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: {best}))))[-1], 0)"
+
+
 EXPECTED: dict[str, Expected] = {}
 
 # --- returns ---------------------------------------------------------------------
@@ -206,6 +272,15 @@ EXPECTED["returns"] = Expected(
     max_to_sum_ratio: {top("$x * $x")} / {total("$x * $x")}
     rescaled_range: (greatest(0, list_max(walk)) - least(0, list_min(walk))) / list_stddev_pop(x)
     hurst_rs: hurst
+    parametric_var: 1.6448536269514722 * sd - mu
+    parametric_es: sd * exp(-pow(1.6448536269514722, 2) / 2) / sqrt(2 * {PI}) / 0.05 - mu
+    probabilistic_sharpe_ratio: {normal("sr * sqrt(n - 1) / wide_sr")}
+    deflated_sharpe: {normal(f"(sr - 0.1 * (0.42278433509846714 * 1.2815515655446004 + 0.5772156649015329 * {normal_quantile('1 - exp(-1) / 10')})) * sqrt(n - 1) / wide_sr")}
+    cornish_fisher_var: cfv
+    modified_sharpe_ratio: CASE WHEN cfv > 0 THEN mu / cfv END
+    kupiec_pof: {chi_square_tail("-2 * (fails * ln(0.01) + (n - fails) * ln(0.99) - fails * ln(fails / n) - (n - fails) * ln(1 - fails / n))", "1")}
+    christoffersen_independence: {chi_square_tail("markov", "1")}
+    christoffersen_cc: {chi_square_tail("markov - 2 * (fails * ln(0.01) + (n - fails) * ln(0.99) - fails * ln(fails / n) - (n - fails) * ln(1 - fails / n))", "2")}
     """,
     windows=(
         "product(1 + r) OVER (PARTITION BY g ORDER BY pos) AS eq, avg(x) OVER (PARTITION BY g) AS mx, quantile_cont(r, 0.05) OVER (PARTITION BY g) AS tail_lo, row_number() OVER (PARTITION BY g ORDER BY pos) AS rn",
@@ -245,7 +320,23 @@ EXPECTED["returns"] = Expected(
             "m4": mean("pow($r - mu, 4)"),
         },
         {"bta": "crb / sbb", "alf": "mu - crb / sbb * mb", "worst": mean("$r", "$r <= q05"), "skew": "m3 / pow(m2, 1.5)", "kurt": "m4 / (m2 * m2) - 3"},
-        {"sse": total("pow($r - alf - bta * $b, 2)")},
+        {
+            "sse": total("pow($r - alf - bta * $b, 2)"),
+            "sr": "mu / sd",
+            "wide_sr": "sqrt(1 - skew * mu / sd + (kurt + 2) / 4 * pow(mu / sd, 2))",
+            "zc": "-1.6448536269514722",
+            "fails": count("$flag = 1"),
+            "t00": count("i > 1 AND flag[i - 1] = 0 AND $flag = 0"),
+            "t01": count("i > 1 AND flag[i - 1] = 0 AND $flag = 1"),
+            "t10": count("i > 1 AND flag[i - 1] = 1 AND $flag = 0"),
+            "t11": count("i > 1 AND flag[i - 1] = 1 AND $flag = 1"),
+        },
+        {
+            "cfv": "-(mu + sd * (zc + (zc * zc - 1) * skew / 6 + (pow(zc, 3) - 3 * zc) * kurt / 24 - (2 * pow(zc, 3) - 5 * zc) * skew * skew / 36))",
+            # twice the log likelihood by the state before, less that of one rate
+            "markov": "2 * (coalesce(t00 * ln(nullif(t00, 0) / (t00 + t01)), 0) + coalesce(t01 * ln(nullif(t01, 0) / (t00 + t01)), 0) + coalesce(t10 * ln(nullif(t10, 0) / (t10 + t11)), 0) + coalesce(t11 * ln(nullif(t11, 0) / (t10 + t11)), 0)"
+            " - (t00 + t10) * ln((t00 + t10) / (n - 1)) - (t01 + t11) * ln((t01 + t11) / (n - 1)))",
+        },
     ),
 )
 
@@ -650,7 +741,7 @@ EXPECTED["columns"] = Expected(
 # --- pairs -----------------------------------------------------------------------
 _LAG = "list_sum(list_transform(places[{k} + 1:], lambda i: (x[i] - mx) * (x[i - {k}] - mx))) / sxx"
 EXPECTED["pairs"] = Expected(
-    "x y d ev sc",
+    "x y d ev sc rx ry",
     f"""
     skewness: sk
     kurtosis: ku
@@ -691,8 +782,14 @@ EXPECTED["pairs"] = Expected(
     arch_lm: (n - 1) * arch
     runs_test: CASE WHEN n >= 50 THEN runs - expected_runs WHEN runs - expected_runs > 0.5 THEN runs - expected_runs - 0.5 WHEN runs - expected_runs < 0.5 THEN runs - expected_runs + 0.5 ELSE 0 END / sqrt((expected_runs - 1) * (expected_runs - 2) / (n - 1))
     permutation_entropy: perm
+    jarque_bera: exp(-n / 12 * (sk * sk + ku * ku / 4))
+    confidence_interval: tq * sqrt(sxx / (n - 1) / n)
+    anderson_darling: -n - {total("(2 * i - 1) * ln(low_[i]) + (2 * (n - i) + 1) * ln(high_[i])")} / n
+    gaussian_rank_correlation: {total("$nx * $ny")} / {total("pow($ni, 2)")}
+    ljung_box: {chi_square_tail(f"n * (n + 2) * list_sum(list_transform(range(1, least(11, n)::BIGINT), lambda k: pow({_LAG.format(k='k')}, 2) / (n - k)))", "least(10, n - 1)")}
+    partial_autocorrelation: {_LAG.format(k=1)}
     """,
-    windows=("count(*) OVER (PARTITION BY g ORDER BY y) AS upto_y, count(*) OVER (PARTITION BY g ORDER BY y DESC) AS from_y, count(*) OVER (PARTITION BY g) AS nn, row_number() OVER (PARTITION BY g ORDER BY x, pos) AS along",),
+    windows=("count(*) OVER (PARTITION BY g ORDER BY y) AS upto_y, count(*) OVER (PARTITION BY g ORDER BY y DESC) AS from_y, count(*) OVER (PARTITION BY g) AS nn, row_number() OVER (PARTITION BY g ORDER BY x, pos) AS along, " + rank_of("x") + " AS rx, " + rank_of("y") + " AS ry",),
     relations=(
         "SELECT g, 1 - any_value(nn) * sum(abs(step)) / (2.0 * sum(from_y * (nn - from_y))) AS xi FROM (SELECT *, upto_y - lag(upto_y) OVER (PARTITION BY g ORDER BY along) AS step FROM rows_) GROUP BY g",
         "SELECT g, count(*)::DOUBLE AS pairs, count(*) FILTER (a > 0 AND b > 0 OR a < 0 AND b < 0)::DOUBLE AS con, count(*) FILTER (a > 0 AND b < 0 OR a < 0 AND b > 0)::DOUBLE AS dis, count(*) FILTER (a = 0)::DOUBLE AS tx, count(*) FILTER (b = 0)::DOUBLE AS ty, median(b / a) FILTER (a <> 0) AS slope_all "
@@ -741,6 +838,15 @@ EXPECTED["pairs"] = Expected(
         },
         {"ww": "sqrt(2 * beta2 - 2) - 1", "aa": "6 + 8 / sb1 * (2 / sb1 + sqrt(1 + 4 / (sb1 * sb1)))", "xk": "(m4 / (m2 * m2) - 3 * (n - 1) / (n + 1)) / sqrt(vb2)"},
         {"zs": "asinh(sk * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / sqrt(2 / (ww - 1))) / sqrt(ln(ww) / 2)", "den": "1 + xk * sqrt(2 / (aa - 4))"},
+        {
+            "low_": each(normal("(xs[i] - mx) / sqrt(sxx / (n - 1))")),
+            "high_": each(normal("(mx - xs[i]) / sqrt(sxx / (n - 1))")),
+            "nx": each(normal_quantile("$rx / (n + 1)")),
+            "ny": each(normal_quantile("$ry / (n + 1)")),
+            "ni": each(normal_quantile("i / (n + 1)")),
+            # the two-sided tail of Student's distribution is 0.05 there
+            "tq": bisected(f"{student_tail('@', 'n - 1')} - 0.05", "1.9", "60", 50),
+        },
         {"zk": "(1 - 2 / (9 * aa) - sign(den) * pow((1 - 2 / aa) / abs(den), 1.0 / 3)) / sqrt(2 / (9 * aa))"},
     ),
 )
@@ -757,20 +863,41 @@ EXPECTED["squares"] = Expected(
     relative_risk: (c11 / (c11 + c12)) / (c21 / (c21 + c22))
     chi_square_statistic: n * pow(abs(c11 * c22 - c12 * c21) - n / 2, 2) / ((c11 + c12) * (c21 + c22) * (c11 + c21) * (c12 + c22))
     g_test_statistic: 2 * gt
+    g_test: {chi_square_tail("2 * gt", "1")}
+    chi_square: {chi_square_tail("n * CASE WHEN c11 * c22 = c12 * c21 THEN 0 ELSE pow(abs(c11 * c22 - c12 * c21) - n / 2, 2) END / ((c11 + c12) * (c21 + c22) * (c11 + c21) * (c12 + c22))", "1")}
+    fisher_exact: list_sum(list_filter(chances, lambda w: w <= seen * 1.0000001)) / list_sum(chances)
+    srm_pvalue: {chi_square_tail("pow(c11 + c12 - n / 2, 2) / (n / 4)", "1")}
     """,
     relations=(f"SELECT g, sum(k * ln(k * all_ / (ka * kb))) AS gt FROM ({cells('grp', 'outcome')}) GROUP BY g",),
     layers=(
         {"g1": "list_min(grp)", "o1": "list_min(outcome)"},
         {"c11": count("$grp = g1 AND $outcome = o1"), "c12": count("$grp = g1 AND $outcome <> o1"), "c21": count("$grp <> g1 AND $outcome = o1"), "c22": count("$grp <> g1 AND $outcome <> o1")},
-        {"chi": "n * pow(c11 * c22 - c12 * c21, 2) / ((c11 + c12) * (c21 + c22) * (c11 + c21) * (c12 + c22))"},
+        {
+            "chi": "n * pow(c11 * c22 - c12 * c21, 2) / ((c11 + c12) * (c21 + c22) * (c11 + c21) * (c12 + c22))",
+            # chances of the tables with these margins, over that of the table seen
+            "chances": "list_transform(range(greatest(0, c11 - c22)::BIGINT, least(c11 + c12, c11 + c21)::BIGINT + 1), lambda x: exp(lgamma(c11 + 1) + lgamma(c12 + 1) + lgamma(c21 + 1) + lgamma(c22 + 1) - lgamma(x + 1) - lgamma(c11 + c12 - x + 1) - lgamma(c11 + c21 - x + 1) - lgamma(c22 - c11 + x + 1)))",
+            "seen": "1",
+        },
     ),
 )
 
 # --- samples ---------------------------------------------------------------------
-def rank_of(column: str, partition: str = "g") -> str:
-    """Mean rank among equals."""
-    return f"rank() OVER (PARTITION BY {partition} ORDER BY {column}) + (count(*) OVER (PARTITION BY {partition}, {column}) - 1) / 2"
+_TWO_SIDES = lambda z: let("side", z, f"CASE WHEN side >= 0 THEN 2 * {upper_tail('abs(side)')} ELSE 2 - 2 * {upper_tail('abs(side)')} END")
+#: Groups of grp: distances from the group's median, and their ranks over the key.
+_AWAY = "SELECT *, count(*) OVER (PARTITION BY g) AS nn, rank() OVER (PARTITION BY g ORDER BY away) + (count(*) OVER (PARTITION BY g, away) - 1) / 2 AS place FROM (SELECT g, grp, abs(v - median(v) OVER (PARTITION BY g, grp)) AS away FROM rows_)"
+#: Rows of eras with ranks of predictions, of the meta model, and the target about its mean.
+_ERAS = f"SELECT *, count(*) OVER e AS size, target - avg(target) OVER e AS yc, min(target) OVER e AS lo, max(target) OVER e AS hi, {rank_of('p', 'g, era')} AS rp, {rank_of('meta', 'g, era')} AS rm FROM rows_ WINDOW e AS (PARTITION BY g, era)"
+
 
+def _bent(x: str) -> str:
+    return f"sign({x}) * pow(abs({x}), 1.5)"
+
+
+_NORMAL_SCORE = normal_quantile("least(greatest((rp - 0.5) / size, 1e-6), 1 - 1e-6)")
+#: What is left of normal scores after a least squares fit on two centred features.
+_CENTRED = f"SELECT g, era, size, yc, z - avg(z) OVER e AS z, f1 - avg(f1) OVER e AS a, f2 - avg(f2) OVER e AS b FROM (SELECT *, {normal_quantile('least(greatest((rp - 0.5) / size, 1e-12), 1 - 1e-12)')} AS z FROM ({_ERAS}) WHERE size > 1) WINDOW e AS (PARTITION BY g, era)"
+_REST = f"""SELECT *, {rank_of('rest', 'g, era')} AS rr FROM (SELECT g, era, size, yc, z - (za * bb - zb * ab) / (aa * bb - ab * ab) * a - (zb * aa - za * ab) / (aa * bb - ab * ab) * b AS rest
+  FROM (SELECT *, sum(a * a) OVER e AS aa, sum(a * b) OVER e AS ab, sum(b * b) OVER e AS bb, sum(z * a) OVER e AS za, sum(z * b) OVER e AS zb FROM ({_CENTRED}) WINDOW e AS (PARTITION BY g, era)))"""
 
 EXPECTED["samples"] = Expected(
     "side v x grp outcome y pa pb wa wb flag dp dq cx cy arm cov pv era p target meta f1 f2 rv",
@@ -825,6 +952,25 @@ EXPECTED["samples"] = Expected(
     variance_reduction_cuped: pow({total("($v - mv) * ($cov - mc)")}, 2) / ({total("pow($v - mv, 2)")} * scc)
     cuped_ate: {mean("$v", "$arm = 1")} - {mean("$v", "$arm = 0")} - {total("($v - mv) * ($cov - mc)")} / scc * ({mean("$cov", "$arm = 1")} - {mean("$cov", "$arm = 0")})
     max_feature_exposure: greatest(abs({total("($p - mp) * ($f1 - m1)")}) / sqrt({total("pow($p - mp, 2)")} * {total("pow($f1 - m1, 2)")}), abs({total("($p - mp) * ($f2 - m2)")}) / sqrt({total("pow($p - mp, 2)")} * {total("pow($f2 - m2, 2)")}))
+    p_value: {student_tail("abs(ma - mb) / sqrt(sa * sa / na + sb * sb / nb)", "pow(sa * sa / na + sb * sb / nb, 2) / (pow(sa * sa / na, 2) / (na - 1) + pow(sb * sb / nb, 2) / (nb - 1))")}
+    effect_size: dd_
+    hedges_g: dd_ * exp(lgamma((n - 2) / 2) - lgamma((n - 3) / 2)) / sqrt((n - 2) / 2)
+    proportion_z: 2 * {upper_tail("abs(ma - mb) / sqrt((ma * na + mb * nb) / n * (1 - (ma * na + mb * nb) / n) * (1 / na + 1 / nb))")}
+    mann_whitney: least(1, {_TWO_SIDES("(abs(wins - losses) / 2 - 0.5) / sqrt(na * nb / 12 * (n + 1 - tie_sum / (n * (n - 1))))")})
+    ks_test: least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * ks * ks * na * nb / n))))
+    mcnemar: {chi_square_tail("pow(abs(" + count("$pa = 1 AND $pb = 0") + " - " + count("$pa = 0 AND $pb = 1") + ") - 1, 2) / " + count("$pa <> $pb"), "1")}
+    wilcoxon_signed_rank: least(1, 2 * {upper_tail("abs(w_up - w_n * (w_n + 1) / 4) / sqrt(w_n * (w_n + 1) * (2 * w_n + 1) / 24 - w_ties / 48)")})
+    anova: pow(1 + (groups - 1) * ssb / (groups - 1) / msw / (n - groups), (groups - n) / 2)
+    bartlett: {chi_square_tail("((n - groups) * ln(ssw / (n - groups)) - log_var) / (1 + (inv_n - 1 / (n - groups)) / (3 * (groups - 1)))", "groups - 1")}
+    levene: pow(1 + lev / (n - groups), (groups - n) / 2)
+    fligner: {chi_square_tail("flig", "groups - 1")}
+    kruskal_wallis: {chi_square_tail("(12 / (n * (n + 1)) * krus - 3 * (n + 1)) / (1 - tie_sum / (n * n * n - n))", "groups - 1")}
+    wilson_lower: (fl + pow(1.959963984540054, 2) / (2 * n) - 1.959963984540054 * sqrt(fl * (1 - fl) / n + pow(1.959963984540054 / n, 2) / 4)) / (1 + pow(1.959963984540054, 2) / n)
+    wilson_upper: (fl + pow(1.959963984540054, 2) / (2 * n) + 1.959963984540054 * sqrt(fl * (1 - fl) / n + pow(1.959963984540054 / n, 2) / 4)) / (1 + pow(1.959963984540054, 2) / n)
+    numerai_corr: era_mean
+    numerai_sharpe: era_mean / era_sd
+    mmc: mmc_mean
+    feature_neutral_corr: neutral_mean
     """,
     windows=(
         f"{rank_of('v')} AS rv, {rank_of('v', 'g, side')} AS own_rank",
@@ -847,6 +993,20 @@ EXPECTED["samples"] = Expected(
         "SELECT g, entropy(cx) * ln(2) AS h_x, entropy(cy) * ln(2) AS h_y FROM rows_ GROUP BY g",
         "SELECT g, sum(k * pow(m - grand, 2)) AS ssb, sum(s2) AS ssw, count(*)::DOUBLE AS groups FROM (SELECT g, grp, count(*) AS k, avg(v) AS m, any_value(grand) AS grand, var_pop(v) * count(*) AS s2 FROM (SELECT *, avg(v) OVER (PARTITION BY g) AS grand FROM rows_) GROUP BY g, grp) GROUP BY g",
         "SELECT g, sum((good - bad) * ln(good / bad)) AS iv FROM (SELECT g, grp, count(*) FILTER (y = 0) / sum(count(*) FILTER (y = 0)) OVER (PARTITION BY g) AS good, count(*) FILTER (y = 1) / sum(count(*) FILTER (y = 1)) OVER (PARTITION BY g) AS bad FROM rows_ GROUP BY g, grp) WHERE good > 0 AND bad > 0 GROUP BY g",
+        "SELECT g, sum(k * k * k - k)::DOUBLE AS tie_sum FROM (SELECT g, v, count(*) AS k FROM rows_ GROUP BY g, v) GROUP BY g",
+        """SELECT g, sum(place) FILTER (up) AS w_up, count(*)::DOUBLE AS w_n, sum(same * same - 1)::DOUBLE AS w_ties FROM (
+             SELECT g, up, rank() OVER (PARTITION BY g ORDER BY d) + (count(*) OVER (PARTITION BY g, d) - 1) / 2 AS place, count(*) OVER (PARTITION BY g, d) AS same FROM (SELECT g, wa > wb AS up, abs(wa - wb) AS d FROM rows_ WHERE wa <> wb)) GROUP BY g""",
+        "SELECT g, sum((k - 1) * ln(s2)) AS log_var, sum(1 / (k - 1)) AS inv_n FROM (SELECT g, grp, count(*)::DOUBLE AS k, var_samp(v) AS s2 FROM rows_ GROUP BY g, grp) GROUP BY g",
+        # spread between the groups' mean distances over the spread within them; levene is the ratio of sums times the inner degrees of freedom
+        "SELECT g, sum(k * pow(m - grand, 2)) / sum(s2) * (sum(k) - count(*)) AS lev FROM (SELECT g, grp, count(*) AS k, avg(away) AS m, any_value(grand) AS grand, var_pop(away) * count(*) AS s2 FROM (SELECT *, avg(away) OVER (PARTITION BY g) AS grand FROM (" + _AWAY + ")) GROUP BY g, grp) GROUP BY g",
+        "SELECT g, sum(k * pow(m - grand, 2)) / any_value(s2) AS flig FROM (SELECT g, grp, count(*) AS k, avg(a) AS m, any_value(grand) AS grand, any_value(s2) AS s2 FROM (SELECT *, avg(a) OVER (PARTITION BY g) AS grand, var_samp(a) OVER (PARTITION BY g) AS s2 FROM (SELECT g, grp, "
+        + normal_quantile("0.5 + place / (2 * (nn + 1))")
+        + " AS a FROM (" + _AWAY + "))) GROUP BY g, grp) GROUP BY g",
+        "SELECT g, sum(r * r / k) AS krus FROM (SELECT g, grp, sum(rv) AS r, count(*) AS k FROM rows_ GROUP BY g, grp) GROUP BY g",
+        f"SELECT g, avg(c) AS era_mean, stddev_pop(c) AS era_sd FROM (SELECT g, era, corr({_bent('z')}, {_bent('yc')}) AS c FROM (SELECT *, {_NORMAL_SCORE} AS z FROM ({_ERAS}) WHERE size > 1) GROUP BY g, era) GROUP BY g",
+        f"""SELECT g, avg(v) AS mmc_mean FROM (SELECT g, era, (sum(y * a) - sum(a * b) / sum(b * b) * sum(y * b)) / count(*) AS v FROM (
+              SELECT g, era, yc * CASE WHEN lo >= 0 AND hi <= 1 THEN 4 ELSE 1 END AS y, {normal_quantile('(rp - 0.5) / size')} AS a, {normal_quantile('(rm - 0.5) / size')} AS b FROM ({_ERAS}) WHERE size > 1) GROUP BY g, era) GROUP BY g""",
+        f"SELECT g, avg(c) AS neutral_mean FROM (SELECT g, era, corr({_bent('z2')}, {_bent('yc')}) AS c FROM (SELECT *, {normal_quantile('least(greatest((rr - 0.5) / size, 1e-6), 1 - 1e-6)')} AS z2 FROM ({_REST})) GROUP BY g, era) GROUP BY g",
     ),
     layers=(
         {
@@ -871,7 +1031,7 @@ EXPECTED["samples"] = Expected(
             "sq": "list_sum(dq)",
         },
         {"fp": "list_transform(dp, lambda z: z / sp)", "fq": "list_transform(dq, lambda z: z / sq)"},
-        {"up": count("$v > med"), "aa": count("$v > med AND $side = 'a'"), "scc": total("pow($cov - mc, 2)")},
+        {"fl": share("$flag <> 0"), "dd_": "(ma - mb) / sqrt(((na - 1) * sa * sa + (nb - 1) * sb * sb) / (n - 2))", "up": count("$v > med"), "aa": count("$v > med AND $side = 'a'"), "scc": total("pow($cov - mc, 2)")},
     ),
 )
 
@@ -934,10 +1094,22 @@ def plain(c: str) -> str:
     return f"list_filter({tokens(f'lower({c})', '[^\\pL\\pN]+')}, lambda w: w NOT IN ('a', 'an', 'the'))"
 
 
+def letters(c: str) -> str:
+    """A text with one letter for each word, so that edits of words are edits of letters."""
+    return f"list_reduce(list_prepend('', list_transform({tokens(c)}, lambda w: chr((33 + list_position(list_distinct(list_concat({tokens('$tp')}, {tokens('$tr')})), w))::INT))), lambda a, b: a || b)"
+
+
+_CHARS = "string_split({}, '')".format
 _BOTH = f"len(list_intersect({tokens('$tp')}, {tokens('$tr')}))"
 EXPECTED["strings"] = Expected(
     "tp tr",
     f"""
+    wer: {total(f"editdist3({letters('$tr')}, {letters('$tp')})")} / {total(f"len({tokens('$tr')})")}
+    token_f1: {mean(f"2 * list_sum(list_transform(list_distinct({plain('$tp')}), lambda w: least(len(list_filter({plain('$tp')}, lambda v: v = w)), len(list_filter({plain('$tr')}, lambda v: v = w))))) / (len({plain('$tp')}) + len({plain('$tr')}))")}
+    indel_similarity: {mean(f"2 * {subsequence(_CHARS('$tp'), _CHARS('$tr'))} / (length($tp) + length($tr))")}
+    jaro_similarity: {mean("jaro_similarity($tp, $tr)")}
+    jaro_winkler_similarity: {mean("jaro_winkler_similarity($tp, $tr)")}
+    longest_common_subsequence: {mean(subsequence(_CHARS("$tp"), _CHARS("$tr")))}
     token_jaccard: {mean(f"{_BOTH} / len(list_distinct(list_concat({tokens('$tp')}, {tokens('$tr')})))")}
     token_dice: {mean(f"2 * {_BOTH} / (len(list_distinct({tokens('$tp')})) + len(list_distinct({tokens('$tr')})))")}
     exact_match_normalized: {share(f"{plain('$tp')} = {plain('$tr')}")}
@@ -984,6 +1156,10 @@ EXPECTED["flows"] = Expected(
     profitability_index: CASE WHEN cf[1] < 0 THEN 1 - worth / cf[1] END
     equivalent_annual_annuity: worth * 0.1 / (1 - pow(1.1, 1 - n))
     modified_irr: pow({total("CASE WHEN $cf > 0 THEN $cf * pow(1.1, n - i) ELSE 0 END")} / {total("CASE WHEN $cf < 0 THEN -$cf * pow(1.1, 1 - i) ELSE 0 END")}, 1 / (n - 1)) - 1
+    yield_to_maturity: {bisected(total("$cf * exp(-$tm * ln(1 + @))") + " - 100", "-0.9999", "10", 200)}
+    z_spread: {bisected(total("$cf * exp(-$tm * ln(1 + $z + @))") + " - 100", "-0.5", "5", 200)}
+    irr: {bisected(total("$cf * exp(-ln(1 + @) * (i - CASE WHEN @ > 0 THEN 1 ELSE n END))"), "-0.9999", "1000000", 200)}
+    direct_alpha: {bisected(total("($distribution - $contribution) / $idx * exp(-ln(1 + @) * (i - CASE WHEN @ > 0 THEN 1 ELSE n END))"), "-0.9999", "1000000", 200)}
     """,
     layers=(
         {
@@ -1000,6 +1176,7 @@ EXPECTED["flows"] = Expected(
 
 # --- accounts --------------------------------------------------------------------
 AVG = "list_avg({}) / list_avg({})".format
+_STRESSED = normal(f"({normal_quantile('$pd')} + sqrt(0.15) * {normal_quantile('0.999')}) / sqrt(0.85)")
 EXPECTED["accounts"] = Expected(
     "revenue cogs net_income assets equity nopat invested_capital receivables operating_income fcf dividends inventory payables ebit lease interest interest_expense contribution distribution idx value cost value_a value_b flag x ebitda debt cash current_assets "
     "current_liabilities pd lgd ead recovery exposure maturity x1 x2 x3 x4 x5 wc_ta ebit_ta ebt_cl sales_ta roa tl_ta ca_cl capital rwa tier1_capital total_exposure provisions npl spread asset_value drift vol tm",
@@ -1045,6 +1222,10 @@ EXPECTED["accounts"] = Expected(
     provision_coverage_ratio: {AVG("provisions", "npl")}
     cds_implied_hazard: {mean("$spread / (1 - $recovery)")}
     merton_distance_to_default: {mean("(ln($asset_value) - ln($debt) + ($drift - $vol * $vol / 2) * $tm) / ($vol * sqrt($tm))")}
+    merton_pd: {mean(normal("-((ln($asset_value) - ln($debt) + ($drift - $vol * $vol / 2) * $tm) / ($vol * sqrt($tm)))"))}
+    asrf_capital_requirement: {total(f"$ead * $lgd * ({_STRESSED} - $pd)")}
+    asrf_rwa: 12.5 * {total(f"$ead * $lgd * ({_STRESSED} - $pd)")}
+    vasicek_conditional_pd: {mean(_STRESSED)}
     """,
 )
 
@@ -1111,6 +1292,7 @@ def book(term: str) -> str:
     return total(f"$quantity * ({term})")
 
 
+_CALL = f"($spot * {normal(D1)} - $strike * exp(-$rate * $tm) * {normal(D2)})"
 EXPECTED["options"] = Expected(
     "spot strike tm vol rate quantity price",
     f"""
@@ -1124,6 +1306,12 @@ EXPECTED["options"] = Expected(
     bs_color: {book(f"-{DENSITY} / (2 * $spot * $tm * $vol * sqrt($tm)) * (1 + {D1} * (2 * $rate * sqrt($tm) / $vol - {D2}))")}
     bs_veta: {book(f"$spot * {DENSITY} * sqrt($tm) * ($rate * {D1} / ($vol * sqrt($tm)) - (1 + {D1} * {D2}) / (2 * $tm))")}
     bs_ultima: {book(f"-$spot * sqrt($tm) * {DENSITY} / ($vol * $vol) * ({D1} * {D2} - pow({D1} * {D2}, 2) + pow({D1}, 2) + pow({D2}, 2))")}
+    bs_value: {book(_CALL)}
+    bs_delta: {book(normal(D1))}
+    bs_theta: {book(f"-$spot * {DENSITY} * $vol / (2 * sqrt($tm)) - $rate * $strike * exp(-$rate * $tm) * {normal(D2)}")}
+    bs_rho: {book(f"$strike * $tm * exp(-$rate * $tm) * {normal(D2)}")}
+    bs_lambda: {book(f"$spot * {normal(D1)}")} / {book(_CALL)}
+    bs_implied_vol: {mean(bisected(_CALL.replace("$vol", "@") + " - $price", "0.000001", "10", 60))}
     """,
 )
 

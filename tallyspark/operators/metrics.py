@@ -91,7 +91,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for s in _shapes():
-        plain, _ = _split(s)
-        if plain:
-            out[f"metrics_{s.name}"] = f"SELECT g, recipe, CASE WHEN abs(value) < 1e-12 THEN 0 WHEN isfinite(value) THEN CAST(CASE WHEN recipe IN ({', '.join(map(repr, LOOSE))}) THEN printf('%.3e', value * {HAIR!r}::DOUBLE) ELSE printf('%.8e', value * {HAIR!r}::DOUBLE) END AS DOUBLE) END AS value FROM ({statement(s.relation, EXPECTED[s.name], plain)})"
+        for kind, ids in zip(("metrics", "tests"), _split(s), strict=True):
+            if ids:
+                value = f"CASE WHEN recipe IN ({', '.join(map(repr, LOOSE))}) THEN printf('%.3e', value * {HAIR!r}::DOUBLE) ELSE printf('%.8e', value * {HAIR!r}::DOUBLE) END"
+                out[f"{kind}_{s.name}"] = f"SELECT g, recipe, CASE WHEN abs(value) < 1e-12 THEN 0 WHEN isfinite(value) THEN CAST({value} AS DOUBLE) END AS value FROM ({statement(s.relation, EXPECTED[s.name], ids)})"
     return out
