@@ -26,7 +26,7 @@ HAIR = 1 + 1e-12
 
 
 def _digits(c: str):
-    return F.format_string("%.8e", F.col(c) * HAIR).cast("double")
+    return F.format_string("%.8e", F.col(c) * HAIR).try_cast("double")
 
 
 def _printed(value: str) -> str:

@@ -4,10 +4,10 @@ import pytest
 from tests.conftest import same_rows
 
 from tallyspark.functions import catalogue
-from tallyspark.operators import engine_queries, metrics
+from tallyspark.operators import engine_queries, guard_queries, metrics
 
-QUERIES = metrics.queries() | engine_queries.queries()
-ORACLES = metrics.oracle_sql() | engine_queries.oracle_sql()
+QUERIES = metrics.queries() | engine_queries.queries() | guard_queries.queries()
+ORACLES = metrics.oracle_sql() | engine_queries.oracle_sql() | guard_queries.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
