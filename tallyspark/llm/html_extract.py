@@ -227,7 +227,7 @@ class Labeller:
 
     def project(self, x: np.ndarray, d: str) -> np.ndarray:
         """What the vectors add to the gates of one direction."""
-        return (x.reshape(-1, x.shape[-1]) @ self.w[f"x{d}"] + self.w[f"c{d}"]).reshape(*x.shape[:-1], -1)
+        return x @ self.w[f"x{d}"] + self.w[f"c{d}"]
 
     def _run(self, pre: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
         """States (time, page, hidden) of one direction; pre: (time, page, gates)."""
