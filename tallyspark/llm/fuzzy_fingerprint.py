@@ -14,7 +14,7 @@ prefix sums.
 
 ``with_next`` brings each document together with the next one in ascending id:
 rows are cut into ranges by id and, within an id, by the beginning of the text, at
-the quantiles of a sample of at most ``SAMPLE_IDS`` rows, which only decides how even
+the quantiles of a sample of about ``SAMPLE_IDS`` rows, which only decides how even
 the ranges are. A range's documents are sorted in one task, and the first documents
 of the next range that has any are sent along, so the whole corpus needs one shuffle
 and no task depends on another.
@@ -44,6 +44,7 @@ LETTERS = 64
 SMALLEST = 3
 RUN = 3  # a letter is repeated so often at most
 SAMPLE_IDS = 20_000
+SEED = 42
 BEGINNING = 32
 SHARED = 7  # long signatures without a common run of so many letters are unlike
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -213,8 +214,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     begin = F.substring("text", 1, BEGINNING)
     places = given.select("id", begin.alias("begin"))
     parts = 4 * partitions(docs.sparkSession)
-    # at most SAMPLE_IDS rows
-    drawn = places.orderBy(F.xxhash64("id", "begin"), "id", "begin").limit(SAMPLE_IDS).collect()
+    # about SAMPLE_IDS rows
+    drawn = places.sample(min(1.0, SAMPLE_IDS / max(1, places.count())), SEED).collect()
     sample = sorted(_place(*r) for r in drawn)
     cuts = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
 
