@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -74,6 +75,18 @@ def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def plain_name(docs: DataFrame, column: str) -> str:
+    """The name of a column in what ``mapped`` hands on."""
+    return f"c{docs.columns.index(column)}"
+
+
+def mapped(docs: DataFrame, run, *added: T.StructField) -> DataFrame:
+    """``docs`` through ``mapInArrow``, with columns added; Spark's own can't take names with dots, so they are numbered for it."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    kinds = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)), *added])
+    return docs.toDF(*names).mapInArrow(run, kinds).toDF(*docs.columns, *(f.name for f in added))
+
+
 def let(value: Column, f) -> Column:
     """``f(value)`` with the value computed once: inside a lambda it would be for each element."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, unused
+from .common import mapped, plain_name, stored, unused
 
 WINDOW = 13
 BLOCK = 3
@@ -192,7 +192,7 @@ def annotate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col
         return spark.sparkContext.broadcast([(r.item, bytes(r.body)) for r in rows])
 
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    return docs.mapInArrow(_scan([shared(k) for k in range(parts)], window, text_col, notes), T.StructType([*docs.schema.fields, T.StructField(notes, kind)]))
+    return mapped(docs, _scan([shared(k) for k in range(parts)], window, plain_name(docs, text_col), notes), T.StructField(notes, kind))
 
 
 def _contaminated(notes: str = NOTES) -> Column:

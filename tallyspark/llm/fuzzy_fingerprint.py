@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions
+from .common import mapped, partitions, plain_name
 
 SPAN = 7
 LETTERS = 64
@@ -269,11 +269,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each text."""
+    name = plain_name(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).cast(pa.binary())
+            texts = b.column(b.schema.get_field_index(name)).cast(pa.binary())
             prints = [fingerprint(x.as_py() or b"") for x in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.string())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+    return mapped(docs, run, T.StructField(out, T.StringType()))

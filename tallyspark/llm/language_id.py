@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, unused
+from .common import mapped, plain_name, stored, unused
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     model.cache = {}
     # as large as the sampled documents' entries
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_label(shared, text_col, out), T.StructType([*docs.schema.fields, T.StructField(out, verdict)]))
+    return mapped(docs, _label(shared, plain_name(docs, text_col), out), T.StructField(out, verdict))
 
 
 def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own, partitions, spread_join, stored, unused
+from .common import own, partitions, spread_join, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3

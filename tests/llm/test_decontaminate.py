@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -92,3 +93,22 @@ def test_wu_manber_finds_all(items, text, window):
                     want.add(str(k))
                     hit |= set(range(q, q + size))
     assert (set(found), names) == (hit, want)
+
+
+def test_equal_windows_and_items_cost_no_more(spark):
+    """A megabyte of one word, against items of that word alone, and many equal items."""
+    begin = time.process_time()
+    hit, names = d.Matcher([("long", [b"a"] * 4000), *((str(k), [b"a"] * 20) for k in range(2000))]).search([b"a"] * 500_000)
+    assert len(hit) == 500_000 and len(names) == 2001
+    assert time.process_time() - begin < 10
+    docs = spark.createDataFrame([(1, "a " * 50)] * 3, BENCH.replace("item_id", "doc_id"))
+    bench = spark.createDataFrame([(1, "a " * 20)] * 500, BENCH)
+    assert {(r.n_hit, r.n_items) for r in d.report(docs, bench, part_words=40).collect()} == {(50, 1)}
+
+
+def test_names_of_columns_and_parts_change_nothing(spark):
+    df = spark.createDataFrame([(1, "x brown fox jumps over the lazy dog and runs away from here", {"a": 1}, "t", 2.0)], "doc_id long, text string, m map<string,int>, __text string, `a.b` double")
+    bench = spark.createDataFrame([(k, f"item {k} of words that none has {k}") for k in range(30)], BENCH)
+    for part_words in (10, d.PART_WORDS):
+        kept = d.drop_contaminated(df, bench, part_words=part_words)
+        assert kept.columns == df.columns and kept.collect() == df.collect()

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import duckdb
 from tests.conftest import same_rows
@@ -63,6 +64,24 @@ def test_secrets_against_sql(spark, docs, no_docs):
     assert s.scan(no_docs).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """Half a megabyte of hexadecimal runs and key-like tokens; the work grows with their number."""
+    runs = " ".join(f"{k:016x}" for k in range(16_000)) + " " + " ".join(f"aB3{k:020d}" for k in range(8_000))
+    df = spark.createDataFrame([(1, runs, "o/p"), (2, runs[:4000], "q/r")], "doc_id long, text string, source string")
+    begin = time.time()
+    got = {r.doc_id: r for r in s.scan(df).collect()}
+    assert got[1].n_hex >= 16_000 and got[1].spans.count("owned:") >= 8_000 - 1 or got[1].n_hex >= 24_000
+    assert time.time() - begin < 60
+
+
+def test_copied_by_repositories(spark):
+    key = "aB3dE5gH7jK9mN1pQ3sT5xx"
+    rows = [(k, f"{key} {k}", f"{'ab'[k % 2]}/{k}") for k in range(6)] + [(10 + k, f"{key[::-1]} {k}", f"c/{k}") for k in range(6)]
+    got = {r.doc_id: r.spans for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    # two owners in six repositories copy the first; the other has one owner
+    assert all(got[k] == "" for k in range(6)) and all(got[10 + k].startswith("owned:0:") for k in range(6))
+
+
 TURNS = [
     (1, 0, "user", "a<|b<\\|c<\\\\|d\\ <| <<||"),
     (1, 1, "assistant", None),
