@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fuzzy_fingerprint, html_extract, language_id, line_dedup, mixing, quality, secret_scan, simhash_dedup
+from . import chat_format, decontaminate, fuzzy_fingerprint, html_extract, language_id, line_dedup, merkle_manifest, mixing, period_runs, quality, secret_scan, simhash_dedup, token_output
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_mixing, op4_chat_format, op5_fingerprint, op6_quality, op7_language_id, op8_line_dedup, op9_html_extract, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_mixing, op4_chat_format, op5_fingerprint, op6_quality, op7_language_id, op8_line_dedup, op9_html_extract, op10_simhash, op11_periodic_runs, op12_token_output, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
