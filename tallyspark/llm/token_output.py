@@ -17,8 +17,8 @@ count, so files of failed or doubled tasks are never read.
 
 Texts are encoded by the tokenizers library where they are; only compressed ids are
 shuffled. For byte-level vocabularies, texts are cut at single blanks and line ends
-between other characters, where such vocabularies always cut, and equal pieces are
-encoded once; other vocabularies get whole texts.
+between other characters, and between letters and marks, where such vocabularies always
+cut, and equal pieces are encoded once; other vocabularies get whole texts.
 
 Edge cases: a null or empty text is a document of the end id alone; a null id comes
 first; rows of equal id go by their ids' frames, whole copies are interchangeable; a very
@@ -32,7 +32,9 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -51,9 +53,11 @@ END = 0
 SAMPLE_DOCS = 1_000
 SAMPLE_TOKENS = 2_048
 DICTIONARY_BYTES = 1 << 16
-LEVEL = 3
-#: Pieces of text whose ids a task remembers.
+LEVEL = 1
+#: Pieces of text whose ids a task remembers, in two generations.
 REMEMBERED = 400_000
+#: Texts that a task turns into Python strings at once.
+AT_ONCE = 200
 #: Bytes of ids in a batch that a reader hands on.
 READ_BYTES = 1 << 22
 MAGIC = b"TIDS1\n"
@@ -61,7 +65,11 @@ TAIL = "<QB32s6s"
 #: Between characters that are no white space (in any table of Unicode), a blank begins a piece and a line end is one.
 WHITE = "\\s\u180e\u200b\ufeff"
 CUT = re.compile(f"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])|(?<=[^{WHITE}]\n)(?=[^{WHITE}])")
-DOUBLE = re.compile(f"[{WHITE}][{WHITE}]")
+BLANK = re.compile(f"[{WHITE}]")
+#: Such a vocabulary cuts between letters and the marks after them; apostrophes may take letters along.
+WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
+#: Letters whose class is the same in all tables of Unicode that are in use.
+LATIN = "\u0250"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -71,6 +79,43 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Uneven(Exception):
+    """A text with white space that the quick cut doesn't serve."""
+
+
+class _Pieces(dict):
+    """Ids of pieces of text, found when first asked for. Seldom used ones are forgotten."""
+
+    def __init__(self, encode, letters):
+        super().__init__()
+        self.encode, self.letters, self.older = encode, letters, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            rest = piece[1:] if piece[:1] == " " else piece
+            if rest.isalpha() and (rest.isascii() or max(rest) < LATIN):
+                ids = self.letters(piece)
+            elif not rest or (piece != "\n" and BLANK.search(rest)):
+                raise _Uneven
+            elif parts := WORD_AND_MARKS.fullmatch(piece):
+                ids = self[parts[1]] + self[parts[2]]
+            else:
+                ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable Latin-1 as it is, others from 256 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """Texts to serialised ids."""
 
@@ -80,32 +125,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
-        before = parts.get("pre_tokenizer") or {}
-        plain = not parts.get("normalizer") and not any(t.get(k) for t in parts.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
-        plain = plain and not any(set(t["content"]) & set(" \n") for t in parts.get("added_tokens", []))
+        before, added = parts.get("pre_tokenizer") or {}, parts.get("added_tokens", [])
+        plain = not parts.get("normalizer") and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
+        plain = plain and not any(BLANK.search(t["content"]) or t["content"].isalpha() for t in added)
         self.by_piece = plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        if "\0" in text or DOUBLE.search(text):
-            return CUT.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        self.kind = {2: "H", 4: "I"}[self.width]
+        self.written = _byte_letters()
+        # bound once: each look at ``model`` makes an object
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = _Pieces(self._one, self._letters)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array(self.kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _one(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of letters with or without a blank before them, which are cut no further before the model sees them."""
+        shown = piece.replace(" ", self.written[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.written)
+        return self._packed([t.id for t in self.tokenize(shown)])
+
+    def _by_pieces(self, text: str) -> bytes:
+        if "\0" not in text:
+            try:
+                return b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))) if text else b""
+            except _Uneven:
+                pass
+        return b"".join(map(self._one, CUT.split(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._encoded(texts)
-        cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*cut))
-        self.known.update(zip(new, self._encoded(new), strict=True))
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        if self.by_piece:
+            return [self._by_pieces(t) for t in texts]
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
@@ -113,26 +169,14 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _few(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
-    out, held = [], 0
-    for t in texts:
-        out.append(t)
-        held += len(t)
-        if held > chars:
-            yield out
-            out, held = [], 0
-    if out:
-        yield out
-
-
 def _ids_of(path: str, end: int):
     """Serialised ids of the texts of a batch, end included."""
 
-    def run(texts: list[str | None]) -> Iterator[bytes]:
+    def run(texts: pa.Array) -> Iterator[bytes]:
         encoder = _encoder(path)
         last = end.to_bytes(encoder.width, "little")
-        for some in _few([t or "" for t in texts]):
-            for ids in encoder.encode(some):
+        for k in range(0, len(texts), AT_ONCE):
+            for ids in encoder.encode([t or "" for t in texts[k : k + AT_ONCE].to_pylist()]):
                 yield ids + last
 
     return run
@@ -156,7 +200,7 @@ def train(docs: DataFrame, path: str, end: int = END) -> bytes:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [x[: SAMPLE_TOKENS * width] for x in encode(batch["text"].to_pylist())]
+            ids = [x[: SAMPLE_TOKENS * width] for x in encode(batch["text"])]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     # ids that are equal may be more than the sample has
@@ -174,10 +218,13 @@ def _compressed(docs: DataFrame, path: str, dictionary: bytes, end: int) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = _encoder(path).width
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
+        shared = _dictionary(dictionary)
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         for batch in batches:
             frames, n = [], []
-            for ids in encode(batch["text"].to_pylist()):
+            for ids in encode(batch["text"]):
                 frames.append(compressor.compress(ids))
                 n.append(len(ids) // width)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(frames, pa.binary())], ["id", "n", "frame"])
