@@ -128,7 +128,7 @@ RATIO = lambda c: f"(min({c}) / nullif(max({c}), 0))"
 define("classification", "prediction=p, label=y, group=grp'", f"""
 demographic_parity_difference: {RANGE("rate")}
 demographic_parity_ratio: {RATIO("rate")}
-equalized_odds_difference: greatest({RANGE("tpr")}, {RANGE("fpr")})
+equalized_odds_difference: CASE WHEN {RANGE("tpr")} IS NOT NULL THEN greatest({RANGE("tpr")}, {RANGE("fpr")}) END
 equalized_odds_ratio: least({RATIO("tpr")}, {RATIO("fpr")})
 equal_opportunity_difference: {RANGE("tpr")}
 predictive_parity_difference: {RANGE("ppv")}

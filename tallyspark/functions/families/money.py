@@ -1,6 +1,6 @@
 """Finance, credit, portfolios, liquidity, exposure, execution, options."""
 
-from ..recipes import define, source
+from ..recipes import define, nearby, source
 
 W = "PARTITION BY g ORDER BY pos"
 
@@ -71,7 +71,7 @@ spread_dv01: CASE WHEN min(z) > -1 THEN {SD} * {CV("0")} * 1e-4 END
 z_spread[price=100e0] -> solve_spread: collect_list(cf) ;; collect_list(z) ;; collect_list(tm) ;; {{price}}
 """)
 define("finance", "zero_rate=z, time=tm", "annuity_factor: CASE WHEN min(z) > -1 THEN sum(1 / power(1 + z, tm)) END")
-source("curve", f"SELECT g, pos, z, tm, lag(z) OVER ({W}) AS z1, lag(tm) OVER ({W}) AS t1 FROM {{t}} m0")
+nearby("curve", "{t}", "pos, z, tm, lag(z) OVER ({W}) AS z1, lag(tm) OVER ({W}) AS t1", before=1)
 define("finance", "zero_rate=z, time=tm", """
 par_yield: (1 - max_by(1 / power(1 + z, tm), pos)) / nullif(sum(1 / power(1 + z, tm)), 0)
 forward_rate: power(power(1 + max_by(z, pos), max_by(tm, pos)) / power(1 + max_by(z1, pos), max_by(t1, pos)), 1 / nullif(max_by(tm, pos) - max_by(t1, pos), 0)) - 1
@@ -158,17 +158,19 @@ relative_spread: bid, ask => CASE WHEN min(bid + ask) > 0 THEN avg((ask - bid) /
 order_flow_imbalance: buy_volume, sell_volume => (sum(buy_volume) - sum(sell_volume)) / nullif(sum(buy_volume) + sum(sell_volume), 0)
 share_turnover: volume, shares_outstanding => sum(volume) / nullif(sum(shares_outstanding), 0)
 """)
-source("moves", f"SELECT g, d, lag(d) OVER ({W}) AS d1 FROM (SELECT g, pos, price - lag(price) OVER ({W}) AS d FROM {{t}} m0) m1 WHERE d IS NOT NULL")
+nearby("price_steps", "{t}", "pos, price - lag(price) OVER ({W}) AS d", before=1)
+nearby("step_pairs", "{price_steps}", "d, lag(d) OVER ({W}) AS d1", before=1)
+source("moves", "SELECT * FROM {step_pairs} m1 WHERE d IS NOT NULL")
 define("liquidity", "price", "roll_spread: CASE WHEN count(*) > 1 AND covar_samp(d, d1) < 0 THEN 2 * sqrt(greatest(-covar_samp(d, d1), 0)) END", source="{moves}", ordered=True)
-source("days", f"SELECT g, pos, high, low, lead(high) OVER ({W}) AS high2, lead(low) OVER ({W}) AS low2 FROM {{t}} m0")
+nearby("days", "{t}", "pos, high, low, lead(high) OVER ({W}) AS high2, lead(low) OVER ({W}) AS low2", after=1)
 KK = "(3 - 2 * sqrt(2e0))"
 BB = "(power(ln(high / low), 2) + power(ln(high2 / low2), 2))"
 AA = f"((sqrt(2 * {BB}) - sqrt({BB})) / {KK} - sqrt(power(ln(greatest(high, high2) / least(low, low2)), 2) / {KK}))"
 define("liquidity", "high, low", f"""
 corwin_schultz_spread: CASE WHEN min(low) > 0 AND count_if(high < low) = 0 THEN avg(CASE WHEN high2 IS NOT NULL THEN greatest(2 * (exp({AA}) - 1) / (1 + exp({AA})), 0) END) END
 """, source="{days}", ordered=True)
-source("closes", f"SELECT g, ln(close) AS c, (ln(high) + ln(low)) / 2 AS eta, lead((ln(high) + ln(low)) / 2) OVER ({W}) AS eta2 FROM {{t}} m0")
-define("liquidity", "close, high, low", "abdi_ranaldo_spread: CASE WHEN avg((c - eta) * (c - eta2)) > 0 THEN 2 * sqrt(greatest(avg((c - eta) * (c - eta2)), 0)) ELSE 0e0 END", source="{closes}", ordered=True)
+nearby("closes", "{t}", "least(close, high, low) AS least, ln(close) AS c, (ln(high) + ln(low)) / 2 AS eta, lead((ln(high) + ln(low)) / 2) OVER ({W}) AS eta2", after=1)
+define("liquidity", "close, high, low", "abdi_ranaldo_spread: CASE WHEN count(*) > 1 AND min(least) > 0 THEN CASE WHEN avg((c - eta) * (c - eta2)) > 0 THEN 2 * sqrt(greatest(avg((c - eta) * (c - eta2)), 0)) ELSE 0e0 END END", source="{closes}", ordered=True)
 
 # exposure
 LONG, SHORT = "coalesce(sum(exposure) FILTER (WHERE exposure > 0), 0)", "(-coalesce(sum(exposure) FILTER (WHERE exposure < 0), 0))"

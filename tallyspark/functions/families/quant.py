@@ -1,14 +1,22 @@
 """Return series, risk and volatility."""
 
-from ..recipes import define, source, with_totals
+from ..recipes import define, nearby, running, source, with_totals
 
 CUM = "PARTITION BY g ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 W = "PARTITION BY g ORDER BY pos"
 
-source("equity", f"SELECT g, pos, r, exp(sum(ln(1 + r)) OVER ({CUM})) AS eq FROM {{t}} q0")
-source("drawdown", f"SELECT g, pos, r, eq, eq / greatest(1e0, max(eq) OVER ({CUM})) - 1 AS dd FROM {{equity}} q1")
-GROWTH = "exp(sum(ln(1 + r)))"
-ANN = f"(power({GROWTH}, {{P}} / count(*)) - 1)"
+# products of 1 + r: magnitudes by logarithms, signs by parity, and zero for good after a loss of everything
+MAGNITUDE, NEGATIVE, NOTHING = "sum(ln(nullif(abs(1 + r), 0)))", "sum(CASE WHEN r < -1 THEN 1 ELSE 0 END)", "sum(CASE WHEN r = -1 THEN 1 ELSE 0 END)"
+PRODUCT = lambda m, negative, nothing: f"(CASE WHEN {nothing} > 0 THEN 0e0 WHEN {negative} % 2 = 1 THEN -exp({m}) ELSE exp({m}) END)"
+running("factors", "{t}", "pos, r", magnitude=MAGNITUDE, negative=NEGATIVE, nothing=NOTHING)
+EQUITY = PRODUCT("magnitude", "negative", "nothing")
+source("equity", f"SELECT g, pos, r, {EQUITY} AS eq FROM {{factors}} q0", f"SELECT g, blk, nth, pos, r, {EQUITY} AS eq FROM {{factors}} q0")
+running("peaks", "{equity}", "pos, r, eq", peak="max(eq)")
+DEPTH = "eq / greatest(1e0, peak) - 1 AS dd"
+source("drawdown", f"SELECT g, pos, r, eq, {DEPTH} FROM {{peaks}} q1", f"SELECT g, blk, nth, pos, r, eq, {DEPTH} FROM {{peaks}} q1")
+GROWTH = PRODUCT(MAGNITUDE, NEGATIVE, NOTHING)
+# no yearly rate of a series that ends with nothing or less
+ANN = f"(CASE WHEN {GROWTH} > 0 THEN power({GROWTH}, {{P}} / count(*)) - 1 END)"
 
 define("quant", "return=r", f"""
 total_return: {GROWTH} - 1
@@ -76,18 +84,20 @@ drawdown_at_risk[level=0.95e0]: -percentile(dd, 1 - {{level}})
 
 define("quant", "return=r", "cdar[level=0.95e0]: -avg(dd) FILTER (WHERE dd <= cut)", source="{drawdown}", totals="percentile(dd, 1 - {level}) AS cut", ordered=True)
 
-source("under_runs", f"SELECT g, run, count_if(dd < 0) AS len FROM (SELECT g, dd, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER ({CUM}) AS run FROM {{drawdown}} q2) q3 GROUP BY g, run")
+running("under_water", "{drawdown}", "pos, dd", run="sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END)")
+source("under_runs", "SELECT g, run, count_if(dd < 0) AS len FROM {under_water} q3 GROUP BY g, run")
 define("quant", "return=r", "max_drawdown_duration: max(len)", source="{under_runs}", ordered=True)
-source("loss_runs", f"SELECT g, run, count_if(r < 0) AS len FROM (SELECT g, r, sum(CASE WHEN r < 0 THEN 0 ELSE 1 END) OVER ({CUM}) AS run FROM {{t}} q2) q3 GROUP BY g, run")
+running("losing", "{t}", "pos, r", run="sum(CASE WHEN r < 0 THEN 0 ELSE 1 END)")
+source("loss_runs", "SELECT g, run, count_if(r < 0) AS len FROM {losing} q3 GROUP BY g, run")
 define("quant", "return=r", "max_consecutive_losses: max(len)", source="{loss_runs}", ordered=True)
 
-source("lagged_r", f"SELECT g, pos, r, lag(r) OVER ({W}) AS r1 FROM {{t}} q0")
+nearby("lagged_r", "{t}", "pos, r, lag(r) OVER ({W}) AS r1", before=1)
 define("quant", "return=r", """
 bipower_variation: CASE WHEN count(*) > 1 THEN acos(-1e0) / 2 * sum(abs(r) * abs(r1)) END
 jump_variation: CASE WHEN count(*) > 1 THEN greatest(sum(r * r) - acos(-1e0) / 2 * sum(abs(r) * abs(r1)), 0) END
 """, source="{lagged_r}", ordered=True)
 
-source("q_sums", f"SELECT g, pos, r, sum(r) OVER ({W} ROWS BETWEEN {{q}} - 1 PRECEDING AND CURRENT ROW) AS s, row_number() OVER ({W}) AS rn FROM {{t}} q0")
+nearby("q_sums", "{t}", "pos, r, sum(r) OVER ({W} ROWS BETWEEN {q} - 1 PRECEDING AND CURRENT ROW) AS s, row_number() OVER ({W}) AS rn", before="{q} - 1")
 define("quant", "return=r", """
 variance_ratio[q=2]: CASE WHEN {q} >= 2 AND count(*) > {q} THEN
   sum(power(s - {q} * mu, 2)) FILTER (WHERE rn >= {q}) / nullif({q} * (count(*) - {q} + 1) * (1 - {q} / (count(*) * 1e0)), 0) / nullif(sum(power(r - mu, 2)) / (count(*) - 1), 0) END
@@ -96,7 +106,7 @@ variance_ratio[q=2]: CASE WHEN {q} >= 2 AND count(*) > {q} THEN
 VB = "nullif(var_samp(b), 0)"
 BETA = f"(covar_samp(r, b) / {VB})"
 ALPHA = f"(avg(r) - {BETA} * avg(b))"
-SSR = f"greatest((count(*) - 1) * (var_samp(r) - power(covar_samp(r, b), 2) / {VB}), 0)"
+SSR = f"(CASE WHEN var_samp(b) > 0 THEN greatest((count(*) - 1) * (var_samp(r) - power(covar_samp(r, b), 2) / {VB}), 0) END)"
 define("quant", "return=r, benchmark=b", f"""
 beta: {BETA}
 alpha[P=252]: {ALPHA} * {{P}}
@@ -135,40 +145,49 @@ acerbi_szekely_z2[level=0.975e0]: CASE WHEN count_if(-r > v AND es <= 0) = 0 THE
 define("quant", "flag=flag", """
 kupiec_pof[p0=0.01e0] -> kupiec: count(*) ;; count_if(flag <> 0) ;; {p0}
 """)
-source("flag_moves", f"SELECT g, pos, CASE WHEN flag <> 0 THEN 1 ELSE 0 END AS f, lag(CASE WHEN flag <> 0 THEN 1 ELSE 0 END) OVER ({W}) AS f1 FROM {{t}} q0")
+nearby("flag_moves", "{t}", "pos, CASE WHEN flag <> 0 THEN 1 ELSE 0 END AS f, lag(CASE WHEN flag <> 0 THEN 1 ELSE 0 END) OVER ({W}) AS f1", before=1)
 define("quant", "flag=flag", """
 christoffersen_independence -> markov: count_if(f1 = 0 AND f = 0) ;; count_if(f1 = 0 AND f = 1) ;; count_if(f1 = 1 AND f = 0) ;; count_if(f1 = 1 AND f = 1)
 christoffersen_cc[p0=0.01e0] -> coverage: count_if(f1 = 0 AND f = 0) ;; count_if(f1 = 0 AND f = 1) ;; count_if(f1 = 1 AND f = 0) ;; count_if(f1 = 1 AND f = 1) ;; count(*) ;; count_if(f = 1) ;; {p0}
 """, source="{flag_moves}", ordered=True)
 
-define("quant", "high=h, low=l", "parkinson_volatility: sqrt(avg(power(ln(h / l), 2)) / (4 * ln(2e0)))")
-define("quant", "open=o, high=h, low=l, close=c", """
-garman_klass_volatility: sqrt(avg(0.5e0 * power(ln(h / l), 2) - (2 * ln(2e0) - 1) * power(ln(c / o), 2)))
-rogers_satchell_volatility: sqrt(avg(ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o)))
+# a price of zero or less has no logarithm: no value for the key
+define("quant", "high=h, low=l", "parkinson_volatility: CASE WHEN min(least(h, l)) > 0 THEN sqrt(avg(power(ln(h / l), 2)) / (4 * ln(2e0))) END")
+PRICED = "min(least(o, h, l, c)) > 0"
+define("quant", "open=o, high=h, low=l, close=c", f"""
+garman_klass_volatility: CASE WHEN {PRICED} THEN sqrt(avg(0.5e0 * power(ln(h / l), 2) - (2 * ln(2e0) - 1) * power(ln(c / o), 2))) END
+rogers_satchell_volatility: CASE WHEN {PRICED} THEN sqrt(avg(ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o))) END
 """)
-source("bars", f"SELECT g, pos, o, h, l, c, lag(c) OVER ({W}) AS c1 FROM {{t}} q0")
-K = "(0.34e0 / (1.34e0 + (count(*) + 1e0) / nullif(count(*) - 1, 0)))"
+nearby("bars", "{t}", "pos, o, h, l, c, lag(c) OVER ({W}) AS c1", before=1)
+K = "(0.34e0 / (1.34e0 + (count(c1) + 1e0) / nullif(count(c1) - 1, 0)))"
 define("quant", "open=o, high=h, low=l, close=c", f"""
-yang_zhang_volatility: CASE WHEN count(*) >= 2 THEN sqrt(var_samp(ln(o / c1)) + {K} * var_samp(ln(c / o)) + (1 - {K}) * avg(ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o))) END
-""", source="(SELECT * FROM {bars} q1 WHERE c1 IS NOT NULL)", ordered=True)
+yang_zhang_volatility: CASE WHEN count(c1) >= 2 AND {PRICED} THEN sqrt(var_samp(ln(o / c1)) + {K} * var_samp(ln(c / o)) FILTER (WHERE c1 IS NOT NULL) + (1 - {K}) * avg(ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o)) FILTER (WHERE c1 IS NOT NULL)) END
+""", source="{bars}", ordered=True)
 
-source("desc_x", "SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x DESC) AS rn FROM {t} q0")
+# the largest 4 k + 1 values, with the key's size and least value
+source("desc_x", "SELECT z.g, z.x, z.rn, m.n, m.least FROM (SELECT g, x, rn FROM (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x DESC) AS rn FROM {t} q0) q1 WHERE rn <= 4 * {k} + 1) z "
+       "JOIN (SELECT g, count(*) AS n, min(x) AS least FROM {t} q2 GROUP BY g) m ON z.g = m.g")
 define("quant", "value=x", """
-hill_estimator[k=25]: CASE WHEN min(x) > 0 AND count(*) > {k} THEN 1 / nullif(sum(ln(x)) FILTER (WHERE rn <= {k}) / {k} - ln(max(x) FILTER (WHERE rn = {k} + 1)), 0) END
-pickands_estimator[k=25]: CASE WHEN count(*) >= 4 * {k} AND max(x) FILTER (WHERE rn = {k}) > max(x) FILTER (WHERE rn = 2 * {k}) AND max(x) FILTER (WHERE rn = 2 * {k}) > max(x) FILTER (WHERE rn = 4 * {k}) THEN
+hill_estimator[k=25]: CASE WHEN min(least) > 0 AND min(n) > {k} AND sum(ln(x)) FILTER (WHERE rn <= {k}) / {k} - ln(max(x) FILTER (WHERE rn = {k} + 1)) > 1e-14 THEN 1 / (sum(ln(x)) FILTER (WHERE rn <= {k}) / {k} - ln(max(x) FILTER (WHERE rn = {k} + 1))) END
+pickands_estimator[k=25]: CASE WHEN min(n) >= 4 * {k} AND max(x) FILTER (WHERE rn = {k}) > max(x) FILTER (WHERE rn = 2 * {k}) AND max(x) FILTER (WHERE rn = 2 * {k}) > max(x) FILTER (WHERE rn = 4 * {k}) THEN
   ln((max(x) FILTER (WHERE rn = {k}) - max(x) FILTER (WHERE rn = 2 * {k})) / (max(x) FILTER (WHERE rn = 2 * {k}) - max(x) FILTER (WHERE rn = 4 * {k}))) / ln(2e0) END
 """, source="{desc_x}")
 define("quant", "value=x", "max_to_sum_ratio[p=2e0]: max(power(abs(x), {p})) / nullif(sum(power(abs(x), {p})), 0)")
 
 # rescaled range of the whole series and of dyadic windows
 with_totals("avg(x) AS mu, stddev_pop(x) AS sd", name="centred_x")
-source("walk", f"SELECT g, pos, sd, sum(x - mu) OVER ({CUM}) AS s FROM {{centred_x}} q1")
+running("walk", "{centred_x}", "pos, sd", s="sum(x - mu)")
 define("quant", "value=x", "rescaled_range: (greatest(max(s), 0) - least(min(s), 0)) / nullif(min(sd), 0)", source="{walk}", ordered=True)
-source("numbered", f"SELECT g, x, row_number() OVER ({W}) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM {{t}} q0")
+source("numbered", f"SELECT g, x, row_number() OVER ({W}) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM {{t}} q0",
+       "SELECT z.g, z.x, z.nth AS k, m.n FROM {t} z JOIN (SELECT g, count(*) AS n FROM {t} k0 GROUP BY g) m ON z.g = m.g")
+running("sums", "{t}", "pos, x", upto="sum(x)")
 source("sizes", " UNION ALL ".join(f"SELECT {8 << j} AS w" for j in range(24)))
 source("windows", "SELECT g, w, k, x, CAST(floor(k / (w * 1e0)) AS BIGINT) AS b FROM {numbered} q1 JOIN {sizes} q2 ON q2.w <= q1.n / 2 WHERE q1.k < floor(q1.n / (q2.w * 1e0)) * q2.w")
 source("window_means", "SELECT g, w, b, avg(x) AS mu, stddev_pop(x) AS sd FROM {windows} q3 GROUP BY g, w, b")
 source("window_walks", "SELECT z.g, z.w, z.b, m.sd, sum(z.x - m.mu) OVER (PARTITION BY z.g, z.w, z.b ORDER BY z.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s "
-       "FROM {windows} z JOIN {window_means} m ON z.g = m.g AND z.w = m.w AND z.b = m.b")
+       "FROM {windows} z JOIN {window_means} m ON z.g = m.g AND z.w = m.w AND z.b = m.b",
+       # in blocks: the sum up to here less that up to the window, which is the one at the last row before it
+       "SELECT z.g, z.w, z.b, m.sd, u.upto - coalesce(v.upto, 0) - (z.k - z.b * z.w + 1) * m.mu AS s FROM {windows} z JOIN {window_means} m ON z.g = m.g AND z.w = m.w AND z.b = m.b "
+       "JOIN {sums} u ON z.g = u.g AND z.k = u.nth LEFT JOIN {sums} v ON z.g = v.g AND z.b * z.w - 1 = v.nth")
 source("window_rs", "SELECT g, w, avg(rs) AS rs FROM (SELECT g, w, b, (greatest(max(s), 0) - least(min(s), 0)) / nullif(min(sd), 0) AS rs FROM {window_walks} q4 GROUP BY g, w, b) q5 GROUP BY g, w")
 define("quant", "value=x", "hurst_rs: CASE WHEN count(rs) >= 2 THEN covar_pop(ln(rs), ln(w * 1e0)) / nullif(var_pop(ln(w * 1e0)), 0) END", source="(SELECT * FROM {window_rs} q6 WHERE rs > 0)", ordered=True)

@@ -62,7 +62,7 @@ goldfeld_quandt_fstat: CASE WHEN count(*) >= 6 THEN {HALF("rn > n - floor(n / 2e
 """, source="{by_regressor}", ordered=True)
 
 B = "(covar_pop(y, x) / nullif(var_pop(x), 0))"
-SSR = "greatest(count(*) * (var_pop(y) - power(covar_pop(y, x), 2) / nullif(var_pop(x), 0)), 0)"
+SSR = "(CASE WHEN var_pop(x) > 0 THEN greatest(count(*) * (var_pop(y) - power(covar_pop(y, x), 2) / nullif(var_pop(x), 0)), 0) END)"
 define("regression", "x=x, y=y", f"""
 ols_slope: {B}
 ols_intercept: avg(y) - {B} * avg(x)

@@ -1,6 +1,7 @@
 """Tests, associations, effect sizes, survival, series and information measures."""
 
 from ..recipes import define, source, with_totals
+from .orders import EVENT_PLACES, IN_PLACE
 from .tables import HA, HAB, HB, MI, contingency, midranks
 
 W = "PARTITION BY g ORDER BY pos"
@@ -61,8 +62,8 @@ source("ecdf_counts", f"SELECT g, v, sum(a) OVER ({PW} ROWS BETWEEN UNBOUNDED PR
 source("ecdf", "SELECT z.g, z.v, z.step, z.ca / (m.na * 1e0) AS fa, z.cb / (m.nb * 1e0) AS fb, m.na, m.nb FROM {ecdf_counts} z JOIN (SELECT g, sum(a) AS na, sum(b) AS nb FROM {points} s2 GROUP BY g) m ON z.g = m.g")
 define("stats", TWO, """
 ks_2samp: max(abs(fa - fb))
-wasserstein_1d: coalesce(sum(abs(fa - fb) * step), 0)
-energy_distance: sqrt(2 * coalesce(sum(power(fa - fb, 2) * step), 0))
+wasserstein_1d: CASE WHEN min(na) > 0 AND min(nb) > 0 THEN coalesce(sum(abs(fa - fb) * step), 0) END
+energy_distance: CASE WHEN min(na) > 0 AND min(nb) > 0 THEN sqrt(2 * coalesce(sum(power(fa - fb, 2) * step), 0)) END
 ks_test -> ks_p: max(abs(fa - fb)) ;; max(na) ;; max(nb)
 """, source="{ecdf}")
 source("halves", "SELECT z.g, z.side, CASE WHEN z.v > m.med THEN 1 ELSE 0 END AS above FROM {t} z JOIN (SELECT g, percentile(v, 0.5e0) AS med FROM {t} k GROUP BY g) m ON z.g = m.g")
@@ -104,7 +105,7 @@ relative_risk: CASE WHEN {SQUARE} THEN ({CA} / nullif({CA} + {CB}, 0)) / nullif(
 fisher_exact -> fisher: {CA} ;; {CB} ;; {CC} ;; {CD}
 """, source="{gt_two}")
 define("stats", "group=grp'", "srm_pvalue -> chi2: sum(n * 1e0 * n) * count(*) / sum(n) - sum(n) ;; count(*) - 1e0", source="(SELECT g, trim(grp) AS grp, count(*) AS n FROM {t} s0 GROUP BY g, trim(grp))")
-define("stats", "group=grp', label=y", "information_value: coalesce(sum(CASE WHEN good > 0 AND bad > 0 THEN (good / (tg * 1e0) - bad / (tb * 1e0)) * ln((good / (tg * 1e0)) / (bad / (tb * 1e0))) END), 0)",
+define("stats", "group=grp', label=y", "information_value: CASE WHEN min(tg) > 0 AND min(tb) > 0 THEN coalesce(sum(CASE WHEN good > 0 AND bad > 0 THEN (good / (tg * 1e0) - bad / (tb * 1e0)) * ln((good / (tg * 1e0)) / (bad / (tb * 1e0))) END), 0) END",
        source=with_totals("nullif(sum(good), 0) AS tg, nullif(sum(bad), 0) AS tb", "(SELECT g, trim(grp) AS grp, count_if(y = 0) AS good, count_if(y <> 0) AS bad FROM {t} s0 GROUP BY g, trim(grp))"))
 contingency("cx", "cy", "xy", text=True)
 define("stats", "x=cx', y=cy'", f"""
@@ -163,12 +164,14 @@ kurtosistest: CASE WHEN {n} >= 5 THEN {ZK} END
 normaltest: CASE WHEN {n} >= 8 THEN {ZS} * {ZS} + {ZK} * {ZK} END
 jarque_bera -> chi2: {n} / 6e0 * ({SK} * {SK} + {KU} * {KU} / 4) ;; 2e0
 """, source="{central}")
-S1, S2, S3, S4 = "sum(x)", "sum(x * x)", "sum(x * x * x)", "sum(x * x * x * x)"
+# about the mean, which these do not depend on: sums of powers of x itself cancel
+S2, S3, S4 = "sum(c * c)", "sum(c * c * c)", "sum(c * c * c * c)"
+define("stats", "value=x", f"""
+kstat_third: {n} * 1e0 * {S3} / nullif(({n} - 1e0) * ({n} - 2), 0)
+kstat_fourth: ({n} * ({n} + 1e0) * {S4} - 3e0 * ({n} - 1) * {S2} * {S2}) / nullif(({n} - 1e0) * ({n} - 2) * ({n} - 3), 0)
+""", source="{central}")
 Q = lambda q: f"percentile(x, {q})"
 define("stats", "value=x", f"""
-kstat_third: (2 * power({S1}, 3) - 3e0 * {n} * {S1} * {S2} + {n} * 1e0 * {n} * {S3}) / nullif({n} * ({n} - 1e0) * ({n} - 2), 0)
-kstat_fourth: (-6 * power({S1}, 4) + 12e0 * {n} * {S1} * {S1} * {S2} - 3e0 * {n} * ({n} - 1) * {S2} * {S2} - 4e0 * {n} * ({n} + 1) * {S1} * {S3} + {n} * 1e0 * {n} * ({n} + 1) * {S4})
-  / nullif({n} * ({n} - 1e0) * ({n} - 2) * ({n} - 3), 0)
 bowley_skewness: ({Q("0.75e0")} + {Q("0.25e0")} - 2 * {Q("0.5e0")}) / nullif({Q("0.75e0")} - {Q("0.25e0")}, 0)
 moors_kurtosis: CASE WHEN {n} >= 8 THEN ({Q("0.875e0")} - {Q("0.625e0")} + {Q("0.375e0")} - {Q("0.125e0")}) / nullif({Q("0.75e0")} - {Q("0.25e0")}, 0) END
 confidence_interval[level=0.95e0,kind=t] -> half_width: stddev_samp(x) ;; {n} ;; {{level}} ;; '{{kind}}'
@@ -247,24 +250,18 @@ define("stats", "value=v, covariate=cov, group=arm", f"""
 cuped_ate: avg(v) FILTER (WHERE arm <> 0) - avg(v) FILTER (WHERE arm = 0) - {THETA} * (avg(cov) FILTER (WHERE arm <> 0) - avg(cov) FILTER (WHERE arm = 0))
 """)
 
+# pairs of rows by their orders, without listing them
+define("stats", "x=x, y=y", """
+kendall_tau: min(con - dis) / nullif(min(sqrt(apart_x) * sqrt(apart_y)), 0)
+somers_d: min(con - dis) / nullif(min(con + dis + only_y), 0)
+goodman_kruskal_gamma: min(con - dis) / nullif(min(con + dis), 0)
+""", source="{concordance}", places=IN_PLACE)
+define("stats", "x=x, y=y", "distance_correlation: CASE WHEN min(least(vxx, vyy)) > 1e-14 * max(greatest(vxx, vyy)) THEN min(sqrt(greatest(vxy, 0)) / sqrt(sqrt(vxx) * sqrt(vyy))) END", source="{distance_sums}", places=IN_PLACE)
+define("stats", "time=d, score=sc, event=ev", "concordance_index: min(wins) / nullif(min(pairs), 0)", source="{ranked_events}", places=EVENT_PLACES)
 # all pairs of a key: for keys of bounded size
-source("pairs", "SELECT i.g, sign(i.x - j.x) AS sx, sign(i.y - j.y) AS sy, (i.y - j.y) / nullif(i.x - j.x, 0) AS slope FROM {t} i JOIN {t} j ON i.g = j.g AND i.pos < j.pos")
-CON, DIS = "count_if(sx * sy > 0)", "count_if(sx * sy < 0)"
-define("stats", "x=x, y=y", f"""
-kendall_tau: ({CON} - {DIS}) / nullif(sqrt(count_if(sx <> 0) * 1e0) * sqrt(count_if(sy <> 0) * 1e0), 0)
-theil_sen_slope: median(slope)
-somers_d: ({CON} - {DIS}) / nullif({CON} + {DIS} + count_if(sx <> 0 AND sy = 0), 0)
-goodman_kruskal_gamma: ({CON} - {DIS}) / nullif({CON} + {DIS}, 0)
-""", source="{pairs}", ordered=True)
+source("pairs", "SELECT i.g, (i.y - j.y) / nullif(i.x - j.x, 0) AS slope FROM {t} i JOIN {t} j ON i.g = j.g AND i.pos < j.pos")
+define("stats", "x=x, y=y", "theil_sen_slope: median(slope)", source="{pairs}", ordered=True)
 define("stats", "x=x, y=y", "siegel_slope: median(m)", source="(SELECT i.g, i.pos, median((i.y - j.y) / nullif(i.x - j.x, 0)) AS m FROM {t} i JOIN {t} j ON i.g = j.g AND i.pos <> j.pos GROUP BY i.g, i.pos)", ordered=True)
-source("gaps", "SELECT i.g, i.pos AS p, j.pos AS q, abs(i.x - j.x) AS a, abs(i.y - j.y) AS b FROM {t} i JOIN {t} j ON i.g = j.g")
-source("gap_rows", "SELECT g, p, avg(a) AS a, avg(b) AS b FROM {gaps} s1 GROUP BY g, p")
-source("gap_all", "SELECT g, avg(a) AS a, avg(b) AS b FROM {gap_rows} s2 GROUP BY g")
-source("centred_gaps", "SELECT z.g, z.a - r.a - c.a + m.a AS a, z.b - r.b - c.b + m.b AS b FROM {gaps} z JOIN {gap_rows} r ON z.g = r.g AND z.p = r.p JOIN {gap_rows} c ON z.g = c.g AND z.q = c.p JOIN {gap_all} m ON z.g = m.g")
-define("stats", "x=x, y=y", "distance_correlation: sqrt(greatest(avg(a * b), 0)) / nullif(sqrt(sqrt(greatest(avg(a * a), 0)) * sqrt(greatest(avg(b * b), 0))), 0)", source="{centred_gaps}", ordered=True)
-define("stats", "time=d, score=sc, event=ev", "concordance_index: sum(CASE WHEN a < b THEN 1e0 WHEN a = b THEN 0.5e0 ELSE 0e0 END) / nullif(count(*), 0)",
-       source="(SELECT i.g, i.sc AS a, j.sc AS b FROM {t} i JOIN {t} j ON i.g = j.g AND i.ev = 1 AND i.d < j.d)")
-
 # survival
 source("times", "SELECT g, d, count(*) AS c, count_if(ev = 1) AS dead FROM {t} s0 GROUP BY g, d")
 source("at_risk", "SELECT g, d, dead, sum(c) OVER (PARTITION BY g ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM {times} s1")

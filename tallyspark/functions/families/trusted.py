@@ -6,6 +6,8 @@ these carry the prefix ``catalog_``.
 """
 
 from ..recipes import define, source
+from .orders import IN_PLACE
+from .quant import GROWTH
 from .tables import midranks
 
 ORDER = "PARTITION BY g ORDER BY pos"
@@ -56,14 +58,14 @@ define("catalog", "returns=r", f"""
 catalog_sharpe[periods=1e0,ddof=1,rf=0e0]: CASE WHEN count(*) > 1 AND {SD} >= 1e-12 THEN (avg(r) - {{rf}}) / {SD} * sqrt({{periods}}) END
 catalog_sortino[periods=1e0,full=1,rf=0e0]: CASE WHEN count(*) > 1 AND {DOWN} >= 1e-12 THEN (avg(r) - {{rf}}) / {DOWN} * sqrt({{periods}}) END
 """)
-define("catalog", "returns=r", "catalog_calmar[periods=252e0]: CASE WHEN count(*) > 1 AND min(dd) < -1e-12 THEN (power(exp(sum(ln(1 + r))), {periods} / count(*)) - 1) / abs(min(dd)) END", source="{drawdown}", ordered=True)
+define("catalog", "returns=r", f"catalog_calmar[periods=252e0]: CASE WHEN count(*) > 0 AND {GROWTH} > 0 AND min(dd) < -1e-12 THEN (power({GROWTH}, {{periods}} / count(*)) - 1) / abs(min(dd)) END", source="{drawdown}", ordered=True)
 define("catalog", "returns=r, benchmark=b", f"catalog_information_ratio[periods=1e0,ddof=1]: CASE WHEN count(*) > 1 AND {TE} >= 1e-12 THEN avg(r - b) / {TE} * sqrt({{periods}}) END")
 define("catalog", "x=x, y=y", "catalog_correlation: covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)")
 midranks("x", "by_x")
 source("by_x_only", "SELECT g, y, rk AS rx FROM {by_x} s0")
 midranks("y", "by_xy", "g", "{by_x_only}")
 define("catalog", "x=x, y=y", "catalog_correlation_spearman: covar_pop(rx, rk) / nullif(stddev_pop(rx) * stddev_pop(rk), 0)", source="{by_xy}")
-define("catalog", "x=x, y=y", "catalog_correlation_kendall: (count_if(sx * sy > 0) - count_if(sx * sy < 0)) / nullif(sqrt(count_if(sx <> 0) * 1e0) * sqrt(count_if(sy <> 0) * 1e0), 0)", source="{pairs}", ordered=True)
+define("catalog", "x=x, y=y", "catalog_correlation_kendall: min(con - dis) / nullif(min(sqrt(apart_x) * sqrt(apart_y)), 0)", source="{concordance}", places=IN_PLACE)
 
 # one ranked list for each key
 source("ranked_list", f"SELECT g, rel, row_number() OVER ({ORDER}) AS rn, row_number() OVER (PARTITION BY g ORDER BY rel DESC) AS best, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS found FROM {{t}} k0")

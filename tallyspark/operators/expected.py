@@ -178,7 +178,8 @@ EXPECTED: dict[str, Expected] = {}
 # --- returns ---------------------------------------------------------------------
 LOSS, GAIN = "$r < 0", "$r > 0"
 BREACH = "-$r > $v"
-ANNUAL = "(pow(grown, 252 / n) - 1)"
+#: No yearly rate of one return, or of a series that ends with nothing or less.
+ANNUAL = "(CASE WHEN n > 1 AND grown > 0 THEN pow(grown, 252 / n) - 1 END)"
 
 
 def slope(where: str = "") -> str:
@@ -235,7 +236,7 @@ EXPECTED["returns"] = Expected(
     max_drawdown_duration: under_longest
     max_consecutive_losses: loss_longest
     bipower_variation: {PI} / 2 * {total("abs($r) * abs(r[i - 1])", "i > 1")}
-    jump_variation: greatest(0, {total("$r * $r")} - {PI} / 2 * {total("abs($r) * abs(r[i - 1])", "i > 1")})
+    jump_variation: CASE WHEN n > 1 THEN greatest(0, {total("$r * $r")} - {PI} / 2 * {total("abs($r) * abs(r[i - 1])", "i > 1")}) END
     variance_ratio: ({total("pow($r + r[i - 1] - 2 * mu, 2)", "i > 1")} / (2 * (n - 1) * (1 - 2 / n))) / (sd * sd)
     beta: bta
     alpha: alf * 252
@@ -267,7 +268,7 @@ EXPECTED["returns"] = Expected(
     garman_klass_volatility: sqrt({mean("pow(ln($h) - ln($l), 2) / 2 - (2 * ln(2) - 1) * pow(ln($c) - ln($o), 2)")})
     rogers_satchell_volatility: sqrt({mean("(ln($h) - ln($c)) * (ln($h) - ln($o)) + (ln($l) - ln($c)) * (ln($l) - ln($o))")})
     yang_zhang_volatility: sqrt({spread("ln($o) - ln(c[i - 1])", "i > 1", "var_samp")} + yzk * {spread("ln($c) - ln($o)", "i > 1", "var_samp")} + (1 - yzk) * {mean("(ln($h) - ln($c)) * (ln($h) - ln($o)) + (ln($l) - ln($c)) * (ln($l) - ln($o))", "i > 1")})
-    hill_estimator: 1 / (list_avg(list_transform(list_slice(xdown, 1, 25), lambda z: ln(z))) - ln(xdown[26]))
+    hill_estimator: CASE WHEN xdown[1] > xdown[26] THEN 1 / (list_avg(list_transform(list_slice(xdown, 1, 25), lambda z: ln(z))) - ln(xdown[26])) END
     pickands_estimator: ln((xdown[25] - xdown[50]) / (xdown[50] - xdown[100])) / ln(2)
     max_to_sum_ratio: {top("$x * $x")} / {total("$x * $x")}
     rescaled_range: (greatest(0, list_max(walk)) - least(0, list_min(walk))) / list_stddev_pop(x)
@@ -278,9 +279,9 @@ EXPECTED["returns"] = Expected(
     deflated_sharpe: {normal(f"(sr - 0.1 * (0.42278433509846714 * 1.2815515655446004 + 0.5772156649015329 * {normal_quantile('1 - exp(-1) / 10')})) * sqrt(n - 1) / wide_sr")}
     cornish_fisher_var: cfv
     modified_sharpe_ratio: CASE WHEN cfv > 0 THEN mu / cfv END
-    kupiec_pof: {chi_square_tail("-2 * (fails * ln(0.01) + (n - fails) * ln(0.99) - fails * ln(fails / n) - (n - fails) * ln(1 - fails / n))", "1")}
-    christoffersen_independence: {chi_square_tail("markov", "1")}
-    christoffersen_cc: {chi_square_tail("markov - 2 * (fails * ln(0.01) + (n - fails) * ln(0.99) - fails * ln(fails / n) - (n - fails) * ln(1 - fails / n))", "2")}
+    kupiec_pof: {chi_square_tail("-2 * (fails * ln(0.01) + (n - fails) * ln(0.99) - CASE WHEN fails > 0 THEN fails * ln(fails / n) ELSE 0 END - CASE WHEN fails < n THEN (n - fails) * ln(1 - fails / n) ELSE 0 END)", "1")}
+    christoffersen_independence: CASE WHEN n > 1 THEN {chi_square_tail("markov", "1")} END
+    christoffersen_cc: CASE WHEN n > 1 THEN {chi_square_tail("markov - 2 * (fails * ln(0.01) + (n - fails) * ln(0.99) - CASE WHEN fails > 0 THEN fails * ln(fails / n) ELSE 0 END - CASE WHEN fails < n THEN (n - fails) * ln(1 - fails / n) ELSE 0 END)", "2")} END
     """,
     windows=(
         "product(1 + r) OVER (PARTITION BY g ORDER BY pos) AS eq, avg(x) OVER (PARTITION BY g) AS mx, quantile_cont(r, 0.05) OVER (PARTITION BY g) AS tail_lo, row_number() OVER (PARTITION BY g ORDER BY pos) AS rn",
@@ -335,7 +336,7 @@ EXPECTED["returns"] = Expected(
             "cfv": "-(mu + sd * (zc + (zc * zc - 1) * skew / 6 + (pow(zc, 3) - 3 * zc) * kurt / 24 - (2 * pow(zc, 3) - 5 * zc) * skew * skew / 36))",
             # twice the log likelihood by the state before, less that of one rate
             "markov": "2 * (coalesce(t00 * ln(nullif(t00, 0) / (t00 + t01)), 0) + coalesce(t01 * ln(nullif(t01, 0) / (t00 + t01)), 0) + coalesce(t10 * ln(nullif(t10, 0) / (t10 + t11)), 0) + coalesce(t11 * ln(nullif(t11, 0) / (t10 + t11)), 0)"
-            " - (t00 + t10) * ln((t00 + t10) / (n - 1)) - (t01 + t11) * ln((t01 + t11) / (n - 1)))",
+            " - coalesce((t00 + t10) * ln(nullif(t00 + t10, 0) / (n - 1)), 0) - coalesce((t01 + t11) * ln(nullif(t01 + t11, 0) / (n - 1)), 0))",
         },
     ),
 )
@@ -362,9 +363,9 @@ EXPECTED["classes"] = Expected(
     accuracy: (tp + tn) / n
     precision: tp / (tp + fp)
     recall: tp / (tp + fn)
-    f1: 2 * tp / (2 * tp + fp + fn)
+    f1: CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END
     specificity: tn / (tn + fp)
-    fbeta: 2 * tp / (2 * tp + fp + fn)
+    fbeta: CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END
     jaccard: tp / (tp + fp + fn)
     g_mean: sqrt(tp / (tp + fn) * (tn / (tn + fp)))
     youden_j: tp / (tp + fn) - fp / (tn + fp)
@@ -384,8 +385,8 @@ EXPECTED["classes"] = Expected(
     macro_f1: (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2
     micro_f1: (tp + tn) / n
     weighted_f1: ((tp + fn) * 2 * tp / (2 * tp + fp + fn) + (tn + fp) * 2 * tn / (2 * tn + fp + fn)) / n
-    mcc: (tp * tn - fp * fn) / (sqrt((tp + fp) * (tp + fn)) * sqrt((tn + fp) * (tn + fn)))
-    balanced_accuracy: (tp / (tp + fn) + tn / (tn + fp)) / 2
+    mcc: CASE WHEN least(tp + fp, tp + fn, tn + fp, tn + fn) > 0 THEN (tp * tn - fp * fn) / (sqrt((tp + fp) * (tp + fn)) * sqrt((tn + fp) * (tn + fn))) ELSE 0 END
+    balanced_accuracy: list_avg([tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0)])
     balanced_accuracy_adjusted: tp / (tp + fn) + tn / (tn + fp) - 1
     cohen_kappa: 2 * (tp * tn - fp * fn) / ((tp + fp) * (fp + tn) + (tp + fn) * (fn + tn))
     jaccard_macro: (tp / (tp + fp + fn) + tn / (tn + fp + fn)) / 2
@@ -454,7 +455,10 @@ EXPECTED["classes"] = Expected(
             "bs": mean("pow($q - $y, 2)"),
             "ll": "-" + mean("ln(abs(1 - $y - $q))"),
         },
-        {"bp": "(tp * tp + fp * fp) / (tp + fp) / n + (tn * tn + fn * fn) / (tn + fn) / n", "br": "(tp * tp + fn * fn) / (tp + fn) / n + (tn * tn + fp * fp) / (tn + fp) / n"},
+        {
+            "bp": "coalesce((tp * tp + fp * fp) / nullif(tp + fp, 0) / n, 0) + coalesce((tn * tn + fn * fn) / nullif(tn + fn, 0) / n, 0)",
+            "br": "coalesce((tp * tp + fn * fn) / nullif(tp + fn, 0) / n, 0) + coalesce((tn * tn + fp * fp) / nullif(tn + fp, 0) / n, 0)",
+        },
     ),
 )
 
@@ -471,12 +475,12 @@ EXPECTED["labels"] = Expected(
     "ca cb ra rb",
     f"""
     mutual_info_score: mi
-    normalized_mutual_info: 2 * mi / (ha + hb)
-    homogeneity_score: mi / ha
-    completeness_score: mi / hb
-    v_measure_score: 2 * mi / (ha + hb)
+    normalized_mutual_info: coalesce(2 * mi / nullif(ha + hb, 0), 1)
+    homogeneity_score: coalesce(mi / nullif(ha, 0), 1)
+    completeness_score: coalesce(mi / nullif(hb, 0), 1)
+    v_measure_score: coalesce(2 * mi / nullif(ha + hb, 0), 1)
     rand_index: (2 * both_ + n * (n - 1) / 2 - a_ - b_) / (n * (n - 1) / 2)
-    adjusted_rand_index: (both_ - a_ * b_ / (n * (n - 1) / 2)) / ((a_ + b_) / 2 - a_ * b_ / (n * (n - 1) / 2))
+    adjusted_rand_index: coalesce((both_ - a_ * b_ / (n * (n - 1) / 2)) / nullif((a_ + b_) / 2 - a_ * b_ / (n * (n - 1) / 2), 0), 1)
     fowlkes_mallows_clustering: both_ / sqrt(a_ * b_)
     percentage_agreement: po
     scott_pi: (po - pooled) / (1 - pooled)
@@ -521,7 +525,7 @@ EXPECTED["fits"] = Expected(
     log_likelihood_gaussian: ll
     aic: 2 - 2 * ll
     bic: ln(n) - 2 * ll
-    aicc: 2 - 2 * ll + 4 / (n - 2)
+    aicc: CASE WHEN n > 2 THEN 2 - 2 * ll + 4 / (n - 2) END
     hqic: 2 * ln(ln(n)) - 2 * ll
     breusch_pagan_lm: n * fit2
     breusch_pagan_fstat: fit2 / (1 - fit2) * (n - 2)
@@ -646,7 +650,7 @@ EXPECTED["columns"] = Expected(
     renyi_entropy: -ln({diverse(2)})
     tsallis_entropy: 1 - {diverse(2)}
     simpson_evenness: 1 / {diverse(2)} / {count("$x > 0")}
-    concentration_ratio: (xs[-1] + xs[-2] + xs[-3] + xs[-4]) / sx
+    concentration_ratio: list_sum(xs[-4:]) / sx
     rosenbluth_index: 1 / (2 * {SORTED_SHARE.format("(n + 1 - i) * xs[i] / sx")} - 1)
     comprehensive_concentration_index: list_max(x) / sx + list_sum(list_transform(range(1, n::BIGINT), lambda i: pow(xs[i] / sx, 2) * (2 - xs[i] / sx)))
     gini_coefficient: gini
@@ -776,7 +780,7 @@ EXPECTED["pairs"] = Expected(
     zero_crossing_rate: {mean("(($x < 0) <> (x[i - 1] < 0))::INT", "i > 1")}
     hjorth_mobility: sqrt(vd / m2)
     hjorth_complexity: sqrt(vdd / vd) / sqrt(vd / m2)
-    turning_point_rate: {count("i > 1 AND i < n AND ($x - x[i - 1]) * (x[i + 1] - $x) < 0")} / (n - 2)
+    turning_point_rate: CASE WHEN n > 2 THEN {count("i > 1 AND i < n AND ($x - x[i - 1]) * (x[i + 1] - $x) < 0")} / (n - 2) END
     rms_successive_differences: sqrt({mean("pow($x - x[i - 1], 2)", "i > 1")})
     mean_absolute_change: {mean("abs($x - x[i - 1])", "i > 1")}
     arch_lm: (n - 1) * arch
@@ -956,13 +960,13 @@ EXPECTED["samples"] = Expected(
     effect_size: dd_
     hedges_g: dd_ * exp(lgamma((n - 2) / 2) - lgamma((n - 3) / 2)) / sqrt((n - 2) / 2)
     proportion_z: 2 * {upper_tail("abs(ma - mb) / sqrt((ma * na + mb * nb) / n * (1 - (ma * na + mb * nb) / n) * (1 / na + 1 / nb))")}
-    mann_whitney: least(1, {_TWO_SIDES("(abs(wins - losses) / 2 - 0.5) / sqrt(na * nb / 12 * (n + 1 - tie_sum / (n * (n - 1))))")})
-    ks_test: least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * ks * ks * na * nb / n))))
+    mann_whitney: CASE WHEN na > 0 AND nb > 0 THEN least(1, {_TWO_SIDES("(abs(wins - losses) / 2 - 0.5) / sqrt(na * nb / 12 * (n + 1 - tie_sum / (n * (n - 1))))")}) END
+    ks_test: CASE WHEN na > 0 AND nb > 0 THEN least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * ks * ks * na * nb / n)))) END
     mcnemar: {chi_square_tail("pow(abs(" + count("$pa = 1 AND $pb = 0") + " - " + count("$pa = 0 AND $pb = 1") + ") - 1, 2) / " + count("$pa <> $pb"), "1")}
     wilcoxon_signed_rank: least(1, 2 * {upper_tail("abs(w_up - w_n * (w_n + 1) / 4) / sqrt(w_n * (w_n + 1) * (2 * w_n + 1) / 24 - w_ties / 48)")})
-    anova: pow(1 + (groups - 1) * ssb / (groups - 1) / msw / (n - groups), (groups - n) / 2)
+    anova: CASE WHEN groups > 1 THEN pow(1 + (groups - 1) * ssb / (groups - 1) / msw / (n - groups), (groups - n) / 2) END
     bartlett: {chi_square_tail("((n - groups) * ln(ssw / (n - groups)) - log_var) / (1 + (inv_n - 1 / (n - groups)) / (3 * (groups - 1)))", "groups - 1")}
-    levene: pow(1 + lev / (n - groups), (groups - n) / 2)
+    levene: CASE WHEN groups > 1 THEN pow(1 + lev / (n - groups), (groups - n) / 2) END
     fligner: {chi_square_tail("flig", "groups - 1")}
     kruskal_wallis: {chi_square_tail("(12 / (n * (n + 1)) * krus - 3 * (n + 1)) / (1 - tie_sum / (n * n * n - n))", "groups - 1")}
     wilson_lower: (fl + pow(1.959963984540054, 2) / (2 * n) - 1.959963984540054 * sqrt(fl * (1 - fl) / n + pow(1.959963984540054 / n, 2) / 4)) / (1 + pow(1.959963984540054, 2) / n)
@@ -1037,7 +1041,7 @@ EXPECTED["samples"] = Expected(
 
 # --- rankings --------------------------------------------------------------------
 #: One row for each query: relevances in order of rank, and the number of relevant ones.
-_RANKED = "SELECT g, query, list(rel ORDER BY rank, pos) AS rels, count(*) FILTER (rel > 0)::DOUBLE AS wanted, count(*)::DOUBLE AS k FROM rows_ GROUP BY g, query"
+_RANKED = "SELECT g, query, max(max(rel)) OVER (PARTITION BY g) AS most, list(rel ORDER BY rank, pos) AS rels, count(*) FILTER (rel > 0)::DOUBLE AS wanted, count(*)::DOUBLE AS k FROM rows_ GROUP BY g, query"
 
 
 def first(term: str, k: str = "10") -> str:
@@ -1047,7 +1051,7 @@ def first(term: str, k: str = "10") -> str:
 
 _HITS = first("(rels[i] > 0)::INT")
 _PRECISION = "CASE WHEN rels[i] > 0 THEN len(list_filter(rels[:i], lambda z: z > 0)) / i ELSE 0 END"
-_STOP = "(pow(2, rels[i]) - 1) / 4"
+_STOP = "(pow(2, rels[i]) - 1) / pow(2, most)"
 EXPECTED["rankings"] = Expected(
     "rel",
     """
@@ -1073,7 +1077,7 @@ EXPECTED["rankings"] = Expected(
             FROM (SELECT g, wanted, k, {_HITS} AS hits, {first("(rels[i] > 0)::INT", "5")} AS hits5, {first(_PRECISION)} AS ap10, {first(_PRECISION, "k")} AS ap, {first("(rels[i] > 0)::INT / i")} AS arhr,
                     coalesce(1 / nullif(list_position(list_transform(rels, lambda z: z > 0), true), 0), 0) AS rr, {first("(rels[i] > 0)::INT", "wanted")} AS rhits, {first("(rels[i] > 0)::INT * 0.2 * pow(0.8, i - 1)", "k")} AS rbp,
                     {first("rels[i] * ln(2) / ln(i + 1)")} AS dcg, {first("list_reverse_sort(rels)[i] * ln(2) / ln(i + 1)")} AS idcg,
-                    {first(f"{_STOP} / i * coalesce(list_product(list_transform(rels[:i - 1], lambda z: 1 - (pow(2, z) - 1) / 4)), 1)")} AS err FROM ({_RANKED})) GROUP BY g""",
+                    {first(f"{_STOP} / i * coalesce(list_product(list_transform(rels[:i - 1], lambda z: 1 - (pow(2, z) - 1) / pow(2, most))), 1)")} AS err FROM ({_RANKED})) GROUP BY g""",
     ),
 )
 
@@ -1197,7 +1201,7 @@ EXPECTED["accounts"] = Expected(
     cash_conversion_cycle: 365 * {AVG("receivables", "revenue")} + 365 * {AVG("inventory", "cogs")} - 365 * {AVG("payables", "cogs")}
     fixed_charge_coverage: {total("$ebit + $lease")} / {total("$interest + $lease")}
     churn_rate: {share("$flag <> 0")}
-    cagr: pow(x[-1] / x[1], 1 / (n - 1)) - 1
+    cagr: CASE WHEN n > 1 THEN pow(x[-1] / x[1], 1 / (n - 1)) - 1 END
     expected_loss: {total("$pd * $lgd * $ead")}
     expected_loss_rate: {total("$pd * $lgd * $ead")} / list_sum(ead)
     unexpected_loss: {total("$ead * $lgd * sqrt($pd - $pd * $pd)")}
@@ -1260,12 +1264,12 @@ EXPECTED["trades"] = Expected(
     share_turnover: {AVG("volume", "shares_outstanding")}
     roll_spread: CASE WHEN serial < 0 THEN 2 * sqrt(-serial) END
     corwin_schultz_spread: {mean(f"CASE WHEN {_ALPHA_} > 0 THEN 2 * (exp({_ALPHA_}) - 1) / (exp({_ALPHA_}) + 1) ELSE 0 END", "i < n")}
-    abdi_ranaldo_spread: 2 * sqrt(greatest(0, {mean("(ln($close) - ln($high * $low) / 2) * (ln($close) - ln(high[i + 1] * low[i + 1]) / 2)", "i < n")}))
+    abdi_ranaldo_spread: CASE WHEN n > 1 AND list_min(close) > 0 AND list_min(low) > 0 AND list_min(high) > 0 THEN 2 * sqrt(greatest(0, {mean("(ln($close) - ln($high * $low) / 2) * (ln($close) - ln(high[i + 1] * low[i + 1]) / 2)", "i < n")})) END
     gross_exposure: {total("abs($exposure)")}
     net_exposure: list_sum(exposure)
     long_exposure: coalesce({total("$exposure", "$exposure > 0")}, 0)
     short_exposure: -coalesce({total("$exposure", "$exposure < 0")}, 0)
-    long_short_ratio: {total("$exposure", "$exposure > 0")} / -{total("$exposure", "$exposure < 0")}
+    long_short_ratio: coalesce({total("$exposure", "$exposure > 0")}, 0) / -{total("$exposure", "$exposure < 0")}
     largest_position: {top("abs($exposure)")} / {total("abs($exposure)")}
     liquidity_coverage: coalesce({total("abs($weight)", "$days_to_liquidate <= 5")}, 0) / {total("abs($weight)")}
     implementation_shortfall: {slip("exec_price", "decision_price")}
@@ -1329,9 +1333,9 @@ EXPECTED["catalog"] = Expected(
     catalog_rmse: sqrt(mse)
     catalog_mae: {mean("abs($p - $y)")}
     catalog_r2: 1 - mse * n / {total("pow($y - my, 2)")}
-    catalog_precision: {classes("CASE WHEN c.k = 1 THEN " + _P + " END", "max")}
-    catalog_recall: {classes("CASE WHEN c.k = 1 THEN " + _R + " END", "max")}
-    catalog_f1: {classes("CASE WHEN c.k = 1 THEN " + _F + " END", "max")}
+    catalog_precision: coalesce({classes("CASE WHEN c.k = 1 THEN " + _P + " END", "max")}, 0)
+    catalog_recall: coalesce({classes("CASE WHEN c.k = 1 THEN " + _R + " END", "max")}, 0)
+    catalog_f1: coalesce({classes("CASE WHEN c.k = 1 THEN " + _F + " END", "max")}, 0)
     catalog_precision_macro: {classes(_P)}
     catalog_recall_macro: {classes(_R)}
     catalog_f1_macro: {classes(_F)}
@@ -1350,7 +1354,7 @@ EXPECTED["catalog"] = Expected(
     catalog_variance: {total("pow($x - mx, 2)")} / (n - 1)
     catalog_sharpe: list_avg(r) / sqrt({total("pow($r - mr, 2)")} / (n - 1))
     catalog_sortino: list_avg(r) / sqrt({mean("CASE WHEN $r < 0 THEN $r * $r ELSE 0 END")})
-    catalog_calmar: (pow(list_product(list_transform(r, lambda z: 1 + z)), 252 / n) - 1) / -list_min(dd)
+    catalog_calmar: CASE WHEN list_product(list_transform(r, lambda z: 1 + z)) > 0 THEN (pow(list_product(list_transform(r, lambda z: 1 + z)), 252 / n) - 1) / -list_min(dd) END
     catalog_information_ratio: {mean("$r - $b")} / {spread("$r - $b")}
     catalog_correlation: {total("($x - mx) * ($y - my)")} / sqrt({total("pow($x - mx, 2)")} * {total("pow($y - my, 2)")})
     catalog_correlation_spearman: {total("($rx - (n + 1) / 2) * ($rr - (n + 1) / 2)")} / sqrt({total("pow($rx - (n + 1) / 2, 2)")} * {total("pow($rr - (n + 1) / 2, 2)")})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogue
 from ..plans.evaluate import evaluate, lenient, portable
 from .expected import EXPECTED, statement
-from .shapes import SHAPES
+from .shapes import SHAPES, edged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +34,11 @@ def _shapes() -> list[Shape]:
     catalogue.load()
     taken: set[str] = set()
     out = []
-    for name, (table, relation, families, columns, params) in SHAPES.items():
+    for name, (table, _, families, columns, params) in SHAPES.items():
         have = set(columns.split())
         mine = tuple(r.id for r in catalogue.RECIPES.values() if r.family in families and r.id not in taken and set(r.columns) <= have)
         taken |= set(mine)
-        out.append(Shape(name, table, relation, mine, {k: v for k, v in params.items() if k in mine}))
+        out.append(Shape(name, table, edged(name), mine, {k: v for k, v in params.items() if k in mine}))
     return out
 
 

@@ -159,3 +159,47 @@ SHAPES = {
         {},
     ),
 }
+
+
+def edged(name: str) -> str:
+    """The relation of a shape, with its edge keys."""
+    relation, columns = SHAPES[name][1], SHAPES[name][3].split()
+    parts = [relation]
+    ordered = ["pos"] if " AS pos," in relation else []
+    if ordered:
+        one = f"(SELECT * FROM ({relation}) e2 WHERE g = 0 AND pos = (SELECT min(pos) FROM ({relation}) e1 WHERE g = 0)) a"
+        parts.append(f"SELECT 203 AS g, pos, {', '.join(columns)} FROM {one}")
+        # in multiples of 2^-10, so that sums of ties are exact
+        tied = ", ".join(f"a.{c}" if c in WORDS else f"floor(a.{c} * 1024e0) / 1024 AS {c}" for c in columns)
+        parts.append(f"SELECT 202 AS g, z.pos, {tied} FROM {one} JOIN ({relation}) z ON z.g = a.g")
+    for g, where, changed in EDGES.get(name, ()):
+        where = where.replace("{one}", f"pos = (SELECT min(pos) FROM ({relation}) e1 WHERE g = 0)")
+        parts.append(f"SELECT {g} AS g, {', '.join([*ordered, *(f'{changed.get(c, c)} AS {c}' for c in columns)])} FROM ({relation}) e WHERE g = 0 AND {where}")
+    return " UNION ALL ".join(parts)
+
+
+#: Columns of text.
+WORDS = frozenset("grp s lk jk side outcome cx cy era query problem tp tr".split())
+
+#: Keys of hard cases, made from the rows of key 0: (key, rows, columns changed).
+EDGES = {
+    # losses of everything and more, prices of nothing and less, ties only, one row, gains only
+    "returns": (
+        (100, "1 = 1", {"r": "CASE WHEN flag = 1 THEN -1e0 ELSE r END", "l": "CASE WHEN flag = 1 THEN 0e0 ELSE l END"}),
+        (101, "1 = 1", {"r": "CASE WHEN flag = 1 THEN -1.2e0 ELSE r END", "l": "CASE WHEN flag = 1 THEN -1e0 ELSE l END"}),
+        (102, "1 = 1", {"r": "0e0", "b": "0e0", "x": "1e0", "o": "5e0", "h": "5e0", "l": "5e0", "c": "5e0"}),
+        (103, "{one}", {}),
+        (104, "r > 0.005e0", {"x": "-x", "c": "-c"}),
+    ),
+    "trades": (
+        (100, "1 = 1", {"low": "CASE WHEN quantity > 45 THEN 0e0 ELSE low END"}),
+        (101, "1 = 1", {"low": "CASE WHEN quantity > 45 THEN -1e0 ELSE low END", "close": "CASE WHEN quantity > 45 THEN -1e0 ELSE close END"}),
+        (103, "{one}", {}),
+    ),
+    "catalog": (
+        (100, "1 = 1", {"r": "CASE WHEN rel = 2 THEN -1e0 ELSE r END"}),
+        (101, "1 = 1", {"r": "CASE WHEN rel = 2 THEN -1.5e0 ELSE r END"}),
+        (102, "1 = 1", {"r": "0.01e0", "b": "0.01e0", "x": "3e0", "y": "1", "p": "1", "rel": "0"}),
+        (103, "{one}", {}),
+    ),
+}

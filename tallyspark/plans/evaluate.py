@@ -17,13 +17,14 @@ from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue
 from ..functions.finishers import FINISHERS
 from ..functions.recipes import RECIPES, Recipe
 from ..functions.row_functions import register, used
+from . import series
 
 
 @contextmanager
@@ -42,7 +43,7 @@ def lenient(spark: SparkSession) -> Iterator[None]:
 Cell = tuple[str, str, dict]
 
 
-def _grouped(cells: Iterable[Cell]) -> dict[tuple, list[tuple[str, Recipe, tuple[str, ...]]]]:
+def _grouped(cells: Iterable[Cell], blocks: int = 0) -> dict[tuple, list[tuple[str, Recipe, tuple[str, ...]]]]:
     """Cells by source text; those with a finisher stand alone.
 
     Over the bare relation, exact percentiles and distinct counts are aggregated
@@ -51,7 +52,7 @@ def _grouped(cells: Iterable[Cell]) -> dict[tuple, list[tuple[str, Recipe, tuple
     out: dict[tuple, list] = {}
     for label, name, params in cells:
         recipe = RECIPES[name]
-        where, exprs = recipe.text(**params)
+        where, exprs = recipe.text(blocks, **params)
         text = " ".join(exprs)
         kind = label if recipe.finish else "" if where != "{t}" else "exact" if re.search(r"\b(percentile|median)\(", text) else "distinct" if "DISTINCT" in text else ""
         out.setdefault((where, kind), []).append((label, recipe, exprs))
@@ -90,15 +91,16 @@ def _finished(wide: DataFrame, label: str, recipe: Recipe, n: int) -> DataFrame:
     return wide.select("g", F.lit(label).alias("recipe"), value(*(F.col(f"v{k}") for k in range(n))).alias("value"))
 
 
-def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None = None, key: str = "g", bind: dict[str, str] | None = None) -> DataFrame:
+def evaluate(df: DataFrame, ids: Iterable[str], params: dict[str, dict] | None = None, key: str = "g", bind: dict[str, str] | None = None, long: int = series.LONG, block: int = series.BLOCK) -> DataFrame:
     """Values of recipes over ``df``, for each value of ``key``.
 
-    bind: recipe column -> column of ``df`` where the names differ.
+    bind: recipe column -> column of ``df`` where the names differ. If a key has more
+    than ``long`` rows, ordered recipes run over blocks of ``block`` rows.
     """
-    return evaluate_cells(df, [(i, i, (params or {}).get(i, {})) for i in ids], key, bind)
+    return evaluate_cells(df, [(i, i, (params or {}).get(i, {})) for i in ids], key, bind, long, block)
 
 
-def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: dict[str, str] | None = None) -> DataFrame:
+def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: dict[str, str] | None = None, long: int = series.LONG, block: int = series.BLOCK) -> DataFrame:
     """As ``evaluate``, for recipes under names and with parameters of their own; those of one source share a pass."""
     catalogue.load()
     spark, cells = df.sparkSession, list(cells)
@@ -110,16 +112,23 @@ def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: d
         raise ValueError("an ordered recipe needs the column pos")
     extra = ["pos"] if bind.get("pos", "pos") in df.columns else []
     t = df.select(F.col(key).alias("g"), *(F.col(bind.get(c, c)).alias(c) for c in [*needed, *extra]))
-    results = []
+    ordered |= any(RECIPES[i].places for i in ids)
+    if blocks := block if ordered and series.is_long(t, long) else 0:
+        if extra:
+            t, extra = series.blocked(t, block), [*extra, "nth", "blk"]
+    results, placed = [], {}
     with lenient(spark):
-        for (where, _), found in _grouped(cells).items():
+        for (where, _), found in _grouped(cells, blocks).items():
             flat = _shared_percentiles([e for _, _, exprs in found for e in exprs])
             label, recipe, _ = found[0]
             cast = (lambda e: e) if recipe.finish else (lambda e: f"CAST({e} AS DOUBLE)")
             columns = ", ".join(f"{cast(e)} AS v{k}" for k, e in enumerate(flat))
             register(spark, used(columns + where))
             mine = sorted({c for _, r, _ in found for c in r.columns})
-            wide = spark.sql(f"SELECT g, {columns} FROM {where} src GROUP BY g", t=t.select("g", *mine, *extra))
+            if recipe.places not in placed:
+                placed[recipe.places] = _placed(t, recipe.places, blocks)
+            rows = placed[recipe.places].select("g", *mine, *extra, *(name for name, _ in recipe.places))
+            wide = spark.sql(f"SELECT g, {columns} FROM {where} src GROUP BY g", t=rows)
             if recipe.finish:
                 results.append(_finished(wide, label, recipe, len(flat)))
             else:
@@ -129,6 +138,18 @@ def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: d
         return _guarded(t, rows, {label: RECIPES[name] for label, name, _ in cells}, needed)
 
 
+def _placed(t: DataFrame, places: tuple[tuple[str, str], ...], blocks: int) -> DataFrame:
+    """``t`` with the places of its rows in some orders of their key."""
+    for name, order in places:
+        by = [F.expr(e) for e in order.split(", ")]
+        if blocks:
+            keys = [f"order{k}__" for k in range(len(by))]
+            t = series.numbered(t.select("*", *(e.alias(k) for k, e in zip(keys, by, strict=True))), ["g"], keys, name).drop(*keys)
+        else:
+            t = t.withColumn(name, F.row_number().over(Window.partitionBy("g").orderBy(*by)) - 1)
+    return t
+
+
 def _guarded(t: DataFrame, rows: DataFrame, recipes: dict[str, Recipe], needed: list[str]) -> DataFrame:
     """A row for every key and recipe; null values for keys with a bad cell in a column that the recipe reads, or for which it has none."""
     strings = {c for r in recipes.values() for c in r.strings}
