@@ -23,7 +23,8 @@ many documents do, and the rest are shuffled.
 
 Random numbers are an MD5 of seed and doc_id: reruns agree.
 
-Edge cases: a null text has size 0; size-0 documents take 0; a null source is a
+Edge cases: a null text has size 0; size-0 documents take 0, and a source of such
+documents only has target 0; a very long text counts like any other; a null source is a
 source of its own, last in order; a null doc_id draws as the text "null"; rows
 with the same doc_id and size fall on the same side of the cut; an empty table
 gives an empty result.
@@ -100,7 +101,7 @@ def targets(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
         ranked.withColumn("target", target)
         .withColumn("whole", whole)
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .select("key", "n", "source_size", "target", "whole", "rest", (share / (1 - share)).alias("odds"), (F.col("source_size") / F.col("n_docs")).alias("mean"))
+        .select("key", "n", "source_size", "target", "whole", "rest", (share / (1 - share)).alias("odds"), F.try_divide("source_size", "n_docs").alias("mean"))
     )
 
 

@@ -23,14 +23,18 @@ similarity of ``SIMILARITY`` or more. At 0.8 two in thirteen bits differ, far mo
 than a join by whole blocks of a 64-bit fingerprint can bridge. So it takes a longer
 sketch: more signs of projections of the same set, in ``bands`` of bits. Texts that
 agree in a band meet in a group; there the trie of 64 further bits is joined with
-itself within ``LOOSE`` bits, and ``CHECKED`` bits in all must be near. Each text is
-then compared exactly with the least and with the nearest of those before it in the
-group, and components of the confirmed links are the classes. The number of bits in
-a band grows with the logarithm of the number of texts, so that groups stay small,
-and the number of bands is what catches ``RECALL`` of the pairs at the threshold
-itself; nearer ones are caught more surely. Groups of over ``CROWD`` texts are dealt
-out at random first; there each text near an earlier one is linked to it and left
-out, so only texts unlike each other go on to the group as a whole.
+itself within ``LOOSE`` bits, and ``CHECKED`` bits in all must be near. A text with few
+partners in a group has them all as candidates; in dense families, where hardly
+any pair is far below the similarity asked for, the whole sketches (about a thousand bits)
+of the group's texts are brought together and each has its ``NEAREST`` ones. Candidates
+are compared exactly in rounds, nearest first, until none is left between two classes;
+components of the confirmed links are the classes. The number of bits in a band grows
+with the logarithm of the number of texts, so that groups stay small, and the number of
+bands is what catches ``RECALL`` of the pairs at the threshold itself; nearer ones are
+caught more surely. Groups of over ``CROWD`` texts are dealt out at random first; there
+each text surely similar to an earlier one (``CERTAIN``) is paired with that and left out
+of this band's group. The texts of a dense family that share a band are compared by
+sketches in one task, in blocks: time, not memory, grows with the square of their number.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked like
 any other; repeated rows are all returned; a null doc_id never names a class
@@ -67,6 +71,17 @@ SIMILARITY = 0.8
 RECALL = 0.99
 CROWD = 512
 LOOSE, CHECKED = 24, 36  # bits of 64 and of 128 that may differ: of pairs at 0.8 fewer than one in a thousand has more
+CERTAIN = 7  # bits of 128: of pairs below 0.8 fewer than one in a thousand has so few
+#: Partners in a group up to which all are listed; of rows with more, the nearest by the whole sketch.
+FEW, NEAREST = 16, 8
+#: Rows of a group up to which the trie is joined; larger ones go by whole sketches, in blocks.
+DENSE = 4096
+#: Standard deviations of a sketch's distance at the similarity asked for that are let through.
+SPREAD = 1.65
+#: Shingles of texts that a task keeps while comparing.
+SETS = 1 << 21
+#: Partners that a text is compared with in each round; 0: all.
+ROUNDS = (2, 8, 0)
 FRONTIER = 1 << 20
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PIECE = 1 << 16
@@ -337,68 +352,147 @@ def _far(rest: np.ndarray, more: np.ndarray, i, j) -> np.ndarray:
 
 
 def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row the least and the nearest before it in its group."""
+    """Near pairs of each group by 128 bits, with the bits in which they differ; rows with more than ``FEW`` partners are left to their whole sketches: no ``v``, and their group.
+
+    A row that surely is similar to an earlier one of the group is paired with that and is
+    no partner of others here; it goes on in the other bands.
+    """
     for key, rest, more, fp in _groups(batches, 4):
         rest, more = rest.view(np.uint64), more.view(np.uint64)
         bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        i, j = trie_links(rest, bounds, np.zeros(len(bounds) - 1, np.int8), LOOSE, 64)
+        # groups too large for all their pairs to be held here
+        large = np.repeat(np.diff(bounds) > DENSE, np.diff(bounds))
+        small = np.flatnonzero(~large)
+        edges = np.append(np.searchsorted(small, bounds[:-1]), len(small))
+        i, j = (small[x] for x in trie_links(rest[small], edges, np.zeros(len(edges) - 1, np.int8), LOOSE, 64)) if len(small) else (small, small)
         far = _far(rest, more, i, j)
         near = far <= CHECKED
-        u, v, far = np.maximum(fp[i], fp[j])[near], np.minimum(fp[i], fp[j])[near], far[near]
-        out = []
-        for order in (np.lexsort((v, u)), np.lexsort((v, far, u))):
-            first = order[np.flatnonzero(np.diff(u[order], prepend=np.int64(0)) | (np.arange(len(u)) == 0))] if len(u) else order
-            out.append((u[first], v[first]))
-        us, vs = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs)], names=["u", "v"])
+        # the later row by fingerprint comes first
+        swap = fp[i] < fp[j]
+        i, j, far = np.where(swap, j, i)[near], np.where(swap, i, j)[near], far[near]
+        order = np.lexsort((far, i))
+        i, j, far = i[order], j[order], far[order]
+        nearest = np.flatnonzero(np.diff(i, prepend=-1))
+        nearest = nearest[far[nearest] <= CERTAIN]
+        gone = np.zeros(len(key), bool)
+        gone[i[nearest]] = True
+        sure = i[nearest], j[nearest], far[nearest]
+        open_ = ~gone[i] & ~gone[j]
+        i, j, far = i[open_], j[open_], far[open_]
+        partners = np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
+        dense = (partners > FEW) | large
+        listed = ~(dense[i] & dense[j])
+        i, j, far = (np.concatenate([x[listed], y]) for x, y in zip((i, j, far), sure, strict=True))
+        left = np.flatnonzero(dense)
+        none = np.zeros(len(left), np.int64)
+        v = pa.array(np.concatenate([fp[j], none]), mask=np.concatenate([np.zeros(len(j), bool), np.ones(len(left), bool)]))
+        columns = [np.concatenate([fp[i], fp[left]]), v, np.concatenate([far / 128, none]), np.concatenate([none[:0], key[i], key[left]])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "far", "key"])
 
 
 def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a crowd with ``to``: the earlier text of the group that each is near, null for those that stay."""
+    """Rows of a crowd with ``to``: the earlier text of the group that each surely is similar to, null for those that stay."""
     for key, rest, more, fp in _groups(batches, 4):
         rest, more = rest.view(np.uint64), more.view(np.uint64)
-        to, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        to, far, known = np.zeros(len(key), np.int64), np.zeros(len(key)), np.zeros(len(key), bool)
         bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             left = lo + np.argsort(fp[lo:hi], kind="stable")
             while len(left) > 1:
-                near = _far(rest, more, left[1:], left[0]) <= CHECKED
-                to[left[1:][near]], known[left[1:][near]] = fp[left[0]], True
+                apart = _far(rest, more, left[1:], left[0])
+                near = apart <= CERTAIN
+                to[left[1:][near]], far[left[1:][near]], known[left[1:][near]] = fp[left[0]], apart[near] / 128, True
                 left = left[1:][~near]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rest.view(np.int64), more.view(np.int64), fp)] + [pa.array(to, mask=~known)], names=["key", "rest", "more", "fp", "to"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rest.view(np.int64), more.view(np.int64), fp)] + [pa.array(to, mask=~known), pa.array(far)], names=["key", "rest", "more", "fp", "to", "far"])
+
+
+def _nearest(bits: int, limit: float):
+    """For each row of a group its ``NEAREST`` others by the whole sketch, if they may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, sketch in _groups(batches, 3):
+            drawn = np.zeros((len(fp), -(-bits // 64) * 8), np.uint8)
+            drawn[:, : -(-bits // 8)] = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(fp), -1)
+            drawn = drawn.view(np.uint64)
+            bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                out = []
+                step = max(1, FRONTIER // (hi - lo))
+                for at in range(lo, hi, step):
+                    mine = np.arange(at, min(at + step, hi))
+                    apart = np.zeros((len(mine), hi - lo), np.int64)
+                    for w in range(drawn.shape[1]):
+                        apart += np.bitwise_count(drawn[mine, w][:, None] ^ drawn[lo:hi, w][None, :])
+                    apart[np.arange(len(mine)), mine - lo] = bits + 1
+                    k = min(NEAREST, hi - lo - 1)
+                    if k < 1:
+                        continue
+                    best = np.argpartition(apart, k - 1, axis=1)[:, :k]
+                    d = np.take_along_axis(apart, best, 1)
+                    row, col = np.nonzero(d <= limit * bits)
+                    out.append((fp[mine[row]], fp[lo + best[row, col]], d[row, col] / bits))
+                if out:
+                    x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(far)], names=["u", "v", "far"])
+
+    return run
+
 
+_PAIR = "u long, v long, far double"
 
-def similar_pairs(sketches: DataFrame, width: int, count: int, crowd: int = CROWD) -> DataFrame:
-    """Pairs (u, v), u above v, of fingerprints whose sketches are near; they connect what is near in a group."""
+
+def similar_pairs(sketches: DataFrame, width: int, count: int, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """Pairs (u, v, far), u above v, of fingerprints whose sketches are near; far is the share of bits that differ.
+
+    A text has all its partners in a group if they are few, else the nearest of them by the whole sketch.
+    """
     spark = sketches.sparkSession
     dealt = sketches.mapInArrow(_banded(width, count), _BANDED)
     many = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowds")
-    links = None
+    links = spark.createDataFrame([], _PAIR)
     if not many.isEmpty():
         parts = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / crowd))
         rows = spread_join(dealt, many, "key").withColumn("salted", F.xxhash64("key", parts)).select("salted", "rest", "more", "fp", "key")
         salted = rows.repartition(partitions(spark), "salted").sortWithinPartitions("salted")
         # the salted key stands for the key while thinning
-        thin = stored(salted.select(F.col("salted").alias("key"), "rest", "more", "fp").mapInArrow(_thinned, f"{_BANDED}, to long"), "crowds-thinned")
-        links = thin.where("to IS NOT NULL").select(F.col("fp").alias("u"), F.col("to").alias("v"))
+        thin = stored(salted.select(F.col("salted").alias("key"), "rest", "more", "fp").mapInArrow(_thinned, f"{_BANDED}, to long, far double"), "crowds-thinned")
+        links = thin.where("to IS NOT NULL").select(F.col("fp").alias("u"), F.col("to").alias("v"), "far")
         gone = thin.where("to IS NOT NULL").select(F.col("key").alias("salted"), "fp")
         stay = rows.join(gone, ["salted", "fp"], "left_anti").select("key", "rest", "more", "fp")
         dealt = dealt.join(many.select("key"), "key", "left_anti").unionByName(stay)
-    found = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "rest").mapInArrow(_similar_pairs, "u long, v long")
-    return found if links is None else found.unionByName(links)
+    found = stored(dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "rest").mapInArrow(_similar_pairs, f"{_PAIR}, key long"), "near")
+    links = links.unionByName(found.where("v IS NOT NULL").select("u", "v", "far"))
+    bits = width * count
+    threshold = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    limit = float(threshold + SPREAD * np.sqrt(threshold * (1 - threshold) / bits))
+    dense = found.where("v IS NULL").select("key", F.col("u").alias("fp")).join(sketches, "fp").select("key", "fp", "sketch")
+    nearest = dense.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_nearest(bits, limit), _PAIR)
+    return links.unionByName(nearest)
 
 
 def _confirmed(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        # sets of the texts seen last: in a family the same ones come again
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(fp: int, body: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if fp not in sets:
+                if held > SETS:
+                    sets.clear()
+                    held = 0
+                sets[fp] = shingle_set(body.as_py(), shingle)
+                held += len(sets[fp])
+            return sets[fp]
+
         for b in batches:
             u, v = [], []
             for mine, theirs, a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                if last[0] != theirs:
-                    last = theirs, shingle_set(c.as_py(), shingle)
-                x = shingle_set(a.as_py(), shingle)
-                both = len(np.intersect1d(x, last[1], assume_unique=True))
-                if both >= similarity * (len(x) + len(last[1]) - both):
+                x, y = of(mine, a), of(theirs, c)
+                x, y = (x, y) if len(x) < len(y) else (y, x)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                if both >= similarity * (len(x) + len(y) - both):
                     u.append(mine)
                     v.append(theirs)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -406,6 +500,34 @@ def _confirmed(shingle: int, similarity: float):
     return run
 
 
+def confirmed_links(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect all texts whose pairs are similar exactly.
+
+    In rounds, each text is compared with its nearest partners of those outside its class
+    so far, more in each round and all in the last, so what is in one class already costs
+    nothing and no pair between classes is left out.
+    """
+    spark, links = pairs.sparkSession, None
+    for many in ROUNDS:
+        open_ = pairs
+        if links is not None:
+            root = stored(components(links), "roots")
+            of = lambda c: root.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: E731, B023
+            same = F.coalesce("root_u", "u") == F.coalesce("root_v", "v")
+            open_ = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(~same).select("u", "v", "far")
+        if many:
+            open_ = open_.withColumn("turn", F.row_number().over(Window.partitionBy("u").orderBy("far", "v"))).where(F.col("turn") <= many).drop("turn")
+        open_ = stored(open_.select("u", "v"), "open")
+        if open_.isEmpty():
+            break
+        theirs = stored(open_.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(texts.select(F.col("fp").alias("v"), F.col("body").alias("theirs")), "v"), "texts")
+        mine = texts.select(F.col("fp").alias("u"), F.col("body").alias("mine"))
+        both = spread_join(open_.join(mine, "u"), theirs, "v").select("u", "v", "mine", "theirs")
+        found = stored(both.mapInArrow(_confirmed(shingle, similarity), "u long, v long"), "links")
+        links = found if links is None else stored(links.unionByName(found), "links")
+    return spark.createDataFrame([], "u long, v long") if links is None else links
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """The first row of each class of similar texts, with its columns as they are: by id, nulls last, then by hash."""
     width, count = bands(docs.count(), similarity)
@@ -413,15 +535,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = keyed.schema["id"].dataType.simpleString()
     prints = stored(keyed.drop("row").mapInArrow(_sketches(shingle, width * count), f"k1 long, k2 long, id {kind}, fp long, sketch binary"), "sketches")
     sketches = stored(prints.groupBy("fp").agg(F.first("sketch").alias("sketch")), "sketches-by-set")
-    pairs = stored(similar_pairs(sketches, width, count, crowd).distinct(), "pairs")
+    pairs = stored(similar_pairs(sketches, width, count, similarity, crowd).groupBy("u", "v").agg(F.min("far").alias("far")), "pairs")
     # the texts of what is compared, one for each set of shingles
     asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     places = prints.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k")).select("fp", "k.k1", "k.k2")
     texts = stored(keyed.select("k1", "k2", "body").join(places, ["k1", "k2"]).select("fp", "body").dropDuplicates(["fp"]), "texts")
-    theirs = stored(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(texts.select(F.col("fp").alias("v"), F.col("body").alias("theirs")), "v"), "texts")
-    mine = texts.select(F.col("fp").alias("u"), F.col("body").alias("mine"))
-    both = spread_join(pairs.join(mine, "u"), theirs, "v").select("u", "v", "mine", "theirs")
-    links = stored(both.mapInArrow(_confirmed(shingle, similarity), "u long, v long"), "links")
+    links = confirmed_links(pairs, texts, shingle, similarity)
     classes = _classes(prints, links, F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("first"))
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
     # only rows that are the same meet here
