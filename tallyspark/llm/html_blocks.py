@@ -3,7 +3,7 @@
 A block is the text between two boundaries of block-level elements. It knows the
 open elements above it, by tag name and by the words of class, id and role, and how
 much of it is link text. Scripts, styles and other undisplayed elements are
-skipped, as are comments, but the text of formulas is kept; character references are decoded; white space becomes
+skipped, as are comments, but the text of formulas and what stands in for an object is kept; character references are decoded; white space becomes
 one space; ``br`` is white space.
 
 Reading a page takes time in proportion to its length, also where tags, quotes or
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 from zlib import crc32
@@ -26,7 +25,7 @@ import numpy as np
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe".split())
 #: Elements that are skipped as a whole if they have an end tag; an unclosed one hides nothing.
-SKIPPED = frozenset("template svg object annotation annotation-xml".split())
+SKIPPED = frozenset("template svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -39,6 +38,7 @@ SCOPE = frozenset("ul ol dl table body div section article".split())
 _TAG = re.compile(r"""<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>"']*+)(?P<rest>(?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _LETTER = re.compile(r"</?[a-zA-Z]")
+_COMMENT_END, _EMPTY_COMMENT = re.compile("--!?>"), re.compile("<!---?>")
 #: A slash that ends an unquoted value, not the element.
 _VALUE_SLASH = re.compile(r"""=\s*[^\s"']*/\Z""")
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -102,7 +102,9 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     #: tag and words of each open element, and the marks of it and all above
     stack: list[tuple[tuple[str, ...], int]] = []
-    open_: Counter[str] = Counter()
+    #: where the elements of a name stand in the stack, and those that end the reach of implied end tags
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
     endless: set[str] = set()
     pieces: list[str] = []
     linked, in_link = 0, False
@@ -118,18 +120,15 @@ def blocks(html: str | None) -> list[Block]:
 
     def cut(k: int) -> None:
         for x, _ in stack[k:]:
-            open_[x[0]] -= 1
+            places[x[0]].pop()
+            if x[0] in SCOPE:
+                scopes.pop()
         del stack[k:]
 
     def close(names: tuple[str, ...]) -> None:
-        if not any(open_[x] for x in names):
-            return
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0][0] in names:
-                cut(k)
-                return
-            if stack[k][0][0] in SCOPE:
-                return
+        k = max((places[x][-1] for x in names if places.get(x)), default=-1)
+        if k >= 0 and (not scopes or k > scopes[-1]):
+            cut(k)
 
     html, at = html or "", 0
     ends = _Ends(html)
@@ -145,8 +144,9 @@ def blocks(html: str | None) -> list[Block]:
         if m:
             at, ending, name, rest = m.end(), m["end"], m["name"].lower(), m["rest"]
         elif html.startswith("<!--", begin):
-            end = html.find("-->", begin + 4)
-            at = end + 3 if end >= 0 else len(html)
+            # without anything in it a comment may end at once
+            m = _COMMENT_END.search(html, begin + 4) if not _EMPTY_COMMENT.match(html, begin) else _EMPTY_COMMENT.match(html, begin)
+            at = m.end() if m else len(html)
             continue
         elif html.startswith(("<!", "<?", "</"), begin) and not _LETTER.match(html, begin):
             end = html.find(">", begin)
@@ -165,11 +165,8 @@ def blocks(html: str | None) -> list[Block]:
         if ending:
             if name in BLOCK:
                 flush()
-                if open_[name]:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0][0] == name:
-                            cut(k)
-                            break
+                if places.get(name):
+                    cut(places[name][-1])
             elif name == "a":
                 in_link = False
             continue
@@ -192,8 +189,10 @@ def blocks(html: str | None) -> list[Block]:
                 if name in IMPLIED:
                     close(IMPLIED[name])
                 element = (name, *_names(rest))
+                places.setdefault(name, []).append(len(stack))
+                if name in SCOPE:
+                    scopes.append(len(stack))
                 stack.append((element, (stack[-1][1] if stack else 0) | _marks(element)))
-                open_[name] += 1
         elif name == "br":
             pieces.append(" ")
         elif name == "a":
