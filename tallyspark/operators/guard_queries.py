@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from . import discover, resolve, robustness
 from .engine_queries import _digits, _printed, _t
 
@@ -62,6 +63,32 @@ ENCLOSED_SQL = " UNION ALL ".join(
 )
 
 
+#: Prices with signs and powers of two that cancel, so that the order of a plain sum shows.
+HEAVY = "CASE o_orderkey % 3 WHEN 0 THEN 1099511627776e0 WHEN 1 THEN -1099511627776e0 ELSE 1e0 END * o_totalprice"
+
+
+def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles nearest to the true sums, and whether the rough enclosures hold the true sum, mean, variance and deviation."""
+    t = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("g"), F.expr(HEAVY).alias("x"))
+    rough = robustness.enclosures(t).select("g", "metric", F.col("lo").alias("low"), F.col("hi").alias("high"))
+    both = exact.exact_moments(t).join(rough, ["g", "metric"], "left").groupBy("g", "n")
+    holds = F.coalesce((F.col("low") <= F.col("lo")) & (F.col("hi") <= F.col("high")), F.lit(False))
+    return both.agg(F.max(F.when(F.col("metric") == "sum", F.col("value"))).alias("total"), F.min(holds).alias("contained"), F.count(F.lit(1)).alias("metrics"))
+
+
+#: Whole numbers of 2^-46, added exactly; then the 53 leading bits, rounded to the nearest, ties to even.
+EXACT_SQL = f"""
+WITH o AS (SELECT o_custkey % 50 AS g, CAST(({HEAVY}) * pow(2, 46) AS HUGEINT) AS m FROM orders),
+s AS (SELECT g, count(*) AS n, sum(m)::HUGEINT AS s FROM o GROUP BY g),
+a AS (SELECT *, CASE WHEN s < 0 THEN -s ELSE s END AS m FROM s),
+b AS (SELECT *, greatest(floor(log2(greatest(m, 1)::DOUBLE))::INT - 52, 0) AS k FROM a),
+c AS (SELECT *, CASE WHEN k > 0 AND m // pow(2, k)::HUGEINT < pow(2, 52)::HUGEINT THEN k - 1 ELSE k END AS cut FROM b),
+d AS (SELECT *, pow(2, cut)::HUGEINT AS unit, m // pow(2, cut)::HUGEINT AS q, m % pow(2, cut)::HUGEINT AS left_ FROM c),
+e AS (SELECT *, CASE WHEN 2 * left_ > unit OR (2 * left_ = unit AND q % 2 = 1) THEN q + 1 ELSE q END AS near FROM d)
+SELECT g, n, CASE WHEN s < 0 THEN -1 ELSE 1 END * near::DOUBLE * pow(2, cut - 46) AS total, true AS contained, CASE WHEN n > 1 THEN 4 ELSE 2 END AS metrics FROM e
+"""
+
+
 def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the mean of a column moves if a fifth of its rows goes, or all are scaled."""
     o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("g"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("x"))
@@ -129,7 +156,7 @@ SELECT DISTINCT ['profit_share', 'margin share', 'unit_cost'][s_suppkey % 4 + 1]
 
 
 def queries() -> dict[str, Query]:
-    named = (discover_all, resolved, enclosed, perturbed, metamorphic, static_determinism, formula_lookup)
+    named = (discover_all, resolved, enclosed, exact_sums, perturbed, metamorphic, static_determinism, formula_lookup)
     return {f"engine_{f.__name__}": f for f in named}
 
 
@@ -138,6 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "engine_discover_all": DISCOVER_SQL,
         "engine_resolved": RESOLVED_SQL,
         "engine_enclosed": ENCLOSED_SQL,
+        "engine_exact_sums": EXACT_SQL,
         "engine_perturbed": PERTURBED_SQL,
         "engine_metamorphic": METAMORPHIC_SQL,
         "engine_static_determinism": STATIC_SQL,

@@ -44,7 +44,7 @@ def enclosures(inputs: DataFrame, key: str = "g", value: str = "x", ddof: int =
     sde = F.when(sd > 0, ve / (2 * sd)).otherwise(F.sqrt(ve))
     rows = [("sum", F.col("s"), F.col("se")), ("mean", F.col("m"), F.col("me")), ("variance", var, ve), ("stdev", sd, sde)]
     made = F.array(*[F.struct(F.lit(n).alias("metric"), (F.greatest(v - e, F.lit(0.0)) if n in ("variance", "stdev") else v - e).alias("lo"), (v + e).alias("hi")) for n, v, e in rows])
-    return both.select("g", F.explode(made).alias("r")).select("g", "r.*").where("lo IS NOT NULL")
+    return both.select("g", F.explode(made).alias("r")).select("g", "r.*").where("lo IS NOT NULL AND hi IS NOT NULL")
 
 
 def band(lo: Column, hi: Column, produced: Column, recomputed: Column) -> Column:

@@ -24,7 +24,8 @@ from ..functions import catalogue
 from ..functions.finishers import FINISHERS
 from ..functions.recipes import RECIPES, Recipe
 from ..functions.row_functions import register, used
-from . import series
+from . import quantiles, series
+from .storage import written
 
 
 @contextmanager
@@ -119,7 +120,8 @@ def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: d
     results, placed = [], {}
     with lenient(spark):
         for (where, _), found in _grouped(cells, blocks).items():
-            flat = _shared_percentiles([e for _, _, exprs in found for e in exprs])
+            flat = [e for _, _, exprs in found for e in exprs]
+            flat = flat if blocks else _shared_percentiles(flat)
             label, recipe, _ = found[0]
             cast = (lambda e: e) if recipe.finish else (lambda e: f"CAST({e} AS DOUBLE)")
             columns = ", ".join(f"{cast(e)} AS v{k}" for k, e in enumerate(flat))
@@ -128,7 +130,10 @@ def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: d
             if recipe.places not in placed:
                 placed[recipe.places] = _placed(t, recipe.places, blocks)
             rows = placed[recipe.places].select("g", *mine, *extra, *(name for name, _ in recipe.places))
-            wide = spark.sql(f"SELECT g, {columns} FROM {where} src GROUP BY g", t=rows)
+            if blocks and _PERCENTILE.search(columns):
+                wide = _with_quantiles(spark, columns, where, rows)
+            else:
+                wide = spark.sql(f"SELECT g, {columns} FROM {where} src GROUP BY g", t=rows)
             if recipe.finish:
                 results.append(_finished(wide, label, recipe, len(flat)))
             else:
@@ -138,6 +143,21 @@ def evaluate_cells(df: DataFrame, cells: Iterable[Cell], key: str = "g", bind: d
         return _guarded(t, rows, {label: RECIPES[name] for label, name, _ in cells}, needed)
 
 
+def _with_quantiles(spark: SparkSession, columns: str, where: str, rows: DataFrame) -> DataFrame:
+    """The aggregates of long groups, with percentiles of columns by selection instead of in one buffer."""
+    wanted = sorted({(c, float(spark.sql(f"SELECT CAST({q} AS DOUBLE)").first()[0]), q) for c, q in _PERCENTILE.findall(columns)})
+    source = written(spark.sql(f"SELECT * FROM {where} src", t=rows), "long-source")
+    held = source.select("g").distinct()
+    for column in sorted({c for c, _, _ in wanted}):
+        names = {q: f"q{k}__" for k, (c, q, _) in enumerate(wanted) if c == column}
+        found = quantiles.exact_quantiles(source, names, "g", column)
+        one = found.groupBy("g").agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in names.items()))
+        held = held.join(one, "g", "left")
+    number = {(c, text): k for k, (c, _, text) in enumerate(wanted)}
+    text = _PERCENTILE.sub(lambda m: f"max(q{number[m[1], m[2]]}__)", columns)
+    return spark.sql(f"SELECT z.g, {text} FROM {{source}} z JOIN {{held}} m ON z.g = m.g GROUP BY z.g", source=source, held=held)
+
+
 def _placed(t: DataFrame, places: tuple[tuple[str, str], ...], blocks: int) -> DataFrame:
     """``t`` with the places of its rows in some orders of their key."""
     for name, order in places:
