@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming, tolerance
 from ..plans.evaluate import evaluate
+from ..plans.storage import shared_folder
 from ..sources import files, stores
 from ..streaming import reducers
 from . import conventions, discover, leakage, textgen, verdict
@@ -293,8 +294,46 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type AS g,
 """
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of returns: series by type, in order of time and id."""
+    static = _t(spark, sf_dir, "events")
+    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.select(F.col("event_type").alias("g"), "ts", F.col("event_id").alias("pos"), (((F.col("event_id") * 37) % 201 - 100) / 2000).alias("r"), "value")
+
+
+def stream_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst drawdown of each series at the end of each closed hour, through a stream into files."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    found = reducers.drawdown_by_window(_event_stream(spark, sf_dir))
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    return out.select("g", F.date_format("window_end", "yyyy-MM-dd HH").alias("hour_end"), _digits("max_drawdown").alias("max_drawdown"), _digits("equity").alias("equity"), "n")
+
+
+STREAM_DRAWDOWN_SQL = f"""
+WITH e AS (SELECT event_type AS g, ts, event_id, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour_end, 1 + ((event_id * 37) % 201 - 100) / 2000e0 AS f, max(ts) OVER () - INTERVAL 10 MINUTE AS mark FROM events),
+q AS (SELECT *, product(f) OVER (PARTITION BY g ORDER BY ts, event_id) AS equity, row_number() OVER (PARTITION BY g ORDER BY ts, event_id) AS n FROM e),
+d AS (SELECT *, equity / greatest(1, max(equity) OVER (PARTITION BY g ORDER BY n)) - 1 AS dd FROM q),
+w AS (SELECT *, least(0, min(dd) OVER (PARTITION BY g ORDER BY n)) AS worst FROM d)
+SELECT g, strftime(hour_end, '%Y-%m-%d %H') AS hour_end, {_printed("min(worst)")} AS max_drawdown, {_printed("max_by(equity, n)")} AS equity, max(n) AS n FROM w WHERE hour_end <= mark GROUP BY g, hour_end
+"""
+
+
+def stream_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of each series over all its rows, computed anew for each batch of a stream."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    writer = reducers.exact_on_batches(_event_stream(spark, sf_dir).select("g", F.col("value").alias("x")), f"{folder}/rows", ["column_median", "percentile", "column_max"], reducers.results_by_batch(f"{folder}/out"))
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return reducers.latest(spark, f"{folder}/out").select("g", "recipe", _digits("value").alias("value"))
+
+
+STREAM_QUANTILES_SQL = " UNION ALL ".join(
+    f"SELECT event_type AS g, '{name}' AS recipe, {_printed(f)} AS value FROM events GROUP BY event_type" for name, f in (("column_median", "median(value)"), ("percentile", "quantile_cont(value, 0.5)"), ("column_max", "max(value)"))
+)
+
+
 def queries() -> dict[str, Query]:
-    named = (parse_claims, canonical_names, discovered, verdicts, convention_search, bleu, rouge, rouge_l, leakage_exact, leakage_near, anomalies, receipt_chain, text_leaves, streamed)
+    named = (parse_claims, canonical_names, discovered, verdicts, convention_search, bleu, rouge, rouge_l, leakage_exact, leakage_near, anomalies, receipt_chain, text_leaves, streamed, stream_drawdown, stream_quantiles)
     return {f"engine_{f.__name__}": f for f in named}
 
 
@@ -314,4 +353,6 @@ def oracle_sql() -> dict[str, str]:
         "engine_receipt_chain": CHAIN_SQL,
         "engine_text_leaves": LEAVES_SQL,
         "engine_streamed": STREAM_SQL,
+        "engine_stream_drawdown": STREAM_DRAWDOWN_SQL,
+        "engine_stream_quantiles": STREAM_QUANTILES_SQL,
     }

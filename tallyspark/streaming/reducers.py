@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,17 +49,84 @@ def max_drawdown(returns: DataFrame, key: str = "g") -> DataFrame:
     )
 
 
+#: What a series keeps between batches: its curve, the end of its last closed window, and the rows of open ones.
+_CURVE = "equity double, peak double, worst double, n long, closed long, waiting array<struct<at: bigint, pos: bigint, r: double>>"
+_CLOSED = "window_end timestamp, max_drawdown double, equity double, n long"
+
+
+def _closing(every: int):
+    """Buffers rows until the watermark has passed their window; then folds them in order of time and place, one result a window."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        equity, peak, worst, n, closed, waiting = state.get if state.exists else (1.0, 1.0, 0.0, 0, 0, [])
+        rows = [(r["at"], r["pos"], r["r"]) for r in waiting]
+        if not state.hasTimedOut:
+            for b in batches:
+                # to microseconds, whatever pandas keeps
+                rows += list(zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["pos"].tolist(), b["r"].tolist(), strict=True))
+        until = state.getCurrentWatermarkMs() * 1000 // every * every
+        rows.sort()
+        out, k = [], 0
+        while k < len(rows) and rows[k][0] < until:
+            end = rows[k][0] // every * every + every
+            while k < len(rows) and rows[k][0] < end:
+                equity *= 1 + rows[k][2]
+                peak = max(peak, equity)
+                worst = min(worst, equity / peak - 1)
+                n, k = n + 1, k + 1
+            closed = end
+            out.append((key[0], pd.Timestamp(end, unit="us"), worst, equity, n))
+        rows = rows[k:]
+        state.update((equity, peak, worst, n, closed, [{"at": a, "pos": p, "r": r} for a, p, r in rows]))
+        if rows:
+            state.setTimeoutTimestamp(max(rows[0][0] // every * every + every, until + 1000) // 1000)
+        yield pd.DataFrame(out, columns=["g", "window_end", "max_drawdown", "equity", "n"])
+
+    return run
+
+
+def drawdown_by_window(returns: DataFrame, key: str = "g", ts: str = "ts", pos: str = "pos", value: str = "r", every: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """Worst drawdown of each series up to the end of each window that is closed: rows (g, window_end, max_drawdown, equity, n).
+
+    Rows may come in any order within the watermark: they wait in the state until it has
+    passed their window, a timer sees to that where no more rows come, and are folded
+    in order of (ts, pos). Results are final, so that file sinks can take them; the state is
+    the curve's four numbers and the rows of open windows.
+    """
+    kind = dict(returns.dtypes)[key]
+    micros = int(pd.Timedelta(every).total_seconds() * 1_000_000)
+    rows = returns.select(F.col(key).alias("g"), F.col(ts).cast("timestamp").alias("ts"), F.col(pos).cast("long").alias("pos"), F.col(value).cast("double").alias("r"))
+    return rows.withWatermark("ts", watermark).groupBy("g").applyInPandasWithState(_closing(micros), f"g {kind}, {_CLOSED}", _CURVE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def exact_on_batches(stream: DataFrame, store: str, ids: list[str], sink: Callable[[DataFrame, int], None], key: str = "g"):
     """Recipes that need all rows (quantiles, eras): each batch joins a store, touched keys are computed anew.
 
-    Batches are written to a folder of their own, so a repeated batch replaces itself.
+    Batches are written to a folder of their own, so a repeated batch replaces itself, and
+    a key sees the batches up to its own only.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{store}/batch={epoch}")
         touched = batch.select(key).distinct()
-        everything = spark.read.option("basePath", store).parquet(store).drop("batch")
+        everything = spark.read.option("basePath", store).schema(batch.schema.add("batch", "long")).parquet(store).where(F.col("batch") <= epoch).drop("batch")
         sink(evaluate(everything.join(touched, key, "left_semi"), ids, key=key), epoch)
 
     return stream.writeStream.foreachBatch(run)
+
+
+def results_by_batch(results: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``exact_on_batches``: results of each batch in a folder of its own, written over if the batch is repeated."""
+
+    def sink(found: DataFrame, epoch: int) -> None:
+        found.write.mode("overwrite").parquet(f"{results}/batch={epoch}")
+
+    return sink
+
+
+def latest(spark: SparkSession, results: str) -> DataFrame:
+    """The last result of each key and recipe of what ``results_by_batch`` wrote."""
+    every = spark.read.option("basePath", results).parquet(results)
+    last = every.groupBy("g", "recipe").agg(F.max_by(F.struct("value", "degenerate"), "batch").alias("last"))
+    return last.select("g", "recipe", "last.*")
