@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact
+from ..plans.storage import shared_folder
+from ..sources import stores
 from . import discover, resolve, robustness
 from .engine_queries import _digits, _printed, _t
 
@@ -155,8 +158,65 @@ SELECT DISTINCT ['profit_share', 'margin share', 'unit_cost'][s_suppkey % 4 + 1]
 """
 
 
+def formula_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas for names of parts, in two versions of a store; each part asks by name, alias, or something like them."""
+    p = _t(spark, sf_dir, "part")
+    name, number = F.lower(F.concat_ws(" ", "p_name", "p_brand")), F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    records = p.select(name.alias("metric"), F.array(F.concat_ws(" ", "p_brand", "p_name")).alias("aliases"), F.lit("").alias("text"), number.alias("number")).distinct()
+    path = f"{shared_folder(spark)}/formulas-{uuid.uuid4().hex}"
+    stores.add_formulas(records.withColumn("expression", F.lit("sum(x)")), path)
+    stores.add_formulas(records.where("number % 3 = 0").withColumn("expression", F.concat(F.lit("sum(x) / "), F.col("number"))), path)
+    asked = F.element_at(F.array(F.upper(F.concat_ws(" ", "p_name", "p_brand")), F.concat_ws(" ", "p_brand", "p_name"), F.concat(F.lit("the "), name, F.lit("s")), F.col("p_name")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    found = resolve.lookup(p.select(asked.alias("name")), stores.formulas(spark, path))
+    return found.select("name", "metric", "expression", _digits("score").alias("score"))
+
+
+#: All names against all formulas by their slots.
+STORE_SQL = f"""
+WITH p AS (SELECT *, lower(p_name || ' ' || p_brand) AS metric, regexp_extract(p_brand, '[0-9]+')::INT AS number FROM part),
+f AS (SELECT DISTINCT metric, lower(p_brand || ' ' || p_name) AS alias, metric || ' ' || p_brand || ' ' || p_name || ' ' AS body, CASE WHEN number % 3 = 0 THEN 'sum(x) / ' || number ELSE 'sum(x)' END AS expression FROM p),
+q AS (SELECT DISTINCT lower(trim([p_name || ' ' || p_brand, p_brand || ' ' || p_name, 'the ' || metric || 's', p_name][p_partkey % 4 + 1])) AS name FROM p),
+e AS (SELECT q.name, min(f.metric) AS metric, min_by(f.expression, f.metric) AS expression FROM q JOIN f ON q.name = f.metric OR q.name = f.alias GROUP BY q.name),
+t AS (SELECT 'q' AS kind, name AS id, regexp_extract_all(name, '[a-z0-9]+') AS w FROM q WHERE name NOT IN (SELECT name FROM e) UNION ALL SELECT 'f', metric, regexp_extract_all(lower(body), '[a-z0-9]+') FROM f),
+g AS (SELECT kind, id, unnest(list_distinct(list_concat(w, flatten(list_transform(w, lambda x: list_transform(range(1, greatest(length(x) - 1, 1)::BIGINT), lambda i: substr(x, i, 3))))))) AS token FROM t),
+s AS (SELECT kind, id, ('0x' || substr(md5(token), 31, 2))::INT AS slot, count(*) AS n FROM g GROUP BY ALL),
+l AS (SELECT kind, id, sum(n * n) AS n2 FROM s GROUP BY ALL),
+d AS (SELECT a.id AS name, b.id AS metric, sum(a.n * b.n) AS dot FROM s a JOIN s b ON a.slot = b.slot AND a.kind = 'q' AND b.kind = 'f' GROUP BY ALL),
+c AS (SELECT d.name, d.metric, dot / sqrt(u.n2 * v.n2) AS score FROM d JOIN l u ON u.kind = 'q' AND u.id = d.name JOIN l v ON v.kind = 'f' AND v.id = d.metric),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, metric DESC) AS turn FROM c WHERE score >= 0.86)
+SELECT name, metric, expression, {_printed("1.0")} AS score FROM e UNION ALL SELECT r.name, r.metric, f.expression, {_printed("r.score")} FROM r JOIN f ON f.metric = r.metric WHERE turn = 1
+"""
+
+FORMULAS = {
+    "accuracy": ("avg(CASE WHEN y = p THEN 1 ELSE 0 END)", "catalog_accuracy"),
+    "mean absolute error": ("sum(greatest(p - y, y - p)) / count(p)", "catalog_mae"),
+    "error without its sign": ("avg(p - y)", "catalog_mae"),
+    "root mean square": ("power(avg(p * p - 2 * p * y + y * y), 0.5)", "catalog_rmse"),
+    "deviation of a population": ("stddev_pop(x)", "catalog_stdev"),
+    "deviation of a sample": ("sqrt((sum(x * x) - sum(x) * sum(x) / count(x)) / (count(x) - 1))", "catalog_stdev"),
+}
+
+
+def formula_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty trials of formulas from outside against trusted metrics; wrong ones are refused."""
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("trial"), (F.col("o_orderkey") * 31 % 4).alias("y"), (F.col("o_orderkey") * 17 % 5).alias("p"), (F.col("o_totalprice") / 1e5).alias("x"))
+    return resolve.validated(o, FORMULAS).withColumn("max_error", F.round("max_error", 6))
+
+
+VALIDATION_SQL = """
+WITH o AS (SELECT o_custkey % 40 AS trial, o_orderkey * 31 % 4 AS y, o_orderkey * 17 % 5 AS p, o_totalprice / 1e5 AS x FROM orders),
+v AS (SELECT trial, avg(abs(p - y)) AS mae, avg(p - y) AS bias, stddev_samp(x) AS sd, stddev_pop(x) AS sd0, count(*) AS n FROM o GROUP BY trial)
+SELECT 'accuracy' AS metric, count(*) AS trials, count(*) AS agreeing, 0e0 AS max_error, true AS trusted FROM v
+UNION ALL SELECT 'mean absolute error', count(*), count(*), 0e0, true FROM v
+UNION ALL SELECT 'root mean square', count(*), count(*), 0e0, true FROM v
+UNION ALL SELECT 'deviation of a sample', count(*), count(*), 0e0, true FROM v WHERE n > 1
+UNION ALL SELECT 'error without its sign', count(*), count(*) FILTER (abs(bias - mae) <= 1e-9), round(max(abs(bias - mae)), 6), count(*) FILTER (abs(bias - mae) <= 1e-9) = count(*) FROM v
+UNION ALL SELECT 'deviation of a population', count(*), count(*) FILTER (abs(sd - sd0) <= 1e-9), round(max(abs(sd - sd0)), 6), count(*) FILTER (abs(sd - sd0) <= 1e-9) = count(*) FROM v WHERE n > 1
+"""
+
+
 def queries() -> dict[str, Query]:
-    named = (discover_all, resolved, enclosed, exact_sums, perturbed, metamorphic, static_determinism, formula_lookup)
+    named = (discover_all, resolved, enclosed, exact_sums, perturbed, metamorphic, static_determinism, formula_lookup, formula_store, formula_validation)
     return {f"engine_{f.__name__}": f for f in named}
 
 
@@ -170,4 +230,6 @@ def oracle_sql() -> dict[str, str]:
         "engine_metamorphic": METAMORPHIC_SQL,
         "engine_static_determinism": STATIC_SQL,
         "engine_formula_lookup": LOOKUP_SQL,
+        "engine_formula_store": STORE_SQL,
+        "engine_formula_validation": VALIDATION_SQL,
     }

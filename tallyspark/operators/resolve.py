@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue, naming
-from ..functions.tolerance import claim_close, parse_claim
+from ..functions.tolerance import claim_close, finite, parse_claim
 from ..plans.evaluate import evaluate, lenient
 from . import verdict
 
@@ -122,25 +122,39 @@ def formula(inputs: DataFrame, expression: str, key: str = "call_id") -> DataFra
         return inputs.groupBy(F.col(key).alias("g")).agg(F.expr(f"CAST({expression} AS DOUBLE)").alias("value"))
 
 
-def embed(text: Column) -> Column:
-    """Hashed bag of words and three-letter runs, of length one."""
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def slot_counts(text: Column) -> Column:
+    """Hashed bag of words and three-letter runs: (slot, n) of the slots that aren't empty, fullest first."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    runs = F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))))
+    runs = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(F.length(w) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))))
     # the last two hex digits are the digest modulo 256
-    slots = F.transform(F.array_distinct(F.concat(words, runs)), lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    slots = _once(words, lambda ws: F.transform(F.array_distinct(F.concat(ws, runs(ws))), lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int")))
+    counted = _once(slots, lambda s: F.transform(F.array_distinct(s), lambda k: F.struct((-F.size(F.filter(s, lambda x: x == k))).alias("order"), k.alias("slot"))))
+    return F.transform(F.array_sort(counted), lambda x: F.struct(x["slot"].alias("slot"), (-x["order"]).alias("n")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def square(counts: Column) -> Column:
+    """Squared length of a vector of counts."""
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"])
+
+
+def embed(text: Column) -> Column:
+    """The hashed bag of words and three-letter runs as a vector of length one."""
 
+    def dense(counts: Column) -> Column:
+        held = F.map_from_entries(counts)
+        norm = F.sqrt(square(counts))
+        return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.coalesce(F.element_at(held, k), F.lit(0)) / F.when(norm == 0, 1.0).otherwise(norm))
 
-def _slots(e: Column) -> Column:
-    """(slot, weight) of a vector's slots that aren't empty, heaviest first."""
-    full = F.filter(F.transform(e, lambda w, k: F.struct((-w).alias("order"), k.alias("slot"), w.alias("weight"))), lambda s: s["weight"] > 0)
-    return F.array_sort(full)
+    return _once(slot_counts(text), dense)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def lookup(queries: DataFrame, store: DataFrame) -> DataFrame:
@@ -149,23 +163,46 @@ def lookup(queries: DataFrame, store: DataFrame) -> DataFrame:
     queries: name; store: metric, aliases, text, expression. A text as similar as
     ``SIMILAR`` has one of the query's heaviest slots: those whose removal leaves a
     vector shorter than that. So they meet by slot, and only such pairs are compared.
+    Of equally similar texts the one of the greatest metric is taken.
     """
     q = queries.select(F.lower(F.trim("name")).alias("name")).distinct()
     named = store.select("metric", F.explode(F.array_union(F.array("metric"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"), "expression")
     exact = q.join(named, F.lower("alias") == F.col("name")).groupBy("name").agg(F.min_by(F.struct("metric", "expression"), "metric").alias("x")).select("name", "x.*", F.lit(1.0).alias("score"))
-    rest = q.join(exact, "name", "left_anti").withColumn("e", embed(F.col("name")))
-    formulas = store.select("metric", "expression", embed(F.concat_ws(" ", "metric", F.concat_ws(" ", "aliases"), "text")).alias("f"))
-    slots = rest.select("name", "e", F.posexplode(_slots(F.col("e"))).alias("k", "s"))
-    heavier = F.coalesce(F.sum(F.col("s.weight") * F.col("s.weight")).over(Window.partitionBy("name").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = q.join(exact, "name", "left_anti").select("name", slot_counts(F.col("name")).alias("v"))
+    formulas = store.select("metric", "expression", slot_counts(F.concat_ws(" ", "metric", F.concat_ws(" ", "aliases"), "text")).alias("f"))
+    slots = rest.select("name", "v", square(F.col("v")).alias("vv"), F.posexplode("v").alias("k", "s"))
+    heavier = F.coalesce(F.sum(F.col("s.n") * F.col("s.n")).over(Window.partitionBy("name").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # what is left without the slots before this one is still as long as SIMILAR
-    wanted = slots.withColumn("before", heavier).where(1 - F.col("before") >= SIMILAR * SIMILAR - 1e-9).select("name", "e", "s.slot")
-    held = formulas.select("metric", "expression", "f", F.explode(_slots(F.col("f"))).alias("s")).select("metric", "expression", "f", "s.slot")
-    pairs = wanted.join(held, "slot").dropDuplicates(["name", "metric", "expression"])
-    scored = pairs.withColumn("score", cosine(F.col("e"), F.col("f"))).where(F.col("score") >= SIMILAR)
+    wanted = slots.withColumn("before", heavier).where(F.col("vv") - F.col("before") >= F.col("vv") * (SIMILAR * SIMILAR - 1e-9)).select("name", "v", "vv", "s.slot")
+    held = formulas.select("metric", "expression", F.map_from_entries("f").alias("f"), square(F.col("f")).alias("ff"), F.explode("f.slot").alias("slot"))
+    pairs = wanted.join(held, "slot").groupBy("name", "metric", "expression").agg(*(F.any_value(c).alias(c) for c in ("v", "vv", "ff")), F.first("f").alias("f"))
+    both = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["n"] * F.coalesce(F.element_at("f", x["slot"]), F.lit(0)))
+    scored = pairs.withColumn("score", both / F.sqrt(F.col("vv") * F.col("ff"))).where(F.col("score") >= SIMILAR)
     best = scored.groupBy("name").agg(F.max_by(F.struct("metric", "expression", "score"), F.struct("score", "metric")).alias("x")).select("name", "x.*")
     return exact.unionByName(best)
 
 
+def validated(cases: DataFrame, formulas: dict[str, tuple[str, str]], trial: str = "trial", tolerance: float = 1e-9) -> DataFrame:
+    """Formulas against trusted recipes on many trials at once: rows (metric, trials, agreeing, max_error, trusted).
+
+    formulas: metric -> (checked aggregate expression, recipe). All formulas are columns of one
+    aggregation of ``cases`` by trial. A trial whose trusted value is degenerate says nothing;
+    one in which the formula has no value, or another one, is enough to refuse it.
+    """
+    for expression, _ in formulas.values():
+        check_formula(expression, cases.columns)
+    wanted = sorted({recipe for _, recipe in formulas.values()})
+    truth = evaluate(cases, wanted, key=trial).where("NOT degenerate").select(F.col("g").alias("trial"), "recipe", F.col("value").alias("want"))
+    with lenient(cases.sparkSession):
+        wide = cases.groupBy(F.col(trial).alias("trial")).agg(*(F.expr(f"CAST({e} AS DOUBLE)").alias(f"f{k}") for k, (e, _) in enumerate(formulas.values())))
+        made = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(r).alias("recipe"), F.col(f"f{k}").alias("got")) for k, (m, (_, r)) in enumerate(formulas.items())])
+        got = wide.select("trial", F.explode(made).alias("x")).select("trial", "x.*")
+        error = F.abs(F.col("got") - F.col("want"))
+        agrees = F.coalesce(finite(F.col("got")) & (error <= tolerance), F.lit(False))
+        both = got.join(truth, ["trial", "recipe"]).groupBy("metric").agg(F.count(F.lit(1)).alias("trials"), F.count_if(agrees).alias("agreeing"), F.max(error).alias("max_error"))
+    return both.withColumn("trusted", F.col("trials") == F.col("agreeing"))
+
+
 def artifact_verify(claims: DataFrame, values: DataFrame) -> DataFrame:
     """Claims judged by committed predictions alone: claims (id, metric, value) x values (metric, recomputed, classes, majority).
 

@@ -26,6 +26,34 @@ def references(spark: SparkSession, path: str, kept: int = KEPT) -> DataFrame:
     return spark.read.parquet(path).withColumn("rn", F.row_number().over(latest)).where(F.col("rn") <= kept).drop("rn")
 
 
+_FORMULA = "metric string, aliases array<string>, text string, expression string"
+
+
+def add_formulas(records: DataFrame, path: str) -> int:
+    """Append formulas (metric, aliases, text, expression) as a new version of the store; returns its number.
+
+    A version is a folder that is written once: of two writers at the same time one gets an
+    error and starts again. Readers of earlier versions don't see it.
+    """
+    spark = records.sparkSession
+    version = (spark.read.parquet(path).agg(F.max("version")).first()[0] if _exists(spark, path) else -1) + 1
+    records.select("metric", F.col("aliases").cast("array<string>").alias("aliases"), "text", "expression").write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return version
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def formulas(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The formulas as of a version, or the latest: the last record of each metric, with its version."""
+    every = spark.read.option("basePath", path).schema(f"{_FORMULA}, version int").parquet(path)
+    seen = every if version is None else every.where(F.col("version") <= version)
+    record = F.struct("aliases", "text", "expression", "version")
+    return seen.groupBy("metric").agg(F.max_by(record, F.struct("version", "expression")).alias("x")).select("metric", "x.*")
+
+
 def digest(*columns: str) -> Column:
     """SHA-256 of a canonical JSON object of the columns, keys in order."""
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
