@@ -17,12 +17,12 @@ share a key. Where one token may differ, a line's keys are the line
 without each one of its tokens after the lead; where k may differ, the tokens after
 the lead are cut into k + 1 runs, one of which is whole in both lines. A line is
 compared with the first line of each of its keys, which settles all lines of a group
-of like ones. What is left of keys of up to ``WIDE`` lines is ranked by first document and
-compared with those before it, best first, in rounds of growing reach (by ``REACH``),
-until one is alike. Keys of more lines are made longer: the tokens that they leave out are cut
-into runs in turn, one of which is whole in alike lines, so lines that are alike
-in one run only part, and no key's lines are compared all with all. No pair of alike lines of
-a leaf is missed.
+of like ones. Keys of more than ``WIDE`` lines with as many still open are made longer once: the
+tokens that they leave out are cut into runs in turn, one of which is whole in alike lines, so
+lines that are alike in one run only part. With few open lines these are compared with all of the
+key. What is left is ranked within its keys by first document and compared with those
+before it, best first, in rounds of growing reach (by ``REACH``), until one is alike. No pair of
+alike lines of a leaf is missed.
 
 Only hashes of lines are shuffled for the counts, pre-aggregated by template; texts
 of lines are fetched once for leaves in question. Lines, leaves, keys and first
@@ -52,8 +52,8 @@ MASK_TOKENS = 4  # in a shorter line a variable field is over the limit
 LEAD = 2
 SIMILARITY = 0.8
 REACH = 8
-#: Lines of a key up to which they are compared with each other; keys of more are made longer.
-WIDE = 64
+#: Open lines of a key up to which they are compared with all others; keys of more are made longer.
+WIDE = 512
 #: A token that holds a digit; each place is tried once only.
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -161,47 +161,53 @@ def _with_earlier_like(docs: DataFrame, by_line: DataFrame, text_col: str, min_t
     lines = stored(texts.join(need, "h"), "line-texts")
     keys = let(F.split("line", " "), lambda t: _run_keys(t, F.size(t)))
     rows = stored(lines.select("h", "low", "own", F.posexplode(keys).alias("k", "run"), F.lit(None).cast("array<int>").alias("rest")), "line-runs")
-    early = lines.select("h").limit(0)
-    while True:
-        shared, found = _by_first(rows, lines)
-        early = early.unionByName(found)
-        still = stored(shared.where("h != rep.h AND size > 2").join(found, "h", "left_anti").drop("rep"), "line-open")
-        found = _by_rank(shared.where(F.col("size") <= WIDE), still.where(F.col("size") <= WIDE), lines)
-        early = early.unionByName(found)
-        wide = stored(still.where(F.col("size") > WIDE).join(found, "h", "left_anti").select("run").distinct(), "line-wide")
-        if wide.isEmpty():
-            return early.withColumn("early", F.lit(True))
-        rows = _refined(shared.where(F.col("size") > WIDE).join(wide, "run", "left_semi"), lines)
-
-
-def _by_first(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of keys that several lines have, with the first line and the number of lines of each; and lines alike to such a first one."""
+    shared = _shared(rows)
+    texts = stored(lines.select("h", "line").join(shared.select("h").distinct(), "h", "left_semi"), "line-candidates")
+    pairs_of = lambda both: both.where(_BEFORE).select("h", "rep.h").toDF("h", "rep")
+    found = _alike(pairs_of(shared), texts)
+    still = stored(shared.where("h != rep.h AND size > 2").drop("rep").join(found, "h", "left_anti"), "line-open")
+    # keys of many lines: with few open ones these are compared with all, with many open ones the key is made longer
+    wide = stored(still.where(F.col("size") > WIDE).groupBy("run").agg((F.count(F.lit(1)) > WIDE).alias("crowded")), "line-wide")
+    narrow, late = shared.where(F.col("size") <= WIDE), still.where(F.col("size") <= WIDE)
+    if not wide.isEmpty():
+        of_wide = lambda rows, crowded: rows.where(F.col("size") > WIDE).join(F.broadcast(wide.where("crowded" if crowded else "NOT crowded").select("run")), "run", "left_semi")
+        all_lines = of_wide(shared, False).select("run", F.struct("low", "own", "h").alias("rep"))
+        found = stored(found.unionByName(_alike(pairs_of(of_wide(still, False).select("run", "h", "low", "own").join(all_lines, "run")), texts)), "line-early")
+        open_ = of_wide(still, True).join(found, "h", "left_anti")
+        if not (open_ := stored(open_, "line-open")).isEmpty():
+            wanted = stored(_refined(open_, texts).select("run").distinct(), "line-wanted")
+            longer = _shared(stored(_refined(of_wide(shared, True), texts).join(wanted, "run", "left_semi"), "line-runs"))
+            found = stored(found.unionByName(_alike(pairs_of(longer), texts)), "line-early")
+            narrow = narrow.unionByName(longer)
+            late = late.unionByName(longer.where("h != rep.h AND size > 2").drop("rep").join(open_.select("h").distinct(), "h", "left_semi"))
+    late = late.join(found, "h", "left_anti")
+    return found.unionByName(_by_rank(narrow, late, texts)).distinct().withColumn("early", F.lit(True))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of keys that several lines have, with the first line and the number of lines of each."""
     place = F.struct(F.col("low").isNull().alias("last"), "low", "own", "h")
     firsts = stored(rows.groupBy("run").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-firsts")
-    shared = stored(spread_join(rows, firsts.withColumn("size", F.col("n")), "run").select("h", "low", "own", "run", "k", "rest", "rep", "size"), "line-shared")
-    texts = lines.select("h", "line").join(shared.select("h").distinct(), "h", "left_semi")
-    return shared, _alike(shared.where(_BEFORE).select("h", "rep.h").toDF("h", "rep"), stored(texts, "line-candidates"))
+    return stored(spread_join(rows, firsts.withColumn("size", F.col("n")), "run").select("h", "low", "own", "run", "k", "rest", "rep", "size"), "line-shared")
 
 
-def _by_rank(shared: DataFrame, still: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines of ``still`` that are alike to another than the first of a key; a key has ``WIDE`` lines at most."""
-    out, past, upto = lines.select("h").limit(0), 1, REACH
+def _by_rank(shared: DataFrame, still: DataFrame, texts: DataFrame) -> DataFrame:
+    """Lines of ``still`` that are alike to another than the first of a key."""
+    out, past, upto = texts.select("h").limit(0), 1, REACH
     order = Window.partitionBy("run").orderBy(F.col("low").asc_nulls_last(), "own", "h")
     still = stored(still, "line-open")
     while not still.isEmpty():
         members = shared.where(F.col("size") > past).join(still.select("run").distinct(), "run", "left_semi")
         ranked = members.select("run", "low", "own", "h").withColumn("place", F.row_number().over(order)).where(F.col("place") <= upto)
         reps = ranked.where(F.col("place") > past).select("run", F.struct("low", "own", "h").alias("rep"))
-        pairs = still.join(reps, "run").where(_BEFORE).select("h", "rep.h").toDF("h", "rep")
-        texts = lines.select("h", "line").join(pairs.select("h").unionByName(pairs.select(F.col("rep").alias("h"))).distinct(), "h", "left_semi")
-        found = _alike(pairs, stored(texts, "line-candidates"))
+        found = _alike(still.join(reps, "run").where(_BEFORE).select("h", "rep.h").toDF("h", "rep"), texts)
         out = out.unionByName(found)
         still = stored(still.where(F.col("size") > upto).join(found, "h", "left_anti"), "line-open")
         past, upto = upto, upto * REACH
     return out
 
 
-def _refined(members: DataFrame, lines: DataFrame) -> DataFrame:
+def _refined(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Longer keys for the lines of keys that too many have.
 
     The tokens that a key leaves out are cut into one run more than may differ, one of which
@@ -215,10 +221,10 @@ def _refined(members: DataFrame, lines: DataFrame) -> DataFrame:
         return F.filter(F.sequence(F.lit(LEAD + 1), n), lambda i: (i <= begin + LEAD) | (i > end + LEAD))
 
     rest = F.coalesce("rest", F.when(spare == 1, F.array(F.lit(0))).otherwise(all_but(F.col("k"))))
-    open_ = members.join(lines.select("h", "line"), "h").select("h", "low", "own", "run", tokens.alias("tokens"), spare.alias("spare"), rest.alias("rest")).where("size(rest) > spare")
+    open_ = members.join(texts, "h").select("h", "low", "own", "run", tokens.alias("tokens"), spare.alias("spare"), rest.alias("rest")).where("size(rest) > spare")
     piece = let(F.struct("tokens", "spare", "rest"), lambda x: F.transform(F.sequence(F.lit(0), x["spare"]), lambda k: _piece(x, k)))
     longer = open_.select("h", "low", "own", "run", F.posexplode(piece).alias("k", "piece"))
-    return stored(longer.select("h", "low", "own", F.xxhash64("run", "k", "piece.held").alias("run"), "k", "piece.rest"), "line-runs")
+    return longer.select("h", "low", "own", F.xxhash64("run", "k", "piece.held").alias("run"), "k", "piece.rest")
 
 
 def _piece(x: Column, k: Column) -> Column:
