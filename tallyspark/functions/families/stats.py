@@ -182,8 +182,8 @@ B_1 = "(sum((rn - 1) / nullif(n - 1e0, 0) * x) / min(n))"
 B_2 = "(sum((rn - 1e0) * (rn - 2) / nullif((n - 1e0) * (n - 2), 0) * x) / min(n))"
 B_3 = "(sum((rn - 1e0) * (rn - 2) * (rn - 3) / nullif((n - 1e0) * (n - 2) * (n - 3), 0) * x) / min(n))"
 define("stats", "value=x", f"""
-l_skewness: CASE WHEN min(n) >= 4 THEN (6 * {B_2} - 6 * {B_1} + {B0}) / nullif(2 * {B_1} - {B0}, 0) END
-l_kurtosis: CASE WHEN min(n) >= 4 THEN (20 * {B_3} - 30 * {B_2} + 12 * {B_1} - {B0}) / nullif(2 * {B_1} - {B0}, 0) END
+l_skewness: CASE WHEN min(n) >= 4 AND max(x) > min(x) THEN (6 * {B_2} - 6 * {B_1} + {B0}) / nullif(2 * {B_1} - {B0}, 0) END
+l_kurtosis: CASE WHEN min(n) >= 4 AND max(x) > min(x) THEN (20 * {B_3} - 30 * {B_2} + 12 * {B_1} - {B0}) / nullif(2 * {B_1} - {B0}, 0) END
 """, source="{moments_x}")
 source("spacings", "SELECT z.g, z.n, floor(sqrt(z.n * 1e0) + 0.5e0) AS m, b.x - a.x AS gap FROM {moments_x} z JOIN {moments_x} a ON z.g = a.g AND a.rn = greatest(z.rn - floor(sqrt(z.n * 1e0) + 0.5e0), 1) JOIN {moments_x} b ON z.g = b.g AND b.rn = least(z.rn + floor(sqrt(z.n * 1e0) + 0.5e0), z.n)")
 define("stats", "value=x", "differential_entropy: CASE WHEN min(gap) > 0 THEN avg(ln(n / (2 * m) * gap)) END", source="{spacings}")

@@ -195,10 +195,10 @@ EXPECTED["returns"] = Expected(
     sharpe: mu / sd * sqrt(252)
     volatility: sd * sqrt(252)
     downside_deviation: down * sqrt(252)
-    sortino: mu / down * sqrt(252)
+    sortino: CASE WHEN n > 1 THEN mu / down * sqrt(252) END
     win_rate: {share(GAIN)}
     profit_factor: {total("$r", GAIN)} / -{total("$r", LOSS)}
-    omega_ratio: {total("$r", GAIN)} / -{total("$r", LOSS)}
+    omega_ratio: coalesce({total("$r", GAIN)}, 0) / -{total("$r", LOSS)}
     gain_to_pain_ratio: list_sum(r) / -{total("$r", LOSS)}
     gain_loss_ratio: {mean("$r", GAIN)} / -{mean("$r", LOSS)}
     win_loss_ratio: {count(GAIN)} / {count(LOSS)}
@@ -382,14 +382,14 @@ EXPECTED["classes"] = Expected(
     pabak: (tp + tn - fp - fn) / n
     prevalence_threshold: (sqrt(tp / (tp + fn) * (fp / (fp + tn))) - fp / (fp + tn)) / (tp / (tp + fn) - fp / (fp + tn))
     generalized_entropy_error: (list_avg(list_transform(benefit, lambda z: z * z)) / pow(list_avg(benefit), 2) - 1) / 2
-    macro_f1: (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2
+    macro_f1: list_avg([2 * tp / nullif(2 * tp + fp + fn, 0), 2 * tn / nullif(2 * tn + fp + fn, 0)])
     micro_f1: (tp + tn) / n
-    weighted_f1: ((tp + fn) * 2 * tp / (2 * tp + fp + fn) + (tn + fp) * 2 * tn / (2 * tn + fp + fn)) / n
+    weighted_f1: (coalesce((tp + fn) * 2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce((tn + fp) * 2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / n
     mcc: CASE WHEN least(tp + fp, tp + fn, tn + fp, tn + fn) > 0 THEN (tp * tn - fp * fn) / (sqrt((tp + fp) * (tp + fn)) * sqrt((tn + fp) * (tn + fn))) ELSE 0 END
     balanced_accuracy: list_avg([tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0)])
     balanced_accuracy_adjusted: tp / (tp + fn) + tn / (tn + fp) - 1
     cohen_kappa: 2 * (tp * tn - fp * fn) / ((tp + fp) * (fp + tn) + (tp + fn) * (fn + tn))
-    jaccard_macro: (tp / (tp + fp + fn) + tn / (tn + fp + fn)) / 2
+    jaccard_macro: list_avg([tp / nullif(tp + fp + fn, 0), tn / nullif(tn + fp + fn, 0)])
     purity: (greatest(tp, fp) + greatest(tn, fn)) / n
     bcubed_precision: bp
     bcubed_recall: br
@@ -419,7 +419,7 @@ EXPECTED["classes"] = Expected(
     adaptive_calibration_error: list_avg(list_transform(even, lambda z: abs(z.acc - z.conf)))
     demographic_parity_difference: {gap("rates")}
     demographic_parity_ratio: {ratio("rates")}
-    equalized_odds_difference: greatest({gap("tprs")}, {gap("fprs")})
+    equalized_odds_difference: CASE WHEN isfinite({gap("tprs")}) THEN CASE WHEN isfinite({gap("fprs")}) THEN greatest({gap("tprs")}, {gap("fprs")}) ELSE {gap("tprs")} END END
     equalized_odds_ratio: least({ratio("tprs")}, {ratio("fprs")})
     equal_opportunity_difference: {gap("tprs")}
     predictive_parity_difference: {gap("ppvs")}
@@ -756,8 +756,8 @@ EXPECTED["pairs"] = Expected(
     kstat_fourth: n * n * ((n + 1) * m4 - 3 * (n - 1) * m2 * m2) / ((n - 1) * (n - 2) * (n - 3))
     bowley_skewness: (q3 + q1 - 2 * q2) / (q3 - q1)
     moors_kurtosis: CASE WHEN n >= 8 THEN ({quantile("xs", 0.875)} - {quantile("xs", 0.625)} + {quantile("xs", 0.375)} - {quantile("xs", 0.125)}) / (q3 - q1) END
-    l_skewness: CASE WHEN n >= 4 THEN l3 / l2 END
-    l_kurtosis: CASE WHEN n >= 4 THEN l4 / l2 END
+    l_skewness: CASE WHEN n >= 4 AND list_max(x) > list_min(x) THEN l3 / l2 END
+    l_kurtosis: CASE WHEN n >= 4 AND list_max(x) > list_min(x) THEN l4 / l2 END
     differential_entropy: {mean("ln(n / (2 * half) * (xs[least(i + half, n)::BIGINT] - xs[greatest(i - half, 1)::BIGINT]))")}
     correlation: sxy / sqrt(sxx * syy)
     linregress_slope_stderr: se
@@ -928,8 +928,8 @@ EXPECTED["samples"] = Expected(
     conditional_entropy: h_xy - h_x
     joint_entropy: h_xy
     variation_of_information: 2 * h_xy - h_x - h_y
-    uncertainty_coefficient: mi / h_y
-    symmetric_uncertainty: 2 * mi / (h_x + h_y)
+    uncertainty_coefficient: CASE WHEN h_y > 1e-12 THEN mi / h_y END
+    symmetric_uncertainty: CASE WHEN h_x + h_y > 1e-12 THEN 2 * mi / (h_x + h_y) END
     normalized_variation_of_information: (2 * h_xy - h_x - h_y) / h_xy
     eta_squared: ssb / (ssb + ssw)
     omega_squared: (ssb - (groups - 1) * msw) / (ssb + ssw + msw)
@@ -963,7 +963,7 @@ EXPECTED["samples"] = Expected(
     mann_whitney: CASE WHEN na > 0 AND nb > 0 THEN least(1, {_TWO_SIDES("(abs(wins - losses) / 2 - 0.5) / sqrt(na * nb / 12 * (n + 1 - tie_sum / (n * (n - 1))))")}) END
     ks_test: CASE WHEN na > 0 AND nb > 0 THEN least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * ks * ks * na * nb / n)))) END
     mcnemar: {chi_square_tail("pow(abs(" + count("$pa = 1 AND $pb = 0") + " - " + count("$pa = 0 AND $pb = 1") + ") - 1, 2) / " + count("$pa <> $pb"), "1")}
-    wilcoxon_signed_rank: least(1, 2 * {upper_tail("abs(w_up - w_n * (w_n + 1) / 4) / sqrt(w_n * (w_n + 1) * (2 * w_n + 1) / 24 - w_ties / 48)")})
+    wilcoxon_signed_rank: least(1, 2 * {upper_tail("abs(coalesce(w_up, 0) - w_n * (w_n + 1) / 4) / sqrt(w_n * (w_n + 1) * (2 * w_n + 1) / 24 - w_ties / 48)")})
     anova: CASE WHEN groups > 1 THEN pow(1 + (groups - 1) * ssb / (groups - 1) / msw / (n - groups), (groups - n) / 2) END
     bartlett: {chi_square_tail("((n - groups) * ln(ssw / (n - groups)) - log_var) / (1 + (inv_n - 1 / (n - groups)) / (3 * (groups - 1)))", "groups - 1")}
     levene: CASE WHEN groups > 1 THEN pow(1 + lev / (n - groups), (groups - n) / 2) END
@@ -1073,8 +1073,8 @@ EXPECTED["rankings"] = Expected(
     relations=(
         f"""SELECT g, avg(hits / nullif(wanted, 0)) AS v_recall, avg((hits5 > 0)::INT) AS v_top5, avg(hits / 10) AS v_precision, avg(ap10 / nullif(least(wanted, 10), 0)) AS v_map10, avg(ap / nullif(wanted, 0)) AS v_map,
               avg(CASE WHEN wanted > 0 THEN 2 * hits / (10 + wanted) END) AS v_f1, avg((least(k, 10) - hits) / nullif(k - wanted, 0)) AS v_fallout, avg((hits > 0)::INT) AS v_success, avg(arhr) AS v_arhr, avg(rr) AS v_mrr, avg(rhits / nullif(wanted, 0)) AS v_r,
-              avg(rbp) AS v_rbp, avg(dcg / idcg) FILTER (idcg > 0) AS v_ndcg, avg(err) AS v_err
-            FROM (SELECT g, wanted, k, {_HITS} AS hits, {first("(rels[i] > 0)::INT", "5")} AS hits5, {first(_PRECISION)} AS ap10, {first(_PRECISION, "k")} AS ap, {first("(rels[i] > 0)::INT / i")} AS arhr,
+              avg(rbp) AS v_rbp, avg(dcg / idcg) FILTER (idcg > 0) AS v_ndcg, CASE WHEN max(most) > 0 THEN avg(err) END AS v_err
+            FROM (SELECT g, wanted, k, most, {_HITS} AS hits, {first("(rels[i] > 0)::INT", "5")} AS hits5, {first(_PRECISION)} AS ap10, {first(_PRECISION, "k")} AS ap, {first("(rels[i] > 0)::INT / i")} AS arhr,
                     coalesce(1 / nullif(list_position(list_transform(rels, lambda z: z > 0), true), 0), 0) AS rr, {first("(rels[i] > 0)::INT", "wanted")} AS rhits, {first("(rels[i] > 0)::INT * 0.2 * pow(0.8, i - 1)", "k")} AS rbp,
                     {first("rels[i] * ln(2) / ln(i + 1)")} AS dcg, {first("list_reverse_sort(rels)[i] * ln(2) / ln(i + 1)")} AS idcg,
                     {first(f"{_STOP} / i * coalesce(list_product(list_transform(rels[:i - 1], lambda z: 1 - (pow(2, z) - 1) / pow(2, most))), 1)")} AS err FROM ({_RANKED})) GROUP BY g""",
@@ -1352,7 +1352,7 @@ EXPECTED["catalog"] = Expected(
     catalog_sum: list_sum(x)
     catalog_stdev: sqrt({total("pow($x - mx, 2)")} / (n - 1))
     catalog_variance: {total("pow($x - mx, 2)")} / (n - 1)
-    catalog_sharpe: list_avg(r) / sqrt({total("pow($r - mr, 2)")} / (n - 1))
+    catalog_sharpe: CASE WHEN {total("pow($r - mr, 2)")} / (n - 1) >= 1e-24 THEN list_avg(r) / sqrt({total("pow($r - mr, 2)")} / (n - 1)) END
     catalog_sortino: list_avg(r) / sqrt({mean("CASE WHEN $r < 0 THEN $r * $r ELSE 0 END")})
     catalog_calmar: CASE WHEN list_product(list_transform(r, lambda z: 1 + z)) > 0 THEN (pow(list_product(list_transform(r, lambda z: 1 + z)), 252 / n) - 1) / -list_min(dd) END
     catalog_information_ratio: {mean("$r - $b")} / {spread("$r - $b")}
