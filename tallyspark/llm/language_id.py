@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,8 @@ SMOOTH = 0.5
 KEEP_SCORE = 0.3  # below that, no language stands out
 FOLDS, HELD_OUT = 4, 2
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 1_000_000  # numbers kept for unknown words
+_CACHED = 250_000  # numbers kept for unknown words
+_PLACES = 50_000  # words whose rows are kept, besides those of one text
 _SCHEMA = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("entry", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
 
 
@@ -53,6 +55,10 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
+def _hash(entry: str | pa.StringScalar) -> int:
+    return xxhash.xxh64_intdigest(str(entry).encode())
+
+
 def _grams(word: str, order: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[k : k + order] for k in range(max(1, len(marked) - order + 1))]
@@ -81,7 +87,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies by language.
 
-    ``tables[order]`` maps an entry to its row. Row r has the languages
+    ``tables[order]`` has the 64-bit hashes of the entries, ascending, and their rows: a
+    tenth of the memory of a dictionary in each Python worker. Row r has the languages
     ``lang[ptr[r]:ptr[r + 1]]`` that it occurs in and how far its log frequency there
     exceeds ``base[kind]``, that of an entry never seen.
     """
@@ -104,14 +111,26 @@ class Model:
         self.tables, self.base = {}, {}
         for k in (0, *ORDERS):
             low, high = np.searchsorted(kind[starts], [k, k + 1])
-            self.tables[k] = dict(zip(entry.take(pa.array(starts[low:high])).to_pylist(), range(low, high), strict=True))
+            hashes = np.fromiter(map(_hash, entry.take(pa.array(starts[low:high]))), np.uint64, high - low)
+            order = np.argsort(hashes)
+            self.tables[k] = hashes[order], (low + order).astype(np.int32)
             # a language without entries of a kind knows as little as the fullest table lets it
             totals, own = np.zeros(len(self.langs)), kind == k
             totals[self.lang[own]] = total[own]
             totals = np.where(totals > 0, totals, totals.max(initial=0))
-            self.base[k] = np.log(SMOOTH / (totals + SMOOTH * max(1, len(self.tables[k]))))
+            self.base[k] = np.log(SMOOTH / (totals + SMOOTH * max(1, high - low)))
         self.over = np.log((count + SMOOTH) / SMOOTH)
         self.cache: dict[str, np.ndarray | None] = {}
+        self.seen: dict[str, int] = {}
+
+    def _rows(self, kind: int, entries: list[str]) -> list[int]:
+        """Rows of the entries, -1 for those that aren't in the table."""
+        hashes, rows = self.tables[kind]
+        if not len(hashes):
+            return [-1] * len(entries)
+        own = np.fromiter(map(_hash, entries), np.uint64, len(entries))
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        return np.where(hashes[at] == own, rows[at], -1).tolist()
 
     def _excess(self, rows: list[int], times: list[int] | None = None) -> np.ndarray:
         """Sum of the rows, each so many times, by language."""
@@ -124,7 +143,7 @@ class Model:
     def unknown(self, word: str) -> np.ndarray | None:
         """Evidence of a word that isn't in the table of words."""
         for order in ORDERS:
-            rows = [r for g in _grams(word, order) if (r := self.tables[order].get(g)) is not None]
+            rows = [r for r in self._rows(order, _grams(word, order)) if r >= 0]
             if rows:
                 return self.base[order] + self._excess(rows) / len(rows)
         return None
@@ -133,10 +152,15 @@ class Model:
         words = _WORD.findall(text.lower()) if text else []
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        get, cache = self.tables[0].get, self.cache
+        place, cache = self.seen, self.cache
         rows, times, total, seen = [], [], np.zeros(len(self.langs)), 0
-        for w, n in Counter(words).items():
-            if (r := get(w)) is not None:
+        counts = Counter(words)
+        if len(place) >= _PLACES:
+            place.clear()
+        if new := [w for w in counts if w not in place]:
+            place.update(zip(new, self._rows(0, new), strict=True))
+        for w, n in counts.items():
+            if (r := place[w]) >= 0:
                 rows.append(r)
                 times.append(n)
                 continue
@@ -197,7 +221,7 @@ def _label(model, text_col: str, out: str):
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "__language") -> DataFrame:
     """``docs`` with the struct ``out``: lang, score."""
     verdict = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    model.cache = {}
+    model.cache, model.seen = {}, {}
     # as large as the sampled documents' entries
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return mapped(docs, _label(shared, plain_name(docs, text_col), out), T.StructField(out, verdict))
