@@ -52,6 +52,8 @@ MASK_TOKENS = 4  # in a shorter line a variable field is over the limit
 LEAD = 2
 SIMILARITY = 0.8
 REACH = 8
+#: Leaves of several lines up to which a table of them goes to all executors.
+BROADCAST_LEAVES = 1_000_000
 #: Open lines of a key up to which they are compared with all others; keys of more are made longer.
 WIDE = 512
 #: A token that holds a digit; each place is tried once only.
@@ -62,6 +64,8 @@ _DIGIT = "[0-9]"
 _MASKABLE = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{MASK_TOKENS - 1}}}[^\x20\x09-\x0D]"
 #: A line in which blanks aren't single spaces between tokens.
 _UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
+#: Of texts: what masking changes, but for blanks next to blanks or ends of lines.
+_ODD = r"[0-9\x09\x0B-\x0D]"
 
 
 def _keys(id_col: str, text_col: str) -> dict[str, Column]:
@@ -81,24 +85,26 @@ def _span() -> dict[str, Column]:
 
 
 def _masked(line: Column) -> Column:
-    """The line's tokens with single blanks between, those with a digit as ``<*>`` in lines that may have fields.
-
-    Most lines need no pattern but the first; a search for one character is much cheaper.
-    """
+    """The line's tokens with single blanks between, those with a digit as ``<*>`` in lines that may have fields."""
     fields = F.when(line.rlike(_DIGIT) & line.rlike(_MASKABLE), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
     return F.when(line.rlike(_UNEVEN), F.trim(F.regexp_replace(fields, _BLANK, " "))).otherwise(fields)
 
 
 def _tokens(line: Column) -> Column:
     """Number of tokens of a masked line."""
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _masked_text(text: Column) -> Column:
+    """The masked lines of a text. Most texts have none that masking changes, which is looked for in all of them at once."""
+    blanks = text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.endswith(" ")
+    return F.when(text.rlike(_ODD) | blanks, F.transform(F.split(text, "\n"), _masked)).otherwise(F.split(text, "\n"))
 
 
 def _masked_lines(docs: DataFrame, text_col: str, min_tokens: int, *keep: Column) -> DataFrame:
     """One row per line of ``min_tokens`` tokens or more: keys, place, masked line, tokens."""
     # masked in the array, so that no later step computes it again
-    masked = F.transform(F.split(F.col(text_col), "\n"), _masked)
-    out = docs.select(*keep, F.posexplode(masked).alias("pos", "line"))
+    out = docs.select(*keep, F.posexplode(_masked_text(F.col(text_col))).alias("pos", "line"))
     return out.withColumn("n", _tokens(F.col("line"))).where(F.col("n") >= min_tokens)
 
 
@@ -155,10 +161,14 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _with_earlier_like(docs: DataFrame, by_line: DataFrame, text_col: str, min_tokens: int) -> DataFrame:
     """Rows (h, early): lines with a line alike in a document before all of their own."""
-    leaves = by_line.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    need = spread_join(by_line.select("leaf", "h", "low", "own"), stored(leaves, "line-leaves"), "leaf").select("h", "low", "own")
-    texts = _masked_lines(docs, text_col, min_tokens).where(_spare(F.col("n")) > 0).select(F.xxhash64("line").alias("h"), "line").groupBy("h").agg(F.first("line").alias("line"))
-    lines = stored(texts.join(need, "h"), "line-texts")
+    leaves = stored(by_line.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-leaves")
+    need = spread_join(by_line.select("leaf", "h", "low", "own"), leaves, "leaf").select("h", "low", "own")
+    texts = _masked_lines(docs, text_col, min_tokens).select(F.xxhash64("line").alias("h"), "line", _leaf(F.col("n")).alias("leaf"))
+    if leaves.count() <= BROADCAST_LEAVES:
+        # lines of other leaves aren't shuffled
+        texts = texts.join(F.broadcast(leaves.select("leaf")), "leaf", "left_semi")
+    same = texts.where("leaf IS NOT NULL").select("h", "line").join(need, "h").groupBy("h")
+    lines = stored(same.agg(*(F.first(c).alias(c) for c in ("line", "low", "own"))), "line-texts")
     keys = let(F.split("line", " "), lambda t: _run_keys(t, F.size(t)))
     rows = stored(lines.select("h", "low", "own", F.posexplode(keys).alias("k", "run"), F.lit(None).cast("array<int>").alias("rest")), "line-runs")
     shared = _shared(rows)
