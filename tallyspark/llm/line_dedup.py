@@ -167,8 +167,9 @@ def _with_earlier_like(docs: DataFrame, by_line: DataFrame, text_col: str, min_t
     if leaves.count() <= BROADCAST_LEAVES:
         # lines of other leaves aren't shuffled
         texts = texts.join(F.broadcast(leaves.select("leaf")), "leaf", "left_semi")
-    same = texts.where("leaf IS NOT NULL").select("h", "line").join(need, "h").groupBy("h")
-    lines = stored(same.agg(*(F.first(c).alias(c) for c in ("line", "low", "own"))), "line-texts")
+    # a line that very many documents have is one row for each task before it is shuffled
+    once = texts.where("leaf IS NOT NULL").groupBy("h").agg(F.first("line").alias("line"))
+    lines = stored(once.join(need, "h"), "line-texts")
     keys = let(F.split("line", " "), lambda t: _run_keys(t, F.size(t)))
     rows = stored(lines.select("h", "low", "own", F.posexplode(keys).alias("k", "run"), F.lit(None).cast("array<int>").alias("rest")), "line-runs")
     shared = _shared(rows)
