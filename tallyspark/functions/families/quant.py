@@ -190,4 +190,4 @@ source("window_walks", "SELECT z.g, z.w, z.b, m.sd, sum(z.x - m.mu) OVER (PARTIT
        "SELECT z.g, z.w, z.b, m.sd, u.upto - coalesce(v.upto, 0) - (z.k - z.b * z.w + 1) * m.mu AS s FROM {windows} z JOIN {window_means} m ON z.g = m.g AND z.w = m.w AND z.b = m.b "
        "JOIN {sums} u ON z.g = u.g AND z.k = u.nth LEFT JOIN {sums} v ON z.g = v.g AND z.b * z.w - 1 = v.nth")
 source("window_rs", "SELECT g, w, avg(rs) AS rs FROM (SELECT g, w, b, (greatest(max(s), 0) - least(min(s), 0)) / nullif(min(sd), 0) AS rs FROM {window_walks} q4 GROUP BY g, w, b) q5 GROUP BY g, w")
-define("quant", "value=x", "hurst_rs: CASE WHEN count(rs) >= 2 THEN covar_pop(ln(rs), ln(w * 1e0)) / nullif(var_pop(ln(w * 1e0)), 0) END", source="(SELECT * FROM {window_rs} q6 WHERE rs > 0)", ordered=True)
+define("quant", "value=x", "hurst_rs: CASE WHEN count(rs) >= 2 THEN covar_pop(ln(rs), ln(w * 1e0)) / nullif(var_pop(ln(w * 1e0)), 0) END", source="(SELECT * FROM {window_rs} q6 WHERE rs > 0)", ordered=True, solver="hurst")

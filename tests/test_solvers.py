@@ -45,3 +45,27 @@ def test_slopes_of_a_long_key_are_not_listed(n):
     y = 2 * x + rng.normal(size=n)
     assert solvers.theil_sen(x, y) == pytest.approx(2, abs=0.05)
     assert solvers.repeated_median(x, y) == pytest.approx(2, abs=0.05)
+
+
+@pytest.mark.parametrize("stretch", [0, 16, 64])
+def test_hurst_against_windows(spark, stretch, monkeypatch):
+    rng = random.Random(11)
+    keys = {f"{n}": [rng.gauss(0, 1) for _ in range(n)] for n in (1, 15, 16, 40, 333, 1024)} | {"flat": [0.1] * 300, "steps": [k // 40 / 7 for k in range(400)]}
+    rows = [(g, k, x) for g, v in keys.items() for k, x in enumerate(v)]
+    rng.shuffle(rows)
+    t = spark.createDataFrame(rows, "g string, pos int, x double")
+    if stretch:
+        monkeypatch.setattr(solvers, "STRETCH", stretch)
+    got = {r.g: r.value for r in evaluate(t, ["hurst_rs"], long=10 if stretch else 1000_000, block=50).collect()}
+    assert got.keys() == keys.keys()
+    same(got, by_sql(spark, t, "hurst_rs"))
+
+
+def test_only_what_is_read_in_order_is_written(spark, monkeypatch):
+    from tallyspark.plans import series
+
+    seen = []
+    monkeypatch.setattr(series, "blocked", lambda t, rows, f=series.blocked: seen.append(t.columns) or f(t, rows))
+    t = spark.createDataFrame([("a", k, 1.0 + k % 7, 2.0 + k % 5, 3.0) for k in range(50)], "g string, pos int, revenue double, x double, assets double")
+    got = {r.recipe: r.value for r in evaluate(t, ["cagr", "asset_turnover"], long=10, block=8).collect()}
+    assert seen == [] and got["cagr"] is not None and got["asset_turnover"] is not None
