@@ -69,3 +69,27 @@ def test_only_what_is_read_in_order_is_written(spark, monkeypatch):
     t = spark.createDataFrame([("a", k, 1.0 + k % 7, 2.0 + k % 5, 3.0) for k in range(50)], "g string, pos int, revenue double, x double, assets double")
     got = {r.recipe: r.value for r in evaluate(t, ["cagr", "asset_turnover"], long=10, block=8).collect()}
     assert seen == [] and got["cagr"] is not None and got["asset_turnover"] is not None
+
+
+def test_columns_of_long_keys(spark, sf_dir):
+    from tests.test_series import bound, values
+
+    shape, t = bound(spark, sf_dir, "columns")
+    ids = [i for i in shape.recipes if RECIPES[i].in_blocks and RECIPES[i].in_blocks != RECIPES[i].source]
+    assert {"jitter", "growth_rate", "gini_coefficient", "winsorized_mean", "rosenbluth_index"} <= set(ids)
+    t = t.where("g in (0, 202, 203)")
+    plain, blocks = values(evaluate(t, ids, shape.params)), values(evaluate(t, ids, shape.params, long=10, block=57))
+    assert plain.keys() == blocks.keys()
+    same(blocks, plain)
+
+
+def test_neutral_corr_takes_an_era_at_a_time(spark, monkeypatch):
+    from tallyspark.functions.finishers import FINISHERS
+
+    rng = random.Random(4)
+    keys = {g: [(e, *(rng.gauss(0, 1) for _ in range(4))) for e, n in (("1", 40), ("2", 25), ("3", 1)) for _ in range(n)] for g in "ab"} | {"c": [("1", 1.0, 2.0, 0.5, 0.1)]}
+    want = {g: FINISHERS["neutral_corr"](*zip(*v, strict=True)) for g, v in keys.items()}
+    t = spark.createDataFrame([(g, k, *r) for g, v in keys.items() for k, r in enumerate(v)], "g string, pos int, era string, p double, target double, f1 double, f2 double")
+    found = evaluate(t, ["feature_neutral_corr"])
+    same({r.g: r.value for r in found.collect()}, want)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
