@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,9 @@ def max_drawdown(returns: DataFrame, key: str = "g") -> DataFrame:
 
 
 #: What a series keeps between batches: its curve, the end of its last closed window, and the rows of open ones.
-_CURVE = "equity double, peak double, worst double, n long, closed long, waiting array<struct<at: bigint, pos: bigint, r: double>>"
+_CURVE = "equity double, peak double, worst double, n long, closed long, waiting binary"
+#: A waiting row, packed: a key may have many.
+_WAITING = np.dtype([("at", "i8"), ("pos", "i8"), ("r", "f8")])
 _CLOSED = "window_end timestamp, max_drawdown double, equity double, n long"
 
 
@@ -58,29 +61,30 @@ def _closing(every: int):
     """Buffers rows until the watermark has passed their window; then folds them in order of time and place, one result a window."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        equity, peak, worst, n, closed, waiting = state.get if state.exists else (1.0, 1.0, 0.0, 0, 0, [])
-        rows = [(r["at"], r["pos"], r["r"]) for r in waiting]
+        equity, peak, worst, n, closed, waiting = state.get if state.exists else (1.0, 1.0, 0.0, 0, 0, b"")
+        parts = [np.frombuffer(waiting, _WAITING)]
         if not state.hasTimedOut:
             for b in batches:
+                rows = np.empty(len(b), _WAITING)
                 # to microseconds, whatever pandas keeps
-                rows += list(zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["pos"].tolist(), b["r"].tolist(), strict=True))
+                rows["at"], rows["pos"], rows["r"] = b["ts"].astype("datetime64[us]").astype("int64"), b["pos"], b["r"]
+                parts.append(rows)
+        rows = np.concatenate(parts)
+        del parts, waiting
         until = state.getCurrentWatermarkMs() * 1000 // every * every
-        rows.sort()
-        out, k = [], 0
-        while k < len(rows) and rows[k][0] < until:
-            end = rows[k][0] // every * every + every
-            while k < len(rows) and rows[k][0] < end:
-                equity *= 1 + rows[k][2]
-                peak = max(peak, equity)
-                worst = min(worst, equity / peak - 1)
-                n, k = n + 1, k + 1
-            closed = end
-            out.append((key[0], pd.Timestamp(end, unit="us"), worst, equity, n))
-        rows = rows[k:]
-        state.update((equity, peak, worst, n, closed, [{"at": a, "pos": p, "r": r} for a, p, r in rows]))
-        if rows:
-            state.setTimeoutTimestamp(max(rows[0][0] // every * every + every, until + 1000) // 1000)
-        yield pd.DataFrame(out, columns=["g", "window_end", "max_drawdown", "equity", "n"])
+        rows = rows[np.lexsort((rows["r"], rows["pos"], rows["at"]))]
+        ready, rows = np.split(rows, [np.searchsorted(rows["at"], until)])
+        ends = ready["at"] // every * every + every
+        curve = np.multiply.accumulate(np.append(equity, 1 + ready["r"]))
+        peaks = np.fmax.accumulate(np.append(peak, curve[1:]))
+        depths = np.fmin.accumulate(np.append(worst, curve[1:] / peaks[1:] - 1))
+        last = np.flatnonzero(np.append(ends[1:] != ends[:-1], True)) if len(ends) else np.array([], np.int64)
+        out = {"g": [key[0]] * len(last), "window_end": pd.to_datetime(ends[last], unit="us"), "max_drawdown": depths[last + 1], "equity": curve[last + 1], "n": n + last + 1}
+        closed = int(ends[-1]) if len(ends) else closed
+        state.update((float(curve[-1]), float(peaks[-1]), float(depths[-1]), n + len(ready), closed, rows.tobytes()))
+        if len(rows):
+            state.setTimeoutTimestamp(max(int(rows["at"][0]) // every * every + every, until + 1000) // 1000)
+        yield pd.DataFrame(out)
 
     return run
 

@@ -82,3 +82,30 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     got = {(r.g, r.recipe): r.value for r in reducers.latest(spark, out).collect()}
     assert got == {("a", "column_median"): 5, ("a", "row_count"): 3, ("b", "column_median"): 3, ("b", "row_count"): 2, ("c", "column_median"): 7, ("c", "row_count"): 1}
     assert spark.read.parquet(store).agg(F.count(F.lit(1))).first()[0] == 6
+
+
+def test_waiting_rows_are_packed():
+    import tracemalloc
+
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, kept):
+            self.kept = kept
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+    n, state = 200_000, State()
+    rows = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=n, freq="s"), "pos": range(n), "r": 0.01})
+    tracemalloc.start()
+    (out,) = reducers._closing(3_600_000_000)(("a",), iter([rows]), state)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.empty and len(state.kept[-1]) == 24 * n
+    assert peak < 150 * n
